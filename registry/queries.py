@@ -108,7 +108,7 @@ def detection_log_scan(v):
 def detection_log_sink(v):
     folder = work_folder(v.spark, "sink")
     sinks.detection_log_sink(event_log(v).drop("event_id"), folder)
-    return rounded(logs.read_json_lines(v.spark, folder, logs.DETECTION_SCHEMA))
+    return rounded(logs.read_json_lines(v.spark, folder, logs.DETECTION_SCHEMA)).drop("dt")
 
 
 def system_blocks(v: Views) -> DataFrame:
@@ -128,7 +128,7 @@ def system_block_log_sink(v):
 def system_block_log_scan(v):
     folder = work_folder(v.spark, "blocks")
     sinks.system_block_log_sink(system_blocks(v), folder)
-    return rounded(logs.system_block_log_scan(v.spark, folder))
+    return rounded(logs.system_block_log_scan(v.spark, folder)).drop("dt")
 
 
 @query
@@ -512,8 +512,7 @@ def dns_to_tls_delay(v):
 
 @query
 def typosquat_match(v):
-    near = v.domains.select("domain", lexical.typosquat(lexical.first_label(F.col("domain"))).alias("t"))
-    return near.filter("t IS NOT NULL").select("domain", "t.*")
+    return scoring.typosquat_match(v.domains, "domain")
 
 
 @query
@@ -777,7 +776,7 @@ def run(v: Views, frame: DataFrame, name: str, write=jobs.parquet_writer) -> str
 @query
 def stream_detect(v):
     out = run(v, decisions_of(v), "detect", jobs.log_writer)
-    return logs.read_json_lines(v.spark, out, "event_id bigint, origin string, domain string, action_taken string, reason string")
+    return logs.read_json_lines(v.spark, out, "event_id bigint, origin string, domain string, action_taken string, reason string").drop("batch", "dt")
 
 
 @query

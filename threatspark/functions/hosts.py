@@ -24,11 +24,8 @@ def before(col: Column, mark: str) -> Column:
 
 
 def host_of(value: Column) -> Column:
-    """Host of a URL or bare host: drop the scheme, cut at ``/`` then ``:``, lower-case."""
-    raw = strip(value)
-    start = F.instr(raw, "://")
-    rest = F.when(start > 0, F.substr(raw, start + F.lit(3))).otherwise(raw)
-    return F.lower(before(before(rest, "/"), ":"))
+    """Host of a URL or bare host: drop the scheme, cut at ``/`` or ``:``, lower-case."""
+    return F.lower(F.regexp_extract(strip(value), r"(?s)^(?:.*?://)?([^/:]*)", 1))
 
 
 def url_of(value: Column) -> Column:

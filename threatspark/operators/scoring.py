@@ -15,7 +15,16 @@ from threatspark.functions import lexical as X
 from threatspark.functions.hosts import strip
 
 
-def normalised(df: DataFrame, host: str, name: str = "_d") -> DataFrame:
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is worked out exactly once per row.
+
+    A later filter on a projected column is pushed below the projection with its whole expression, which then runs
+    twice and bloats the generated code. Generator output is not rewritten that way.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def normalised(df: DataFrame, host: str, name: str = "_s_d") -> DataFrame:
     return df.withColumn(name, strip(F.lower(F.coalesce(F.col(host), F.lit("")))))
 
 
@@ -27,86 +36,93 @@ def quoted(prefix: str, value: Column, suffix: str = "'") -> Column:
 def brand_heuristic(df: DataFrame, host: str, name: str = "brand", rules: L.BrandRules = L.BrandRules()) -> DataFrame:
     """Add struct(is_phishing, confidence, score, reason) of the brand-impersonation rules."""
     c = F.col
-    h = c("_d")
-    signals = normalised(df, host).withColumn("_label", X.first_label(h)).withColumns({
-        "_real": (h == "") | h.isin(*rules.real_domains),
-        "_brand": X.first_hit(h, rules.brands),
-        "_typo": X.typosquat(c("_label"), rules.brands),
-        "_tokens": X.hits(h, rules.tokens),
-        "_hyphens": X.occurrences(c("_label"), "-"),
-        "_cheap": X.ends_with_any(h, rules.tlds),
+    h = c("_s_d")
+    signals = normalised(df, host).withColumn("_s_label", X.first_label(h)).withColumns({
+        "_s_real": (h == "") | h.isin(*rules.real_domains),
+        "_s_hit": X.first_hit(h, rules.brands),
+        "_s_typo": X.typosquat(c("_s_label"), rules.brands),
+        "_s_tokens": X.hits(h, rules.tokens),
+        "_s_hyphens": X.occurrences(c("_s_label"), "-"),
+        "_s_cheap": X.ends_with_any(h, rules.tlds),
     })
-    tokens = F.size("_tokens")
+    tokens = F.size("_s_tokens")
     points = (
-        F.when(c("_brand").isNotNull(), 55).otherwise(0)
-        + F.when(c("_typo").isNull(), 0).when(c("_brand").isNotNull(), 45).otherwise(80)
+        F.when(c("_s_hit").isNotNull(), 55).otherwise(0)
+        + F.when(c("_s_typo").isNull(), 0).when(c("_s_hit").isNotNull(), 45).otherwise(80)
         + F.when(tokens > 0, F.lit(25) + 5 * F.least(tokens, F.lit(3))).otherwise(0)
-        + F.when(c("_hyphens") >= 2, 10).otherwise(0)
-        + F.when(c("_cheap"), 20).otherwise(0)
+        + F.when(c("_s_hyphens") >= 2, 10).otherwise(0)
+        + F.when(c("_s_cheap"), 20).otherwise(0)
     )
-    pointed = signals.withColumn("_points", F.when(c("_real"), 0).otherwise(points))
-    impersonates = c("_brand").isNotNull() & ((tokens > 0) | (c("_hyphens") >= 2))
-    phishing = ~c("_real") & (c("_points") >= 70) & (impersonates | c("_typo").isNotNull())
+    pointed = signals.withColumn("_s_points", F.when(c("_s_real"), 0).otherwise(points))
+    impersonates = c("_s_hit").isNotNull() & ((tokens > 0) | (c("_s_hyphens") >= 2))
+    phishing = ~c("_s_real") & (c("_s_points") >= 70) & (impersonates | c("_s_typo").isNotNull())
     reason = F.concat_ws(
         "; ",
-        quoted("impersonates brand '", c("_brand")),
-        F.concat(quoted("typo of brand '", c("_typo.brand")), quoted(" (edit distance ", c("_typo.distance"), ")")),
-        F.when(tokens > 0, F.concat(F.lit("contains "), F.array_join(F.slice("_tokens", 1, 2), "/"))),
-        F.when(c("_hyphens") >= 2, quoted("", c("_hyphens"), " hyphens in label")),
-        F.when(c("_cheap"), F.lit("cheap/abused TLD")),
+        quoted("impersonates brand '", c("_s_hit")),
+        F.concat(quoted("typo of brand '", c("_s_typo.brand")), quoted(" (edit distance ", c("_s_typo.distance"), ")")),
+        F.when(tokens > 0, F.concat(F.lit("contains "), F.array_join(F.slice("_s_tokens", 1, 2), "/"))),
+        F.when(c("_s_hyphens") >= 2, quoted("", c("_s_hyphens"), " hyphens in label")),
+        F.when(c("_s_cheap"), F.lit("cheap/abused TLD")),
     )
     result = F.struct(
         phishing.alias("is_phishing"),
-        (F.least(c("_points"), F.lit(95)) / 100).cast("double").alias("confidence"),
-        (c("_points") / 100).cast("double").alias("score"),
+        (F.least(c("_s_points"), F.lit(95)) / 100).cast("double").alias("confidence"),
+        (c("_s_points") / 100).cast("double").alias("score"),
         F.when(phishing, F.concat(F.lit("Brand-impersonation pattern: "), reason)).alias("reason"),
     )
-    return pointed.select(*df.columns, result.alias(name))
+    return computed(pointed, name, result).select(*df.columns, name)
 
 
 def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRules = L.ScoreRules()) -> DataFrame:
     """Add struct(score, reasons): weighted lexical signals, capped at 1, with the text of each signal."""
     c = F.col
-    d = c("_d")
-    first = normalised(df, host).withColumn("_label", X.first_label(d)).withColumns({
-        "_brand": F.when(~d.isin(*rules.real_domains), X.first_hit(d, rules.brands)),
-        "_tokens": X.hits(d, rules.tokens),
-        "_pair": F.coalesce(*[F.when(d.contains(p), F.lit(p)) for p in rules.lookalikes]),
-        "_mixed": X.mixed_token(c("_label")),
-        "_tld": F.coalesce(*[F.when(d.endswith(t), F.lit(t)) for t in rules.tlds]),
-        "_hyphens": X.occurrences(d, "-"),
-        "_size": F.length("_label"),
+    d = c("_s_d")
+    first = normalised(df, host).withColumn("_s_label", X.first_label(d)).withColumns({
+        "_s_hit": F.when(~d.isin(*rules.real_domains), X.first_hit(d, rules.brands)),
+        "_s_tokens": X.hits(d, rules.tokens),
+        "_s_pair": F.coalesce(*[F.when(d.contains(p), F.lit(p)) for p in rules.lookalikes]),
+        "_s_mixed": X.mixed_token(c("_s_label")),
+        "_s_tld": F.coalesce(*[F.when(d.endswith(t), F.lit(t)) for t in rules.tlds]),
+        "_s_hyphens": X.occurrences(d, "-"),
+        "_s_size": F.length("_s_label"),
     })
     second = first.withColumns({
-        "_swapped": X.digit_swap_brand(c("_mixed"), rules),
-        "_random": F.when(c("_size") >= 8, X.entropy(c("_label"))).otherwise(0.0) >= 3.5,
+        "_s_swapped": X.digit_swap_brand(c("_s_mixed"), rules),
+        "_s_random": F.when(c("_s_size") >= 8, X.entropy(c("_s_label"))).otherwise(0.0) >= 3.5,
     })
-    tokens = F.size("_tokens")
+    tokens = F.size("_s_tokens")
     signals = [
-        (c("_brand").isNotNull(), F.lit(45), quoted("contains brand name '", c("_brand"))),
+        (c("_s_hit").isNotNull(), F.lit(45), quoted("contains brand name '", c("_s_hit"))),
         (
             tokens > 0,
             F.lit(15) + 5 * F.least(tokens, F.lit(3)),
-            F.concat(F.lit("suspicious token(s): "), F.array_join(F.slice("_tokens", 1, 3), ", ")),
+            F.concat(F.lit("suspicious token(s): "), F.array_join(F.slice("_s_tokens", 1, 3), ", ")),
         ),
-        (c("_pair").isNotNull(), F.lit(15), quoted("lookalike character pattern '", c("_pair"))),
-        (c("_mixed") != "", F.lit(20), quoted("digit/letter mixing in token '", c("_mixed"))),
-        (c("_swapped").isNotNull(), F.lit(35), quoted("brand impersonation via digit swap: '", c("_swapped"))),
-        (c("_tld").isNotNull(), F.lit(25), quoted("cheap/abused TLD '", c("_tld"))),
-        (c("_hyphens") >= 3, F.lit(15), quoted("", c("_hyphens"), " hyphens")),
-        (c("_size") >= 25, F.lit(10), quoted("unusually long label (", c("_size"), " chars)")),
-        (c("_random"), F.lit(15), F.lit("high-entropy label")),
+        (c("_s_pair").isNotNull(), F.lit(15), quoted("lookalike character pattern '", c("_s_pair"))),
+        (c("_s_mixed") != "", F.lit(20), quoted("digit/letter mixing in token '", c("_s_mixed"))),
+        (c("_s_swapped").isNotNull(), F.lit(35), quoted("brand impersonation via digit swap: '", c("_s_swapped"))),
+        (c("_s_tld").isNotNull(), F.lit(25), quoted("cheap/abused TLD '", c("_s_tld"))),
+        (c("_s_hyphens") >= 3, F.lit(15), quoted("", c("_s_hyphens"), " hyphens")),
+        (c("_s_size") >= 25, F.lit(10), quoted("unusually long label (", c("_s_size"), " chars)")),
+        (c("_s_random"), F.lit(15), F.lit("high-entropy label")),
     ]
     points = reduce(Column.__add__, [F.when(hit, weight).otherwise(0) for hit, weight, _ in signals])
     result = F.struct(
         (F.least(points, F.lit(100)) / 100).cast("double").alias("score"),
         F.array_compact(F.array(*[F.when(hit, text) for hit, _, text in signals])).alias("reasons"),
     )
-    return second.select(*df.columns, result.alias(name))
+    return computed(second, name, result).select(*df.columns, name)
 
 
 def keyword_verdict(df: DataFrame, host: str, is_dns: Column) -> DataFrame:
     """Add prediction, confidence and risk_level by the keyword rules for queried names or for server names."""
-    rule = F.when(is_dns, X.dns_rule(F.col("_d"))).otherwise(X.tls_rule(F.col("_d")))
-    ruled = normalised(df, host).withColumn("_rule", rule)
-    return ruled.select(*df.columns, *[value.alias(n) for n, value in X.verdict_of(F.col("_rule")).items()])
+    rule = F.when(is_dns, X.dns_rule(F.col("_s_d"))).otherwise(X.tls_rule(F.col("_s_d")))
+    ruled = computed(normalised(df, host), "_s_rule", rule)
+    return ruled.select(*df.columns, *[value.alias(n) for n, value in X.verdict_of(F.col("_s_rule")).items()])
+
+
+def typosquat_match(df: DataFrame, host: str) -> DataFrame:
+    """Hosts whose first label is a near miss of a brand, with the brand and the edit distance."""
+    labelled = df.withColumn("_s_label", X.first_label(F.col(host)))
+    near = computed(labelled, "_s_typo", X.typosquat(F.col("_s_label"))).filter(F.col("_s_typo").isNotNull())
+    return near.select(*df.columns, "_s_typo.*")

@@ -10,7 +10,7 @@ from threatspark.functions import policy
 from threatspark.functions.hosts import in_list
 from threatspark.functions.policy import DecisionPolicy
 from threatspark.operators.matching import feed_rank
-from threatspark.operators.scoring import brand_heuristic, lexical_risk
+from threatspark.operators.scoring import brand_heuristic, computed, lexical_risk
 
 FEED_SOURCES = (("phishtank", 0.95, "PhishTank verified phishing feed"), ("openphish", 0.90, "OpenPhish community feed"))
 NOT_FOUND = "Not found in any feed or by the brand-impersonation heuristic."
@@ -119,7 +119,7 @@ def reputation_check(
             "phishing", F.lit("heuristic"), F.col("_brand.confidence"), F.col("_brand.reason"), "SOCIAL_ENGINEERING"
         ),
     ).otherwise(_reputation("unknown", F.lit("none"), F.lit(0.0), F.lit(NOT_FOUND)))
-    return judged.withColumn("_r", result).select(*hosts.columns, "_r.*")
+    return computed(judged, "_r", result).select(*hosts.columns, "_r.*")
 
 
 def verdict_cascade(
@@ -134,38 +134,27 @@ def verdict_cascade(
 
     Block list, allow list, reputation, then model (phishing from .6) or lexical score (from .55), then a sure
     legitimate model (from .7 with a lexical score under .3), else unknown. ``model_scores`` (host, prediction,
-    confidence) is optional. Hosts settled by the lists never reach the feed join.
+    confidence) is optional. The hosts are read once; the lists settle too few of them to be worth a second scan.
     """
     h = F.col(host)
-    listed = hosts.withColumns({"_block": in_list(h, lists.block), "_allow": in_list(h, lists.allow)})
-    settled = listed.filter(F.col("_block") | F.col("_allow")).select(
-        *hosts.columns,
-        F.when(F.col("_block"), "phishing").otherwise("legitimate").alias("verdict"),
-        F.col("_block").alias("blocked"),
-        F.lit(1.0).alias("confidence"),
-        F.when(F.col("_block"), "Domain matches a known phishing pattern — REJECT.")
-        .otherwise("Domain is recognised as trusted — APPROVE.")
-        .alias("reason"),
-        F.when(F.col("_block"), "hardcoded_blocklist").otherwise("hardcoded_allowlist").alias("source"),
-        F.lit(False).alias("ml_ran"),
-    )
-    open_hosts = listed.filter(~F.col("_block") & ~F.col("_allow")).select(*hosts.columns)
-    judged = reputation_check(open_hosts, host, feeds, external, lists)
+    judged = reputation_check(hosts, host, feeds, external, lists)
     if model_scores is not None:
         scores = model_scores.select(
-            F.col(host), F.col("prediction").alias("_label"), F.col("confidence").alias("_conf")
+            F.col(host), F.col("prediction").alias("_ml_label"), F.col("confidence").alias("_ml_conf")
         )
         judged = judged.join(scores, host, "left")
     else:
-        judged = judged.withColumns({"_label": F.lit(None).cast("string"), "_conf": F.lit(None).cast("double")})
+        judged = judged.withColumns({"_ml_label": F.lit(None).cast("string"), "_ml_conf": F.lit(None).cast("double")})
 
-    known = F.col("verdict") != "unknown"
+    judged = judged.withColumns({"_block": in_list(h, lists.block), "_allow": in_list(h, lists.allow)})
+    block, allow = F.col("_block"), F.col("_allow")
+    known = block | allow | (F.col("verdict") != "unknown")
     scored = lexical_risk(judged, host, "_lex")
-    ran = ~known & F.col("_label").isNotNull()
-    conf, score = F.coalesce("_conf", F.lit(0.0)), F.col("_lex.score")
-    by_model = ran & (F.col("_label") == "phishing") & (conf >= 0.6)
+    ran = ~known & F.col("_ml_label").isNotNull()
+    conf, score = F.coalesce("_ml_conf", F.lit(0.0)), F.col("_lex.score")
+    by_model = ran & (F.col("_ml_label") == "phishing") & (conf >= 0.6)
     by_score = ~known & (score >= 0.55)
-    safe = ran & (F.col("_label") == "legitimate") & (conf >= 0.7) & (score < 0.3)
+    safe = ran & (F.col("_ml_label") == "legitimate") & (conf >= 0.7) & (score < 0.3)
     whole_percent = F.concat(F.format_string("%.0f", conf * 100), F.lit("%"))
 
     def signals(n: int) -> Column:
@@ -178,10 +167,26 @@ def verdict_cascade(
         " · ", F.when(by_model, F.concat(F.lit("ML model says PHISHING ("), whole_percent, F.lit(" confidence)"))), signals(4)
     )
     open_reason = F.concat_ws(
-        " · ", F.when(ran, F.concat(F.lit("ML: "), F.col("_label"), F.lit(" ("), whole_percent, F.lit(")"))), signals(3)
+        " · ", F.when(ran, F.concat(F.lit("ML: "), F.col("_ml_label"), F.lit(" ("), whole_percent, F.lit(")"))), signals(3)
     )
     final = (
         F.when(
+            block,
+            F.struct(
+                F.lit("phishing").alias("verdict"), F.lit(True).alias("blocked"), F.lit(1.0).alias("confidence"),
+                F.lit("Domain matches a known phishing pattern — REJECT.").alias("reason"),
+                F.lit("hardcoded_blocklist").alias("source"),
+            ),
+        )
+        .when(
+            allow,
+            F.struct(
+                F.lit("legitimate").alias("verdict"), F.lit(False).alias("blocked"), F.lit(1.0).alias("confidence"),
+                F.lit("Domain is recognised as trusted — APPROVE.").alias("reason"),
+                F.lit("hardcoded_allowlist").alias("source"),
+            ),
+        )
+        .when(
             known,
             F.struct(
                 F.col("verdict").alias("verdict"), (F.col("verdict") == "phishing").alias("blocked"),
@@ -214,10 +219,9 @@ def verdict_cascade(
             )
         )
     )
-    decided = scored.select(*hosts.columns, final.alias("_f"), ran.alias("ml_ran")).select(
-        *hosts.columns, "_f.verdict", "_f.blocked", "_f.confidence", "_f.reason", "_f.source", "ml_ran"
+    return computed(scored, "_f", final).select(
+        *hosts.columns, "_f.verdict", "_f.blocked", "_f.confidence", "_f.reason", "_f.source", ran.alias("ml_ran")
     )
-    return settled.unionByName(decided)
 
 
 def loggable(verdicts: DataFrame, ts: Column) -> DataFrame:

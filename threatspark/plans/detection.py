@@ -24,16 +24,18 @@ def check_domains(
 ) -> DataFrame:
     """Verdict of every distinct host asked for. Repeated requests are folded before any join, so a host that fills
     the request log costs one row."""
-    hosts = requests.select(host_of(F.col(column)).alias("domain")).filter(F.col("domain") != "").distinct()
+    named = F.array_remove(F.array(host_of(F.col(column))), "")
+    hosts = requests.select(F.explode(named).alias("domain")).distinct()
     return verdict_cascade(hosts, "domain", feeds, model_scores, external, lists)
 
 
 def domain_events(queries: DataFrame, handshakes: DataFrame) -> DataFrame:
     """Names from queries and server names as they came off the wire, cleaned; rows without a name are dropped."""
     columns = ["event_id", "ts", "dst_ip"]
-    dns = queries.select(*columns, clean_sni(F.col("query_domain")).alias("domain"), F.lit("dns").alias("origin"))
-    tls = handshakes.select(*columns, clean_sni(F.col("sni")).alias("domain"), F.lit("sni").alias("origin"))
-    return dns.unionByName(tls).filter(F.col("domain") != "")
+    dns = queries.select(*columns, F.col("query_domain").alias("_raw"), F.lit("dns").alias("origin"))
+    tls = handshakes.select(*columns, F.col("sni").alias("_raw"), F.lit("sni").alias("origin"))
+    names = F.array_remove(F.array(clean_sni(F.col("_raw"))), "")
+    return dns.unionByName(tls).select(*columns, "origin", F.explode(names).alias("domain"))
 
 
 def predict(events: DataFrame, lists: L.HostLists = L.HostLists()) -> DataFrame:
