@@ -50,8 +50,7 @@ def compare(spark: SparkSession, con, sf_dir: str, build, sql: str) -> str:
     ours, theirs = table(frame.columns, frame.collect()), table(names, result.fetchall())
     if ours == theirs:
         return ""
-    extra = [row for row in ours if row not in set(theirs)][:3] if len(ours) < 200_000 else []
-    missing = [row for row in theirs if row not in set(ours)][:3] if len(theirs) < 200_000 else []
+    extra, missing = sorted(set(ours) - set(theirs), key=repr)[:3], sorted(set(theirs) - set(ours), key=repr)[:3]
     return f"rows {len(ours)} vs {len(theirs)}; columns {sorted(names)}; only ours {extra}; only oracle {missing}"
 
 

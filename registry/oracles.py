@@ -292,8 +292,14 @@ FLOW_DOUBLES = (
 ).split()
 
 
+def near(value: str, places: int = 6) -> str:
+    """Round with ties pushed up, deviations to three places."""
+    return f"round(({value})::DOUBLE + 1e-9, {3 if '_std' in value else places})"
+
+
 def rounded(columns, places: int = 6, prefix: str = "") -> str:
-    return "* REPLACE (" + ", ".join(f"round({prefix}{c}::DOUBLE, {places}) AS {prefix}{c}" for c in columns) + ")"
+    """Star with the columns rounded like ``registry.queries.rounded`` does."""
+    return "* REPLACE (" + ", ".join(f"{near(prefix + c, places)} AS {prefix}{c}" for c in columns) + ")"
 
 
 FLOW_KEY = "src_ip, dst_ip, src_port, dst_port, protocol"
@@ -333,7 +339,7 @@ CONNECTION = QUERIES + HANDSHAKES + PACKETS + SESSION + f"""
  CASE WHEN h_id IS NULL THEN 516 ELSE handshake_packet_size END AS tls_handshake_packet_size, 0 AS tls_certificate_subject_length,
  CASE WHEN h_id IS NULL THEN true ELSE sni_present END AS tls_sni_present, CASE WHEN h_id IS NULL THEN length(domain) ELSE sni_length END AS tls_sni_length,
  CASE WHEN h_id IS NULL THEN domain_entropy ELSE sni_entropy END AS tls_sni_entropy,
- {', '.join(f"round(coalesce({c}, {d}), 6) AS flow_{c}" for c, d in (('packet_size_mean', 1200.0), ('packet_size_std', 400.0), ('inter_packet_timing_mean', 0.01), ('inter_packet_timing_std', 0.005), ('inter_packet_timing_min', 0.001), ('inter_packet_timing_max', 0.05), ('flow_duration', 0.1), ('packets_per_second', 100.0)))},
+ {', '.join(f"{near(f'coalesce({c}, {d})')} AS flow_{c}" for c, d in (('packet_size_mean', 1200.0), ('packet_size_std', 400.0), ('inter_packet_timing_mean', 0.01), ('inter_packet_timing_std', 0.005), ('inter_packet_timing_min', 0.001), ('inter_packet_timing_max', 0.05), ('flow_duration', 0.1), ('packets_per_second', 100.0)))},
  coalesce(packet_size_min, 66) AS flow_packet_size_min, coalesce(packet_size_max, 1460) AS flow_packet_size_max, coalesce(packet_size_range, 1394) AS flow_packet_size_range,
  coalesce(total_packets, 10) AS flow_total_packets, coalesce(destination_port, 443) AS flow_destination_port, coalesce(flow_ttl, 64) AS flow_ttl_value,
  first_ts AS session_dns_query_timestamp, h_ts AS session_tls_handshake_timestamp, round(dns_to_tls_delay, 6) AS session_dns_to_tls_delay,
@@ -501,7 +507,7 @@ add("run_summary", LIVE_VIEWS, live() + """ SELECT count(DISTINCT CASE WHEN pred
  count(DISTINCT CASE WHEN prediction = 'phishing' AND NOT blocked THEN domain END) AS detected_phishing,
  count(DISTINCT CASE WHEN blocked THEN domain END) AS blocked_domains FROM lv""")
 add("stream_detect", LIVE_VIEWS, live() + " SELECT event_id, origin, domain, action_taken, reason FROM lv")
-add("stream_new_domains", LIVE_VIEWS, live() + " SELECT DISTINCT domain, prediction FROM lv WHERE blocked OR prediction <> 'phishing'")
+add("stream_new_domains", LIVE_VIEWS, live() + " SELECT DISTINCT domain, 1 AS sightings FROM lv WHERE blocked OR prediction <> 'phishing'")
 add("blocked_only", "detections", f"SELECT event_id, domain FROM ({decided('detections')}) WHERE blocked")
 add("list_suffix_match", "domains", f"""
 SELECT domain, {listed('domain', L.BLOCK_LIST)} AS in_block_list, {listed('domain', L.ALLOW_LIST)} AS in_allow_list FROM domains""")
@@ -639,7 +645,7 @@ add("stream_flow_sessions", "flow_packets", PACKETS + f"""
 , c AS (SELECT *, ts - lag(ts) OVER (PARTITION BY {FLOW_KEY} ORDER BY ts) >= INTERVAL 30 SECONDS AS cut FROM p)
 , s AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY {FLOW_KEY} ORDER BY ts) AS sid FROM c)
 , g AS (SELECT {FLOW_KEY}, sid, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS total_packets, round(avg(packet_size), 6) AS packet_size_mean,
- round(coalesce(stddev_samp(packet_size), 0), 6) AS packet_size_std, min(packet_size) AS packet_size_min, max(packet_size) AS packet_size_max,
+ round(coalesce(stddev_samp(packet_size), 0) + 1e-9, 3) AS packet_size_std, min(packet_size) AS packet_size_min, max(packet_size) AS packet_size_max,
  (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS d FROM s GROUP BY {FLOW_KEY}, sid)
 SELECT * EXCLUDE (sid, last_ts, d), round(d, 6) AS flow_duration, CASE WHEN total_packets > 1 THEN round(d / (total_packets - 1), 6) ELSE 0 END AS inter_packet_timing_mean,
  CASE WHEN d > 0 THEN round(total_packets / d, 6) ELSE 0 END AS packets_per_second

@@ -34,8 +34,9 @@ def r(column: Column | str, places: int = 6) -> Column:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """All double columns rounded."""
-    return df.withColumns({n: F.round(n, places) for n, t in df.dtypes if t == "double"}) if "double" in dict(df.dtypes).values() else df
+    """All double columns rounded, ties pushed up; standard deviations of long sums keep three places."""
+    doubles = [n for n, t in df.dtypes if t == "double"]
+    return df.withColumns({n: F.round(F.col(n) + 1e-9, 3 if n.endswith("_std") else places) for n in doubles}) if doubles else df
 
 
 def text(df: DataFrame) -> DataFrame:
@@ -782,7 +783,9 @@ def stream_detect(v):
 @query
 def stream_new_domains(v):
     out = run(v, jobs.stream_new_domains(decisions_of(v)), "new-domains")
-    return v.spark.read.parquet(out).filter("blocked OR prediction <> 'phishing'").select("domain", "prediction").distinct()
+    return v.spark.read.parquet(out).filter("blocked OR prediction <> 'phishing'").groupBy("domain").agg(
+        F.count(F.lit(1)).alias("sightings")
+    )
 
 
 @query
