@@ -298,7 +298,7 @@ def near(value: str, places: int = 6) -> str:
 
 
 def rounded(columns, places: int = 6, prefix: str = "") -> str:
-    """Star with the columns rounded like ``registry.queries.rounded`` does."""
+    """Star with the columns rounded like ``registry.queries.rounded_flows`` does."""
     return "* REPLACE (" + ", ".join(f"{near(prefix + c, places)} AS {prefix}{c}" for c in columns) + ")"
 
 
@@ -532,7 +532,8 @@ add("tls_first_for_ip", "tls_handshakes", HANDSHAKES + """
 SELECT * FROM h WHERE dst_port = 443 QUALIFY row_number() OVER (PARTITION BY dst_ip ORDER BY ts, event_id) = 1""")
 add("domain_ip_map", "dns_queries", QUERIES + """
 , e AS (SELECT query_domain, dst_ip || '-' || (event_id % 90) AS dst_ip, count(*) AS queries FROM q GROUP BY ALL)
-SELECT *, count(*) OVER (PARTITION BY query_domain) AS ips_of_domain, count(*) OVER (PARTITION BY dst_ip) AS domains_of_ip FROM e""")
+SELECT *, count(*) OVER d AS ips_of_domain, count(*) OVER i AS domains_of_ip, (sum(queries) OVER d)::BIGINT AS queries_of_domain,
+ (sum(queries) OVER i)::BIGINT AS queries_of_ip FROM e WINDOW d AS (PARTITION BY query_domain), i AS (PARTITION BY dst_ip)""")
 SESSION_VIEWS = "dns_queries tls_handshakes"
 add("dns_to_tls_delay", SESSION_VIEWS, QUERIES + HANDSHAKES + SESSION + " SELECT event_id, round(dns_to_tls_delay, 6) AS dns_to_tls_delay FROM delay")
 
@@ -644,11 +645,11 @@ SELECT * FROM w WHERE tick + INTERVAL 1 HOUR <= (SELECT max(ts) FROM detections)
 add("stream_flow_sessions", "flow_packets", PACKETS + f"""
 , c AS (SELECT *, ts - lag(ts) OVER (PARTITION BY {FLOW_KEY} ORDER BY ts) >= INTERVAL 30 SECONDS AS cut FROM p)
 , s AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY {FLOW_KEY} ORDER BY ts) AS sid FROM c)
-, g AS (SELECT {FLOW_KEY}, sid, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS total_packets, round(avg(packet_size), 6) AS packet_size_mean,
+, g AS (SELECT {FLOW_KEY}, sid, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS total_packets, round(avg(packet_size) + 1e-9, 6) AS packet_size_mean,
  round(coalesce(stddev_samp(packet_size), 0) + 1e-9, 3) AS packet_size_std, min(packet_size) AS packet_size_min, max(packet_size) AS packet_size_max,
  (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS d FROM s GROUP BY {FLOW_KEY}, sid)
-SELECT * EXCLUDE (sid, last_ts, d), round(d, 6) AS flow_duration, CASE WHEN total_packets > 1 THEN round(d / (total_packets - 1), 6) ELSE 0 END AS inter_packet_timing_mean,
- CASE WHEN d > 0 THEN round(total_packets / d, 6) ELSE 0 END AS packets_per_second
+SELECT * EXCLUDE (sid, last_ts, d), round(d + 1e-9, 6) AS flow_duration, CASE WHEN total_packets > 1 THEN round(d / (total_packets - 1) + 1e-9, 6) ELSE 0 END AS inter_packet_timing_mean,
+ CASE WHEN d > 0 THEN round(total_packets / d + 1e-9, 6) ELSE 0 END AS packets_per_second
 FROM g WHERE last_ts + INTERVAL 30 SECONDS <= (SELECT max(ts) FROM p) - INTERVAL 1 HOUR""")
 add("traffic_deltas", "detections", HOURLY + " ORDER BY 1 DESC LIMIT 30")
 

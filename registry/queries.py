@@ -34,9 +34,22 @@ def r(column: Column | str, places: int = 6) -> Column:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """All double columns rounded, ties pushed up; standard deviations of long sums keep three places."""
+    """All double columns rounded."""
     doubles = [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({n: F.round(F.col(n) + 1e-9, 3 if n.endswith("_std") else places) for n in doubles}) if doubles else df
+    return df.withColumns({n: F.round(n, places) for n in doubles}) if doubles else df
+
+
+FLOW_PARTS = ("packet", "duration")
+
+
+def rounded_flows(df: DataFrame) -> DataFrame:
+    """Flow statistics rounded with ties pushed up (a mean of microseconds often ends on a tie); standard deviations
+    of long gaps keep three places. Other doubles are rounded as usual."""
+    flow = {
+        n: F.round(F.col(n) + 1e-9, 3 if n.endswith("_std") else 6)
+        for n, t in df.dtypes if t == "double" and any(part in n for part in FLOW_PARTS)
+    }
+    return rounded(df.withColumns(flow))
 
 
 def text(df: DataFrame) -> DataFrame:
@@ -283,7 +296,7 @@ def connections(v: Views) -> DataFrame:
 
 @query
 def connection_features(v):
-    return rounded(connections(v))
+    return rounded_flows(connections(v))
 
 
 @query
@@ -498,7 +511,7 @@ def tls_first_for_ip(v):
 
 @query
 def flows_for_ip(v):
-    return rounded(features.flows_for_ip(packets_of(v)))
+    return rounded_flows(features.flows_for_ip(packets_of(v)))
 
 
 @query
@@ -560,7 +573,7 @@ def label_agreement(v):
 # --- aggregations -------------------------------------------------------------------------------
 @query
 def flow_stats(v):
-    return rounded(features.flow_stats(packets_of(v)))
+    return rounded_flows(features.flow_stats(packets_of(v)))
 
 
 @query
@@ -806,7 +819,7 @@ def stream_detection_totals(v):
 def stream_flow_sessions(v):
     sessions = jobs.stream_flow_sessions(capture.flow_packets_scan(stream_views(v).flow_packets))
     out = v.spark.read.parquet(run(v, sessions, "sessions"))
-    return rounded(out.withColumn("session_start", F.col("session_start").cast("timestamp_ntz")).drop("batch"))
+    return rounded_flows(out.withColumn("session_start", F.col("session_start").cast("timestamp_ntz")).drop("batch"))
 
 
 @query

@@ -65,26 +65,25 @@ def domain_training_rows(domains: DataFrame, label: Column) -> DataFrame:
 
 
 def _class_rank(df: DataFrame, label: str, row_id: str, name: str) -> DataFrame:
-    """Position of a row within its class by digest of its id: repeatable, and cut by digest prefix so that no task
-    sees a whole class."""
+    """Position of a row within its class by digest of its id, and ``_size`` of the class: repeatable, and cut by
+    digest prefix so that no task sees a whole class."""
     keyed = df.withColumn("_digest", F.md5(F.col(row_id).cast("string")))
-    ranked = running.row_number(keyed, [label], ["_digest", row_id], running.hash_slice(F.col("_digest")), name)
+    by_digest = running.hash_slice(F.col("_digest"))
+    ranked = running.row_number(keyed, [label], ["_digest", row_id], by_digest, name, total="_size")
     return ranked.drop("_digest")
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, train_share: float = 0.8) -> DataFrame:
     """Add ``split`` = train or test with the same share of every class."""
     ranked = _class_rank(df, label, row_id, "_rank")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     limit = F.floor(F.col("_size") * train_share + 0.5)
-    joined = ranked.join(F.broadcast(sizes), label)  # one row per class
-    return joined.withColumn("split", F.when(F.col("_rank") <= limit, "train").otherwise("test")).drop("_rank", "_size")
+    return ranked.withColumn("split", F.when(F.col("_rank") <= limit, "train").otherwise("test")).drop("_rank", "_size")
 
 
 def kfold_assign(df: DataFrame, label: str, row_id: str, folds: int = 5) -> DataFrame:
     """Add ``fold`` 0..folds-1, every class spread evenly."""
     ranked = _class_rank(df, label, row_id, "_rank")
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank")
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % folds).cast("int")).drop("_rank", "_size")
 
 
 def standard_scale(df: DataFrame, features: Sequence[str], fit_on: Column) -> DataFrame:

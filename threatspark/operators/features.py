@@ -167,13 +167,18 @@ def flows_for_ip(packets: DataFrame, port: int = 443) -> DataFrame:
 
 
 def domain_ip_map(queries: DataFrame) -> DataFrame:
-    """Edges between names and addresses with the number of queries and both degrees.
+    """Edges between names and addresses with their queries, and degree and queries of both ends.
 
-    An edge table rather than one array per name: a name with millions of addresses stays many small rows.
+    An edge table rather than one array per name: a name with millions of addresses stays many small rows. All three
+    aggregates read the same edge columns, so the queries are scanned and shuffled once.
     """
     edges = queries.groupBy("query_domain", "dst_ip").agg(F.count(F.lit(1)).alias("queries"))
-    per_domain = edges.groupBy("query_domain").agg(F.count(F.lit(1)).alias("ips_of_domain"))
-    per_ip = edges.groupBy("dst_ip").agg(F.count(F.lit(1)).alias("domains_of_ip"))
+    per_domain = edges.groupBy("query_domain").agg(
+        F.count(F.lit(1)).alias("ips_of_domain"), F.sum("queries").alias("queries_of_domain")
+    )
+    per_ip = edges.groupBy("dst_ip").agg(
+        F.count(F.lit(1)).alias("domains_of_ip"), F.sum("queries").alias("queries_of_ip")
+    )
     return edges.join(per_domain, "query_domain").join(per_ip, "dst_ip")
 
 

@@ -100,10 +100,15 @@ def feedback_accuracy(events: DataFrame, feedback: DataFrame) -> DataFrame:
 def run_summary(events: DataFrame) -> DataFrame:
     """Safe, alerted and blocked domains of a run."""
     phishing = F.col("prediction") == "phishing"
-    return events.agg(
-        F.countDistinct(F.when(~phishing & ~F.col("blocked"), F.col("domain"))).alias("safe_domains"),
-        F.countDistinct(F.when(phishing & ~F.col("blocked"), F.col("domain"))).alias("detected_phishing"),
-        F.countDistinct(F.when(F.col("blocked"), F.col("domain"))).alias("blocked_domains"),
+    per_domain = events.groupBy("domain").agg(
+        F.bool_or(~phishing & ~F.col("blocked")).alias("safe"),
+        F.bool_or(phishing & ~F.col("blocked")).alias("alerted"),
+        F.bool_or("blocked").alias("blocked"),
+    )
+    return per_domain.agg(
+        F.count_if("safe").alias("safe_domains"),
+        F.count_if("alerted").alias("detected_phishing"),
+        F.count_if("blocked").alias("blocked_domains"),
     )
 
 

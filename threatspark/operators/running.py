@@ -45,16 +45,23 @@ def _earlier(keys: Sequence[str], descending: bool = False) -> WindowSpec:
     return _slices(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column, name: str) -> DataFrame:
-    """``row_number() over (partition by keys order by order)``; ``slice_by`` must not decrease along the order."""
+def row_number(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column, name: str, total: str | None = None
+) -> DataFrame:
+    """``row_number() over (partition by keys order by order)``; ``slice_by`` must not decrease along the order.
+
+    With ``total`` the number of rows of the key is added as well.
+    """
     cut = df.withColumn(SLICE, slice_by)
     counts = cut.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    carried = counts.select(*keys, SLICE, F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_n0"))
+    before = F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_n0")
+    whole = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    carried = counts.select(*keys, SLICE, before, *whole)
     numbered = cut.withColumn("_rn", F.row_number().over(_rows(keys, order)))
     return (
         numbered.join(carried, [*keys, SLICE])
         .withColumn(name, F.col("_rn") + F.col("_n0"))
-        .select(*df.columns, name)
+        .select(*df.columns, name, *([total] if total else []))
     )
 
 
