@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from functools import reduce
 
@@ -38,24 +39,32 @@ def url_of(value: Column) -> Column:
     )
 
 
-def is_local_host(host: Column) -> Column:
-    """Loopback, link-local, mDNS and private-range hosts; the empty host counts as local."""
-    h = F.btrim(strip(F.lower(host)), F.lit("[]"))
-    suffix = reduce(Column.__or__, [h.endswith(s) for s in L.LOCAL_SUFFIXES])
-    prefix = reduce(Column.__or__, [h.startswith(p) for p in L.PRIVATE_PREFIXES])
-    second = F.split_part(h, F.lit("."), F.lit(2)).try_cast("int")
-    shared = h.startswith("172.") & F.coalesce(second.between(16, 31), F.lit(False))
-    return (h == "") | h.isin(*L.LOCAL_HOSTS) | suffix | prefix | shared
+def _any(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+# Scheme, user info and an opening bracket are skipped; a bare host must not run into a path.
+AUTHORITY_HOST = r"(?s)^(?:[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?\[?|(?!.*://)(?![^:]*[/?#]))([^/?#:]*)"
+PUBLIC_HOST = (
+    rf"^(?!(?:{_any(L.LOCAL_HOSTS)})\z)"
+    rf"(?!.*(?:{_any(L.LOCAL_SUFFIXES)})\z)"
+    rf"(?!{_any(L.PRIVATE_PREFIXES)})"
+    r"(?!172\.0*(?:1[6-9]|2[0-9]|3[01])(?:\.|\z))"
+    r"([a-z0-9.-]+)\z"
+)
+LABEL = "[0-9-]*[A-Za-z][A-Za-z0-9-]*"
+DOMAIN_NAME = rf"^(?=.{{4,253}}\z)(?!.*[^.]{{64}}){LABEL}(?:\.{LABEL})+\z"
 
 
 def external_host(value: Column) -> Column:
-    """Public host of a URL or bare host, '' for local hosts and names with other characters."""
+    """Public host of a URL or bare host; '' for loopback, link-local, mDNS and private ranges and for names with
+    other characters.
+
+    One pass per step and no column used twice, so a filter on the result stays cheap wherever it is pushed.
+    """
     s = F.lower(strip(F.coalesce(value, F.lit(""))))
-    authority = F.regexp_extract(s, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
-    bare_authority = F.ltrim(F.regexp_replace(authority, "^.*@", ""), F.lit("["))
-    host = F.when(s.contains("://"), bare_authority).otherwise(s)
-    host = F.btrim(before(host, ":"), F.lit("."))
-    return F.when(~is_local_host(host) & host.rlike(r"^[a-z0-9.-]+$"), host).otherwise(F.lit(""))
+    host = F.btrim(F.regexp_extract(s, AUTHORITY_HOST, 1), F.lit("."))
+    return F.regexp_extract(host, PUBLIC_HOST, 1)
 
 
 def clean_sni(value: Column) -> Column:
@@ -70,13 +79,7 @@ def clean_sni(value: Column) -> Column:
     ascii_part = F.regexp_extract(s, r"^[\x00-\x7F]*", 0)
     kept = F.regexp_replace(ascii_part, r"[^A-Za-z0-9.\- \n\r\t]", "")
     name = F.btrim(F.regexp_extract(kept, r"^[ \n\r\t]*([A-Za-z0-9.\-]*)", 1), F.lit(".-"))
-    label = "[0-9-]*[A-Za-z][A-Za-z0-9-]*"
-    valid = (
-        F.length(name).between(4, 253)
-        & name.rlike(rf"^{label}(\.{label})+$")
-        & ~name.rlike(r"[^.]{64,}")
-    )
-    return F.when(valid, name).otherwise(F.lit(""))
+    return F.regexp_extract(name, DOMAIN_NAME, 0)
 
 
 def suffixes(host: Column, min_labels: int = 1) -> Column:

@@ -46,18 +46,19 @@ def occurrences(text: Column, char: str) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for NULL and empty text."""
-    size = F.length(text)
+    """Shannon entropy of the characters in bits; 0 for NULL and empty text.
 
-    def share(c: Column) -> Column:
-        return (size - F.length(F.replace(text, c, F.lit("")))) / size
+    The outer ``transform`` over a one-element array binds the text, so that it is not worked out again per character.
+    """
 
-    bits = F.aggregate(
-        F.array_distinct(F.split(text, "")),
-        F.lit(0.0),
-        lambda total, c: total - share(c) * F.log2(share(c)),
-    )
-    return F.when(size > 0, bits).otherwise(F.lit(0.0))
+    def bits(t: Column) -> Column:
+        size = F.length(t)
+        chars = F.array_distinct(F.split(t, ""))
+        shares = F.transform(chars, lambda c: (size - F.length(F.replace(t, c, F.lit("")))) / size)
+        return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+
+    filled = F.filter(F.array(text), lambda t: t != "")
+    return F.coalesce(F.get(F.transform(filled, bits), F.lit(0)), F.lit(0.0))
 
 
 def entropy_stripped(text: Column) -> Column:

@@ -48,33 +48,29 @@ def flow_packets_scan(packets: DataFrame) -> DataFrame:
 def hello_server_name(payload: Column) -> Column:
     """Server name of a TLS ClientHello payload, NULL when the payload is no ClientHello or names none.
 
-    The name is looked for at the first offset from 43 whose two bytes are zero and whose announced name fits.
+    The name is looked for at the first offset from 43 whose two bytes are zero and whose announced name fits. With one
+    character per byte, a look-ahead finds those offsets (each with the rest of the payload) in a single scan.
     """
-    size = F.length(payload)
+    body = F.substring(F.decode(payload, "ISO-8859-1"), 44, 1 << 30)
+    candidates = F.regexp_extract_all(body, F.lit(r"(?s)(?=(\x00\x00.{8,}))"), F.lit(1))
 
-    def number(offset: Column, width: int) -> Column:
-        return F.conv(F.hex(F.substring(payload, offset + 1, F.lit(width))), 16, 10).cast("int")
+    def announced(rest: Column) -> Column:
+        return F.ascii(F.substring(rest, 8, 1)) * 256 + F.ascii(F.substring(rest, 9, 1))
 
-    def fits(o: Column) -> Column:
-        return (
-            (F.substring(payload, o + 1, F.lit(2)) == F.lit(b"\x00\x00"))
-            & (o + 9 < size)
-            & (o + 9 + number(o + 7, 2) <= size)
-        )
+    def named(rest: Column) -> Column:
+        raw = F.encode(F.substring(rest, F.lit(10), announced(rest)), "ISO-8859-1")
+        return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
 
-    offsets = F.filter(F.sequence(F.lit(43), F.greatest(size - 6, F.lit(43))), fits)
-    at = F.try_element_at(offsets, F.lit(1))
-    name = F.substring(payload, at + 10, number(at + 7, 2))
-    text = F.replace(F.make_valid_utf8(name.cast("string")), F.lit("�"), F.lit(""))
-    hello = (size >= 49) & (F.substring(payload, 6, 1) == F.lit(b"\x01"))
-    return F.when(hello, text)
+    fitting = F.filter(candidates, lambda rest: announced(rest) + 9 <= F.length(rest))
+    hello = F.substring(payload, 6, 1) == F.lit(b"\x01")
+    return F.when(hello, F.get(F.transform(F.slice(fitting, 1, 1), named), F.lit(0)))
 
 
 def sni_inventory(payloads: DataFrame, payload: str = "payload", ts: str = "ts") -> DataFrame:
     """Server names seen in raw payloads with count and first and last sight."""
+    names = F.array_compact(F.array(hello_server_name(F.col(payload))))
     return (
-        payloads.select(hello_server_name(F.col(payload)).alias("sni"), F.col(ts).alias("ts"))
-        .filter(F.col("sni").isNotNull())
+        payloads.select(F.explode(names).alias("sni"), F.col(ts).alias("ts"))
         .groupBy("sni")
         .agg(F.count(F.lit(1)).alias("handshakes"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     )
