@@ -521,7 +521,7 @@ def domain_ip_map(v):
 
 @query
 def dns_to_tls_delay(v):
-    return rounded(features.dns_to_tls_delay(handshakes_of(v), queries_of(v)).select("event_id", "dns_to_tls_delay"))
+    return rounded(features.dns_to_tls_delay(handshakes_of(v), queries_of(v), length=HOUR).select("event_id", "dns_to_tls_delay"))
 
 
 @query
@@ -671,21 +671,26 @@ def feed_stats(v):
     return reports.feed_stats(rows)
 
 
+# Windows below cut time into hours, so that the comparison crosses many slices; flow_stats, connection_ordinal and
+# connection_features let the table decide.
+HOUR = 3600
+
+
 # --- windows ------------------------------------------------------------------------------------
 @query
 def inter_packet_gaps(v):
-    gaps = features.inter_packet_gaps(packets_of(v), keys=("src_ip", "dst_ip"))
+    gaps = features.inter_packet_gaps(packets_of(v), keys=("src_ip", "dst_ip"), length=HOUR)
     return rounded(gaps.select("event_id", "seq", "gap_seconds"))
 
 
 @query
 def running_query_stats(v):
-    return rounded(features.running_query_stats(queries_of(v)).select("event_id", "query_frequency", "ttl_variance"), 4)
+    return rounded(features.running_query_stats(queries_of(v), length=HOUR).select("event_id", "query_frequency", "ttl_variance"), 4)
 
 
 @query
 def first_connection_flag(v):
-    return features.first_connection_flag(handshakes_of(v)).select("event_id", "is_first_connection_to_domain")
+    return features.first_connection_flag(handshakes_of(v), length=HOUR).select("event_id", "is_first_connection_to_domain")
 
 
 @query
@@ -695,7 +700,7 @@ def connection_ordinal(v):
 
 @query
 def concurrent_connections(v):
-    return features.concurrent_connections(handshakes_of(v).withColumn("src_ip", F.substring_index("src_ip", ".", 3))).select(
+    return features.concurrent_connections(handshakes_of(v).withColumn("src_ip", F.substring_index("src_ip", ".", 3)), length=HOUR).select(
         "event_id", "concurrent_connections"
     )
 

@@ -38,7 +38,7 @@ def by_id(df, column):
 
 
 def test_row_number_and_total(frame, rows):
-    df = running.row_number(frame, ["key"], ["ts", "id"], running.time_slice(F.col("ts"), SLICE), "rn", total="n")
+    df = running.row_number(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts", SLICE), "rn", total="n")
     got, total = by_id(df, "rn"), by_id(df, "n")
     for key in KEYS:
         seq = ordered(rows, key)
@@ -47,7 +47,7 @@ def test_row_number_and_total(frame, rows):
 
 
 def test_running_variance(frame, rows):
-    df = running.running_count_variance(frame, ["key"], ["ts", "id"], running.time_slice(F.col("ts"), SLICE), "v", "n", "var")
+    df = running.running_count_variance(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts", SLICE), "v", "n", "var")
     count, variance = by_id(df, "n"), by_id(df, "var")
     for key in KEYS:
         seq = ordered(rows, key)
@@ -101,3 +101,14 @@ def test_single_packet_flow(spark):
     schema = "event_id int, seq int, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, packet_size int, ttl int"
     r = features.flow_stats(spark.createDataFrame([(1, 0, START, "c", "s", 1, 443, "TCP", 60, 64)], schema)).first()
     assert (r.packet_size_std, r.inter_packet_timing_mean, r.flow_duration, r.packets_per_second) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_slices_follow_the_density_of_the_table(frame, rows, monkeypatch):
+    """The same result whatever the slice length, and short slices for a dense table."""
+    whole = by_id(features.running.row_number(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts"), "rn"), "rn")
+    assert frame.select(running.time_slice(frame, "ts").alias("s")).distinct().count() <= 2
+    monkeypatch.setattr(running, "ROWS_PER_SLICE", 25)
+    assert frame.select(running.time_slice(frame, "ts").alias("s")).distinct().count() >= 16
+    assert by_id(running.row_number(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts"), "rn"), "rn") == whole
+    n = by_id(running.count_in_last_seconds(frame, ["key"], "ts", 5, "n"), "n")
+    assert n == by_id(running.count_in_last_seconds(frame, ["key"], "ts", 5, "n", 900), "n")

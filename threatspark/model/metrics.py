@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threatspark.operators import running
 from threatspark.operators.reports import share
 
-SCORE_SLICES = 4096
+SCORE_SLICES = 65536
 
 
 def confusion_matrix(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:

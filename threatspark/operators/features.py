@@ -27,6 +27,14 @@ FLOW_DEFAULTS = {
     "inter_packet_timing_min": 0.001, "inter_packet_timing_max": 0.05, "total_packets": 10, "flow_duration": 0.1,
     "packets_per_second": 100.0, "destination_port": 443, "ttl_value": 64,
 }
+SESSION_COLUMNS = (
+    "dns_to_tls_delay", "is_first_connection_to_domain", "concurrent_connections", "connection_count_to_domain",
+)
+ARRIVAL = ("ts", "event_id")
+PACKET_SESSION_COLUMNS = (
+    "dns_to_tls_delay", "is_first_connection_to_domain", "concurrent_connections", "connection_count_to_domain",
+)
+ARRIVAL = ("ts", "event_id", "seq")
 FLOW_KEY = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
 
@@ -85,34 +93,42 @@ def tls_features(handshakes: DataFrame, domain: str | None = None) -> DataFrame:
 
 
 # --- aggregates and windows ---------------------------------------------------------------------
-def domain_query_stats(queries: DataFrame) -> DataFrame:
-    """Queries and sample variance of the ttl per lower-case name; 0 when it was asked once."""
-    return queries.groupBy(F.lower("query_domain").alias("domain")).agg(
+def query_stats() -> list[Column]:
+    """Queries and sample variance of the ttl; 0 when there was one query."""
+    return [
         F.count(F.lit(1)).alias("query_frequency"),
         F.coalesce(F.var_samp("ttl"), F.lit(0.0)).alias("ttl_variance"),
-    )
+    ]
 
 
-def running_query_stats(queries: DataFrame, ts: str = "ts", row_id: str = "event_id") -> DataFrame:
+def domain_query_stats(queries: DataFrame) -> DataFrame:
+    """Queries and sample variance of the ttl per lower-case name; 0 when it was asked once."""
+    return queries.groupBy(F.lower("query_domain").alias("domain")).agg(*query_stats())
+
+
+def running_query_stats(queries: DataFrame, order: Sequence[str] = ARRIVAL, length: running.Length = None) -> DataFrame:
     """Per query: how often its name was asked so far and the ttl variance so far."""
     named = queries.withColumn("domain", F.lower("query_domain"))
-    return running.running_count_variance(
-        named, ["domain"], [ts, row_id], running.time_slice(F.col(ts)), "ttl", "query_frequency", "ttl_variance"
-    )
+    cut = running.time_slice(named, order[0], length)
+    return running.running_count_variance(named, ["domain"], order, cut, "ttl", "query_frequency", "ttl_variance")
 
 
-def inter_packet_gaps(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = ("ts", "event_id", "seq")) -> DataFrame:
+def inter_packet_gaps(
+    packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL, length: running.Length = None
+) -> DataFrame:
     """Seconds since the previous packet of the flow, in arrival order."""
-    return running.seconds_since_previous(packets, keys, order[0], order, "gap_seconds")
+    return running.seconds_since_previous(packets, keys, order[0], order, "gap_seconds", length)
 
 
-def flow_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = ("ts", "event_id", "seq")) -> DataFrame:
+def flow_stats(
+    packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL, length: running.Length = None
+) -> DataFrame:
     """Size, timing and volume statistics per flow.
 
     The gaps come from sliced windows and the statistics from one aggregation with map-side combine, so a flow may hold
     any share of the packets.
     """
-    gaps = inter_packet_gaps(packets, keys, order)
+    gaps = inter_packet_gaps(packets, keys, order, length)
     us = running.epoch_us(F.col(order[0]))
     last = F.max_by(F.struct(F.col("dst_port").alias("port"), F.col("ttl").alias("ttl")), F.struct(*order))
     size, gap = F.col("packet_size"), F.col("gap_seconds")
@@ -138,7 +154,7 @@ def flow_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequen
     )
 
 
-def last_packet_attrs(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = ("ts", "event_id", "seq")) -> DataFrame:
+def last_packet_attrs(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL) -> DataFrame:
     """Port and ttl of the last packet of each flow."""
     last = F.max_by(F.struct("dst_port", "ttl"), F.struct(*order)).alias("last")
     return packets.groupBy(*keys).agg(last).select(
@@ -147,14 +163,14 @@ def last_packet_attrs(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order:
 
 
 # --- lookups ------------------------------------------------------------------------------------
-def dns_first_for_domain(queries: DataFrame, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+def dns_first_for_domain(queries: DataFrame, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """First query per lower-case name by arrival."""
     columns = [c for c in queries.columns if c != "query_domain"]
     first = F.min_by(F.struct(*columns), F.struct(*order)).alias("first")
     return queries.groupBy(F.lower("query_domain").alias("domain")).agg(first).select("domain", "first.*")
 
 
-def tls_first_for_ip(handshakes: DataFrame, port: int = 443, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+def tls_first_for_ip(handshakes: DataFrame, port: int = 443, order: Sequence[str] = ARRIVAL) -> DataFrame:
     """First handshake per destination address on the port."""
     columns = [c for c in handshakes.columns if c != "dst_ip"]
     first = F.min_by(F.struct(*columns), F.struct(*order)).alias("first")
@@ -183,40 +199,50 @@ def domain_ip_map(queries: DataFrame) -> DataFrame:
 
 
 # --- session features ---------------------------------------------------------------------------
-def dns_to_tls_delay(handshakes: DataFrame, queries: DataFrame) -> DataFrame:
+def _named(handshakes: DataFrame) -> DataFrame:
+    """Handshakes with a server name, and the name as it is looked up."""
+    return handshakes.filter(F.col("sni").isNotNull()).withColumn("_name", F.lower("sni"))
+
+
+def dns_to_tls_delay(
+    handshakes: DataFrame, queries: DataFrame, length: running.Length = None, basis: DataFrame | None = None
+) -> DataFrame:
     """Seconds from the client's latest earlier query for the server name to the handshake, NULL without one."""
-    named = handshakes.filter(F.col("sni").isNotNull()).withColumn("_name", F.lower("sni"))
     asked = queries.select("src_ip", F.lower("query_domain").alias("_name"), "ts")
-    matched = running.latest_before(named, asked, ["src_ip", "_name"], "ts", "_asked")
+    source = None if basis is None else _named(basis)
+    matched = running.latest_before(_named(handshakes), asked, ["src_ip", "_name"], "ts", "_asked", length, source)
     delay = (running.epoch_us(F.col("ts")) - F.unix_micros("_asked")) / F.lit(1e6)
     return matched.withColumn("dns_to_tls_delay", delay).drop("_name", "_asked")
 
 
-def connection_ordinal(handshakes: DataFrame) -> DataFrame:
+def connection_ordinal(handshakes: DataFrame, length: running.Length = None, basis: DataFrame | None = None) -> DataFrame:
     """How many connections the client has made to the server name so far, this one included."""
-    named = handshakes.filter(F.col("sni").isNotNull())
+    named = F.col("sni").isNotNull()
+    source = None if basis is None else basis.filter(named)
+    cut = running.time_slice(handshakes, "ts", length)
     return running.row_number(
-        named, ["src_ip", "sni"], ["ts", "event_id"], running.time_slice(F.col("ts")), "connection_count_to_domain"
+        handshakes.filter(named), ["src_ip", "sni"], ARRIVAL, cut, "connection_count_to_domain", basis=source
     )
 
 
-def first_connection_flag(handshakes: DataFrame) -> DataFrame:
+def first_connection_flag(handshakes: DataFrame, length: running.Length = None) -> DataFrame:
     """True for the client's first connection to the server name."""
-    return connection_ordinal(handshakes).withColumn(
+    return connection_ordinal(handshakes, length).withColumn(
         "is_first_connection_to_domain", F.col("connection_count_to_domain") == 1
     ).drop("connection_count_to_domain")
 
 
-def concurrent_connections(handshakes: DataFrame, seconds: int = 60) -> DataFrame:
+def concurrent_connections(handshakes: DataFrame, seconds: int = 60, length: running.Length = None) -> DataFrame:
     """Handshakes of the same client in the last ``seconds``, this one included."""
-    return running.count_in_last_seconds(handshakes, ["src_ip"], "ts", seconds, "concurrent_connections")
+    return running.count_in_last_seconds(handshakes, ["src_ip"], "ts", seconds, "concurrent_connections", length)
 
 
-def session_features(handshakes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Handshakes with a server name and all session features."""
-    counted = concurrent_connections(handshakes)
-    numbered = connection_ordinal(counted)
-    delayed = dns_to_tls_delay(numbered, queries)
+def session_features(handshakes: DataFrame, queries: DataFrame, seconds: int = 60) -> DataFrame:
+    """Handshakes with a server name and all session features. All steps share one slice length."""
+    length = running.slice_length(handshakes, "ts", at_least=5 * seconds)
+    counted = concurrent_connections(handshakes, seconds, length)
+    numbered = connection_ordinal(counted, length, basis=handshakes)
+    delayed = dns_to_tls_delay(numbered, queries, length, basis=handshakes)
     return delayed.withColumn("is_first_connection_to_domain", F.col("connection_count_to_domain") == 1)
 
 
@@ -230,19 +256,25 @@ def connection_features(
     features are those of the handshake that supplies the TLS features.
     """
     pairs = queries.select(F.lower("query_domain").alias("domain"), F.col("dst_ip").alias("destination_ip")).distinct()
-    dns = dns_first_for_domain(queries).join(domain_query_stats(queries), "domain")
-    dns = dns.select("domain", F.struct(
-        F.col("ttl").alias("ttl_value"), "query_type", "query_frequency", "ttl_variance", F.col("ts").alias("ts"),
-    ).alias("q"))
-
-    https = handshakes.filter(F.col("dst_port") == 443)
-    session = session_features(handshakes, queries).filter(F.col("dst_port") == 443).select(
-        "event_id", "dns_to_tls_delay", "is_first_connection_to_domain", "concurrent_connections",
-        "connection_count_to_domain",
+    dns = queries.groupBy(F.lower("query_domain").alias("domain")).agg(
+        F.min_by(F.struct(F.col("ttl").alias("ttl_value"), "query_type", "ts"), F.struct(*ARRIVAL)).alias("first"),
+        *query_stats(),
+    )
+    dns = dns.select("domain", F.struct("first.*", "query_frequency", "ttl_variance").alias("q"))
+
+    https = F.col("dst_port") == 443
+    handshake = F.struct("event_id", "ts", "sni", "tls_version", "dst_port", "packet_size")
+    first_tls = handshakes.filter(https).groupBy(F.col("dst_ip").alias("destination_ip")).agg(
+        F.min_by(handshake, F.struct(*ARRIVAL)).alias("h")
+    )
+    # the first handshake with a name per address; it counts only when it is the first handshake of all
+    session = session_features(handshakes, queries).filter(https).groupBy(F.col("dst_ip").alias("destination_ip")).agg(
+        F.min_by(F.struct("event_id", *SESSION_COLUMNS), F.struct(*ARRIVAL)).alias("s")
+    )
+    same = F.col("s.event_id") == F.col("h.event_id")
+    tls = first_tls.join(session, "destination_ip", "left").select(
+        "destination_ip", "h", *[F.when(same, F.col(f"s.{c}")).alias(c) for c in SESSION_COLUMNS]
     )
-    first_tls = tls_first_for_ip(https).select(F.col("dst_ip").alias("destination_ip"), F.struct(
-        "event_id", "ts", "sni", "tls_version", "dst_port", "packet_size").alias("h"))
-    tls = first_tls.join(session, F.col("h.event_id") == F.col("event_id"), "left").drop("event_id")
 
     flows = flows_for_ip(packets)
     flows = flows.select(F.col("dst_ip").alias("destination_ip"), F.struct(*FLOW_DEFAULTS).alias("f"))

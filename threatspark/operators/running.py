@@ -1,10 +1,14 @@
 """Ordered computations per key that survive a hot key.
 
 ``Window.partitionBy(key)`` sends all rows of a key to one task, so a domain or client with a third of all traffic
-would stall the job. Every operator here cuts a key's rows into *slices* that follow the sort order (an hour of event
+would stall the job. Every operator here cuts a key's rows into *slices* that follow the sort order (a stretch of event
 time, a hash prefix). The row-level window runs per (key, slice); what earlier slices contribute is carried over from a
-small table with one row per (key, slice), built with map-side aggregation. The row-level data is shuffled once, by
+narrow table with one row per (key, slice), built with map-side aggregation. The row-level data is shuffled once, by
 (key, slice), for the window and the carry-over join together. Keys must not be NULL.
+
+Time slices are as long as it takes the whole table to collect ``ROWS_PER_SLICE`` rows on average: a small table is one
+slice, a huge one is cut finely, and even a key that owns every row meets that size in a task. The length comes from
+exact counts in a scalar subquery, so both sides of the carry-over join agree on it however often it is computed.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
-HOUR = 3600
+ROWS_PER_SLICE = 20_000_000
 
 
 def epoch_us(ts: Column) -> Column:
@@ -23,12 +27,32 @@ def epoch_us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def time_slice(ts: Column, seconds: int = HOUR) -> Column:
-    return F.floor(epoch_us(ts) / F.lit(seconds * 1_000_000))
+# seconds, a column of microseconds from slice_length, or None to let the table decide
+Length = int | Column | None
+
+
+def slice_length(df: DataFrame, ts: str, length: Length = None, at_least: int = 1) -> Column:
+    """Length of a time slice in microseconds: the given one, or the one that suits the density of the table.
+
+    Chained operators should share one length taken from their common source.
+    """
+    if isinstance(length, Column):
+        return length
+    if length is not None:
+        return F.lit(length * 1_000_000)
+    us = epoch_us(F.col(ts))
+    seen = df.agg(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(us).alias("n"))).scalar()
+    span = (seen.getField("hi") - seen.getField("lo") + 1).cast("double")
+    even = F.ceil(span * F.lit(float(ROWS_PER_SLICE)) / F.greatest(seen.getField("n"), F.lit(1)))
+    return F.greatest(even, F.lit(at_least * 1_000_000))
+
 
+def time_slice(df: DataFrame, ts: str, length: Length = None) -> Column:
+    return F.floor(epoch_us(F.col(ts)) / slice_length(df, ts, length))
 
-def hash_slice(digest: Column, digits: int = 3) -> Column:
-    """Leading hex digits of a digest: slices in digest order, 4096 of them by default."""
+
+def hash_slice(digest: Column, digits: int = 4) -> Column:
+    """Leading hex digits of a digest: slices in digest order, 65536 of them by default."""
     return F.substring(digest, 1, digits)
 
 
@@ -46,14 +70,17 @@ def _earlier(keys: Sequence[str], descending: bool = False) -> WindowSpec:
 
 
 def row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column, name: str, total: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column, name: str,
+    total: str | None = None, basis: DataFrame | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``slice_by`` must not decrease along the order.
 
-    With ``total`` the number of rows of the key is added as well.
+    With ``total`` the number of rows of the key is added as well. ``basis`` is the table ``df`` was widened from: the
+    slices are counted there, without repeating the widening.
     """
     cut = df.withColumn(SLICE, slice_by)
-    counts = cut.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    source = cut if basis is None else basis.withColumn(SLICE, slice_by)
+    counts = source.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_n0")
     whole = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
     carried = counts.select(*keys, SLICE, before, *whole)
@@ -105,10 +132,10 @@ def running_count_variance(
 
 
 def seconds_since_previous(
-    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column | str], name: str, slice_seconds: int = HOUR
+    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column | str], name: str, length: Length = None
 ) -> DataFrame:
     """Seconds from the previous row of the same key; NULL for the first. ``order`` starts with ``ts``."""
-    cut = df.withColumns({"_us": epoch_us(F.col(ts)), SLICE: time_slice(F.col(ts), slice_seconds)})
+    cut = df.withColumns({"_us": epoch_us(F.col(ts)), SLICE: time_slice(df, ts, length)})
     ends = cut.groupBy(*keys, SLICE).agg(F.max("_us").alias("_end"))
     carried = ends.select(*keys, SLICE, F.lag("_end").over(_slices(keys)).alias("_before"))
     lagged = cut.withColumn("_prev", F.lag("_us").over(_rows(keys, order)))
@@ -120,18 +147,18 @@ def seconds_since_previous(
 
 
 def count_in_last_seconds(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str, slice_seconds: int = HOUR
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str, length: Length = None
 ) -> DataFrame:
     """Rows of the same key in the ``seconds`` up to and including each row, peers in time included.
 
     The last ``seconds`` of a slice are copied into the next one as context and dropped again after the window, so the
-    copies stay a small share of the data (``seconds / slice_seconds``).
+    copies stay a small share of the data (a fifth at most unless shorter slices are asked for).
     """
-    if seconds > slice_seconds:
+    if isinstance(length, int) and seconds > length:
         raise ValueError("a slice must be at least as long as the window")
-    span, length = seconds * 1_000_000, slice_seconds * 1_000_000
-    cut = df.withColumns({"_us": epoch_us(F.col(ts)), "_own": time_slice(F.col(ts), slice_seconds)})
-    late = F.col("_us") >= (F.col("_own") + 1) * F.lit(length) - F.lit(span)
+    span, length = seconds * 1_000_000, slice_length(df, ts, length, at_least=5 * seconds)
+    cut = df.withColumns({"_us": epoch_us(F.col(ts)), "_own": F.floor(epoch_us(F.col(ts)) / length)})
+    late = F.col("_us") >= (F.col("_own") + 1) * length - F.lit(span)
     copied = cut.withColumn(
         SLICE, F.explode(F.when(late, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own"))))
     )
@@ -144,16 +171,26 @@ def count_in_last_seconds(
 
 
 def latest_before(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, name: str, slice_seconds: int = HOUR
+    left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, name: str, length: Length = None,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
-    """As-of join: for each left row the latest right time at or before it with equal keys, NULL without one."""
-    seen = right.select(*keys, epoch_us(F.col(ts)).alias("_us"))
-    cut_left = left.withColumns({"_us": epoch_us(F.col(ts)), SLICE: time_slice(F.col(ts), slice_seconds)})
-    cut_right = seen.withColumn(SLICE, F.floor(F.col("_us") / F.lit(slice_seconds * 1_000_000)))
-    rows = cut_left.withColumns({"_seen": F.lit(None).cast("bigint"), "_side": F.lit(1)}).unionByName(
-        cut_right.withColumns({"_seen": F.col("_us"), "_side": F.lit(0)}), allowMissingColumns=True
+    """As-of join: for each left row the latest right time at or before it with equal keys, NULL without one.
+
+    ``basis`` is the table ``left`` was widened from, with the same keys and times.
+    """
+    length = slice_length(left, ts, length)
+    us = epoch_us(F.col(ts))
+
+    def cut(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(*columns, us.alias("_us"), F.floor(us / length).alias(SLICE))
+
+    none = F.lit(None).cast("bigint")
+    seen = cut(right, *keys).withColumns({"_seen": F.col("_us"), "_side": F.lit(0)})
+    rows = cut(left, *left.columns).withColumns({"_seen": none, "_side": F.lit(1)}).unionByName(
+        seen, allowMissingColumns=True
     )
-    ends = rows.groupBy(*keys, SLICE).agg(F.max("_seen").alias("_end"))
+    narrow = cut(left if basis is None else basis, *keys).withColumn("_seen", none).unionByName(seen.drop("_side"))
+    ends = narrow.groupBy(*keys, SLICE).agg(F.max("_seen").alias("_end"))
     carried = ends.select(*keys, SLICE, F.max("_end").over(_earlier(keys)).alias("_before"))
     so_far = _rows(keys, ["_us", "_side"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
