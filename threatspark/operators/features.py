@@ -12,10 +12,7 @@ from threatspark.functions.lexical import dns_anomalies, entropy_stripped, has_a
 from threatspark.operators import running
 
 # fixed values: what a missing feature group is filled with
-DNS_DEFAULTS = {
-    "ttl_value": 3600, "query_type": "A", "query_frequency": 1, "ttl_variance": 0.0,
-    "is_known_phishing": False, "is_known_legitimate": False,
-}
+DNS_DEFAULTS = {"ttl_value": 3600, "query_type": "A", "query_frequency": 1, "ttl_variance": 0.0}
 TLS_DEFAULTS = {
     "sni_matches_domain": True, "has_sni_spoofing": False, "tls_version": "TLS 1.3",
     "tls_version_code": 4, "is_outdated_tls": False, "uses_standard_https_port": True, "handshake_packet_size": 516,
@@ -31,10 +28,7 @@ SESSION_COLUMNS = (
     "dns_to_tls_delay", "is_first_connection_to_domain", "concurrent_connections", "connection_count_to_domain",
 )
 ARRIVAL = ("ts", "event_id")
-PACKET_SESSION_COLUMNS = (
-    "dns_to_tls_delay", "is_first_connection_to_domain", "concurrent_connections", "connection_count_to_domain",
-)
-ARRIVAL = ("ts", "event_id", "seq")
+PACKET_ARRIVAL = ("ts", "event_id", "seq")
 FLOW_KEY = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
 
@@ -289,9 +283,8 @@ def connection_features(
     tls_defaults = {
         **TLS_DEFAULTS, "sni_present": True, "sni_length": F.length(name), "sni_entropy": entropy_stripped(name),
     }
-    dns_out = {n: c for n, c in lexical.items()} | {
-        n: F.coalesce(F.col(f"q.{n}"), F.lit(DNS_DEFAULTS[n]))
-        for n in ("ttl_value", "query_type", "query_frequency", "ttl_variance")
+    dns_out = lexical | {
+        n: F.coalesce(F.col(f"q.{n}"), F.lit(d)) for n, d in DNS_DEFAULTS.items()
     }
     tls_out = {
         n: F.when(missing_tls, d if isinstance(d, Column) else F.lit(d)).otherwise(measured[n])
