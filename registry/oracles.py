@@ -250,7 +250,7 @@ add("entropy_label", "domains", f"""
 , l AS (SELECT domain, split_part(domain, '.', 1) AS label FROM domains)
 SELECT domain, round({entropy('label')}, 6) AS entropy, contains(domain, '.') AND {entropy('label')} > 4.5 AS is_high,
  length(label) >= 8 AND round({entropy('label')}, 6) >= 3.5 AS is_random FROM l""")
-DOMAIN_FEATURES = f"""length(domain) AS domain_length, greatest(length(domain) - length(replace(domain, '.', '')) - 1, 0) AS subdomain_count,
+DOMAIN_FEATURES = f"""length(domain)::INT AS domain_length, greatest(length(domain) - length(replace(domain, '.', '')) - 1, 0)::INT AS subdomain_count,
  round({entropy(stripped('domain'))}, 6) AS domain_entropy, regexp_matches(domain, '[0-9]') AS has_numbers_in_domain,
  contains(domain, '-') AS has_hyphens_in_domain, regexp_matches(domain, '[@#$%&*!~]') AS has_suspicious_chars,
  domain IN {values(L.BLOCK_LIST)} AS is_known_phishing, domain IN {values(L.KNOWN_LEGITIMATE)} AS is_known_legitimate"""
@@ -259,7 +259,7 @@ add("domain_features", "domains", f"SELECT domain, {DOMAIN_FEATURES} FROM domain
 
 def tls_features(domain: str) -> str:
     match = f"(contains(lower({domain}), lower(sni)) OR contains(lower(sni), lower({domain})))"
-    return f"""sni IS NOT NULL AND sni <> 'N/A' AS sni_present, coalesce(length(sni), 0) AS sni_length,
+    return f"""sni IS NOT NULL AND sni <> 'N/A' AS sni_present, coalesce(length(sni), 0)::INT AS sni_length,
  CASE WHEN sni IS NULL THEN 0 ELSE round({entropy(stripped('sni'))}, 6) END AS sni_entropy,
  coalesce({match}, false) AS sni_matches_domain, coalesce(NOT {match}, false) AS has_sni_spoofing,
  coalesce(tls_version, 'Unknown') AS tls_version, coalesce(CASE tls_version {' '.join(f"WHEN {lit(k)} THEN {v}" for k, v in L.TLS_VERSION_CODES.items())} END, 0) AS tls_version_code,
@@ -337,7 +337,7 @@ CONNECTION = QUERIES + HANDSHAKES + PACKETS + SESSION + f"""
  CASE WHEN h_id IS NULL THEN false ELSE is_outdated_tls END AS tls_is_outdated_tls,
  CASE WHEN h_id IS NULL THEN true ELSE uses_standard_https_port END AS tls_uses_standard_https_port,
  CASE WHEN h_id IS NULL THEN 516 ELSE handshake_packet_size END AS tls_handshake_packet_size, 0 AS tls_certificate_subject_length,
- CASE WHEN h_id IS NULL THEN true ELSE sni_present END AS tls_sni_present, CASE WHEN h_id IS NULL THEN length(domain) ELSE sni_length END AS tls_sni_length,
+ CASE WHEN h_id IS NULL THEN true ELSE sni_present END AS tls_sni_present, CASE WHEN h_id IS NULL THEN length(domain) ELSE sni_length END::INT AS tls_sni_length,
  CASE WHEN h_id IS NULL THEN domain_entropy ELSE sni_entropy END AS tls_sni_entropy,
  {', '.join(f"{near(f'coalesce({c}, {d})')} AS flow_{c}" for c, d in (('packet_size_mean', 1200.0), ('packet_size_std', 400.0), ('inter_packet_timing_mean', 0.01), ('inter_packet_timing_std', 0.005), ('inter_packet_timing_min', 0.001), ('inter_packet_timing_max', 0.05), ('flow_duration', 0.1), ('packets_per_second', 100.0)))},
  coalesce(packet_size_min, 66) AS flow_packet_size_min, coalesce(packet_size_max, 1460) AS flow_packet_size_max, coalesce(packet_size_range, 1394) AS flow_packet_size_range,
@@ -361,12 +361,12 @@ SELECT domain, destination_ip, array_to_string(list_filter([
  lambda x: x IS NOT NULL), '|') AS indicators FROM wide""")
 add("connection_defaults", "dns_queries", QUERIES + """
 SELECT DISTINCT 'x.' || query_domain AS domain, dst_ip AS destination_ip, false AS dns_imputed, true AS tls_imputed, true AS flow_imputed,
- 'TLS 1.3' AS tls_tls_version, 4 AS tls_tls_version_code, 516 AS tls_handshake_packet_size, length(query_domain) + 2 AS tls_sni_length,
- 1200e0 AS flow_packet_size_mean, 10 AS flow_total_packets, 443 AS flow_destination_port, 64 AS flow_ttl_value FROM q""")
+ 'TLS 1.3' AS tls_tls_version, 4 AS tls_tls_version_code, 516 AS tls_handshake_packet_size, (length(query_domain) + 2)::INT AS tls_sni_length,
+ 1200e0 AS flow_packet_size_mean, 10::BIGINT AS flow_total_packets, 443 AS flow_destination_port, 64 AS flow_ttl_value FROM q""")
 add("feature_vector", "domains", f"""
 , f AS (SELECT domain, {DOMAIN_FEATURES} FROM domains)
-SELECT domain, domain_length AS f0, subdomain_count AS f1, domain_entropy AS f2, has_numbers_in_domain::INT AS f3,
- has_hyphens_in_domain::INT AS f4, coalesce(try_cast(domain AS DOUBLE), 0) AS f5, 0e0 AS f6 FROM f""")
+SELECT domain, domain_length::DOUBLE AS f0, subdomain_count::DOUBLE AS f1, domain_entropy AS f2, has_numbers_in_domain::INT::DOUBLE AS f3,
+ has_hyphens_in_domain::INT::DOUBLE AS f4, coalesce(try_cast(domain AS DOUBLE), 0) AS f5, 0e0 AS f6 FROM f""")
 TO_SCALE = f", s AS (SELECT domain, length(domain) AS domain_length, {entropy(stripped('domain'))} AS domain_entropy FROM domains)"
 SCALED = ("domain_length", "domain_entropy")
 add("feature_minmax", "domains", TO_SCALE + " SELECT domain, " + ", ".join(
@@ -407,7 +407,7 @@ def brand(source: str) -> str:
  CASE WHEN hy >= 2 THEN hy || ' hyphens in label' END, CASE WHEN cheap THEN 'cheap/abused TLD' END) AS why FROM pts)"""
 
 
-add("typosquat_match", "domains", typos("domains") + " SELECT domain, distance, brand FROM typo")
+add("typosquat_match", "domains", typos("domains") + " SELECT domain, distance::INT AS distance, brand FROM typo")
 add("brand_heuristic", "domains", brand("domains") + """
 SELECT domain, is_phishing, least(points, 95) / 100.0::DOUBLE AS confidence, points / 100.0::DOUBLE AS score,
  CASE WHEN is_phishing THEN 'Brand-impersonation pattern: ' || why END AS reason FROM brandy""")
@@ -507,7 +507,7 @@ add("run_summary", LIVE_VIEWS, live() + """ SELECT count(DISTINCT CASE WHEN pred
  count(DISTINCT CASE WHEN prediction = 'phishing' AND NOT blocked THEN domain END) AS detected_phishing,
  count(DISTINCT CASE WHEN blocked THEN domain END) AS blocked_domains FROM lv""")
 add("stream_detect", LIVE_VIEWS, live() + " SELECT event_id, origin, domain, action_taken, reason FROM lv")
-add("stream_new_domains", LIVE_VIEWS, live() + " SELECT DISTINCT domain, 1 AS sightings FROM lv WHERE blocked OR prediction <> 'phishing'")
+add("stream_new_domains", LIVE_VIEWS, live() + " SELECT DISTINCT domain, 1::BIGINT AS sightings FROM lv WHERE blocked OR prediction <> 'phishing'")
 add("blocked_only", "detections", f"SELECT event_id, domain FROM ({decided('detections')}) WHERE blocked")
 add("list_suffix_match", "domains", f"""
 SELECT domain, {listed('domain', L.BLOCK_LIST)} AS in_block_list, {listed('domain', L.ALLOW_LIST)} AS in_allow_list FROM domains""")
@@ -658,7 +658,7 @@ add("latest_feeds", "detections", CLASSIFIED + """
 , f AS (SELECT 'detections' AS feed, * FROM ev WHERE prediction = 'phishing' UNION ALL SELECT 'blocks', * FROM ev WHERE prediction = 'phishing' AND blocked
  UNION ALL SELECT 'safe', * FROM ev WHERE prediction = 'legitimate')
 , n AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY ts DESC, event_id DESC) AS position FROM f)
-SELECT feed, position, event_id, domain, confidence, source FROM n WHERE position <= 20""")
+SELECT feed, position::INT AS position, event_id, domain, confidence, source FROM n WHERE position <= 20""")
 add("recent_events", "detections", f"SELECT event_id, domain, action_taken FROM ({decided('detections')}) ORDER BY ts DESC, event_id DESC LIMIT 10")
 add("recent_blocks", "block_events", BLOCKS + " SELECT event_id, domain, block_type FROM b ORDER BY ts DESC, event_id DESC LIMIT 20")
 add("recent_unique_block_domains", "block_events", BLOCKS + """
@@ -679,17 +679,17 @@ QUALIFY row_number() OVER (PARTITION BY domain, date_trunc('hour', ts) ORDER BY
 
 # --- models -------------------------------------------------------------------------------------
 add("training_matrix", "domains", f"""
-SELECT domain, CASE WHEN {keyword_label()} = 'legitimate' THEN 0 ELSE 1 END AS label, length(domain) AS domain_length,
- greatest(length(domain) - length(replace(domain, '.', '')) - 1, 0) AS subdomain_count, round({entropy(stripped('domain'))}, 6) AS domain_entropy,
- regexp_matches(domain, '[0-9]')::INT AS has_numbers_in_domain, contains(domain, '-')::INT AS has_hyphens_in_domain,
- regexp_matches(domain, '[@#$%&*!~]')::INT AS has_suspicious_chars, length(domain) - length(replace(domain, '-', '')) AS hyphen_count,
- length(domain) - length(regexp_replace(domain, '[0-9]', '', 'g')) AS digit_count, length(split_part(domain, '.', 1)) AS label_length,
+SELECT domain, CASE WHEN {keyword_label()} = 'legitimate' THEN 0 ELSE 1 END AS label, length(domain)::DOUBLE AS domain_length,
+ greatest(length(domain) - length(replace(domain, '.', '')) - 1, 0)::DOUBLE AS subdomain_count, round({entropy(stripped('domain'))}, 6) AS domain_entropy,
+ regexp_matches(domain, '[0-9]')::INT::DOUBLE AS has_numbers_in_domain, contains(domain, '-')::INT::DOUBLE AS has_hyphens_in_domain,
+ regexp_matches(domain, '[@#$%&*!~]')::INT::DOUBLE AS has_suspicious_chars, (length(domain) - length(replace(domain, '-', '')))::DOUBLE AS hyphen_count,
+ (length(domain) - length(regexp_replace(domain, '[0-9]', '', 'g')))::DOUBLE AS digit_count, length(split_part(domain, '.', 1))::DOUBLE AS label_length,
  round({entropy("split_part(domain, '.', 1)")}, 6) AS label_entropy FROM domains""")
 add("label_index", "domains", f"""
 SELECT domain, CASE WHEN length(domain) % 4 = 0 THEN 0 WHEN length(domain) % 4 = 1 THEN 1 WHEN {keyword_label()} = 'legitimate' THEN 0 ELSE 1 END AS label FROM domains""")
 RANKED = """, k AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM scored)"""
 add("stratified_split", "scored", RANKED + " SELECT doc_id, label, CASE WHEN rn <= floor(n * 0.8 + 0.5) THEN 'train' ELSE 'test' END AS split FROM k")
-add("kfold_assign", "scored", RANKED + " SELECT doc_id, label, (rn - 1) % 5 AS fold FROM k")
+add("kfold_assign", "scored", RANKED + " SELECT doc_id, label, ((rn - 1) % 5)::INT AS fold FROM k")
 MATRIX = """SELECT count(*) FILTER (label = 0 AND score < {t}) AS tn, count(*) FILTER (label = 0 AND score >= {t}) AS fp,
  count(*) FILTER (label = 1 AND score < {t}) AS fn, count(*) FILTER (label = 1 AND score >= {t}) AS tp FROM scored"""
 add("confusion_matrix", "scored", MATRIX.format(t="0.5"))

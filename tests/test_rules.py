@@ -41,6 +41,9 @@ def test_block_types(spark):
         (None, ""),
         ("a..b.com", ""),
         ("evil_host.com", "evilhost.com"),
+        ("h2o.com", "o.com"),
+        ("-a-.com-", "a-.com"),
+        ("xy.ch2.org tail", "xy.c"),
     ],
 )
 def test_clean_sni(spark, raw, clean):

@@ -53,6 +53,8 @@ PUBLIC_HOST = (
     r"([a-z0-9.-]+)\z"
 )
 LABEL = "[0-9-]*[A-Za-z][A-Za-z0-9-]*"
+# a name the cleaning rules would leave as it is ("h2" is the only junk token that fits into a name)
+CLEAN_NAME = rf"^(?=.{{4,253}}\z)(?!-)(?!.*h2)(?!.*[^.]{{64}}){LABEL}(?:\.{LABEL})+(?<!-)\z"
 DOMAIN_NAME = rf"^(?=.{{4,253}}\z)(?!.*[^.]{{64}}){LABEL}(?:\.{LABEL})+\z"
 
 
@@ -71,15 +73,17 @@ def clean_sni(value: Column) -> Column:
     """Domain inside a noisy server name, '' when none is left.
 
     Junk tokens become blanks in list order; text ends at the first non-ASCII character and, once a name has begun,
-    at white space. What is left must have at least two labels, each with a letter.
+    at white space. What is left must have at least two labels, each with a letter. Names that are clean already, as
+    nearly all are, take one test.
     """
-    s = strip(F.coalesce(value, F.lit("")))
+    stripped = strip(F.coalesce(value, F.lit("")))
+    s = stripped
     for junk in L.SNI_GARBAGE:
         s = F.replace(s, F.lit(junk), F.lit(" "))
     ascii_part = F.regexp_extract(s, r"^[\x00-\x7F]*", 0)
     kept = F.regexp_replace(ascii_part, r"[^A-Za-z0-9.\- \n\r\t]", "")
     name = F.btrim(F.regexp_extract(kept, r"^[ \n\r\t]*([A-Za-z0-9.\-]*)", 1), F.lit(".-"))
-    return F.regexp_extract(name, DOMAIN_NAME, 0)
+    return F.when(stripped.rlike(CLEAN_NAME), stripped).otherwise(F.regexp_extract(name, DOMAIN_NAME, 0))
 
 
 def suffixes(host: Column, min_labels: int = 1) -> Column:

@@ -117,9 +117,8 @@ VERDICTS = (
 )
 
 
-def dns_rule(name: Column) -> Column:
-    """Number of the keyword rule a queried name falls under."""
-    count = count_hits(name, L.DNS_INDICATORS)
+def dns_rule(name: Column, count: Column) -> Column:
+    """Number of the keyword rule a queried name with so many indicator words falls under."""
     return (
         F.when(has_any(name, L.DNS_STRONG_PATTERNS), 0)
         .when(count >= 2, 1)

@@ -116,8 +116,10 @@ def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRul
 
 def keyword_verdict(df: DataFrame, host: str, is_dns: Column) -> DataFrame:
     """Add prediction, confidence and risk_level by the keyword rules for queried names or for server names."""
-    rule = F.when(is_dns, X.dns_rule(F.col("_s_d"))).otherwise(X.tls_rule(F.col("_s_d")))
-    ruled = computed(normalised(df, host), "_s_rule", rule)
+    name = F.col("_s_d")
+    counted = normalised(df, host).withColumn("_s_count", F.when(is_dns, X.count_hits(name, L.DNS_INDICATORS)))
+    rule = F.when(is_dns, X.dns_rule(name, F.col("_s_count"))).otherwise(X.tls_rule(name))
+    ruled = computed(counted, "_s_rule", rule)
     return ruled.select(*df.columns, *[value.alias(n) for n, value in X.verdict_of(F.col("_s_rule")).items()])
 
 
