@@ -159,10 +159,13 @@ def feed_domains_netloc(v):
 
 @query
 def feed_snapshot_scan(v):
+    """Snapshots of about a thousand hosts each, written as one JSON array per file and read back."""
     folder = work_folder(v.spark, "snapshot")
-    groups = logs.feed_hosts(v.feed_urls).withColumn("file", F.pmod(F.xxhash64("host"), F.lit(8)))
-    arrays = groups.groupBy("file").agg(F.to_json(F.collect_list("host")).alias("value"))
-    arrays.repartition(8, "file").select("value").write.text(folder)
+    found = logs.feed_hosts(v.feed_urls)
+    files = found.agg(F.ceil(F.count(F.lit(1)) / 1000)).scalar()
+    numbered = found.withColumn("file", F.pmod(F.xxhash64("host"), F.greatest(files, F.lit(1))))
+    arrays = numbered.groupBy("file").agg(F.to_json(F.collect_list("host")).alias("value"))
+    arrays.write.partitionBy("file").text(folder)
     return logs.feed_snapshot_scan(v.spark, folder)
 
 
@@ -772,8 +775,13 @@ def event_dedup(v):
 
 # --- streams: the given events as a stream, run to the end ----------------------------------------
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a file stream, whether it is one file or a folder of files."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(table.schema)
+    if "/events.parquet/" in table.inputFiles()[0]:
+        stream = reader.parquet(f"{sf_dir}/events.parquet")
+    else:
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
 
 

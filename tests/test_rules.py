@@ -235,3 +235,10 @@ def test_detect_is_independent_of_row_order(spark, sf_dir):
 def test_verifier_replies(spark, reply, want):
     got = values(spark, [("paypal-verify1.com", reply)], "domain string, reply string", lexical.verify_reply(F.col("domain"), F.col("reply")))
     assert tuple(got[0]) == want
+
+
+def test_settled_verdicts_become_log_events(spark):
+    rows = [("a.com", "phishing", True, 0.9, "r", "heuristic"), ("b.com", "legitimate", False, 1.0, "r", "trusted_anchor"), ("c.com", "unknown", False, 0.1, "r", "none")]
+    frame = spark.createDataFrame(rows, "domain string, verdict string, blocked boolean, confidence double, reason string, source string")
+    got = {r.domain: (r.prediction, r.risk_level, r.alert_severity, r.action_taken) for r in verdicts.loggable(frame, F.current_timestamp()).collect()}
+    assert got == {"a.com": ("phishing", "high", "critical", "block_dns"), "b.com": ("legitimate", "low", "low", "log_only")}

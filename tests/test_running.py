@@ -5,7 +5,6 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from threatspark.operators import features, running
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatspark import lexicon as L
-from threatspark.functions.lexical import dns_anomalies, entropy_stripped, has_any
+from threatspark.functions.lexical import entropy_stripped, has_any
 from threatspark.operators import running
 
 # fixed values: what a missing feature group is filled with
@@ -335,10 +335,6 @@ def connection_indicators(connections: DataFrame) -> DataFrame:
     return connections.withColumn("indicators", flags)
 
 
-def anomalous_queries(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("anomalies", dns_anomalies(F.col("query_domain"), F.col("ttl")))
-
-
 # --- vectors and normalisation ------------------------------------------------------------------
 def feature_vector(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
     """Ordered array of doubles: booleans become 0/1, numeric text is read, everything else and NULL is 0."""
