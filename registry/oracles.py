@@ -558,19 +558,24 @@ def reputation(source: str) -> str:
 add("reputation_check", "domains feed_one feed_two", """
 , ext AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages WHERE page_id % 10 = 0)"""
     + reputation("domains") + " SELECT * FROM repu")
-add("verdict_cascade", "lookalikes dns_queries feed_one feed_two", f"""
-, ext AS (SELECT NULL::VARCHAR AS host WHERE false)
-, asked AS (SELECT domain FROM lookalikes UNION SELECT {host_of('url')} FROM pages UNION SELECT query_domain FROM dns_queries)"""
-    + reputation("asked") + lexical("asked") + f"""
+CASCADE = reputation("asked") + lexical("asked") + f"""
 , c AS (SELECT r.*, l.score, l.reasons, {listed('r.domain', L.BLOCK_LIST)} AS b, {listed('r.domain', L.ALLOW_LIST)} AS a FROM repu r JOIN lr l ON l.domain = r.domain)
-SELECT domain, CASE WHEN b THEN 'phishing' WHEN a THEN 'legitimate' WHEN verdict <> 'unknown' THEN verdict WHEN score >= 0.55 THEN 'phishing' ELSE 'unknown' END AS verdict,
+, vc AS (SELECT domain, CASE WHEN b THEN 'phishing' WHEN a THEN 'legitimate' WHEN verdict <> 'unknown' THEN verdict WHEN score >= 0.55 THEN 'phishing' ELSE 'unknown' END AS verdict,
  CASE WHEN b THEN true WHEN a THEN false WHEN verdict <> 'unknown' THEN verdict = 'phishing' ELSE score >= 0.55 END AS blocked,
  CASE WHEN a OR b THEN 1.0::DOUBLE WHEN verdict <> 'unknown' THEN confidence ELSE score END AS confidence,
  CASE WHEN b THEN 'Domain matches a known phishing pattern — REJECT.' WHEN a THEN 'Domain is recognised as trusted — APPROVE.'
   WHEN verdict <> 'unknown' THEN reason WHEN score >= 0.55 THEN 'Signals: ' || array_to_string(reasons[1:4], '; ')
   WHEN len(reasons) > 0 THEN 'Signals: ' || array_to_string(reasons[1:3], '; ') ELSE 'Domain not recognised — needs review.' END AS reason,
  CASE WHEN b THEN 'hardcoded_blocklist' WHEN a THEN 'hardcoded_allowlist' WHEN verdict <> 'unknown' THEN source WHEN score >= 0.55 THEN 'heuristic' ELSE 'none' END AS source,
- false AS ml_ran FROM c""")
+ false AS ml_ran FROM c)"""
+NO_EXTERNAL = ", ext AS (SELECT NULL::VARCHAR AS host WHERE false)"
+add("verdict_cascade", "lookalikes dns_queries feed_one feed_two", NO_EXTERNAL + f"""
+, asked AS (SELECT domain FROM lookalikes UNION SELECT {host_of('url')} FROM pages UNION SELECT query_domain FROM dns_queries)"""
+    + CASCADE + " SELECT * FROM vc")
+add("stream_verdicts", "dns_queries tls_handshakes feed_one feed_two", NO_EXTERNAL + """
+, asked AS (SELECT query_domain AS domain FROM dns_queries UNION SELECT sni FROM tls_handshakes WHERE sni IS NOT NULL)""" + CASCADE + """
+SELECT domain, verdict AS prediction, round(confidence, 6) AS confidence, CASE WHEN blocked THEN 'critical' ELSE 'low' END AS alert_severity,
+ CASE WHEN blocked THEN 'block_dns' ELSE 'log_only' END AS action_taken, reason, blocked, source FROM vc WHERE verdict <> 'unknown'""")
 add("domain_decisions", "domains", f"""
 , ls AS (SELECT domain, {listed('domain', L.BLOCK_LIST)} AS b, {listed('domain', L.ALLOW_LIST)} AS a FROM domains)
 , pr AS (SELECT domain, CASE WHEN b THEN 'phishing' ELSE 'legitimate' END AS prediction, CASE WHEN a OR b THEN 1.0::DOUBLE ELSE 0.5e0 END AS confidence FROM ls)
@@ -594,7 +599,7 @@ TOTALS = """SELECT count(*) AS total_events, count(*) FILTER (prediction = 'phis
  count(*) FILTER (prediction = 'legitimate') AS total_safe"""
 add("detection_totals", "detections", CLASSIFIED + TOTALS.replace("SELECT", " SELECT", 1) + """, count(*) FILTER (prediction = 'unknown') AS total_unknown,
  round(100.0 * count(*) FILTER (prediction = 'phishing') / count(*) FILTER (prediction <> 'unknown'), 6) AS detection_rate FROM ev""")
-add("stream_detection_totals", "detections", LOGGED + f" {TOTALS} FROM (SELECT DISTINCT * FROM logged)")
+add("stream_detection_totals", "detections", LOGGED + f" {TOTALS} FROM ({overridden('(SELECT DISTINCT * FROM logged)')})")
 add("combined_block_totals", "detections block_events", CLASSIFIED + """
 , n AS (SELECT (SELECT count(*) FROM ev WHERE prediction = 'phishing' AND blocked) AS e, (SELECT count(*) FROM block_events) AS s)
 SELECT e AS engine_blocked, s AS system_blocked, e + s AS total_blocked FROM n""")

@@ -806,6 +806,17 @@ def stream_detect(v):
     return logs.read_json_lines(v.spark, out, "event_id bigint, origin string, domain string, action_taken string, reason string").drop("batch", "dt")
 
 
+@query
+def stream_verdicts(v):
+    """The whole cascade on every name of the stream, with both feeds."""
+    s = stream_views(v)
+    names = detection.domain_events(s.dns_queries, s.tls_handshakes)
+    feeds = [jobs.RefreshingFeed(lambda feed=feed: feed) for feed in v.feeds]
+    out = run(v, names, "verdicts", lambda path: jobs.verdict_writer(feeds, path))
+    events = logs.read_json_lines(v.spark, out, logs.DETECTION_SCHEMA)
+    return rounded(events.select("domain", "prediction", "confidence", "alert_severity", "action_taken", "reason", "blocked", "source"))
+
+
 @query
 def stream_new_domains(v):
     out = run(v, jobs.stream_new_domains(decisions_of(v)), "new-domains")
@@ -968,5 +979,17 @@ def model_metadata_sink(v):
     model = training.train(fit, training.random_forest(training.DOMAIN_FEATURES))
     evaluation = metrics.binary_metrics(training.phishing_score(model.transform(test), "label"))
     folder = work_folder(v.spark, "model")
-    training.model_metadata_sink(model, evaluation, training.DOMAIN_FEATURES, "RandomForest", folder)
-    return v.spark.read.json(f"{folder}/metadata").select("model_type", "num_features", r("evaluation.accuracy").alias("accuracy"))
+    training.model_metadata_sink(model, evaluation, training.DOMAIN_FEATURES, "RandomForest", folder, fit, test)
+    return v.spark.read.json(f"{folder}/metadata").select(
+        "model_type", "num_features", "num_samples", "num_train", "num_test", r("evaluation.accuracy").alias("accuracy")
+    )
+
+
+@query
+def select_model(v):
+    pipelines = {
+        "RandomForest": training.random_forest(training.DOMAIN_FEATURES),
+        "NeuralNetwork": training.neural_network(training.DOMAIN_FEATURES),
+    }
+    results = training.select_model(labelled(v), training.DOMAIN_FEATURES, pipelines, work_folder(v.spark, "best"))
+    return rounded(results)

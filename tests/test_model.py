@@ -68,12 +68,13 @@ def test_saved_model_scores_the_same(spark, rows, model, tmp_path):
     from pyspark.ml import PipelineModel
 
     evaluation = metrics.binary_metrics(training.phishing_score(model.transform(rows), "label"))
-    training.model_metadata_sink(model, evaluation, training.DOMAIN_FEATURES, "RandomForest", str(tmp_path))
+    training.model_metadata_sink(model, evaluation, training.DOMAIN_FEATURES, "RandomForest", str(tmp_path), rows, rows.limit(5))
     back = PipelineModel.load(f"{tmp_path}/model")
     a = training.phishing_score(model.transform(rows), "domain")
     b = training.phishing_score(back.transform(rows), "domain")
     assert a.exceptAll(b).count() == 0
     meta = spark.read.json(f"{tmp_path}/metadata").first()
+    assert (meta.num_train, meta.num_test) == (rows.count(), 5)
     assert meta.num_features == len(training.DOMAIN_FEATURES) and list(meta.features) == list(training.DOMAIN_FEATURES)
 
 
@@ -86,3 +87,15 @@ def test_matrix_drops_leaks(spark):
     frame = spark.createDataFrame([("a.com", 1, 0.9, None, True, "t")], "domain string, label int, verifier_confidence double, x double, flag boolean, note string")
     got = training.training_matrix(frame)
     assert got.columns == ["domain", "label", "x", "flag"] and tuple(got.first())[2:] == (0.0, 1.0)
+
+
+def test_the_best_model_is_kept(spark, rows, tmp_path):
+    pipelines = {
+        "Stump": training.random_forest(training.DOMAIN_FEATURES, trees=1, depth=1),
+        "RandomForest": training.random_forest(training.DOMAIN_FEATURES, trees=10, depth=8),
+    }
+    results = training.select_model(rows, training.DOMAIN_FEATURES, pipelines, str(tmp_path)).collect()
+    assert [r.model for r in sorted(results, key=lambda r: r.ordinal)] == ["Stump", "RandomForest"]
+    meta = spark.read.json(f"{tmp_path}/metadata").first()
+    assert meta.model_type == max(results, key=lambda r: r.f1).model
+    assert meta.num_samples == rows.count()

@@ -7,7 +7,7 @@ from registry.queries import QUERIES
 # writing, streaming and training queries run jobs while they are built; their plans are plain file scans
 EAGER = {n for n in QUERIES if n.startswith(("stream_", "train_"))} | {
     "detection_log_scan", "detection_log_sink", "system_block_log_sink", "system_block_log_scan", "feed_snapshot_scan",
-    "labelled_dataset_sink", "cross_validate", "score_batch", "feature_importance", "model_metadata_sink",
+    "labelled_dataset_sink", "cross_validate", "score_batch", "feature_importance", "model_metadata_sink", "select_model",
 }
 
 

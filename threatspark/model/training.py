@@ -157,6 +157,33 @@ def cross_validate(df: DataFrame, pipeline: Callable[[], Pipeline], label: str =
     )
 
 
+def evaluate_models(test: DataFrame, models: dict[str, PipelineModel], label: str = "label") -> DataFrame:
+    """Held-out metrics of fitted models, one row per model; ``ordinal`` is the given order.
+
+    The scores of all models are stacked, so one aggregation measures them all.
+    """
+    stacked = None
+    for ordinal, (name, model) in enumerate(models.items()):
+        part = phishing_score(model.transform(test), label).withColumns({"ordinal": F.lit(ordinal), "model": F.lit(name)})
+        stacked = part if stacked is None else stacked.unionByName(part)
+    by = ["ordinal", "model"]
+    return metrics.binary_metrics(stacked, by=by).join(metrics.roc_auc(stacked, by=by), by)
+
+
+def select_model(rows: DataFrame, features: Sequence[str], pipelines: dict[str, Pipeline], path: str, row_id: str = "domain") -> DataFrame:
+    """Whole training run: split, fit every pipeline, measure, keep the best by F1 with its metadata.
+
+    Returns the metrics of all models. Only the name of the winner comes to the driver.
+    """
+    split = stratified_split(rows, "label", row_id)
+    fit, test = split.filter("split = 'train'"), split.filter("split = 'test'")
+    models = {name: train(fit, pipeline) for name, pipeline in pipelines.items()}
+    results = evaluate_models(test, models)
+    best = metrics.model_ranking(results).first()["model"]
+    model_metadata_sink(models[best], results.filter(F.col("model") == best), features, best, path, fit, test)
+    return results
+
+
 # --- use of a model -----------------------------------------------------------------------------
 def score_batch(rows: DataFrame, model: PipelineModel, features: Sequence[str], lists: L.HostLists = L.HostLists()) -> DataFrame:
     """Prediction and confidence per domain, with the host lists on top."""
@@ -177,13 +204,21 @@ def feature_importance(spark: SparkSession, model: PipelineModel, features: Sequ
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
-def model_metadata_sink(model: PipelineModel, evaluation: DataFrame, features: Sequence[str], model_type: str, path: str) -> None:
-    """Save the fitted pipeline and, as one JSON row, its type, features and evaluation."""
+def model_metadata_sink(
+    model: PipelineModel, evaluation: DataFrame, features: Sequence[str], model_type: str, path: str,
+    fit: DataFrame, test: DataFrame,
+) -> None:
+    """Save the fitted pipeline and, as one JSON row, its type, features, split sizes, time and evaluation."""
     model.write().overwrite().save(f"{path}/model")
+    trained, tested = (df.agg(F.count(F.lit(1))).scalar() for df in (fit, test))
     described = evaluation.select(
         F.lit(model_type).alias("model_type"),
         F.array(*[F.lit(f) for f in features]).alias("features"),
         F.lit(len(features)).alias("num_features"),
+        (trained + tested).alias("num_samples"),
+        trained.alias("num_train"),
+        tested.alias("num_test"),
+        F.current_timestamp().alias("timestamp"),
         F.struct(*evaluation.columns).alias("evaluation"),
     )
     described.write.mode("overwrite").json(f"{path}/metadata")

@@ -73,7 +73,9 @@ def blocklist_history(actions: DataFrame) -> DataFrame:
 
 
 def labelled_dataset_sink(rows: DataFrame, path: str, label: str = "label") -> DataFrame:
-    """Write the rows as CSV with header and as JSON; return their counts per label."""
+    """Write the rows as CSV with header, as JSON, and their counts per label; return the counts."""
     rows.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
     rows.write.mode("overwrite").json(f"{path}/json")
-    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("records"))
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("records"))
+    counts.write.mode("overwrite").json(f"{path}/summary")
+    return counts

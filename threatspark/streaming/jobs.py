@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from threatspark import lexicon as L
 from threatspark.functions.policy import LIVE_POLICY, DecisionPolicy
 from threatspark.operators.matching import feed_parent_match
+from threatspark.operators.verdicts import loggable, logged_event_override, verdict_cascade
 from threatspark.plans.detection import detect, domain_events
 from threatspark.sources.browser import chrome_time, download_block_rows
 from threatspark.sources.sinks import log_row
@@ -106,9 +107,12 @@ def stream_traffic_windows(
     )
 
 
-def stream_detection_totals(log_events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Log events with repeats dropped, ready to be counted by :func:`totals_writer`."""
-    timed = log_events.withColumn("ts", F.timestamp_micros(F.round(F.col("timestamp") * 1e6).cast("bigint")))
+def stream_detection_totals(
+    log_events: DataFrame, delay: str = "1 day", lists: L.HostLists = L.HostLists()
+) -> DataFrame:
+    """Log events after the list override, repeats dropped, ready to be counted by :func:`totals_writer`."""
+    judged = logged_event_override(log_events, lists)
+    timed = judged.withColumn("ts", F.timestamp_micros(F.round(F.col("timestamp") * 1e6).cast("bigint")))
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["domain", "timestamp"])
 
 
@@ -179,6 +183,20 @@ class RefreshingFeed:
         return self._frame
 
 
+def verdict_writer(
+    feeds: list[RefreshingFeed], path: str, lists: L.HostLists = L.HostLists()
+) -> Callable[[DataFrame, int], None]:
+    """Judge the domains of each micro-batch by the whole cascade, with the feeds as they are at that moment, and log
+    the settled verdicts. A domain is judged once per batch however often it occurs."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.groupBy("domain").agg(F.max("ts").alias("ts"))
+        judged = verdict_cascade(seen, "domain", [feed.current() for feed in feeds], lists=lists)
+        log_row(loggable(judged, F.col("ts"))).write.mode("overwrite").partitionBy("dt").json(batch_folder(path, batch_id))
+
+    return write
+
+
 def feed_match_writer(feed: RefreshingFeed, path: str, host: str = "domain") -> Callable[[DataFrame, int], None]:
     """Flag each micro-batch against the feed as it is at that moment."""
 
