@@ -1,5 +1,6 @@
 """Literal rows with the result each rule must give."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,24 +139,18 @@ def test_typosquats(spark):
     assert got == {"facbok.com": ("facebook", 2), "gogle.com": ("google", 1), "amazonn.com": ("amazon", 1), "paypa1.com": ("paypal", 1)}
 
 
-def levenshtein(a, b):
-    row = list(range(len(a) + 1))
-    for j, y in enumerate(b, 1):
-        row, last = [j] + [0] * len(a), row
-        for i, x in enumerate(a, 1):
-            row[i] = min(row[i - 1] + 1, last[i] + 1, last[i - 1] + (x != y))
-    return row[-1]
-
-
 def test_typosquats_against_brute_force(spark):
     from threatspark.lexicon import BRANDS
 
     labels = [b[:i] + c + b[i + d:] for b in BRANDS for i in range(0, len(b), 2) for c in ("", "x", "zz") for d in (0, 1, 2)]
     rows = [(x,) for x in sorted(set(labels))]
+    con = duckdb.connect()
+    pairs = con.execute("SELECT a, b, levenshtein(a, b) FROM (SELECT unnest(?) AS a), (SELECT unnest(?) AS b)", [sorted(set(labels)), list(BRANDS)])
+    distance = {(a, b): d for a, b, d in pairs.fetchall()}
     got = {r.domain: (r.distance, r.brand) for r in scoring.typosquat_match(spark.createDataFrame(rows, "domain string"), "domain").collect()}
     for (label,) in rows:
         near = [
-            (levenshtein(label, b), b) for b in BRANDS
+            (distance[label, b], b) for b in BRANDS
             if len(label) >= 4 and len(b) >= 6 and label != b and abs(len(label) - len(b)) <= 2
         ]
         near = [(d, b) for d, b in near if 1 <= d <= (1 if len(b) <= 6 else 2)]

@@ -152,9 +152,13 @@ def cross_validate(df: DataFrame, pipeline: Callable[[], Pipeline], label: str =
         held_out = part if held_out is None else held_out.unionByName(part)
     per_fold = metrics.binary_metrics(held_out, by=["fold"]).join(metrics.roc_auc(held_out, by=["fold"]), "fold")
     names = ("accuracy", "f1", "roc_auc")
-    return per_fold.agg(
+    summary = per_fold.agg(
         *[x for n in names for x in (F.avg(n).alias(f"{n}_mean"), F.stddev_pop(n).alias(f"{n}_std"))]
     )
+    try:
+        return df.sparkSession.createDataFrame([summary.first()], summary.schema)  # one row, while the folds are kept
+    finally:
+        split.unpersist()
 
 
 def evaluate_models(test: DataFrame, models: dict[str, PipelineModel], label: str = "label") -> DataFrame:
