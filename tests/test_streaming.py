@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from registry.views import Views
 from threatspark.plans import detection
-from threatspark.sources import browser
+from threatspark.sources import browser, logs
 from threatspark.streaming import jobs
 
 
@@ -105,3 +105,11 @@ def test_feed_is_read_again_after_its_time_to_live(spark):
         now[0] = float(t)
         feed.current()
     assert reads == [0.0, 60.0, 121.0]
+
+
+def test_streamed_log_is_read_by_day(spark, stream, batch, tmp_path):
+    out = run(spark, jobs.stream_detect(stream.dns_queries, stream.tls_handshakes), tmp_path, jobs.log_writer)
+    every = detection.detect(detection.domain_events(batch.dns_queries, batch.tls_handshakes))
+    last = [r[0] for r in every.select(F.to_date("ts").alias("d")).distinct().orderBy(F.col("d").desc()).limit(2).collect()]
+    want = every.filter(F.to_date("ts").isin(last)).select("domain", "ts").distinct().count()
+    assert logs.detection_log_scan(spark, out, days=2).count() == want

@@ -30,17 +30,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
 
 
-def newest_days(spark: SparkSession, folder: str, day_in_path: str, days: int) -> list[str]:
-    """The newest ``days`` day names found in the file paths. Only names are listed; no file is opened."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    found = (
-        listing.select(F.regexp_extract("path", day_in_path, 1).alias("day"))
-        .filter(F.col("day") != "")
-        .distinct()
-        .orderBy(F.col("day").desc())
-        .limit(days)
-    )
-    return [row.day for row in found.collect()]
+def newest_names(spark: SparkSession, pattern: str, count: int) -> list[str]:
+    """The last ``count`` names, in name order, among the paths that match a glob. No file is opened."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted((status.getPath().getName() for status in found), reverse=True)[:count]
 
 
 def detection_log_scan(spark: SparkSession, folder: str, days: int = 5) -> DataFrame:
@@ -49,14 +43,14 @@ def detection_log_scan(spark: SparkSession, folder: str, days: int = 5) -> DataF
     Reads both layouts: one ``detections_YYYYMMDD.jsonl`` per day, or ``dt=YYYY-MM-DD`` folders, where only the
     folders of the newest days are opened.
     """
-    flat = newest_days(spark, folder, r"detections_(\d{8})\.jsonl$", days)
+    flat = newest_names(spark, f"{folder}/detections_*.jsonl", days)
     if flat:
-        events = read_json_lines(spark, f"{folder}/detections_{{{','.join(flat)}}}.jsonl", DETECTION_SCHEMA)
+        events = read_json_lines(spark, f"{folder}/{{{','.join(flat)}}}", DETECTION_SCHEMA)
     else:
-        parts = newest_days(spark, folder, r"/dt=(\d{4}-\d{2}-\d{2})/", days)
-        events = read_json_lines(spark, folder, f"{DETECTION_SCHEMA}, dt string").filter(F.col("dt").isin(parts)).drop("dt")
+        newest = [name.removeprefix("dt=") for name in newest_names(spark, f"{folder}/dt=*", days)]
+        events = read_json_lines(spark, folder, f"{DETECTION_SCHEMA}, dt string").filter(F.col("dt").isin(newest))
     required = F.col("domain").isNotNull() & F.col("timestamp").isNotNull() & F.col("prediction").isNotNull()
-    return events.filter(required).dropDuplicates(["domain", "timestamp"])
+    return events.filter(required).drop("dt", "batch").dropDuplicates(["domain", "timestamp"])
 
 
 def system_block_log_scan(spark: SparkSession, folder: str) -> DataFrame:

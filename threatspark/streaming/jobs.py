@@ -50,10 +50,12 @@ def parquet_writer(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def log_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """Detection log of each micro-batch, by day."""
+    """Detection log by day and micro-batch; a repeated batch replaces its own folders."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log_row(batch).write.mode("overwrite").partitionBy("dt").json(batch_folder(path, batch_id))
+        rows = log_row(batch).withColumn("batch", F.lit(batch_id))
+        days = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch")
+        days.json(path)
 
     return write
 
@@ -190,11 +192,12 @@ def verdict_writer(
 ) -> Callable[[DataFrame, int], None]:
     """Judge the domains of each micro-batch by the whole cascade, with the feeds as they are at that moment, and log
     the settled verdicts. A domain is judged once per batch however often it occurs."""
+    append = log_writer(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         seen = batch.groupBy("domain").agg(F.max("ts").alias("ts"))
         judged = verdict_cascade(seen, "domain", [feed.current() for feed in feeds], lists=lists)
-        log_row(loggable(judged, F.col("ts"))).write.mode("overwrite").partitionBy("dt").json(batch_folder(path, batch_id))
+        append(loggable(judged, F.col("ts")), batch_id)
 
     return write
 
