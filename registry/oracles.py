@@ -423,15 +423,15 @@ def lexical(source: str) -> str:
  list_filter({array(L.SCORE_LOOKALIKES)}, lambda w: contains(domain, w))[1] AS pair,
  list_filter({array(sorted(L.SCORE_BRANDS))}, lambda w: contains(translate(tok, '{L.DEOBFUSCATE_FROM}', '{L.DEOBFUSCATE_TO}'), w) AND NOT contains(tok, w))[1] AS swapped,
  list_filter({array(L.SCORE_TLDS)}, lambda w: ends_with(domain, w))[1] AS tld, len(string_split(domain, '-')) - 1 AS hy, length(label) AS ll,
- length(label) >= 8 AND round({entropy('label')}, 9) >= 3.5 AS rnd FROM lm)
+ length(label) >= 8 AND round({entropy('label')}, 9) >= 3.5 AS rnd, printf('%.1f', round({entropy('label')}, 9)) AS bits FROM lm)
 , lr AS (SELECT domain, least(100, CASE WHEN bh IS NOT NULL THEN 45 ELSE 0 END + CASE WHEN len(th) > 0 THEN 15 + 5 * least(len(th), 3) ELSE 0 END
  + CASE WHEN pair IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN tok IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN swapped IS NOT NULL THEN 35 ELSE 0 END
  + CASE WHEN tld IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN hy >= 3 THEN 15 ELSE 0 END + CASE WHEN ll >= 25 THEN 10 ELSE 0 END
  + CASE WHEN rnd THEN 15 ELSE 0 END) / 100.0::DOUBLE AS score,
  list_filter(['contains brand name ''' || bh || '''', CASE WHEN len(th) > 0 THEN 'suspicious token(s): ' || array_to_string(th[1:3], ', ') END,
  'lookalike character pattern ''' || pair || '''', 'digit/letter mixing in token ''' || tok || '''',
- 'brand impersonation via digit swap: ''' || swapped || '''', 'cheap/abused TLD ''' || tld || '''', CASE WHEN hy >= 3 THEN hy || ' hyphens' END,
- CASE WHEN ll >= 25 THEN 'unusually long label (' || ll || ' chars)' END, CASE WHEN rnd THEN 'high-entropy label' END], lambda x: x IS NOT NULL) AS reasons FROM lx)"""
+ 'brand impersonation via digit swap → ''' || swapped || '''', 'cheap/abused TLD ''' || tld || '''', CASE WHEN hy >= 3 THEN hy || ' hyphens (typical of phishing)' END,
+ CASE WHEN ll >= 25 THEN 'unusually long label (' || ll || ' chars)' END, CASE WHEN rnd THEN 'high-entropy label (entropy=' || bits || ')' END], lambda x: x IS NOT NULL) AS reasons FROM lx)"""
 
 
 add("lexical_risk_score", "domains", lexical("domains") + " SELECT domain, score, array_to_string(reasons, '|') AS reasons FROM lr")
@@ -445,7 +445,7 @@ REPLY = """, rb AS (SELECT event_id, domain, reply, regexp_extract(reply, '(?s)\
 , rj AS (SELECT *, body <> '' AND json_valid(body) AS ok FROM rb)
 , js AS (SELECT event_id, CASE WHEN ok THEN coalesce(json_extract_string(body, '$.is_phishing')::BOOLEAN, false) END AS is_phishing,
  CASE WHEN ok THEN coalesce(json_extract_string(body, '$.confidence')::DOUBLE, 0.5) END AS confidence,
- CASE WHEN ok THEN coalesce(json_extract_string(body, '$.reasoning'), 'Verified by model') END AS reasoning FROM rj)"""
+ CASE WHEN ok THEN coalesce(json_extract_string(body, '$.reasoning'), 'Verified by Gemini') END AS reasoning FROM rj)"""
 REPLY_TEXT = f""", tx AS (SELECT event_id, {any_of('lower(reply)', L.REPLY_PHISHING_WORDS)} AS is_phishing,
  CASE WHEN {any_of('lower(reply)', L.REPLY_PHISHING_WORDS + L.REPLY_LEGITIMATE_WORDS)} THEN 0.7e0 ELSE 0.5e0 END AS confidence, reply[1:100] AS reasoning FROM verifier_replies)"""
 add("verifier_json_parse", "verifier_replies", REPLY.replace("\\\\", "\\") + " SELECT * FROM js")
@@ -453,7 +453,7 @@ add("verifier_text_parse", "verifier_replies", REPLY_TEXT + " SELECT * FROM tx")
 add("verifier_verdict", "verifier_replies", REPLY.replace("\\\\", "\\") + REPLY_TEXT + VERIFIED.replace("FROM domains", "FROM (SELECT DISTINCT domain FROM rb)") + """
 SELECT rj.event_id, CASE WHEN body = '' THEN ver.is_phishing WHEN ok THEN js.is_phishing ELSE tx.is_phishing END AS is_phishing,
  CASE WHEN body = '' THEN ver.confidence WHEN ok THEN js.confidence ELSE tx.confidence END AS confidence,
- CASE WHEN body = '' THEN 'Fallback heuristic (verifier unavailable)' WHEN ok THEN js.reasoning ELSE tx.reasoning END AS reasoning
+ CASE WHEN body = '' THEN 'Fallback heuristic (Gemini unavailable)' WHEN ok THEN js.reasoning ELSE tx.reasoning END AS reasoning
 FROM rj JOIN js USING (event_id) JOIN tx USING (event_id) JOIN ver ON ver.domain = rj.domain""")
 
 
@@ -538,7 +538,11 @@ SESSION_VIEWS = "dns_queries tls_handshakes"
 add("dns_to_tls_delay", SESSION_VIEWS, QUERIES + HANDSHAKES + SESSION + " SELECT event_id, round(dns_to_tls_delay, 6) AS dns_to_tls_delay FROM delay")
 
 
-def reputation(source: str) -> str:
+NO_HIT = "Not found in PhishTank, OpenPhish, or brand-impersonation heuristic (Safe Browsing key not set)."
+NO_HIT_EXTERNAL = "Not found in Google Safe Browsing, PhishTank, OpenPhish, or brand-impersonation heuristic."
+
+
+def reputation(source: str, not_found: str = NO_HIT) -> str:
     """CTE parts: reputation of the distinct domains of ``source``."""
     return brand(source) + f"""
 , sfx AS (SELECT domain, unnest(list_transform(range(1, len(string_split(domain, '.')) + 1), lambda i: array_to_string(string_split(domain, '.')[i:], '.'))) AS s FROM {source})
@@ -547,17 +551,17 @@ def reputation(source: str) -> str:
 , rep AS (SELECT b.domain, {listed('b.domain', L.TRUSTED_ANCHORS)} AS anchor, fr.rank, b.is_phishing, b.points, b.why, x.host IS NOT NULL AS flagged
  FROM brandy b LEFT JOIN fr ON fr.domain = b.domain LEFT JOIN ext x ON x.host = b.domain)
 , repu AS (SELECT domain, CASE WHEN anchor THEN 'legitimate' WHEN flagged OR rank IS NOT NULL OR is_phishing THEN 'phishing' ELSE 'unknown' END AS verdict,
- CASE WHEN anchor THEN 'trusted_anchor' WHEN flagged THEN 'safe_browsing' WHEN rank = 1 THEN 'phishtank' WHEN rank = 2 THEN 'openphish' WHEN is_phishing THEN 'heuristic' ELSE 'none' END AS source,
+ CASE WHEN anchor THEN 'trusted_anchor' WHEN flagged THEN 'google_safe_browsing' WHEN rank = 1 THEN 'phishtank' WHEN rank = 2 THEN 'openphish' WHEN is_phishing THEN 'heuristic' ELSE 'none' END AS source,
  CASE WHEN anchor OR flagged THEN 1.0::DOUBLE WHEN rank = 1 THEN 0.95 WHEN rank = 2 THEN 0.9 WHEN is_phishing THEN least(points, 95) / 100.0::DOUBLE ELSE 0 END AS confidence,
- CASE WHEN anchor THEN domain || ' is on the trusted-anchor allow-list.' WHEN flagged THEN 'Flagged as MALWARE'
+ CASE WHEN anchor THEN domain || ' is on the trusted-anchor allow-list.' WHEN flagged THEN 'Google Safe Browsing flagged this URL as MALWARE.'
  WHEN rank = 1 THEN domain || ' appears in the PhishTank verified phishing feed.' WHEN rank = 2 THEN domain || ' appears in the OpenPhish community feed.'
- WHEN is_phishing THEN 'Brand-impersonation pattern: ' || why ELSE 'Not found in any feed or by the brand-impersonation heuristic.' END AS reason,
+ WHEN is_phishing THEN 'Brand-impersonation pattern: ' || why ELSE {lit(not_found)} END AS reason,
  CASE WHEN anchor THEN '' WHEN flagged THEN 'MALWARE' WHEN rank IS NOT NULL OR is_phishing THEN 'SOCIAL_ENGINEERING' ELSE '' END AS threat_type FROM rep)"""
 
 
 add("reputation_check", "domains feed_one feed_two", """
 , ext AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages WHERE page_id % 10 = 0)"""
-    + reputation("domains") + " SELECT * FROM repu")
+    + reputation("domains", NO_HIT_EXTERNAL) + " SELECT * FROM repu")
 CASCADE = reputation("asked") + lexical("asked") + f"""
 , c AS (SELECT r.*, l.score, l.reasons, {listed('r.domain', L.BLOCK_LIST)} AS b, {listed('r.domain', L.ALLOW_LIST)} AS a FROM repu r JOIN lr l ON l.domain = r.domain)
 , vc AS (SELECT domain, CASE WHEN b THEN 'phishing' WHEN a THEN 'legitimate' WHEN verdict <> 'unknown' THEN verdict WHEN score >= 0.55 THEN 'phishing' ELSE 'unknown' END AS verdict,

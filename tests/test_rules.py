@@ -221,10 +221,10 @@ def test_detect_is_independent_of_row_order(spark, sf_dir):
     ("reply", "want"),
     [
         ('x {"is_phishing": true, "confidence": 0.9, "reasoning": "r"} y', (True, 0.9, "r")),
-        ('{"is_phishing": "false"}', (False, 0.5, "Verified by model")),
+        ('{"is_phishing": "false"}', (False, 0.5, "Verified by Gemini")),
         ('{"confidence": "n/a"} this is safe', (False, 0.7, '{"confidence": "n/a"} this is safe')),
         ("{broken malicious}", (True, 0.7, "{broken malicious}")),
-        ("nothing to read", (True, 0.86, "Fallback heuristic (verifier unavailable)")),
+        ("nothing to read", (True, 0.86, "Fallback heuristic (Gemini unavailable)")),
     ],
 )
 def test_verifier_replies(spark, reply, want):

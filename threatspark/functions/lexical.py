@@ -182,7 +182,7 @@ def reply_body(reply: Column) -> Column:
     return F.regexp_extract(reply, r"(?s)\{.*\}", 0)
 
 
-def parse_reply_json(reply: Column, default_reason: str = "Verified by model") -> Column:
+def parse_reply_json(reply: Column, default_reason: str = L.REPLY_DEFAULT_REASON) -> Column:
     """struct(is_phishing, confidence, reasoning) of a JSON reply, NULL when it is not a readable object."""
     body = reply_body(reply)
     data = F.from_json(body, REPLY_SCHEMA)
@@ -215,7 +215,7 @@ def verify_reply(domain: Column, reply: Column) -> Column:
     counted = F.struct(
         fallback["is_phishing"].alias("is_phishing"),
         fallback["confidence"].alias("confidence"),
-        F.lit("Fallback heuristic (verifier unavailable)").alias("reasoning"),
+        F.lit(L.FALLBACK_REASON).alias("reasoning"),
     )
     return F.when(F.coalesce(reply_body(reply), F.lit("")) == "", counted).otherwise(
         F.coalesce(parse_reply_json(reply), parse_reply_text(reply))

@@ -88,9 +88,10 @@ def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRul
     })
     second = first.withColumns({
         "_s_swapped": X.digit_swap_brand(c("_s_mixed"), rules),
-        "_s_random": F.when(c("_s_size") >= 8, X.entropy(c("_s_label"))).otherwise(0.0) >= 3.5,
+        "_s_bits": F.round(F.when(c("_s_size") >= 8, X.entropy(c("_s_label"))).otherwise(0.0), 9),
     })
     tokens = F.size("_s_tokens")
+    one_place = F.format_string("%.1f", F.bround("_s_bits", 1))
     signals = [
         (c("_s_hit").isNotNull(), F.lit(45), quoted("contains brand name '", c("_s_hit"))),
         (
@@ -100,11 +101,11 @@ def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRul
         ),
         (c("_s_pair").isNotNull(), F.lit(15), quoted("lookalike character pattern '", c("_s_pair"))),
         (c("_s_mixed") != "", F.lit(20), quoted("digit/letter mixing in token '", c("_s_mixed"))),
-        (c("_s_swapped").isNotNull(), F.lit(35), quoted("brand impersonation via digit swap: '", c("_s_swapped"))),
+        (c("_s_swapped").isNotNull(), F.lit(35), quoted("brand impersonation via digit swap → '", c("_s_swapped"))),
         (c("_s_tld").isNotNull(), F.lit(25), quoted("cheap/abused TLD '", c("_s_tld"))),
-        (c("_s_hyphens") >= 3, F.lit(15), quoted("", c("_s_hyphens"), " hyphens")),
+        (c("_s_hyphens") >= 3, F.lit(15), quoted("", c("_s_hyphens"), " hyphens (typical of phishing)")),
         (c("_s_size") >= 25, F.lit(10), quoted("unusually long label (", c("_s_size"), " chars)")),
-        (c("_s_random"), F.lit(15), F.lit("high-entropy label")),
+        (c("_s_bits") >= 3.5, F.lit(15), quoted("high-entropy label (entropy=", one_place, ")")),
     ]
     points = reduce(Column.__add__, [F.when(hit, weight).otherwise(0) for hit, weight, _ in signals])
     result = F.struct(

@@ -13,7 +13,9 @@ from threatspark.operators.matching import feed_rank
 from threatspark.operators.scoring import brand_heuristic, computed, lexical_risk
 
 FEED_SOURCES = (("phishtank", 0.95, "PhishTank verified phishing feed"), ("openphish", 0.90, "OpenPhish community feed"))
-NOT_FOUND = "Not found in any feed or by the brand-impersonation heuristic."
+# fixed values: reasons of an unknown host without and with an external verdict table
+NOT_FOUND = "Not found in PhishTank, OpenPhish, or brand-impersonation heuristic (Safe Browsing key not set)."
+NOT_FOUND_EXTERNAL = "Not found in Google Safe Browsing, PhishTank, OpenPhish, or brand-impersonation heuristic."
 
 
 def list_override(predictions: DataFrame, lists: L.HostLists = L.HostLists(), domain: str = "domain") -> DataFrame:
@@ -99,8 +101,9 @@ def reputation_check(
         .when(
             F.col("_threat").isNotNull(),
             F.struct(
-                F.lit("phishing").alias("verdict"), F.lit("safe_browsing").alias("source"),
-                F.lit(1.0).alias("confidence"), F.concat(F.lit("Flagged as "), F.col("_threat")).alias("reason"),
+                F.lit("phishing").alias("verdict"), F.lit("google_safe_browsing").alias("source"),
+                F.lit(1.0).alias("confidence"),
+                F.concat(F.lit("Google Safe Browsing flagged this URL as "), F.col("_threat"), F.lit(".")).alias("reason"),
                 F.col("_threat").alias("threat_type"),
             ),
         )
@@ -118,7 +121,7 @@ def reputation_check(
         _reputation(
             "phishing", F.lit("heuristic"), F.col("_brand.confidence"), F.col("_brand.reason"), "SOCIAL_ENGINEERING"
         ),
-    ).otherwise(_reputation("unknown", F.lit("none"), F.lit(0.0), F.lit(NOT_FOUND)))
+    ).otherwise(_reputation("unknown", F.lit("none"), F.lit(0.0), F.lit(NOT_FOUND if external is None else NOT_FOUND_EXTERNAL)))
     return computed(judged, "_r", result).select(*hosts.columns, "_r.*")
 
 
