@@ -43,8 +43,10 @@ def _any(words: tuple[str, ...]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-# Scheme, user info and an opening bracket are skipped; a bare host must not run into a path.
-AUTHORITY_HOST = r"(?s)^(?:[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?\[?|(?!.*://)(?![^:]*[/?#]))([^/?#:]*)"
+# Scheme, user info and a closed bracket are skipped; a bare host must not run into a path.
+AUTHORITY_HOST = (
+    r"(?s)^(?:(?=.*://)(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?(?:\[(?=[^/?#]*\]))?|(?!.*://)(?![^:]*[/?#]))([^/?#:]*)"
+)
 PUBLIC_HOST = (
     rf"^(?!(?:{_any(L.LOCAL_HOSTS)})\z)"
     rf"(?!.*(?:{_any(L.LOCAL_SUFFIXES)})\z)"
