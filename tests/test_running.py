@@ -10,7 +10,7 @@ from threatspark.operators import features, running
 
 START = datetime.datetime(2024, 1, 1)
 SLICE = 20  # seconds
-KEYS = ("a", "b", "c", "hot")
+KEYS = ("a", "b", None, "hot")
 
 
 @pytest.fixture(scope="module")
@@ -83,7 +83,7 @@ def test_latest_before(spark, frame, rows):
     seen = spark.createDataFrame([(r[1], r[2]) for r in right], "key string, ts timestamp")
     got = by_id(running.latest_before(frame, seen, ["key"], "ts", "asked", SLICE), "asked")
     for r in rows:
-        earlier = [x[2] for x in right if x[1] == r[1] and x[2] <= r[2]]
+        earlier = [x[2] for x in right if r[1] is not None and x[1] == r[1] and x[2] <= r[2]]
         assert got[r[0]] == (max(earlier) if earlier else None)
 
 
@@ -111,3 +111,21 @@ def test_slices_follow_the_density_of_the_table(frame, rows, monkeypatch):
     assert by_id(running.row_number(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts"), "rn"), "rn") == whole
     n = by_id(running.count_in_last_seconds(frame, ["key"], "ts", 5, "n"), "n")
     assert n == by_id(running.count_in_last_seconds(frame, ["key"], "ts", 5, "n", 900), "n")
+
+
+def test_rows_without_a_time_or_a_key_are_kept(spark, frame):
+    odd = spark.createDataFrame([(1000, "hot", None, 1), (1001, None, None, 2), (1002, "a", None, 3)], frame.schema)
+    df = frame.unionByName(odd)
+    ids = sorted(r.id for r in df.select("id").collect())
+    ranked = running.row_number(df, ["key"], ["ts", "id"], running.time_slice(df, "ts", SLICE), "rn")
+    assert sorted(r.id for r in ranked.collect()) == ids
+    assert by_id(ranked, "rn")[1000] == 1
+    seen = frame.select("key", "ts")
+    for out in (
+        running.seconds_since_previous(df, ["key"], "ts", ["ts", "id"], "x", SLICE),
+        running.count_in_last_seconds(df, ["key"], "ts", 5, "x", SLICE),
+        running.latest_before(df, seen, ["key"], "ts", "x", SLICE),
+        running.running_count_variance(df, ["key"], ["ts", "id"], running.time_slice(df, "ts", SLICE), "v", "x", "y"),
+    ):
+        assert sorted(r.id for r in out.collect()) == ids
+        assert out.columns[:4] == df.columns

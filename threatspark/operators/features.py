@@ -180,7 +180,8 @@ def domain_ip_map(queries: DataFrame) -> DataFrame:
     """Edges between names and addresses with their queries, and degree and queries of both ends.
 
     An edge table rather than one array per name: a name with millions of addresses stays many small rows. All three
-    aggregates read the same edge columns, so the queries are scanned and shuffled once.
+    aggregates read the same edge columns, so the queries are scanned and shuffled once. An edge without a name or
+    address stays, without a degree on that side.
     """
     edges = queries.groupBy("query_domain", "dst_ip").agg(F.count(F.lit(1)).alias("queries"))
     per_domain = edges.groupBy("query_domain").agg(
@@ -189,7 +190,7 @@ def domain_ip_map(queries: DataFrame) -> DataFrame:
     per_ip = edges.groupBy("dst_ip").agg(
         F.count(F.lit(1)).alias("domains_of_ip"), F.sum("queries").alias("queries_of_ip")
     )
-    return edges.join(per_domain, "query_domain").join(per_ip, "dst_ip")
+    return edges.join(per_domain, "query_domain", "left").join(per_ip, "dst_ip", "left")
 
 
 # --- session features ---------------------------------------------------------------------------

@@ -4,7 +4,8 @@
 would stall the job. Every operator here cuts a key's rows into *slices* that follow the sort order (a stretch of event
 time, a hash prefix). The row-level window runs per (key, slice); what earlier slices contribute is carried over from a
 narrow table with one row per (key, slice), built with map-side aggregation. The row-level data is shuffled once, by
-(key, slice), for the window and the carry-over join together. Keys must not be NULL.
+(key, slice), for the window and the carry-over join together. The key columns travel as one struct, in which NULLs are
+equal to each other, so rows without a client or name form a group of their own and none is lost.
 
 Time slices are as long as it takes the whole table to collect ``ROWS_PER_SLICE`` rows on average: a small table is one
 slice, a huge one is cut finely, and even a key that owns every row meets that size in a task. The length comes from
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SLICE = "_slice"
+KEYS, SLICE = "_keys", "_slice"
 ROWS_PER_SLICE = 20_000_000
 
 
@@ -47,8 +48,13 @@ def slice_length(df: DataFrame, ts: str, length: Length = None, at_least: int =
     return F.greatest(even, F.lit(at_least * 1_000_000))
 
 
+def cut_at(ts: Column, length: Column) -> Column:
+    """Number of the time slice; rows without a time come first, as they do in the sort order."""
+    return F.coalesce(F.floor(epoch_us(ts) / length), F.lit(-1))
+
+
 def time_slice(df: DataFrame, ts: str, length: Length = None) -> Column:
-    return F.floor(epoch_us(F.col(ts)) / slice_length(df, ts, length))
+    return cut_at(F.col(ts), slice_length(df, ts, length))
 
 
 def hash_slice(digest: Column, digits: int = 4) -> Column:
@@ -56,17 +62,28 @@ def hash_slice(digest: Column, digits: int = 4) -> Column:
     return F.substring(digest, 1, digits)
 
 
-def _rows(keys: Sequence[str], order: Sequence[Column | str]) -> WindowSpec:
-    return Window.partitionBy(*keys, SLICE).orderBy(*order)
+def _pack(df: DataFrame, keys: Sequence[str], slice_by: Column, **columns: Column) -> DataFrame:
+    """The rows with their keys as one struct, the slice and further columns."""
+    packed = F.struct(*keys) if keys else F.lit(0)
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(*rest, packed.alias(KEYS), slice_by.alias(SLICE), *[c.alias(n) for n, c in columns.items()])
+
+
+def _unpack(df: DataFrame, columns: Sequence[str], keys: Sequence[str], *more: str) -> DataFrame:
+    """The original columns in their order, and more."""
+    return df.select(*[F.col(f"{KEYS}.{c}").alias(c) if c in keys else c for c in columns], *more)
 
 
-def _slices(keys: Sequence[str], descending: bool = False) -> WindowSpec:
-    order = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
-    return Window.partitionBy(*keys).orderBy(order)
+def _rows(order: Sequence[Column | str]) -> WindowSpec:
+    return Window.partitionBy(KEYS, SLICE).orderBy(*order)
 
 
-def _earlier(keys: Sequence[str], descending: bool = False) -> WindowSpec:
-    return _slices(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
+def _slices(descending: bool = False) -> WindowSpec:
+    return Window.partitionBy(KEYS).orderBy(F.col(SLICE).desc() if descending else F.col(SLICE).asc())
+
+
+def _earlier(descending: bool = False) -> WindowSpec:
+    return _slices(descending).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def row_number(
@@ -78,18 +95,14 @@ def row_number(
     With ``total`` the number of rows of the key is added as well. ``basis`` is the table ``df`` was widened from: the
     slices are counted there, without repeating the widening.
     """
-    cut = df.withColumn(SLICE, slice_by)
-    source = cut if basis is None else basis.withColumn(SLICE, slice_by)
-    counts = source.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_n0")
-    whole = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
-    carried = counts.select(*keys, SLICE, before, *whole)
-    numbered = cut.withColumn("_rn", F.row_number().over(_rows(keys, order)))
-    return (
-        numbered.join(carried, [*keys, SLICE])
-        .withColumn(name, F.col("_rn") + F.col("_n0"))
-        .select(*df.columns, name, *([total] if total else []))
-    )
+    source = _pack(df if basis is None else basis, keys, slice_by)
+    counts = source.groupBy(KEYS, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_n0")
+    whole = [F.sum("_n").over(Window.partitionBy(KEYS)).alias(total)] if total else []
+    carried = counts.select(KEYS, SLICE, before, *whole)
+    numbered = _pack(df, keys, slice_by).withColumn("_rn", F.row_number().over(_rows(order)))
+    joined = numbered.join(carried, [KEYS, SLICE]).withColumn(name, F.col("_rn") + F.col("_n0"))
+    return _unpack(joined, df.columns, keys, name, *([total] if total else []))
 
 
 def running_sums(
@@ -101,18 +114,16 @@ def running_sums(
     descending: bool = False,
 ) -> DataFrame:
     """Cumulative sums per key up to and including each row. ``descending`` when slices fall along the order."""
-    cut = df.withColumns({SLICE: slice_by, **{f"_v_{n}": c for n, c in sums.items()}})
-    totals = cut.groupBy(*keys, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    cut = _pack(df, keys, slice_by, **{f"_v_{n}": c for n, c in sums.items()})
+    totals = cut.groupBy(KEYS, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    earlier = _earlier(descending)
     carried = totals.select(
-        *keys, SLICE, *[F.coalesce(F.sum(f"_t_{n}").over(_earlier(keys, descending)), F.lit(0)).alias(f"_c_{n}") for n in sums]
+        KEYS, SLICE, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
     )
-    so_far = _rows(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = _rows(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = cut.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(so_far) for n in sums})
-    return (
-        summed.join(carried, [*keys, SLICE])
-        .withColumns({n: F.col(f"_r_{n}") + F.col(f"_c_{n}") for n in sums})
-        .select(*df.columns, *sums)
-    )
+    joined = summed.join(carried, [KEYS, SLICE]).withColumns({n: F.col(f"_r_{n}") + F.col(f"_c_{n}") for n in sums})
+    return _unpack(joined, df.columns, keys, *sums)
 
 
 def running_count_variance(
@@ -135,15 +146,12 @@ def seconds_since_previous(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column | str], name: str, length: Length = None
 ) -> DataFrame:
     """Seconds from the previous row of the same key; NULL for the first. ``order`` starts with ``ts``."""
-    cut = df.withColumns({"_us": epoch_us(F.col(ts)), SLICE: time_slice(df, ts, length)})
-    ends = cut.groupBy(*keys, SLICE).agg(F.max("_us").alias("_end"))
-    carried = ends.select(*keys, SLICE, F.lag("_end").over(_slices(keys)).alias("_before"))
-    lagged = cut.withColumn("_prev", F.lag("_us").over(_rows(keys, order)))
-    return (
-        lagged.join(carried, [*keys, SLICE])
-        .withColumn(name, (F.col("_us") - F.coalesce("_prev", "_before")) / F.lit(1e6))
-        .select(*df.columns, name)
-    )
+    cut = _pack(df, keys, time_slice(df, ts, length), _us=epoch_us(F.col(ts)))
+    ends = cut.groupBy(KEYS, SLICE).agg(F.max("_us").alias("_end"))
+    carried = ends.select(KEYS, SLICE, F.lag("_end").over(_slices()).alias("_before"))
+    lagged = cut.withColumn("_prev", F.lag("_us").over(_rows(order)))
+    seconds = (F.col("_us") - F.coalesce("_prev", "_before")) / F.lit(1e6)
+    return _unpack(lagged.join(carried, [KEYS, SLICE]).withColumn(name, seconds), df.columns, keys, name)
 
 
 def count_in_last_seconds(
@@ -157,17 +165,14 @@ def count_in_last_seconds(
     if isinstance(length, int) and seconds > length:
         raise ValueError("a slice must be at least as long as the window")
     span, length = seconds * 1_000_000, slice_length(df, ts, length, at_least=5 * seconds)
-    cut = df.withColumns({"_us": epoch_us(F.col(ts)), "_own": F.floor(epoch_us(F.col(ts)) / length)})
-    late = F.col("_us") >= (F.col("_own") + 1) * length - F.lit(span)
-    copied = cut.withColumn(
-        SLICE, F.explode(F.when(late, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own"))))
-    )
-    trailing = Window.partitionBy(*keys, SLICE).orderBy("_us").rangeBetween(-span, 0)
-    return (
-        copied.withColumn(name, F.count(F.lit(1)).over(trailing))
-        .filter(F.col(SLICE) == F.col("_own"))
-        .select(*df.columns, name)
-    )
+    us = epoch_us(F.col(ts))
+    own = cut_at(F.col(ts), length)
+    late = us >= (own + 1) * length - F.lit(span)
+    slices = F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))
+    copied = _pack(df, keys, slices, _us=us, _own=own)
+    trailing = Window.partitionBy(KEYS, SLICE).orderBy("_us").rangeBetween(-span, 0)
+    counted = copied.withColumn(name, F.count(F.lit(1)).over(trailing)).filter(F.col(SLICE) == F.col("_own"))
+    return _unpack(counted, df.columns, keys, name)
 
 
 def latest_before(
@@ -176,27 +181,22 @@ def latest_before(
 ) -> DataFrame:
     """As-of join: for each left row the latest right time at or before it with equal keys, NULL without one.
 
-    ``basis`` is the table ``left`` was widened from, with the same keys and times.
+    ``basis`` is the table ``left`` was widened from, with the same keys and times. As in any join, a NULL key has no
+    partner.
     """
     length = slice_length(left, ts, length)
-    us = epoch_us(F.col(ts))
-
-    def cut(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select(*columns, us.alias("_us"), F.floor(us / length).alias(SLICE))
-
-    none = F.lit(None).cast("bigint")
-    seen = cut(right, *keys).withColumns({"_seen": F.col("_us"), "_side": F.lit(0)})
-    rows = cut(left, *left.columns).withColumns({"_seen": none, "_side": F.lit(1)}).unionByName(
-        seen, allowMissingColumns=True
-    )
-    narrow = cut(left if basis is None else basis, *keys).withColumn("_seen", none).unionByName(seen.drop("_side"))
-    ends = narrow.groupBy(*keys, SLICE).agg(F.max("_seen").alias("_end"))
-    carried = ends.select(*keys, SLICE, F.max("_end").over(_earlier(keys)).alias("_before"))
-    so_far = _rows(keys, ["_us", "_side"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
+    us, cut, none = epoch_us(F.col(ts)), cut_at(F.col(ts), length), F.lit(None).cast("bigint")
+    seen = right.select(*keys, ts).dropna()
+    seen = _pack(seen, keys, cut, _us=us, _seen=us, _side=F.lit(0)).drop(ts)
+    rows = _pack(left, keys, cut, _us=us, _seen=none, _side=F.lit(1)).unionByName(seen, allowMissingColumns=True)
+    narrow = _pack((left if basis is None else basis).select(*keys, ts), keys, cut, _seen=none).select(KEYS, SLICE, "_seen")
+    ends = narrow.unionByName(seen.select(KEYS, SLICE, "_seen")).groupBy(KEYS, SLICE).agg(F.max("_seen").alias("_end"))
+    carried = ends.select(KEYS, SLICE, F.max("_end").over(_earlier()).alias("_before"))
+    so_far = _rows(["_us", "_side"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    matched = (
         rows.withColumn("_in", F.last("_seen", ignorenulls=True).over(so_far))
         .filter(F.col("_side") == 1)
-        .join(carried, [*keys, SLICE])
+        .join(carried, [KEYS, SLICE])
         .withColumn(name, F.timestamp_micros(F.coalesce("_in", "_before")))
-        .select(*left.columns, name)
     )
+    return _unpack(matched, left.columns, keys, name)

@@ -19,7 +19,10 @@ def build_session(master: str = "local[8]", app: str = "threatspark", shuffle_pa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.sql.streaming.metricsEnabled", "false")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
