@@ -16,8 +16,12 @@ def build_session(master: str = "local[8]", app: str = "threatspark", shuffle_pa
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # text scoring is costly per row, so small shuffles are worth more than one task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # call sites are not recorded for every column: expressions here are built from many small parts
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config(
             "spark.sql.streaming.stateStore.providerClass",
