@@ -382,7 +382,7 @@ def lexical_risk_score(v):
 def digit_swap_brands(v):
     label = lexical.first_label(F.col("domain"))
     tokens = v.domains.select("domain", lexical.mixed_token(label).alias("token"))
-    return tokens.withColumn("brand", lexical.digit_swap_brand(F.col("token")))
+    return tokens.withColumn("brand", lexical.digit_swap_brand("token"))
 
 
 @query
@@ -391,7 +391,7 @@ def keyword_label(v):
 
 
 def verified(v: Views) -> DataFrame:
-    return v.domains.select("domain", lexical.fallback_verify(F.col("domain")).alias("v")).select("domain", "v.*")
+    return v.domains.select("domain", lexical.fallback_verify("domain").alias("v")).select("domain", "v.*")
 
 
 @query
@@ -413,7 +413,7 @@ def verifier_text_parse(v):
 
 @query
 def verifier_verdict(v):
-    judged = v.verifier_replies.select("event_id", lexical.verify_reply(F.col("domain"), F.col("reply")).alias("p"))
+    judged = v.verifier_replies.select("event_id", lexical.verify_reply("domain", F.col("reply")).alias("p"))
     return judged.select("event_id", "p.*")
 
 

@@ -39,9 +39,9 @@ def brand_heuristic(df: DataFrame, host: str, name: str = "brand", rules: L.Bran
     h = c("_s_d")
     signals = normalised(df, host).withColumn("_s_label", X.first_label(h)).withColumns({
         "_s_real": (h == "") | h.isin(*rules.real_domains),
-        "_s_hit": X.first_hit(h, rules.brands),
-        "_s_typo": X.typosquat(c("_s_label"), rules.brands),
-        "_s_tokens": X.hits(h, rules.tokens),
+        "_s_hit": X.first_hit("_s_d", rules.brands),
+        "_s_typo": X.typosquat("_s_label", rules.brands),
+        "_s_tokens": X.hits("_s_d", rules.tokens),
         "_s_hyphens": X.occurrences(c("_s_label"), "-"),
         "_s_cheap": X.ends_with_any(h, rules.tlds),
     })
@@ -78,8 +78,8 @@ def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRul
     c = F.col
     d = c("_s_d")
     first = normalised(df, host).withColumn("_s_label", X.first_label(d)).withColumns({
-        "_s_hit": F.when(~d.isin(*rules.real_domains), X.first_hit(d, rules.brands)),
-        "_s_tokens": X.hits(d, rules.tokens),
+        "_s_hit": F.when(~d.isin(*rules.real_domains), X.first_hit("_s_d", rules.brands)),
+        "_s_tokens": X.hits("_s_d", rules.tokens),
         "_s_pair": F.coalesce(*[F.when(d.contains(p), F.lit(p)) for p in rules.lookalikes]),
         "_s_mixed": X.mixed_token(c("_s_label")),
         "_s_tld": F.coalesce(*[F.when(d.endswith(t), F.lit(t)) for t in rules.tlds]),
@@ -87,7 +87,7 @@ def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRul
         "_s_size": F.length("_s_label"),
     })
     second = first.withColumns({
-        "_s_swapped": X.digit_swap_brand(c("_s_mixed"), rules),
+        "_s_swapped": X.digit_swap_brand("_s_mixed", rules),
         "_s_bits": F.round(F.when(c("_s_size") >= 8, X.entropy(c("_s_label"))).otherwise(0.0), 9),
     })
     tokens = F.size("_s_tokens")
@@ -118,7 +118,7 @@ def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRul
 def keyword_verdict(df: DataFrame, host: str, is_dns: Column) -> DataFrame:
     """Add prediction, confidence and risk_level by the keyword rules for queried names or for server names."""
     name = F.col("_s_d")
-    counted = normalised(df, host).withColumn("_s_count", F.when(is_dns, X.count_hits(name, L.DNS_INDICATORS)))
+    counted = normalised(df, host).withColumn("_s_count", F.when(is_dns, X.count_hits("_s_d", L.DNS_INDICATORS)))
     rule = F.when(is_dns, X.dns_rule(name, F.col("_s_count"))).otherwise(X.tls_rule(name))
     ruled = computed(counted, "_s_rule", rule)
     return ruled.select(*df.columns, *[value.alias(n) for n, value in X.verdict_of(F.col("_s_rule")).items()])
@@ -127,5 +127,5 @@ def keyword_verdict(df: DataFrame, host: str, is_dns: Column) -> DataFrame:
 def typosquat_match(df: DataFrame, host: str) -> DataFrame:
     """Hosts whose first label is a near miss of a brand, with the brand and the edit distance."""
     labelled = df.withColumn("_s_label", X.first_label(F.col(host)))
-    near = computed(labelled, "_s_typo", X.typosquat(F.col("_s_label"))).filter(F.col("_s_typo").isNotNull())
+    near = computed(labelled, "_s_typo", X.typosquat("_s_label")).filter(F.col("_s_typo").isNotNull())
     return near.select(*df.columns, "_s_typo.*")
