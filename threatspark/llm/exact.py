@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from threatspark.llm.common import BLANKS, settled
 
-BLOCK_BYTES = 4096
+BLOCK_BYTES = 8192
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,7 +76,7 @@ def _identified(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, b
             side(0).alias("a"), side(1).alias("b"), F.max("copies").alias("copies")
         )
         # the last name of an odd row has no partner; names are never this number
-        pairs = settled(pairs.withColumn("b", F.coalesce("b", F.lit(-(1 << 62)))), f"pairs{level}")
+        pairs = pairs.withColumn("b", F.coalesce("b", F.lit(-(1 << 62))))
         names = _numbered(pairs.select("a", "b").distinct(), "a", "b")
         named = pairs.join(names, ["a", "b"])
         current = settled(
