@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(df: DataFrame) -> DataFrame:
+    """Sends this subpackage to the Python workers, once for each application, so that they can import its functions."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="corpus-code-"), "corpus_code.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            archive.write(os.path.join(os.path.dirname(here), "__init__.py"), "threatspark/__init__.py")
+            for name in sorted(os.listdir(here)):
+                if name.endswith(".py"):
+                    archive.write(os.path.join(here, name), f"threatspark/llm/{name}")
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return df

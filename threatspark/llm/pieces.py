@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threatspark.llm.common import ship_code
+
 MARK = "▁"
 CACHED_RUNS = 250_000
 SLICE_CHARS = 4_000_000
@@ -233,4 +235,4 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
+    return ship_code(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)

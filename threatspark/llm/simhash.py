@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatspark.llm.common import settled
+from threatspark.llm.common import settled, ship_code
 from threatspark.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         values = np.fromiter((fingerprint_of(t, shingle_words) for t in texts), np.uint64, len(texts))
         return pd.Series(values.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
+    return ship_code(docs).select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
 
 
 def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
