@@ -112,7 +112,8 @@ def exact_duplicates(
     groups = rows.groupBy("level", "name").agg(
         F.sum("copies").alias("group_size"), F.min_by("doc_id", order).alias("keep_id"), F.max("n_chars").alias("most"),
     )
-    rows = rows.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # both sides of the join are plain exchanges, so that a name held by a third of the rows is split
+    rows = rows.join(settled(groups, "groups"), ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most")) & (F.col("copy") == 1)
     return rows.select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"),
