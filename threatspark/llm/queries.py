@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatspark.llm import decontaminate, exact, pieces, simhash, substrings
+from threatspark.llm import decontaminate, exact, language, pieces, quality, simhash, substrings, urls
 from threatspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,43 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, with the item, its score and the overlaps."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: whether it was held out, its predicted language and how sure that is."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its log importance for the labelled good texts, the same with noise, and whether it is kept."""
+    return quality.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    r"""
+    WITH u AS (SELECT page_id,
+                      translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+               FROM pages),
+         r AS (SELECT page_id, host, path, '.' || host AS h, '.' || host || '#' || path AS g,
+                      CASE WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                           WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                           WHEN ends_with('.' || host, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                           WHEN ends_with('.' || host, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                           WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+               FROM u)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                WHEN h LIKE '%.ads.%' OR h LIKE '%.ads-%' OR h LIKE '%-ads.%' OR h LIKE '%.track%.%' OR h LIKE '%cheap-%'
+                  OR h LIKE '%-pills%' OR h LIKE '%casino%' THEN 'block'
+                ELSE 'allow' END AS verdict
+    FROM r
+    """
+)
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: host and path of its url, the longest rule that fits, and the verdict."""
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "judged.host", "judged.path", "judged.v.rule", "judged.v.verdict")
