@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatspark.llm import decontaminate, exact, language, pieces, quality, simhash, substrings, urls
-from threatspark.llm.common import table
+from threatspark.llm import decontaminate, exact, language, pieces, quality, simhash, substrings, urls, warc
+from threatspark.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,21 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page: host and path of its url, the longest rule that fits, and the verdict."""
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "judged.host", "judged.path", "judged.v.rule", "judged.v.verdict")
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+         d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+         r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
+    FROM r
+    """
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: what the archives written from the table and read back say of its record."""
+    path = shared_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.payload_digests(warc.read_archives(spark, path)).withColumnRenamed("key", "page_id")
