@@ -210,8 +210,8 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, ids (array<int>), decoded.
+def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, ids (array<int>), decoded, and the columns named in ``keep``.
 
     Null and empty texts have no ids and decode to the empty text. Nulls and repeats in ``id_col`` pass through; an empty
     table gives no rows; other columns are not read. The driver reads the model file (half a megabyte) and sends its bytes
@@ -219,20 +219,24 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
     """
     with open(model_path, "rb") as f:
         model = f.read()
+    keep = list(keep or [])
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"), *keep).toDF("doc_id", "text", *[f"c{k}" for k in range(len(keep))])
     schema = T.StructType([
-        T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()),
+        T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("decoded", T.StringType()), *[T.StructField(x.name, x.dataType) for x in rows.schema.fields[2:]],
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
         for batch in batches:
             for low, high in _slices(batch.column(1)):
-                found = [encoder.encode(t) for t in batch.column(1).slice(low, high - low).to_pylist()]
+                part = batch.slice(low, high - low)
+                found = [encoder.encode(t) for t in part.column(1).to_pylist()]
                 offsets = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) for x in found], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 decoded = encoder.decode([x.tolist() for x in found])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+                columns = [part.column(0), ids, pa.array(decoded, pa.string()), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return ship_code(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, schema)
+    return ship_code(rows).mapInArrow(work, schema).toDF("doc_id", "ids", "decoded", *keep)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatspark.llm import decontaminate, exact, language, pieces, quality, simhash, substrings, urls, warc
+from threatspark.llm import decontaminate, exact, html, language, pieces, quality, simhash, substrings, urls, warc
 from threatspark.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.payload_digests(warc.read_archives(spark, path)).withColumnRenamed("key", "page_id")
+
+
+@query()
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: its main text and the number of its code points."""
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

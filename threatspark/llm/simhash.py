@@ -48,14 +48,15 @@ def fingerprint_of(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, fp (the fingerprint as a signed long), and a hash of the text that tells rows with one id apart."""
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         values = np.fromiter((fingerprint_of(t, shingle_words) for t in texts), np.uint64, len(texts))
         return pd.Series(values.view(np.int64))
 
-    return ship_code(docs).select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
+    text = F.col(text_col).cast("string")
+    return ship_code(docs).select(F.col(id_col).alias("doc_id"), simhash(text).alias("fp"), F.xxhash64(text).alias("text_hash"))
 
 
 def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -81,6 +82,21 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> DataFrame:
+    """The rows of ``fingerprints`` with component_id, component_size and ``stays``."""
+    rows = settled(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
+    distinct = settled(rows.groupBy("fp").agg(F.min(order).alias("low"), F.count("*").alias("n")), "distinct")
+    labels = components(near_links(distinct.select("fp"), max_bits))
+    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "low", "n", F.coalesce("label", "fp").alias("label"))
+    lows = named.groupBy("label").agg(F.min("low").alias("first"), F.sum("n").alias("component_size"))
+    # written, so that both sides of the last join are plain exchanges and a hot fingerprint is split
+    found = settled(named.join(lows, "label").select(
+        "fp", F.col("first.b").alias("component_id"), F.col("first.c").alias("first_text"), "component_size"), "components")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("first_text"))
+    return rows.join(found, "fp").withColumn("stays", stays)
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -89,18 +105,20 @@ def simhash_groups(
     Null or blank texts have fingerprint zero and link like any other. Null ids never become a component_id unless the
     component has no other. Repeated rows each get a row. An empty table gives no rows; other columns are not read.
     """
-    rows = settled(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
-    labels = components(near_links(distinct.select("fp"), max_bits))
-    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "low", "n", F.coalesce("label", "fp").alias("label"))
-    lows = named.groupBy("label").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    found = named.join(lows, "label").select("fp", "component_id", "component_size")
-    return rows.join(found, "fp").select(
+    return _grouped(docs, id_col, text_col, shingle_words, max_bits).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is that of their component, with all their columns; repeats of that id all stay."""
-    stay = simhash_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    keyed = docs.withColumn("_id0", F.col(id_col))
-    return keyed.join(stay, F.col("_id0").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """One document of each component with all its columns: that with the smallest id, then hash of its text.
+
+    Rows that repeat id and text are one document and all stay with it. The rows that go are taken away by an anti join,
+    as they are the fewer.
+    """
+    gone = _grouped(docs, id_col, text_col, shingle_words, max_bits).where(~F.col("stays"))
+    gone = settled(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct(), "near")
+    keyed = docs.withColumns({"_own": F.col(id_col), "_own_text": F.xxhash64(F.col(text_col).cast("string"))})
+    same = F.col("_own").eqNullSafe(F.col("_gone")) & (F.col("_own_text") == F.col("_gone_text"))
+    return keyed.join(gone, same, "left_anti").select(*docs.columns)
