@@ -35,8 +35,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents but for the text, then its ids, their number and the text decoded from them."""
-    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    """The columns of documents but for the text, then its ids, their number and the text decoded from them.
+
+    Columns of documents that are called like these three are left out.
+    """
+    keep = [c for c in docs.columns if c not in ("doc_id", "text", "ids", "n_tokens", "decoded")]
     coded = encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=keep)
     return coded.select("doc_id", *keep, "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 

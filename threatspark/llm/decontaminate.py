@@ -12,8 +12,8 @@ each group (block-max) are kept, and for each group the most that the terms befo
 over if its largest impacts stay below the threshold; then every group whose block-max sum does. Only what is left is
 scored. Words repeated in a passage count once.
 
-What is retrieved is verified in the text around the passage: the share of word 5-grams of the item's question found there,
-and the same for its answer. Without own columns the answer is the last quarter of the words.
+What is retrieved is verified in the document: the share of word 5-grams of the item's question found in it, and the same
+for its answer. Without own columns the answer is the last quarter of the words.
 """
 
 from __future__ import annotations
@@ -159,20 +159,26 @@ class BlockIndex:
 
     def verified(self, docs: list[str], overlap: float) -> list[tuple[int, int, float, float, float, int]]:
         """(document, item number, score, question overlap, answer overlap, first word): the best passage of each pair."""
-        best: dict[tuple[int, int], tuple] = {}
+        best: dict[int, dict[int, tuple[float, int]]] = defaultdict(dict)
         for d, at, p, score in self.search(docs):
             k = int(self.item_of[p])
-            around = sum(map(len, self.items[k][1:])) + GRAM
-            ids = self.terms[d][max(0, at - around) : at + 2 * HALF + around].tolist()
-            shares = []
-            for needed in self.needed[k]:
-                size = len(next(iter(needed))) if needed else 1
-                there = {tuple(ids[j : j + size]) for j in range(len(ids) - size + 1)}
-                shares.append(len(needed & there) / len(needed) if needed else 1.0)
-            if min(shares) >= overlap:
-                found = (-sum(shares), -score, at, shares)
-                best[(d, k)] = min(best.get((d, k), found), found)
-        return [(d, k, -x[1], x[3][0], x[3][1], x[2]) for (d, k), x in sorted(best.items())]
+            best[d][k] = min(best[d].get(k, (0.0, 0)), (-score, at))
+        out = []
+        for d, found in sorted(best.items()):
+            wanted = defaultdict(list)  # the grams of all items retrieved for this document, looked for in one pass
+            for k in found:
+                for side, grams in enumerate(self.needed[k]):
+                    for gram in grams:
+                        wanted[gram].append((k, side))
+            ids, there = self.terms[d].tolist(), Counter()
+            for size in {len(gram) for gram in wanted}:
+                for gram in wanted.keys() & set(zip(*(ids[j:] for j in range(size)), strict=False)):
+                    there.update(wanted[gram])
+            for k, (score, at) in sorted(found.items()):
+                shares = [there[k, side] / len(grams) if grams else 1.0 for side, grams in enumerate(self.needed[k])]
+                if min(shares) >= overlap:
+                    out.append((d, k, -score, shares[0], shares[1], at))
+        return out
 
 
 class _Numbers(dict):

@@ -47,6 +47,8 @@ _DROPPED_WORDS = frozenset(
     "notification notifications overlay pager pagination popup promo promos promotion recommended related replies reply respond "
     "share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Those of them that mark boilerplate even where it is made of ``article`` elements.
+_LISTED_WORDS = frozenset("comment comments commentlist disqus recommended related replies reply respond".split())
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"},
@@ -78,15 +80,17 @@ class Node:
                 elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", m[2] or m[3] or "", re.I):
                     self.hidden = True
 
-    def boilerplate(self) -> bool:
-        """By element, role or class; never what holds the article."""
+    def boilerplate(self, inside: bool = False) -> bool:
+        """By element, role or class; outside of articles (``inside``) never what holds the article."""
         if self.tag in _DROPPED or self.hidden:
             return True
-        if self.tag in ("html", "body", "main") or self.has_article:
+        if self.tag in ("html", "body", "main"):
             return False
-        if self.role in _DROPPED_ROLES:
+        wraps = self.has_article and not inside
+        if self.role in _DROPPED_ROLES and not wraps:
             return True
-        return bool(self.marks) and any(w.lower() in _DROPPED_WORDS for w in _WORD.findall(re.sub(r"(?:class|id)=", " ", self.marks)))
+        words = {w.lower() for w in _WORD.findall(re.sub(r"(?:class|id)=", " ", self.marks))} if self.marks else ()
+        return bool(words) and not words.isdisjoint(_LISTED_WORDS if wraps else _DROPPED_WORDS)
 
 
 def parse(text: str) -> Node:
@@ -160,7 +164,7 @@ def _finish(root: Node) -> None:
         hash_, any_text = xxhash.xxh3_64(f"{node.tag} {node.marks}"), False
         for c in node.children:
             if isinstance(c, Node):
-                node.has_article |= c.has_article or c.tag in ("article", "main") and not c.boilerplate()
+                node.has_article |= (c.has_article or c.tag in ("article", "main")) and not c.boilerplate()
                 if c.digest:
                     any_text = True
                     hash_.update(b"<" + c.digest)
@@ -177,7 +181,7 @@ def _walk(node: Node, inside: bool) -> Iterator[tuple[Node, bool]]:
         here, within = todo.pop()
         yield here, within
         within = within or here.tag in ("article", "main")
-        todo += [(c, within) for c in reversed(here.children) if isinstance(c, Node) and not c.boilerplate()]
+        todo += [(c, within) for c in reversed(here.children) if isinstance(c, Node) and not c.boilerplate(within)]
 
 
 def _comparable(node: Node, inside: bool) -> bool:
@@ -231,7 +235,7 @@ def main_text(text: str | None, template: set[int] = frozenset()) -> str:
                     open_.append(here)
                 continue
             if here is not root:
-                if here.boilerplate() or _comparable(here, inside) and int.from_bytes(here.digest, "big", signed=True) in template:
+                if here.boilerplate(inside) or _comparable(here, inside) and int.from_bytes(here.digest, "big", signed=True) in template:
                     continue
                 if here.tag == "header" and not here.has_article:
                     if not inside:
