@@ -48,7 +48,7 @@ def test_compatibility_is_what_merging_again_gives(encoder):
     known = [t for t in encoder.score if len(t) < 8]
     for _ in range(20000):
         a, b = rng.choice(known), rng.choice(known)
-        assert encoder.compatible(a, b) == (encoder.merged(a + b) == [a, b])
+        assert encoder.compatible(encoder.number[a], encoder.number[b]) == (encoder.merged(a + b) == [a, b])
 
 
 def test_without_runs_and_with_a_small_cache(encoder, monkeypatch):

@@ -5,8 +5,9 @@ these two pieces. So a text is covered from left to right by the longest pieces
 neighbour; where none fits, the position is marked in a bit field as failed and the piece before it is shortened. The
 longest matches of all positions come from one run of an Aho-Corasick automaton over the pieces.
 
-No piece of such a model goes on over a blank mark that follows another character, so texts are encoded run by run and the
-runs met before are looked up in a bounded cache. (If a model has such pieces, whole texts are encoded.)
+No piece of such a model goes on over a blank mark that follows another character, or from letters to other characters, so
+texts are encoded run by run and the runs met before are looked up in a bounded cache. (If a model has such pieces, longer
+runs or whole texts are encoded.)
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from threatspark.llm.common import ship_code
 
 MARK = "▁"
-CACHED_RUNS = 250_000
+CACHED_RUNS = 500_000
 SLICE_CHARS = 4_000_000
 
 
@@ -63,14 +64,14 @@ class PieceEncoder:
         self.score = {t: lib.get_score(i) for i, t in self.text.items()}
         self.number = {t: i for i, t in self.text.items()}
         self.known = set("".join(self.score))
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
         self.last: dict[str, tuple[str, str]] = {}  # the two pieces whose merge makes a piece
         self.ordered: set[str] = set()  # pieces made of merges that never get better on the way
         self.automaton = ahocorasick.Automaton()
         for t in sorted(self.number, key=len):
             parts = self.merged(t, 2)
             if len(t) == 1 or len(parts) == 2 and "".join(parts) in self.score and self.merged(t) == [t]:
-                self.automaton.add_word(t, (len(t), self.number[t]))  # other pieces are never the outcome of merges
+                self.automaton.add_word(t, (len(t) - 1, self.number[t]))  # other pieces are never the outcome of merges
                 if len(t) == 1:
                     self.ordered.add(t)
                 else:
@@ -78,9 +79,17 @@ class PieceEncoder:
                     if all(p in self.ordered and (len(p) == 1 or self.score[p] >= self.score[t]) for p in parts):
                         self.ordered.add(t)
         self.automaton.make_automaton()
+        self.size = {i: len(t) for i, t in self.text.items()}
+        self.shorter = {}  # the longest piece that a piece begins with
+        for t, i in self.number.items():
+            parts = (t[:k] for k in range(len(t) - 1, 0, -1))
+            self.shorter[i] = next((self.number[x] for x in parts if x in self.automaton), -1)
         crossing = any(MARK in t.lstrip(MARK) for t in self.score)
         breaks = "".join(c for c in "\n\t\r" if c not in self.known)
-        self.runs = None if crossing else re.compile(rf"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (f"|[{breaks}]" if breaks else ""))
+        letter = re.compile(rf"[^\W\d_{MARK}]")
+        mixed = any(MARK not in a + b and bool(letter.match(a)) != bool(letter.match(b)) for t in self.score for a, b in zip(t, t[1:], strict=False))
+        word = rf"{MARK}*[^{MARK}{breaks}]+" if mixed else rf"{MARK}*[^\W\d_{MARK}]+|{MARK}*(?:(?![^\W\d_])[^{MARK}{breaks}])+"
+        self.runs = None if crossing else re.compile(rf"{word}|{MARK}+" + (f"|[{breaks}]" if breaks else ""))
         self.cache = _Runs(self.run)
 
     def merged(self, text: str, least: int = 1) -> list[str]:
@@ -97,15 +106,13 @@ class PieceEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joint text of two pieces again leaves these two."""
-        key = (left, right)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > CACHED_RUNS:
-                self.fits.clear()
-            plain = left not in self.ordered or right not in self.ordered
-            found = self.fits[key] = self.merged(left + right) == [left, right] if plain else self._apart(left, right)
+        a, b = self.text[left], self.text[right]
+        if len(self.fits) > CACHED_RUNS:
+            self.fits.clear()
+        plain = a not in self.ordered or b not in self.ordered
+        found = self.fits[left, right] = self.merged(a + b) == [a, b] if plain else self._apart(a, b)
         return found
 
     def _apart(self, left: str, right: str) -> bool:
@@ -131,39 +138,35 @@ class PieceEncoder:
     def backtrack(self, text: str) -> list[int]:
         """The pieces of a text of known characters."""
         n = len(text)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            starting[end - found[0] + 1].append(found)  # shorter ones first, as their ends come first
+        longest = [0] * n
+        for end, (before, piece) in self.automaton.iter(text):
+            longest[end - before] = piece  # of one start the longest comes last, as its end does
         failed = bytearray(n // 8 + 1)
-        ids: list[int] = []
-        pieces: list[str] = []
-        tried: list[int] = []  # for each piece, its place among those starting where it starts
-        at, k, fits = 0, len(starting[0]) - 1, self.fits
-        while at < n:
-            here = starting[at]
-            while k >= 0:
-                size, number = here[k]
-                end = at + size
+        pieces: list[int] = []
+        fits, size, shorter = self.fits, self.size, self.shorter
+        at, piece, left = 0, longest[0], -1
+        while True:
+            while piece >= 0:
+                end = at + size[piece]
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    piece = text[at:end]
-                    if not pieces:
+                    if left < 0:
                         break
-                    fit = fits.get((pieces[-1], piece))
-                    if fit or fit is None and self.compatible(pieces[-1], piece):
+                    fit = fits.get((left, piece))
+                    if fit or fit is None and self.compatible(left, piece):
                         break
-                k -= 1
-            if k >= 0:
-                ids.append(number)
+                piece = shorter[piece]
+            if piece >= 0:
                 pieces.append(piece)
-                tried.append(k)
-                at = end
-                k = len(starting[at]) - 1 if at < n else -1
+                if end == n:
+                    return pieces
+                at, left = end, piece
+                piece = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                ids.pop()
-                at -= len(pieces.pop())
-                k = tried.pop() - 1
-        return ids
+                piece = pieces.pop()
+                at -= size[piece]
+                piece = shorter[piece]
+                left = pieces[-1] if pieces else -1
 
     def run(self, text: str) -> bytes:
         """The ids of one run as int32 bytes; characters without a piece become their UTF-8 bytes."""
