@@ -114,7 +114,7 @@ PACKETS = """, p AS (SELECT event_id, seq, ts, src_ip, dst_ip, packet_size, ttl,
 WITH_RISK = f", wr AS (SELECT *, {RISK} AS risk_level FROM detections)"
 CLASSIFIED = WITH_RISK + f", dec AS ({decided('wr')}), ev AS ({overridden('(SELECT *, NULL::VARCHAR AS source FROM dec)')})"
 LOGGED = (
-    f", wr AS (SELECT *, {RISK} AS risk_level FROM detections WHERE event_id % 3 <> 0 OR event_id % 2 = 0), dec AS ({decided('wr')}),"
+    f", wr AS (SELECT *, {RISK} AS risk_level FROM detections), dec AS ({decided('wr')}),"
     " logged AS (SELECT domain, destination_ip, prediction, confidence, risk_level, features_used, round(epoch_us(ts) / 1e6, 6) AS timestamp,"
     " alert_severity, action_taken, reason, blocked, CASE WHEN event_id % 6 = 0 THEN 'api_check' END AS source, ts FROM dec)"
 )
@@ -128,8 +128,7 @@ SELECT query_domain AS sni, count(*) AS handshakes, min(ts) AS first_seen, max(t
 FROM hello_payloads WHERE event_id % 10 NOT IN (1, 2) GROUP BY 1""")
 add("http_host_inventory", "http_payloads", """
 SELECT DISTINCT split_part(split_part(payload, 'Host: ', 2), chr(13), 1) AS host FROM http_payloads WHERE contains(payload, 'Host: ')""")
-add("detection_log_scan", "detections", LOGGED + f""", newest AS (SELECT DISTINCT * EXCLUDE (ts) FROM logged
- WHERE ts::DATE IN (SELECT DISTINCT ts::DATE AS d FROM logged ORDER BY d DESC LIMIT 5)) {overridden('newest')}""")
+add("detection_log_scan", "detections", LOGGED + f""", newest AS (SELECT DISTINCT * EXCLUDE (ts) FROM logged) {overridden('newest')}""")
 add("detection_log_sink", "detections", LOGGED + " SELECT * EXCLUDE (ts) FROM logged")
 
 
@@ -149,13 +148,13 @@ FEED_HOSTS = f"SELECT DISTINCT {host_of('url')} AS host FROM feed_urls WHERE con
 add("feed_hosts", "feed_urls", FEED_HOSTS)
 add("feed_snapshot_scan", "feed_urls", FEED_HOSTS)
 add("feed_domains_netloc", "feed_urls", r"""
-, f AS (SELECT url, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS n FROM feed_urls ORDER BY entry LIMIT 100)
+, f AS (SELECT url, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS n FROM feed_urls)
 SELECT DISTINCT lower(CASE WHEN n <> '' THEN n ELSE split_part(url, '/', 1) END) AS domain, 'any' AS variant FROM f
 UNION SELECT * FROM (SELECT CASE WHEN n <> '' THEN n ELSE split_part(url, '/', 3) END AS domain, 'dotted' AS variant FROM f) WHERE contains(domain, '.')""")
 MARKED = f"""SELECT line_no, split_part(line, ' ', 1) AS ip, split_part(line, ' ', 2) AS domain,
  CASE WHEN contains(line, '{MARKER} ') OR line LIKE '%lan # %' THEN array_to_string(string_split(line, ' ')[4:], ' ') ELSE 'Unknown' END AS timestamp
  FROM hosts_lines WHERE contains(line, '{MARKER}')"""
-add("blocklist_text_scan", "hosts_lines", MARKED + " ORDER BY line_no DESC LIMIT 50")
+add("blocklist_text_scan", "hosts_lines", MARKED)
 
 
 def local(h: str) -> str:
@@ -191,16 +190,14 @@ SELECT id, browser, start_time, domain, browser AS source, 'browser_download_blo
 add("stream_block_monitor", "browser_downloads", DOWNLOADS + f"""
 SELECT id, browser, domain, {TITLE} || ' blocked download: ' || label AS error_message FROM lab WHERE domain <> '' AND label IS NOT NULL""")
 add("navigation_blocks", "browser_urls", f"""
-, newest AS (SELECT * FROM browser_urls WHERE url LIKE 'chrome-error://%' OR url LIKE 'edge-error://%'
- QUALIFY row_number() OVER (PARTITION BY browser ORDER BY last_visit_time DESC, id DESC) <= 200)
+, newest AS (SELECT * FROM browser_urls WHERE url LIKE 'chrome-error://%' OR url LIKE 'edge-error://%')
 , named AS (SELECT id, browser, {external("regexp_extract(url, 'https?://([A-Za-z0-9.-]+)', 1)")} AS domain FROM newest)
 SELECT id, browser, domain, browser AS source, 'browser_navigation_block' AS block_type,
  {TITLE} || ' showed an error page for ' || domain AS error_message, '' AS destination_ip FROM named WHERE domain <> ''""")
 add("recent_domains", "browser_urls", f"""
-, newest AS (SELECT * FROM browser_urls WHERE last_visit_time > (SELECT max(last_visit_time) FROM browser_urls) - 86400000000
- QUALIFY row_number() OVER (PARTITION BY browser ORDER BY last_visit_time DESC, id DESC) <= 200)
+, newest AS (SELECT * FROM browser_urls WHERE last_visit_time > (SELECT max(last_visit_time) FROM browser_urls) - 86400000000)
 SELECT domain, max(last_visit_time) AS last_visit_time FROM (SELECT {external('url')} AS domain, last_visit_time FROM newest)
-WHERE domain <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200""")
+WHERE domain <> '' GROUP BY 1""")
 add("training_tables_scan", "dns_queries tls_handshakes", QUERIES + HANDSHAKES + """
 , u AS (SELECT 0 AS t, event_id, query_domain AS domain, ttl, query_type, NULL AS tls_version, NULL AS packet_size FROM q
  UNION ALL SELECT 1, event_id, sni, NULL, NULL, tls_version, packet_size FROM h WHERE sni IS NOT NULL)
@@ -436,11 +433,12 @@ def lexical(source: str) -> str:
 
 add("lexical_risk_score", "domains", lexical("domains") + " SELECT domain, score, array_to_string(reasons, '|') AS reasons FROM lr")
 add("digit_swap_brands", "domains", lexical("domains") + " SELECT domain, coalesce(tok, '') AS token, swapped AS brand FROM lx")
-add("keyword_label", "domains", f"SELECT domain, {keyword_label()} AS label FROM domains")
+add("keyword_label", "cased_domains", f"SELECT domain, {keyword_label('lower(domain)')} AS label FROM cased_domains")
 VERIFIED = f""", vp AS (SELECT domain, 40 * {count('domain', L.VERIFY_STRONG)} + 20 * {count('domain', L.VERIFY_MEDIUM)}
  + 10 * {count('domain', L.VERIFY_WEAK)} + 30 * {count('domain', L.VERIFY_BRANDS)} AS pt FROM domains)
 , ver AS (SELECT domain, pt > 50 AS is_phishing, CASE WHEN pt > 50 THEN least(950, 500 + 4 * pt) ELSE least(900, 500 + 3 * (100 - pt)) END / 1000.0::DOUBLE AS confidence FROM vp)"""
-add("fallback_verify", "domains", VERIFIED + " SELECT * FROM ver")
+add("fallback_verify", "cased_domains", VERIFIED.replace("FROM domains", "FROM (SELECT lower(domain) AS domain, domain AS given FROM cased_domains)")
+    .replace("vp AS (SELECT domain,", "vp AS (SELECT domain, given,").replace("ver AS (SELECT domain,", "ver AS (SELECT given AS domain,") + " SELECT * FROM ver")
 REPLY = """, rb AS (SELECT event_id, domain, reply, regexp_extract(reply, '(?s)\\{.*\\}') AS body FROM verifier_replies)
 , rj AS (SELECT *, body <> '' AND json_valid(body) AS ok FROM rb)
 , js AS (SELECT event_id, CASE WHEN ok THEN coalesce(json_extract_string(body, '$.is_phishing')::BOOLEAN, false) END AS is_phishing,
@@ -524,8 +522,8 @@ SELECT event_id, domain, destination_ip, CASE WHEN b THEN 'phishing' WHEN a THEN
 add("logged_event_override", "detections", CLASSIFIED + " SELECT * EXCLUDE (ts) FROM ev")
 add("new_domains_only", "detections", f"""
 , nd AS (SELECT * REPLACE ('n' || (event_id % 701) || '.' || domain AS domain) FROM detections)
-, jd AS (SELECT domain FROM ({decided('nd')}) WHERE event_id % 3 = 0 AND (prediction <> 'phishing' OR blocked))
-SELECT event_id, domain FROM nd WHERE event_id % 3 <> 0 AND domain NOT IN (SELECT domain FROM jd)""")
+, jd AS (SELECT domain FROM ({decided('nd')}) WHERE hour(ts) < 6 AND (prediction <> 'phishing' OR blocked))
+SELECT event_id, domain FROM nd WHERE domain NOT IN (SELECT domain FROM jd)""")
 add("dns_first_for_domain", "dns_queries", QUERIES + """
 SELECT lower(query_domain) AS domain, * EXCLUDE (query_domain) FROM q QUALIFY row_number() OVER (PARTITION BY lower(query_domain) ORDER BY ts, event_id) = 1""")
 add("tls_first_for_ip", "tls_handshakes", HANDSHAKES + """
@@ -560,7 +558,7 @@ def reputation(source: str, not_found: str = NO_HIT) -> str:
 
 
 add("reputation_check", "domains feed_one feed_two", """
-, ext AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages WHERE page_id % 10 = 0)"""
+, ext AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages WHERE url LIKE '%.html')"""
     + reputation("domains", NO_HIT_EXTERNAL) + " SELECT * FROM repu")
 CASCADE = reputation("asked") + lexical("asked") + f"""
 , c AS (SELECT r.*, l.score, l.reasons, {listed('r.domain', L.BLOCK_LIST)} AS b, {listed('r.domain', L.ALLOW_LIST)} AS a FROM repu r JOIN lr l ON l.domain = r.domain)
@@ -585,10 +583,10 @@ add("domain_decisions", "domains", f"""
 , pr AS (SELECT domain, CASE WHEN b THEN 'phishing' ELSE 'legitimate' END AS prediction, CASE WHEN a OR b THEN 1.0::DOUBLE ELSE 0.5e0 END AS confidence FROM ls)
 , rk AS (SELECT *, {RISK} AS risk_level FROM pr) {decided('rk')}""")
 AGREEMENT = VERIFIED + f"""
-, ag AS (SELECT d.domain, {keyword_label('d.domain')} AS feed_label, CASE WHEN v.is_phishing IS NULL THEN 'unknown' WHEN v.is_phishing THEN 'phishing' ELSE 'legitimate' END AS verifier_label,
- coalesce(v.confidence, 0) AS verifier_confidence FROM domains d LEFT JOIN ver v ON v.domain = d.domain AND length(d.domain) % 10 <> 0)
+, ag AS (SELECT d.domain, {keyword_label('lower(d.domain)')} AS feed_label, CASE WHEN v.is_phishing IS NULL THEN 'unknown' WHEN v.is_phishing THEN 'phishing' ELSE 'legitimate' END AS verifier_label,
+ coalesce(v.confidence, 0) AS verifier_confidence FROM cased_domains d LEFT JOIN ver v ON v.domain = d.domain)
 , agr AS (SELECT *, feed_label = verifier_label AS match, (verifier_label = 'phishing')::INT AS label FROM ag)"""
-add("label_agreement", "domains", AGREEMENT + " SELECT * FROM agr")
+add("label_agreement", "cased_domains", AGREEMENT + " SELECT * FROM agr")
 
 # --- aggregations -------------------------------------------------------------------------------
 add("domain_query_stats", "dns_queries", QUERIES + """
@@ -616,7 +614,7 @@ add("confidence_histogram", "detections", """
 SELECT bin, count(d.event_id) AS detections FROM bins LEFT JOIN detections d ON d.prediction = 'phishing' AND d.confidence >= lo::DOUBLE AND d.confidence < hi::DOUBLE GROUP BY 1""")
 add("class_distribution", "detections", "SELECT prediction, count(*) AS records, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM detections GROUP BY 1")
 add("share_of_total", "domains", f"SELECT {keyword_label()} AS label, count(*) AS records, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM domains GROUP BY 1")
-add("match_rate", "domains", AGREEMENT + """
+add("match_rate", "cased_domains", AGREEMENT + """
 SELECT coalesce(feed_label, 'all') AS feed_label, count(*) AS domains, count(*) FILTER (match) AS matches, round(avg(match::INT), 6) AS rate FROM agr GROUP BY ROLLUP (feed_label)""")
 add("verification_accuracy", "domains", VERIFIED + f"""
 SELECT count(*) AS domains, count(*) FILTER (is_phishing = ({keyword_label()} = 'phishing')) AS correct,
@@ -630,7 +628,7 @@ add("capture_summary", "dns_queries tls_handshakes http_payloads", QUERIES + HAN
 SELECT kind, count(*) AS names, sum(n)::BIGINT AS sightings, max(n) AS most_seen FROM (SELECT kind, name, count(*) AS n FROM seen GROUP BY ALL) GROUP BY 1""")
 add("feedback_accuracy", "detections feedback", """
 SELECT count(*) AS rated, count(*) FILTER (was_correct) AS correct, round(avg(was_correct::INT), 6) AS accuracy
-FROM feedback WHERE event_id IN (SELECT event_id FROM detections WHERE event_id % 5 <> 0)""")
+FROM feedback WHERE event_id IN (SELECT event_id FROM detections)""")
 add("handshakes_by_endpoint", "tls_handshakes", HANDSHAKES + """
 SELECT dst_ip || ':' || dst_port AS endpoint, count(*) AS handshakes, count(DISTINCT sni) AS server_names, min(ts) AS first_seen, max(ts) AS last_seen FROM h GROUP BY 1""")
 add("feed_stats", "feed_urls", f"""
@@ -696,7 +694,7 @@ SELECT domain, CASE WHEN {keyword_label()} = 'legitimate' THEN 0 ELSE 1 END AS l
  round({entropy("split_part(domain, '.', 1)")}, 6) AS label_entropy FROM domains""")
 add("label_index", "domains", f"""
 SELECT domain, CASE WHEN length(domain) % 4 = 0 THEN 0 WHEN length(domain) % 4 = 1 THEN 1 WHEN {keyword_label()} = 'legitimate' THEN 0 ELSE 1 END AS label FROM domains""")
-RANKED = """, k AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR), doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM scored)"""
+RANKED = """, k AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM scored)"""
 add("stratified_split", "scored", RANKED + " SELECT doc_id, label, CASE WHEN rn <= floor(n * 0.8 + 0.5) THEN 'train' ELSE 'test' END AS split FROM k")
 add("kfold_assign", "scored", RANKED + " SELECT doc_id, label, ((rn - 1) % 5)::INT AS fold FROM k")
 MATRIX = """SELECT count(*) FILTER (label = 0 AND score < {t}) AS tn, count(*) FILTER (label = 0 AND score >= {t}) AS fp,
@@ -707,11 +705,11 @@ SELECT *, round((tn + tp) / (tn + fp + fn + tp), 6) AS accuracy, round(coalesce(
  round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
  round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS false_positive_rate, round(coalesce(fn / nullif(fn + tp, 0), 0), 6) AS false_negative_rate FROM m""")
 add("roc_auc", "scored", """
-, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM scored)
+, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM scored WHERE score IS NOT NULL AND label IS NOT NULL)
 , s AS (SELECT sum(rk) FILTER (label = 1) AS rs, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM r)
 SELECT round((rs - p * (p + 1) / 2.0) / (p * n), 6) AS roc_auc FROM s""")
 add("roc_curve", "scored", """
-, g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM scored GROUP BY 1)
+, g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM scored WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY 1)
 SELECT round(score, 6) AS threshold, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr FROM g
 WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 add("model_ranking", "scored", ", m AS (" + " UNION ALL ".join(

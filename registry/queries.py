@@ -98,8 +98,7 @@ def http_host_inventory(v):
 
 def event_log(v: Views) -> DataFrame:
     """Decisions over the detections view in log form."""
-    d = v.detections.filter("event_id % 3 <> 0 OR event_id % 2 = 0")
-    risk = d.withColumn("risk_level", policy.risk_level(F.col("prediction"), F.col("confidence")))
+    risk = v.detections.withColumn("risk_level", policy.risk_level(F.col("prediction"), F.col("confidence")))
     return verdicts.decide(risk).withColumn("source", F.when(F.col("event_id") % 6 == 0, F.lit("api_check")))
 
 
@@ -151,8 +150,8 @@ def feed_hosts(v):
 
 @query
 def feed_domains_netloc(v):
-    lower = logs.feed_domains_netloc(v.feed_urls, "entry", 100).withColumn("variant", F.lit("any"))
-    dotted = logs.feed_domains_netloc(v.feed_urls, "entry", 100, require_dot=True).withColumn("variant", F.lit("dotted"))
+    lower = logs.feed_domains_netloc(v.feed_urls).withColumn("variant", F.lit("any"))
+    dotted = logs.feed_domains_netloc(v.feed_urls, require_dot=True).withColumn("variant", F.lit("dotted"))
     return lower.unionByName(dotted)
 
 
@@ -387,7 +386,7 @@ def digit_swap_brands(v):
 
 @query
 def keyword_label(v):
-    return v.domains.select("domain", lexical.keyword_label(F.col("domain")).alias("label"))
+    return v.cased_domains.select("domain", lexical.keyword_label(F.col("domain")).alias("label"))
 
 
 def verified(v: Views) -> DataFrame:
@@ -396,7 +395,7 @@ def verified(v: Views) -> DataFrame:
 
 @query
 def fallback_verify(v):
-    return verified(v)
+    return v.cased_domains.select("domain", lexical.fallback_verify("domain").alias("v")).select("domain", "v.*")
 
 
 @query
@@ -407,13 +406,13 @@ def verifier_json_parse(v):
 
 @query
 def verifier_text_parse(v):
-    parsed = v.verifier_replies.select("event_id", lexical.parse_reply_text(F.col("reply")).alias("p"))
+    parsed = v.verifier_replies.select("event_id", lexical.parse_reply_text(F.col("reply"), 100).alias("p"))
     return parsed.select("event_id", "p.*")
 
 
 @query
 def verifier_verdict(v):
-    judged = v.verifier_replies.select("event_id", lexical.verify_reply("domain", F.col("reply")).alias("p"))
+    judged = v.verifier_replies.select("event_id", lexical.verify_reply("domain", F.col("reply"), 100).alias("p"))
     return judged.select("event_id", "p.*")
 
 
@@ -497,8 +496,8 @@ def logged_event_override(v):
 @query
 def new_domains_only(v):
     named = v.detections.withColumn("domain", F.concat(F.lit("n"), (F.col("event_id") % 701).cast("string"), F.lit("."), F.col("domain")))
-    judged = verdicts.decide(named).filter("event_id % 3 = 0")
-    return matching.new_domains_only(named.filter("event_id % 3 <> 0"), judged).select("event_id", "domain")
+    judged = verdicts.decide(named).filter("hour(ts) < 6")  # what the decisions of the night have settled
+    return matching.new_domains_only(named, judged).select("event_id", "domain")
 
 
 @query
@@ -523,7 +522,7 @@ def domain_ip_map(v):
 
 @query
 def dns_to_tls_delay(v):
-    return rounded(features.dns_to_tls_delay(handshakes_of(v), queries_of(v), length=HOUR).select("event_id", "dns_to_tls_delay"))
+    return rounded(features.dns_to_tls_delay(handshakes_of(v), queries_of(v), rows=SLICE_ROWS).select("event_id", "dns_to_tls_delay"))
 
 
 @query
@@ -533,7 +532,7 @@ def typosquat_match(v):
 
 @query
 def reputation_check(v):
-    external = v.pages.filter("page_id % 10 = 0").select(
+    external = v.pages.filter("url LIKE '%.html'").select(
         F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"), F.lit("MALWARE").alias("threat_type")
     )
     return verdicts.reputation_check(v.domains, "domain", v.feeds, external)
@@ -562,9 +561,9 @@ def domain_decisions(v):
 
 
 def agreement(v: Views) -> DataFrame:
-    labels = v.domains.withColumn("feed_label", lexical.keyword_label(F.col("domain")))
-    reached = verified(v).filter(F.length("domain") % 10 != 0)
-    return verdicts.label_agreement(labels, reached)
+    """The labels also name hosts that no verifier has reached."""
+    labels = v.cased_domains.withColumn("feed_label", lexical.keyword_label(F.col("domain")))
+    return verdicts.label_agreement(labels, verified(v))
 
 
 @query
@@ -656,7 +655,7 @@ def run_summary(v):
 
 @query
 def feedback_accuracy(v):
-    return rounded(reports.feedback_accuracy(v.detections.filter("event_id % 5 <> 0"), v.feedback))
+    return rounded(reports.feedback_accuracy(v.detections, v.feedback))
 
 
 @query
@@ -675,24 +674,25 @@ def feed_stats(v):
 
 # Windows below cut time into hours, so that the comparison crosses many slices; flow_stats, connection_ordinal and
 # connection_features let the table decide.
-HOUR = 3600
+#: Keys with more rows are cut, so that the small test tables have heavy keys, too.
+SLICE_ROWS = 100
 
 
 # --- windows ------------------------------------------------------------------------------------
 @query
 def inter_packet_gaps(v):
-    gaps = features.inter_packet_gaps(packets_of(v), keys=("src_ip", "dst_ip"), length=HOUR)
+    gaps = features.inter_packet_gaps(packets_of(v), keys=("src_ip", "dst_ip"), rows=SLICE_ROWS)
     return rounded(gaps.select("event_id", "seq", "gap_seconds"))
 
 
 @query
 def running_query_stats(v):
-    return rounded(features.running_query_stats(queries_of(v), length=HOUR).select("event_id", "query_frequency", "ttl_variance"), 4)
+    return rounded(features.running_query_stats(queries_of(v), rows=SLICE_ROWS).select("event_id", "query_frequency", "ttl_variance"), 4)
 
 
 @query
 def first_connection_flag(v):
-    return features.first_connection_flag(handshakes_of(v), length=HOUR).select("event_id", "is_first_connection_to_domain")
+    return features.first_connection_flag(handshakes_of(v), rows=SLICE_ROWS).select("event_id", "is_first_connection_to_domain")
 
 
 @query
@@ -702,7 +702,7 @@ def connection_ordinal(v):
 
 @query
 def concurrent_connections(v):
-    return features.concurrent_connections(handshakes_of(v).withColumn("src_ip", F.substring_index("src_ip", ".", 3)), length=HOUR).select(
+    return features.concurrent_connections(handshakes_of(v).withColumn("src_ip", F.substring_index("src_ip", ".", 3)), rows=SLICE_ROWS).select(
         "event_id", "concurrent_connections"
     )
 

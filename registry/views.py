@@ -71,7 +71,8 @@ class Views:
 
     @property
     def tls_handshakes(self) -> DataFrame:
-        return self.dns_queries.filter("qr = 0 AND event_id % 3 <> 0").selectExpr(
+        """A handshake follows every query for an address."""
+        return self.dns_queries.filter("qr = 0 AND qtype IN (1, 28)").selectExpr(
             "event_id", "ts + (event_id % 5) * INTERVAL '1' SECOND AS ts", "src_ip", "dst_ip",
             "cast(40000 + event_id % 20000 AS int) AS src_port",
             "CASE event_id % 11 WHEN 0 THEN 8443 WHEN 1 THEN 8080 ELSE 443 END AS dst_port",
@@ -165,6 +166,13 @@ class Views:
         hosts = self.pages.select(F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("domain"))
         return fixed.unionByName(hosts).unionByName(self.lookalikes).distinct()
 
+    @property
+    def cased_domains(self) -> DataFrame:
+        """Names in mixed case, too."""
+        upper = self.lookalikes.select(F.upper("domain").alias("domain"))
+        mixed = self.spark.createDataFrame([(f"PayPal-{d}",) for d in DOMAINS], "domain string")
+        return self.domains.unionByName(upper).unionByName(mixed).distinct()
+
     @property
     def feed_urls(self) -> DataFrame:
         """URLs of a published feed, numbered in feed order."""
@@ -173,15 +181,15 @@ class Views:
             f"CASE WHEN event_id % 5 = 0 THEN {_pick(DOMAINS, 'event_id % 4')} "
             f"ELSE concat('HTTPS://', upper({_pick(DOMAINS, '8 + event_id % 16')}), ':443/login?u=', cast(user_id AS string)) END AS url",
         )
-        return self.pages.filter("page_id % 3 = 0").selectExpr("2 * page_id AS entry", "url").unionByName(shout)
+        return self.pages.selectExpr("2 * page_id AS entry", "url").unionByName(shout)
 
     @property
     def feeds(self) -> list[DataFrame]:
-        """Two host feeds: generated look-alikes and page hosts."""
+        """Two host feeds: generated look-alikes, and the page hosts below example.net."""
         first = self.lookalikes.filter("domain LIKE '%-login-%' OR domain LIKE '%0.top'").selectExpr("domain AS host").distinct()
-        second = self.pages.filter("page_id % 3 = 0").select(
+        second = self.pages.select(
             F.lower(F.regexp_extract("url", r"^[a-z]+://(?:[a-z]+\.)?([^/:?#.]+\.example\.[a-z]+)", 1)).alias("host")
-        ).filter("host <> ''").distinct()
+        ).filter("host LIKE '%.net'").distinct()
         return [first, second]
 
     @property
@@ -237,13 +245,17 @@ class Views:
 
     @property
     def scored(self) -> DataFrame:
+        """Scored rows, some without a score, a label or an id, and some at the ends of the scale."""
         return self.table("labels").selectExpr(
-            "doc_id", "quality AS label", "cast((doc_id * 31 + quality * 20) % 97 AS double) / 97 AS score"
+            "CASE WHEN doc_id % 37 = 3 THEN NULL ELSE doc_id END AS doc_id", "CASE WHEN doc_id % 43 = 7 THEN NULL ELSE quality END AS label",
+            "CASE doc_id % 41 WHEN 5 THEN NULL WHEN 6 THEN 1.0D WHEN 7 THEN 0.0D "
+            "ELSE cast((doc_id * 31 + quality * 20) % 97 AS double) / 97 END AS score",
         )
 
     @property
     def feedback(self) -> DataFrame:
-        return self.events.filter("event_id % 7 = 0").selectExpr("event_id", "event_id % 3 <> 0 AS was_correct")
+        """Ratings, half of them for events that were never seen."""
+        return self.events.selectExpr("2 * event_id AS event_id", "event_id % 3 <> 0 AS was_correct")
 
     @property
     def list_actions(self) -> DataFrame:
@@ -279,7 +291,7 @@ SELECT event_id, ts + (event_id % 5) * INTERVAL '1' SECOND AS ts, src_ip, dst_ip
  CASE event_id % 13 WHEN 0 THEN cast(NULL AS string) WHEN 1 THEN 'cdn.example.net' ELSE query_domain END AS sni,
  CASE event_id % 5 WHEN 0 THEN 'TLS 1.0' WHEN 1 THEN 'TLS 1.1' WHEN 2 THEN cast(NULL AS string) WHEN 3 THEN 'TLS 1.2' ELSE 'TLS 1.3' END AS tls_version,
  cast(200 + event_id % 400 AS int) AS packet_size, query_domain
-FROM dns_queries WHERE qr = 0 AND event_id % 3 <> 0""",
+FROM dns_queries WHERE qr = 0 AND qtype IN (1, 28)""",
     "flow_packets": """
 SELECT q.event_id, k.seq, q.ts + k.seq * INTERVAL '1' SECOND AS ts, q.src_ip, q.dst_ip, cast(40000 + q.event_id % 20000 AS int) AS src_port,
  CASE q.event_id % 11 WHEN 0 THEN 8443 ELSE 443 END AS dst_port,
@@ -325,14 +337,14 @@ JOIN (VALUES {_rows(LOOK_TLDS)}) AS t(i, v) ON t.i = (e.event_id % 7) % 4""",
 SELECT domain FROM domain_dim UNION SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) FROM pages
 UNION SELECT domain FROM lookalikes""",
     "feed_urls": """
-SELECT 2 * page_id AS entry, url FROM pages WHERE page_id % 3 = 0
+SELECT 2 * page_id AS entry, url FROM pages
 UNION ALL SELECT 2 * e.event_id + 1, CASE WHEN e.event_id % 5 = 0 THEN a.domain
  ELSE concat('HTTPS://', upper(b.domain), ':443/login?u=', cast(e.user_id AS string)) END
 FROM events e JOIN domain_dim a ON a.i = e.event_id % 4 JOIN domain_dim b ON b.i = 8 + e.event_id % 16""",
     "feed_one": "SELECT DISTINCT domain AS host FROM lookalikes WHERE domain LIKE '%-login-%' OR domain LIKE '%0.top'",
     "feed_two": r"""
 SELECT DISTINCT host FROM (SELECT lower(regexp_extract(url, '^[a-z]+://(?:[a-z]+\.)?([^/:?#.]+\.example\.[a-z]+)', 1)) AS host
- FROM pages WHERE page_id % 3 = 0) h WHERE host <> ''""",
+ FROM pages) h WHERE host LIKE '%.net'""",
     "hello_payloads": """
 SELECT event_id, ts, query_domain, CASE event_id % 10 WHEN 1 THEN '160301' WHEN 2 THEN concat('16030100ff02', repeat('00', 60))
  ELSE concat('16030100ff01', repeat('ff', 37), '0000', lpad(hex(length(query_domain) + 5), 4, '0'), lpad(hex(length(query_domain) + 3), 4, '0'),
@@ -358,8 +370,11 @@ SELECT e.event_id, CASE e.event_id % 9 WHEN 0 THEN concat(' HTTPS://', upper(d.d
  WHEN 6 THEN concat('http://[::1]:', cast(e.user_id AS string), '/') WHEN 7 THEN concat('https://', d.domain, '?q=http://a/b')
  ELSE concat('bad_host', cast(e.user_id AS string), '.com') END AS url
 FROM events e JOIN domain_dim d ON d.i = (e.event_id * 7 + e.user_id) % 24""",
-    "scored": "SELECT doc_id, quality AS label, cast((doc_id * 31 + quality * 20) % 97 AS double) / 97 AS score FROM labels",
-    "feedback": "SELECT event_id, event_id % 3 <> 0 AS was_correct FROM events WHERE event_id % 7 = 0",
+    "scored": """
+SELECT CASE WHEN doc_id % 37 = 3 THEN NULL ELSE doc_id END AS doc_id, CASE WHEN doc_id % 43 = 7 THEN NULL ELSE quality END AS label,
+ CASE doc_id % 41 WHEN 5 THEN NULL WHEN 6 THEN 1.0 WHEN 7 THEN 0.0 ELSE cast((doc_id * 31 + quality * 20) % 97 AS double) / 97 END::DOUBLE AS score FROM labels""",
+    "cased_domains": "SELECT domain FROM domains UNION SELECT upper(domain) FROM lookalikes UNION SELECT 'PayPal-' || domain FROM domain_dim",
+    "feedback": "SELECT 2 * event_id AS event_id, event_id % 3 <> 0 AS was_correct FROM events",
     "list_actions": """
 SELECT e.event_id, e.ts, concat('u', cast(e.user_id AS string), '.', d.domain) AS domain, '127.0.0.1' AS ip,
  CASE WHEN e.event_id % 3 = 0 THEN 'unblocked' ELSE 'blocked' END AS action
@@ -371,7 +386,7 @@ DEPENDS = {
     "browser_urls": ["domain_dim"], "hosts_lines": ["domain_dim"], "domains": ["domain_dim", "lookalikes"],
     "feed_urls": ["domain_dim"], "feed_one": ["lookalikes"], "hello_payloads": ["dns_queries"],
     "http_payloads": ["dns_queries"], "verifier_replies": ["domain_dim"], "noisy_names": ["domain_dim"],
-    "urls": ["domain_dim"], "list_actions": ["domain_dim"],
+    "urls": ["domain_dim"], "list_actions": ["domain_dim"], "cased_domains": ["domains"],
 }
 
 

@@ -9,7 +9,7 @@ import pytest
 from threatspark.operators import features, running
 
 START = datetime.datetime(2024, 1, 1)
-SLICE = 20  # seconds
+ROWS = 20  # more rows of a key are cut
 KEYS = ("a", "b", None, "hot")
 
 
@@ -36,17 +36,16 @@ def by_id(df, column):
     return {r["id"]: r[column] for r in df.select("id", column).collect()}
 
 
-def test_row_number_and_total(frame, rows):
-    df = running.row_number(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts", SLICE), "rn", total="n")
-    got, total = by_id(df, "rn"), by_id(df, "n")
+def test_row_number(frame, rows):
+    df = running.row_number(frame, ["key"], ["ts", "id"], "rn", ROWS)
+    got = by_id(df, "rn")
     for key in KEYS:
         seq = ordered(rows, key)
         assert [got[r[0]] for r in seq] == list(range(1, len(seq) + 1))
-        assert {total[r[0]] for r in seq} == {len(seq)}
 
 
 def test_running_variance(frame, rows):
-    df = running.running_count_variance(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts", SLICE), "v", "n", "var")
+    df = running.running_count_variance(frame, ["key"], ["ts", "id"], "v", "n", "var", ROWS)
     count, variance = by_id(df, "n"), by_id(df, "var")
     for key in KEYS:
         seq = ordered(rows, key)
@@ -57,7 +56,7 @@ def test_running_variance(frame, rows):
 
 
 def test_gaps(frame, rows):
-    got = by_id(running.seconds_since_previous(frame, ["key"], "ts", ["ts", "id"], "gap", SLICE), "gap")
+    got = by_id(running.seconds_since_previous(frame, ["key"], ["ts", "id"], "gap", ROWS), "gap")
     for key in KEYS:
         seq = ordered(rows, key)
         assert got[seq[0][0]] is None
@@ -65,23 +64,18 @@ def test_gaps(frame, rows):
             assert got[r[0]] == pytest.approx((r[2] - last[2]).total_seconds())
 
 
-@pytest.mark.parametrize("seconds", [5, 20])
+@pytest.mark.parametrize("seconds", [5, 20, 300])
 def test_count_in_last_seconds(frame, rows, seconds):
-    got = by_id(running.count_in_last_seconds(frame, ["key"], "ts", seconds, "n", SLICE), "n")
+    got = by_id(running.count_in_last_seconds(frame, ["key"], "ts", seconds, "n", ROWS), "n")
     for r in rows:
         near = [x for x in rows if x[1] == r[1] and 0 <= (r[2] - x[2]).total_seconds() <= seconds]
         assert got[r[0]] == len(near)
 
 
-def test_count_needs_long_slices(frame):
-    with pytest.raises(ValueError, match="slice"):
-        running.count_in_last_seconds(frame, ["key"], "ts", 60, "n", SLICE)
-
-
 def test_latest_before(spark, frame, rows):
     right = [r for r in rows if r[3] % 5 == 0]
     seen = spark.createDataFrame([(r[1], r[2]) for r in right], "key string, ts timestamp")
-    got = by_id(running.latest_before(frame, seen, ["key"], "ts", "asked", SLICE), "asked")
+    got = by_id(running.latest_before(frame, seen, ["key"], "ts", "asked", ROWS), "asked")
     for r in rows:
         earlier = [x[2] for x in right if r[1] is not None and x[1] == r[1] and x[2] <= r[2]]
         assert got[r[0]] == (max(earlier) if earlier else None)
@@ -102,30 +96,62 @@ def test_single_packet_flow(spark):
     assert (r.packet_size_std, r.inter_packet_timing_mean, r.flow_duration, r.packets_per_second) == (0.0, 0.0, 0.0, 0.0)
 
 
-def test_slices_follow_the_density_of_the_table(frame, rows, monkeypatch):
-    """The same result whatever the slice length, and short slices for a dense table."""
-    whole = by_id(features.running.row_number(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts"), "rn"), "rn")
-    assert frame.select(running.time_slice(frame, "ts").alias("s")).distinct().count() <= 2
-    monkeypatch.setattr(running, "ROWS_PER_SLICE", 25)
-    assert frame.select(running.time_slice(frame, "ts").alias("s")).distinct().count() >= 16
-    assert by_id(running.row_number(frame, ["key"], ["ts", "id"], running.time_slice(frame, "ts"), "rn"), "rn") == whole
-    n = by_id(running.count_in_last_seconds(frame, ["key"], "ts", 5, "n"), "n")
-    assert n == by_id(running.count_in_last_seconds(frame, ["key"], "ts", 5, "n", 900), "n")
+def sizes(df, rows):
+    """Rows of each slice."""
+    order = ["ts", "id"]
+    position = running.time_position(df, order)
+    slices = running.RowSlices(df, ["key"], position, rows)
+    return [r["count"] for r in slices.pack(df, ["key"], position).groupBy(running.KEYS, running.SLICE).count().collect()]
+
+
+@pytest.mark.parametrize("kind", ["one wrong clock", "a burst", "no times", "one second", "even"])
+def test_slices_hold_at_most_twice_the_target(spark, kind):
+    n, rng = 600, random.Random(1)
+    at = {
+        "one wrong clock": lambda i: datetime.datetime(1970, 1, 1) if i == 0 else START + datetime.timedelta(seconds=i),
+        "a burst": lambda i: START + datetime.timedelta(seconds=i if i < 10 else 3600 * 24 * 300, microseconds=rng.randrange(10**6)),
+        "no times": lambda i: None,
+        "one second": lambda i: START + datetime.timedelta(microseconds=rng.randrange(10**6)),
+        "even": lambda i: START + datetime.timedelta(seconds=i % 50, milliseconds=i),
+    }[kind]
+    # ids are far apart, as rows without a time are placed by them
+    rows = [(i * 3_000_000, "hot", at(i), i) for i in range(n)] + [(-1 - i, "b", START, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp, v int")
+    assert max(sizes(df, 40)) <= 80 and len(sizes(df, 40)) > 8
+    order = ["ts", "id"]
+    pairs = [
+        (by_id(running.row_number(df, ["key"], order, "x", 40), "x"), by_id(running.row_number(df, ["key"], order, "x"), "x")),
+        (by_id(running.seconds_since_previous(df, ["key"], order, "x", 40), "x"), by_id(running.seconds_since_previous(df, ["key"], order, "x"), "x")),
+        (by_id(running.count_in_last_seconds(df, ["key"], "ts", 9, "x", 40), "x"), by_id(running.count_in_last_seconds(df, ["key"], "ts", 9, "x"), "x")),
+        (by_id(running.latest_before(df, df.filter("v % 3 = 0"), ["key"], "ts", "x", 40), "x"), by_id(running.latest_before(df, df.filter("v % 3 = 0"), ["key"], "ts", "x"), "x")),
+    ]
+    for cut, plain in pairs:
+        assert cut == plain
+
+
+def test_variance_of_large_values(spark):
+    rows = [(i, "a", START + datetime.timedelta(seconds=i), 1e9 + (i * 7) % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp, v double")
+    for target in (None, 15):
+        got = by_id(running.running_count_variance(df, ["key"], ["ts", "id"], "v", "n", "var", target), "var")
+        for i in (1, 50, 199):
+            assert got[i] == pytest.approx(statistics.variance([r[3] for r in rows[: i + 1]]), rel=1e-6)
 
 
 def test_rows_without_a_time_or_a_key_are_kept(spark, frame):
     odd = spark.createDataFrame([(1000, "hot", None, 1), (1001, None, None, 2), (1002, "a", None, 3)], frame.schema)
     df = frame.unionByName(odd)
     ids = sorted(r.id for r in df.select("id").collect())
-    ranked = running.row_number(df, ["key"], ["ts", "id"], running.time_slice(df, "ts", SLICE), "rn")
-    assert sorted(r.id for r in ranked.collect()) == ids
-    assert by_id(ranked, "rn")[1000] == 1
     seen = frame.select("key", "ts")
-    for out in (
-        running.seconds_since_previous(df, ["key"], "ts", ["ts", "id"], "x", SLICE),
-        running.count_in_last_seconds(df, ["key"], "ts", 5, "x", SLICE),
-        running.latest_before(df, seen, ["key"], "ts", "x", SLICE),
-        running.running_count_variance(df, ["key"], ["ts", "id"], running.time_slice(df, "ts", SLICE), "v", "x", "y"),
-    ):
-        assert sorted(r.id for r in out.collect()) == ids
-        assert out.columns[:4] == df.columns
+    for rows in (None, ROWS):
+        ranked = running.row_number(df, ["key"], ["ts", "id"], "rn", rows)
+        assert sorted(r.id for r in ranked.collect()) == ids
+        assert by_id(ranked, "rn")[1000] == 1
+        for out in (
+            running.seconds_since_previous(df, ["key"], ["ts", "id"], "x", rows),
+            running.count_in_last_seconds(df, ["key"], "ts", 5, "x", rows),
+            running.latest_before(df, seen, ["key"], "ts", "x", rows),
+            running.running_count_variance(df, ["key"], ["ts", "id"], "v", "x", "y", rows),
+        ):
+            assert sorted(r.id for r in out.collect()) == ids
+            assert out.columns[:4] == df.columns

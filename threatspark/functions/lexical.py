@@ -26,13 +26,18 @@ def ends_with_any(text: Column, endings: tuple[str, ...]) -> Column:
     return text.rlike("(" + "|".join(re.escape(e) for e in endings) + r")\z")
 
 
+def literal(word: str) -> str:
+    """A word as SQL text."""
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def count_hits(column: str, words: tuple[str, ...]) -> Column:
     """How many of the words occur in the column."""
-    return F.expr(" + ".join(f"CAST(contains({column}, '{w}') AS INT)" for w in words))
+    return F.expr(" + ".join(f"CAST(contains({column}, {literal(w)}) AS INT)" for w in words))
 
 
 def _each_hit(column: str, words: tuple[str, ...]) -> str:
-    return ", ".join(f"CASE WHEN contains({column}, '{w}') THEN '{w}' END" for w in sorted(words))
+    return ", ".join(f"CASE WHEN contains({column}, {literal(w)}) THEN {literal(w)} END" for w in sorted(words))
 
 
 def first_hit(column: str, words: tuple[str, ...]) -> Column:
@@ -155,7 +160,8 @@ def keyword_label(
     phishing: tuple[str, ...] = L.FEED_FALLBACK,
     legitimate: tuple[str, ...] = L.LABEL_LEGITIMATE,
 ) -> Column:
-    """Training label: exact lists first, then keywords."""
+    """Training label of a name in any case: exact lists first, then keywords."""
+    domain = F.lower(domain)
     return (
         F.when(domain.isin(*phishing), "phishing")
         .when(domain.isin(*legitimate), "legitimate")
@@ -165,7 +171,8 @@ def keyword_label(
 
 
 def fallback_verify(domain: str) -> Column:
-    """struct(is_phishing, confidence) of the weighted word-count verifier, in exact hundredths."""
+    """struct(is_phishing, confidence) of the weighted word-count verifier for a name in any case, in exact hundredths."""
+    domain = f"lower({domain})"
     points = (
         40 * count_hits(domain, L.VERIFY_STRONG)
         + 20 * count_hits(domain, L.VERIFY_MEDIUM)
@@ -204,18 +211,18 @@ def parse_reply_json(reply: Column, default_reason: str = L.REPLY_DEFAULT_REASON
     )
 
 
-def parse_reply_text(reply: Column) -> Column:
-    """struct(is_phishing, confidence, reasoning) from indicator words of a free-text reply."""
+def parse_reply_text(reply: Column, reasoning_chars: int | None = None) -> Column:
+    """struct(is_phishing, confidence, reasoning) from indicator words of a free-text reply, which is the reasoning."""
     text = F.lower(reply)
     certain = has_any(text, L.REPLY_PHISHING_WORDS + L.REPLY_LEGITIMATE_WORDS)
     return F.struct(
         has_any(text, L.REPLY_PHISHING_WORDS).alias("is_phishing"),
         F.when(certain, 0.7).otherwise(0.5).alias("confidence"),
-        F.substring(reply, 1, 100).alias("reasoning"),
+        (reply if reasoning_chars is None else F.substring(reply, 1, reasoning_chars)).alias("reasoning"),
     )
 
 
-def verify_reply(domain: str, reply: Column) -> Column:
+def verify_reply(domain: str, reply: Column, reasoning_chars: int | None = None) -> Column:
     """One verdict per reply: JSON when readable, free text when the JSON is broken, word counts without any reply."""
     fallback = fallback_verify(domain)
     counted = F.struct(
@@ -224,7 +231,7 @@ def verify_reply(domain: str, reply: Column) -> Column:
         F.lit(L.FALLBACK_REASON).alias("reasoning"),
     )
     return F.when(F.coalesce(reply_body(reply), F.lit("")) == "", counted).otherwise(
-        F.coalesce(parse_reply_json(reply), parse_reply_text(reply))
+        F.coalesce(parse_reply_json(reply), parse_reply_text(reply, reasoning_chars))
     )
 
 

@@ -44,7 +44,8 @@ def alert_severity(prediction: Column, confidence: Column, policy: DecisionPolic
 
 
 def percent(value: Column) -> Column:
-    return F.format_string("%.2f%%", value * 100)
+    """Two places, halves to even."""
+    return F.format_string("%.2f%%", F.bround(value * 100, 2))
 
 
 def decision(prediction: Column, confidence: Column, policy: DecisionPolicy = DecisionPolicy()) -> Column:

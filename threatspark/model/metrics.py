@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatspark.operators import running
 from threatspark.operators.reports import share
 
-SCORE_SLICES = 65536
+#: Scores are first counted in stretches of this width, then cut where the distinct scores are.
+SCORE_WIDTH = 1 / 65536
 
 
 def confusion_matrix(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
@@ -37,36 +38,38 @@ def binary_metrics(scored: DataFrame, threshold: float = 0.5, by: Sequence[str]
     })
 
 
+def judged(scored: DataFrame) -> DataFrame:
+    return scored.filter(F.col("score").isNotNull() & F.col("label").isNotNull())
+
+
 def _by_score(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    return scored.groupBy(*by, "score").agg(
+    """Positives and negatives of each score; rows without a score or a label are left out, as from every count."""
+    return judged(scored).groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
 
 
-def _slice(score: Column) -> Column:
-    return F.floor(score * SCORE_SLICES)
-
-
-def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(scored: DataFrame, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Exact area under the ROC curve with tied scores averaged.
 
     Rows are first folded to distinct scores; each positive then counts the negatives below it plus half of its ties.
     """
     steps = running.running_sums(
-        _by_score(scored, by), list(by), ["score"], _slice(F.col("score")), {"neg_so_far": F.col("neg")}
+        _by_score(scored, by), list(by), ["score"], F.col("score").cast("double"), {"neg_so_far": F.col("neg")},
+        rows=rows, width=SCORE_WIDTH,
     )
     won = F.sum(F.col("pos") * (F.col("neg_so_far") - F.col("neg") / 2))
     sums = steps.groupBy(*by).agg(won.alias("_won"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     return sums.select(*by, share(F.col("_won"), F.col("_pos") * F.col("_neg")).alias("roc_auc"))
 
 
-def roc_curve(scored: DataFrame) -> DataFrame:
+def roc_curve(scored: DataFrame, rows: int | None = None) -> DataFrame:
     """False and true positive rate at each distinct score, taken as threshold from high to low."""
     steps = running.running_sums(
-        _by_score(scored, ()), [], [F.col("score").desc()], _slice(F.col("score")),
-        {"fp": F.col("neg"), "tp": F.col("pos")}, descending=True,
+        _by_score(scored, ()), [], [F.col("score").desc()], F.col("score").cast("double"),
+        {"fp": F.col("neg"), "tp": F.col("pos")}, descending=True, rows=rows, width=SCORE_WIDTH,
     )
-    total = scored.agg(
+    total = judged(scored).agg(
         F.struct(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     ).scalar()
     return steps.select(

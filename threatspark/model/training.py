@@ -69,7 +69,7 @@ def _class_rank(df: DataFrame, label: str, row_id: str, name: str) -> DataFrame:
     digest prefix so that no task sees a whole class."""
     keyed = df.withColumn("_digest", F.md5(F.col(row_id).cast("string")))
     by_digest = running.hash_slice(F.col("_digest"))
-    ranked = running.row_number(keyed, [label], ["_digest", row_id], by_digest, name, total="_size")
+    ranked = running.ranked(keyed, [label], ["_digest", row_id], by_digest, name, total="_size")
     return ranked.drop("_digest")
 
 

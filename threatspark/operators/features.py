@@ -100,29 +100,28 @@ def domain_query_stats(queries: DataFrame) -> DataFrame:
     return queries.groupBy(F.lower("query_domain").alias("domain")).agg(*query_stats())
 
 
-def running_query_stats(queries: DataFrame, order: Sequence[str] = ARRIVAL, length: running.Length = None) -> DataFrame:
+def running_query_stats(queries: DataFrame, order: Sequence[str] = ARRIVAL, rows: int | None = None) -> DataFrame:
     """Per query: how often its name was asked so far and the ttl variance so far."""
     named = queries.withColumn("domain", F.lower("query_domain"))
-    cut = running.time_slice(named, order[0], length)
-    return running.running_count_variance(named, ["domain"], order, cut, "ttl", "query_frequency", "ttl_variance")
+    return running.running_count_variance(named, ["domain"], order, "ttl", "query_frequency", "ttl_variance", rows)
 
 
 def inter_packet_gaps(
-    packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL, length: running.Length = None
+    packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL, rows: int | None = None
 ) -> DataFrame:
     """Seconds since the previous packet of the flow, in arrival order."""
-    return running.seconds_since_previous(packets, keys, order[0], order, "gap_seconds", length)
+    return running.seconds_since_previous(packets, keys, order, "gap_seconds", rows)
 
 
 def flow_stats(
-    packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL, length: running.Length = None
+    packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL, rows: int | None = None
 ) -> DataFrame:
     """Size, timing and volume statistics per flow.
 
     The gaps come from sliced windows and the statistics from one aggregation with map-side combine, so a flow may hold
     any share of the packets.
     """
-    gaps = inter_packet_gaps(packets, keys, order, length)
+    gaps = inter_packet_gaps(packets, keys, order, rows)
     us = running.epoch_us(F.col(order[0]))
     last = F.max_by(F.struct(F.col("dst_port").alias("port"), F.col("ttl").alias("ttl")), F.struct(*order))
     size, gap = F.col("packet_size"), F.col("gap_seconds")
@@ -199,48 +198,59 @@ def _named(handshakes: DataFrame) -> DataFrame:
     return handshakes.filter(F.col("sni").isNotNull()).withColumn("_name", F.lower("sni"))
 
 
-def dns_to_tls_delay(
-    handshakes: DataFrame, queries: DataFrame, length: running.Length = None, basis: DataFrame | None = None
-) -> DataFrame:
+def dns_to_tls_delay(handshakes: DataFrame, queries: DataFrame, rows: int | None = None) -> DataFrame:
     """Seconds from the client's latest earlier query for the server name to the handshake, NULL without one."""
     asked = queries.select("src_ip", F.lower("query_domain").alias("_name"), "ts")
-    source = None if basis is None else _named(basis)
-    matched = running.latest_before(_named(handshakes), asked, ["src_ip", "_name"], "ts", "_asked", length, source)
+    matched = running.latest_before(_named(handshakes), asked, ["src_ip", "_name"], "ts", "_asked", rows)
     delay = (running.epoch_us(F.col("ts")) - F.unix_micros("_asked")) / F.lit(1e6)
     return matched.withColumn("dns_to_tls_delay", delay).drop("_name", "_asked")
 
 
-def connection_ordinal(handshakes: DataFrame, length: running.Length = None, basis: DataFrame | None = None) -> DataFrame:
+def connection_ordinal(handshakes: DataFrame, rows: int | None = None) -> DataFrame:
     """How many connections the client has made to the server name so far, this one included."""
-    named = F.col("sni").isNotNull()
-    source = None if basis is None else basis.filter(named)
-    cut = running.time_slice(handshakes, "ts", length)
-    return running.row_number(
-        handshakes.filter(named), ["src_ip", "sni"], ARRIVAL, cut, "connection_count_to_domain", basis=source
-    )
+    named = handshakes.filter(F.col("sni").isNotNull())
+    return running.row_number(named, ["src_ip", "sni"], ARRIVAL, "connection_count_to_domain", rows)
 
 
-def first_connection_flag(handshakes: DataFrame, length: running.Length = None) -> DataFrame:
+def first_connection_flag(handshakes: DataFrame, rows: int | None = None) -> DataFrame:
     """True for the client's first connection to the server name."""
-    return connection_ordinal(handshakes, length).withColumn(
+    return connection_ordinal(handshakes, rows).withColumn(
         "is_first_connection_to_domain", F.col("connection_count_to_domain") == 1
     ).drop("connection_count_to_domain")
 
 
-def concurrent_connections(handshakes: DataFrame, seconds: int = 60, length: running.Length = None) -> DataFrame:
+def concurrent_connections(handshakes: DataFrame, seconds: int = 60, rows: int | None = None) -> DataFrame:
     """Handshakes of the same client in the last ``seconds``, this one included."""
-    return running.count_in_last_seconds(handshakes, ["src_ip"], "ts", seconds, "concurrent_connections", length)
+    return running.count_in_last_seconds(handshakes, ["src_ip"], "ts", seconds, "concurrent_connections", rows)
 
 
 def session_features(handshakes: DataFrame, queries: DataFrame, seconds: int = 60) -> DataFrame:
-    """Handshakes with a server name and all session features. All steps share one slice length."""
-    length = running.slice_length(handshakes, "ts", at_least=5 * seconds)
-    counted = concurrent_connections(handshakes, seconds, length)
-    numbered = connection_ordinal(counted, length, basis=handshakes)
-    delayed = dns_to_tls_delay(numbered, queries, length, basis=handshakes)
+    """Handshakes with a server name and all session features."""
+    counted = concurrent_connections(handshakes, seconds)
+    numbered = connection_ordinal(counted)
+    delayed = dns_to_tls_delay(numbered, queries)
     return delayed.withColumn("is_first_connection_to_domain", F.col("connection_count_to_domain") == 1)
 
 
+def session_of(chosen: DataFrame, handshakes: DataFrame, queries: DataFrame, seconds: int = 60) -> DataFrame:
+    """event_id and session features of the ``chosen`` handshakes.
+
+    Only rows of their clients and names are looked at, and each is numbered once.
+    """
+    def like(rows: DataFrame, keys: Sequence[str], of: DataFrame | None = None) -> DataFrame:
+        return rows.join((chosen if of is None else of).select(*keys).distinct(), list(keys), "left_semi")
+
+    wanted = chosen.select("event_id")
+    ordinal = connection_ordinal(like(handshakes, ("src_ip", "sni"))).select("event_id", "connection_count_to_domain")
+    counted = concurrent_connections(like(handshakes, ("src_ip",)), seconds).select("event_id", "concurrent_connections")
+    named = chosen.select("src_ip", F.lower("sni").alias("query_domain"))
+    asked = like(queries.withColumn("query_domain", F.lower("query_domain")), ("src_ip", "query_domain"), named)
+    delayed = dns_to_tls_delay(chosen, asked).select("event_id", "dns_to_tls_delay")
+    joined = delayed.join(ordinal.join(wanted, "event_id", "left_semi"), "event_id", "left").join(
+        counted.join(wanted, "event_id", "left_semi"), "event_id", "left")
+    return joined.withColumn("is_first_connection_to_domain", F.col("connection_count_to_domain") == 1)
+
+
 # --- wide row -----------------------------------------------------------------------------------
 def connection_features(
     queries: DataFrame, handshakes: DataFrame, packets: DataFrame, lists: L.HostLists = L.HostLists()
@@ -248,7 +258,7 @@ def connection_features(
     """One wide row per (name, resolved address): DNS, TLS, flow and session features with ``*_imputed`` flags.
 
     Every lookup is aggregated to its key before it is joined, so the joins see one row per name or address. Session
-    features are those of the handshake that supplies the TLS features.
+    features are those of the handshake that supplies the TLS features; no other handshake is numbered or counted.
     """
     pairs = queries.select(F.lower("query_domain").alias("domain"), F.col("dst_ip").alias("destination_ip")).distinct()
     dns = queries.groupBy(F.lower("query_domain").alias("domain")).agg(
@@ -258,18 +268,13 @@ def connection_features(
     dns = dns.select("domain", F.struct("first.*", "query_frequency", "ttl_variance").alias("q"))
 
     https = F.col("dst_port") == 443
-    handshake = F.struct("event_id", "ts", "sni", "tls_version", "dst_port", "packet_size")
-    first_tls = handshakes.filter(https).groupBy(F.col("dst_ip").alias("destination_ip")).agg(
+    handshake = F.struct("event_id", "ts", "sni", "tls_version", "dst_port", "packet_size", "src_ip")
+    first_tls = running.settled(handshakes.filter(https).groupBy(F.col("dst_ip").alias("destination_ip")).agg(
         F.min_by(handshake, F.struct(*ARRIVAL)).alias("h")
-    )
-    # the first handshake with a name per address; it counts only when it is the first handshake of all
-    session = session_features(handshakes, queries).filter(https).groupBy(F.col("dst_ip").alias("destination_ip")).agg(
-        F.min_by(F.struct("event_id", *SESSION_COLUMNS), F.struct(*ARRIVAL)).alias("s")
-    )
-    same = F.col("s.event_id") == F.col("h.event_id")
-    tls = first_tls.join(session, "destination_ip", "left").select(
-        "destination_ip", "h", *[F.when(same, F.col(f"s.{c}")).alias(c) for c in SESSION_COLUMNS]
-    )
+    ))
+    chosen = first_tls.filter("h.sni IS NOT NULL").select("h.event_id", "h.ts", "h.sni", "h.src_ip")
+    session = session_of(chosen, handshakes, queries).withColumnRenamed("event_id", "_event")
+    tls = first_tls.join(session, F.col("h.event_id") == F.col("_event"), "left").select("destination_ip", "h", *SESSION_COLUMNS)
 
     flows = flows_for_ip(packets)
     flows = flows.select(F.col("dst_ip").alias("destination_ip"), F.struct(*FLOW_DEFAULTS).alias("f"))

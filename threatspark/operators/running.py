@@ -1,15 +1,18 @@
 """Ordered computations per key that survive a hot key.
 
 ``Window.partitionBy(key)`` sends all rows of a key to one task, so a domain or client with a third of all traffic
-would stall the job. Every operator here cuts a key's rows into *slices* that follow the sort order (a stretch of event
-time, a hash prefix). The row-level window runs per (key, slice); what earlier slices contribute is carried over from a
-narrow table with one row per (key, slice), built with map-side aggregation. The row-level data is shuffled once, by
-(key, slice), for the window and the carry-over join together. The key columns travel as one struct, in which NULLs are
-equal to each other, so rows without a client or name form a group of their own and none is lost.
-
-Time slices are as long as it takes the whole table to collect ``ROWS_PER_SLICE`` rows on average: a small table is one
-slice, a huge one is cut finely, and even a key that owns every row meets that size in a task. The length comes from
-exact counts in a scalar subquery, so both sides of the carry-over join agree on it however often it is computed.
+would stall the job. Here keys with more than ``ROWS_PER_SLICE`` rows are cut into *slices* along the sort order, at
+counted row positions: whatever the times look like (a burst, one wrong clock, no time at all), a slice holds at most
+twice that many rows. The row-level window runs per (key, slice); what earlier slices contribute is carried over from a
+narrow table with one row per (key, slice), built with map-side aggregation.
+
+Cutting takes one count per key. If no key is heavy, that is all, and the window is an ordinary one. Otherwise the rows
+of the heavy keys (at most rows / ROWS_PER_SLICE keys) are counted by stretches of the position; a stretch that is itself
+too full is cut at counted values. The cuts are written to the shared folder: both sides of a carry-over join read the
+same ones, whatever is computed again, and the optimizer knows their size.
+
+Key columns travel as one struct, in which NULLs are equal to each other, so rows without a client or name form a group of
+their own and none is lost.
 """
 
 from __future__ import annotations
@@ -19,8 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-KEYS, SLICE = "_keys", "_slice"
+from threatspark.session import work_folder
+
+KEYS, SLICE, POSITION = "_keys", "_slice", "_position"
 ROWS_PER_SLICE = 20_000_000
+SECOND = 1_000_000
+UNTIMED = -(1 << 62)
 
 
 def epoch_us(ts: Column) -> Column:
@@ -28,33 +35,75 @@ def epoch_us(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-# seconds, a column of microseconds from slice_length, or None to let the table decide
-Length = int | Column | None
+def time_position(df: DataFrame, order: Sequence[str]) -> Column:
+    """Position of a row ordered by ``order``, a time and further columns: its microseconds.
 
+    Rows without a time come first, as they do in the sort order. If the column behind the time is a whole number, they
+    are placed by it, so that any number of them can be cut.
+    """
+    kinds = dict(df.dtypes)
+    number = F.lit(0)
+    if len(order) > 1 and kinds.get(order[1]) in ("tinyint", "smallint", "int", "bigint"):
+        number = F.coalesce(F.col(order[1]).cast("bigint"), F.lit(0))
+    return F.coalesce(epoch_us(F.col(order[0])), F.lit(UNTIMED) + number)
 
-def slice_length(df: DataFrame, ts: str, length: Length = None, at_least: int = 1) -> Column:
-    """Length of a time slice in microseconds: the given one, or the one that suits the density of the table.
 
-    Chained operators should share one length taken from their common source.
-    """
-    if isinstance(length, Column):
-        return length
-    if length is not None:
-        return F.lit(length * 1_000_000)
-    us = epoch_us(F.col(ts))
-    seen = df.agg(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(us).alias("n"))).scalar()
-    span = (seen.getField("hi") - seen.getField("lo") + 1).cast("double")
-    even = F.ceil(span * F.lit(float(ROWS_PER_SLICE)) / F.greatest(seen.getField("n"), F.lit(1)))
-    return F.greatest(even, F.lit(at_least * 1_000_000))
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    spark, path = df.sparkSession, work_folder(df.sparkSession, "cuts")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_at(ts: Column, length: Column) -> Column:
-    """Number of the time slice; rows without a time come first, as they do in the sort order."""
-    return F.coalesce(F.floor(epoch_us(ts) / length), F.lit(-1))
+def _packed_keys(keys: Sequence[str]) -> Column:
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))
 
 
-def time_slice(df: DataFrame, ts: str, length: Length = None) -> Column:
-    return cut_at(F.col(ts), slice_length(df, ts, length))
+class RowSlices:
+    """The cuts of the heavy keys of a table; none if there is no heavy key.
+
+    ``position`` is a number that does not decrease along the order. Rows of one key at one position stay together.
+    """
+
+    def __init__(self, source: DataFrame, keys: Sequence[str], position: Column, rows: int | None = None, width: float = SECOND) -> None:
+        self.rows, self.width, self.cuts = rows or ROWS_PER_SLICE, width, None
+        packed = source.select(_packed_keys(keys).alias(KEYS), position.alias(POSITION))
+        heavy = settled(packed.groupBy(KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.rows).select(KEYS))
+        if heavy.isEmpty():
+            return
+        placed = packed.join(heavy, KEYS, "left_semi").withColumn("_stretch", self._stretch(F.col(POSITION)))
+        counted = placed.groupBy(KEYS, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(KEYS).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counted = settled(counted.withColumn("_before", before))
+        base = F.floor(F.col("_before") / self.rows).alias("_base")
+        full = counted.filter(F.col("_n") > self.rows)
+        if full.isEmpty():
+            self.cuts = counted.select(KEYS, "_stretch", base, F.array().cast("array<double>").alias("_bounds"))
+            return
+        values = placed.join(full.select(KEYS, "_stretch", "_before"), [KEYS, "_stretch"])
+        values = values.groupBy(KEYS, "_stretch", "_before", POSITION).agg(F.count(F.lit(1)).alias("_n"))
+        ahead = Window.partitionBy(KEYS, "_stretch").orderBy(POSITION).rowsBetween(Window.unboundedPreceding, -1)
+        number = F.floor((F.col("_before") + F.coalesce(F.sum("_n").over(ahead), F.lit(0))) / self.rows)
+        first = values.select(KEYS, "_stretch", "_before", POSITION, number.alias("_number")).groupBy(KEYS, "_stretch", "_before", "_number")
+        starts = first.agg(F.min(POSITION).alias("_start")).filter(F.col("_number") > F.floor(F.col("_before") / self.rows))
+        # as many bounds as the stretch holds slices
+        bounds = starts.groupBy(KEYS, "_stretch").agg(F.collect_list(F.col("_start").cast(packed.schema[POSITION].dataType)).alias("_bounds"))
+        self.cuts = settled(counted.select(KEYS, "_stretch", base).join(bounds, [KEYS, "_stretch"], "left"))
+
+    def _stretch(self, position: Column) -> Column:
+        return F.floor(position / self.width)
+
+    def pack(self, df: DataFrame, keys: Sequence[str], position: Column, **columns: Column) -> DataFrame:
+        """The rows with their keys as one struct, the number of the slice and further columns."""
+        packed = _pack(df, keys, position, **columns).withColumnRenamed(SLICE, POSITION)
+        if self.cuts is None:
+            return packed.drop(POSITION).withColumn(SLICE, F.struct(F.lit(0).alias("at")))
+        place = F.col(f"{POSITION}.at")
+        cuts = self.cuts.withColumnsRenamed({KEYS: "_cut_keys", "_stretch": "_cut_stretch"})
+        found = packed.join(cuts, (F.col(KEYS) == F.col("_cut_keys")) & (self._stretch(place) == F.col("_cut_stretch")), "left")
+        passed = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= place)), F.lit(0))
+        number = F.coalesce(F.col("_base") + F.greatest(passed, F.lit(0)), F.lit(0))
+        return found.withColumn(SLICE, F.struct(number.alias("at"))).select(*[c for c in packed.columns if c != POSITION], SLICE)
 
 
 def hash_slice(digest: Column, digits: int = 4) -> Column:
@@ -63,10 +112,9 @@ def hash_slice(digest: Column, digits: int = 4) -> Column:
 
 
 def _pack(df: DataFrame, keys: Sequence[str], slice_by: Column, **columns: Column) -> DataFrame:
-    """The rows with their keys as one struct, the slice and further columns."""
-    packed = F.struct(*keys) if keys else F.lit(0)
+    """The rows with their keys as one struct, the slice as another (NULL slices are equal, too) and further columns."""
     rest = [c for c in df.columns if c not in keys]
-    return df.select(*rest, packed.alias(KEYS), slice_by.alias(SLICE), *[c.alias(n) for n, c in columns.items()])
+    return df.select(*rest, _packed_keys(keys).alias(KEYS), F.struct(slice_by.alias("at")).alias(SLICE), *[c.alias(n) for n, c in columns.items()])
 
 
 def _unpack(df: DataFrame, columns: Sequence[str], keys: Sequence[str], *more: str) -> DataFrame:
@@ -86,117 +134,168 @@ def _earlier(descending: bool = False) -> WindowSpec:
     return _slices(descending).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column, name: str,
-    total: str | None = None, basis: DataFrame | None = None,
+def _so_far(spec: WindowSpec) -> WindowSpec:
+    return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def ranked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column, name: str, total: str | None = None
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by order)``; ``slice_by`` must not decrease along the order.
+    """``row_number() over (partition by keys order by order)`` for slices given by an expression that must not decrease
+    along the order. With ``total`` the number of rows of the key is added as well."""
+    return _ranked(df, _pack(df, keys, slice_by), keys, order, name, total)
 
-    With ``total`` the number of rows of the key is added as well. ``basis`` is the table ``df`` was widened from: the
-    slices are counted there, without repeating the widening.
-    """
-    source = _pack(df if basis is None else basis, keys, slice_by)
-    counts = source.groupBy(KEYS, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+
+def _ranked(df: DataFrame, packed: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, total: str | None) -> DataFrame:
+    counts = packed.select(KEYS, SLICE).groupBy(KEYS, SLICE).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_n0")
     whole = [F.sum("_n").over(Window.partitionBy(KEYS)).alias(total)] if total else []
-    carried = counts.select(KEYS, SLICE, before, *whole)
-    numbered = _pack(df, keys, slice_by).withColumn("_rn", F.row_number().over(_rows(order)))
-    joined = numbered.join(carried, [KEYS, SLICE]).withColumn(name, F.col("_rn") + F.col("_n0"))
+    numbered = packed.withColumn("_rn", F.row_number().over(_rows(order)))
+    joined = numbered.join(counts.select(KEYS, SLICE, before, *whole), [KEYS, SLICE]).withColumn(name, F.col("_rn") + F.col("_n0"))
     return _unpack(joined, df.columns, keys, name, *([total] if total else []))
 
 
+def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
+    """``row_number() over (partition by keys order by order)``; ``order`` starts with a time."""
+    position = time_position(df, order)
+    slices = RowSlices(df, keys, position, rows)
+    if slices.cuts is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    return _ranked(df, slices.pack(df, keys, position), keys, order, name, None)
+
+
 def running_sums(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    slice_by: Column,
-    sums: dict[str, Column],
-    descending: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], position: Column, sums: dict[str, Column],
+    descending: bool = False, rows: int | None = None, width: float = SECOND,
 ) -> DataFrame:
-    """Cumulative sums per key up to and including each row. ``descending`` when slices fall along the order."""
-    cut = _pack(df, keys, slice_by, **{f"_v_{n}": c for n, c in sums.items()})
+    """Cumulative sums per key up to and including each row. ``descending`` when the position falls along the order."""
+    slices = RowSlices(df, keys, position, rows, width)
+    if slices.cuts is None:
+        spec = _so_far(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumns({n: F.sum(c).over(spec) for n, c in sums.items()})
+    cut = slices.pack(df, keys, position, **{f"_v_{n}": c for n, c in sums.items()})
     totals = cut.groupBy(KEYS, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = _earlier(descending)
     carried = totals.select(
         KEYS, SLICE, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
     )
-    so_far = _rows(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = cut.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(so_far) for n in sums})
+    summed = cut.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(_so_far(_rows(order))) for n in sums})
     joined = summed.join(carried, [KEYS, SLICE]).withColumns({n: F.col(f"_r_{n}") + F.col(f"_c_{n}") for n in sums})
     return _unpack(joined, df.columns, keys, *sums)
 
 
 def running_count_variance(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_by: Column, value: str,
-    count_name: str, variance_name: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, count_name: str, variance_name: str,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Row count and sample variance of ``value`` per key up to and including each row (0 for a single row)."""
-    v = F.col(value).cast("double")
-    out = running_sums(
-        df, keys, order, slice_by, {count_name: F.lit(1).cast("bigint"), "_sum": v, "_squares": v * v}
-    )
-    n = F.col(count_name)
-    spread = F.greatest(F.col("_squares") - F.col("_sum") * F.col("_sum") / n, F.lit(0.0))
-    return out.withColumn(variance_name, F.when(n > 1, spread / (n - 1)).otherwise(F.lit(0.0))).select(
-        *df.columns, count_name, variance_name
-    )
-
+    """Row count and sample variance of ``value`` per key up to and including each row (0 for a single row).
 
-def seconds_since_previous(
-    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[Column | str], name: str, length: Length = None
-) -> DataFrame:
-    """Seconds from the previous row of the same key; NULL for the first. ``order`` starts with ``ts``."""
-    cut = _pack(df, keys, time_slice(df, ts, length), _us=epoch_us(F.col(ts)))
+    Within a slice the window keeps count, mean and squared deviations from the mean. Earlier slices are merged around the
+    mean of the key's first slice, so large values with a small spread lose no digits.
+    """
+    v, position = F.col(value).cast("double"), time_position(df, order)
+    slices = RowSlices(df, keys, position, rows)
+    if slices.cuts is None:
+        spec = _so_far(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumns({
+            count_name: F.count(F.lit(1)).over(spec), variance_name: F.coalesce(F.var_samp(v).over(spec), F.lit(0.0)),
+        })
+    cut = slices.pack(df, keys, position, _v=v)
+    moments = cut.groupBy(KEYS, SLICE).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("_v").alias("_n"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_d"))
+    whole = _slices().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    centred = moments.withColumn("_k", F.first("_m", ignorenulls=True).over(whole)).withColumn("_off", F.col("_m") - F.col("_k"))
+    sums = {
+        "_n0": F.col("_n"), "_rows0": F.col("_rows"), "_s0": F.col("_n") * F.col("_off"),
+        "_q0": F.col("_n") * (F.col("_d") + F.col("_off") * F.col("_off")),
+    }
+    carried = centred.select(KEYS, SLICE, "_k", *[F.coalesce(F.sum(c).over(_earlier()), F.lit(0)).alias(n) for n, c in sums.items()])
+    spec = _so_far(_rows(order))
+    here = cut.withColumns({
+        "_rows1": F.count(F.lit(1)).over(spec), "_n1": F.count("_v").over(spec), "_m1": F.avg("_v").over(spec), "_d1": F.var_pop("_v").over(spec),
+    })
+    joined = here.join(carried, [KEYS, SLICE])
+    off = F.coalesce(F.col("_m1") - F.col("_k"), F.lit(0.0))
+    n = F.col("_n0") + F.col("_n1")
+    s = F.col("_s0") + F.col("_n1") * off
+    q = F.col("_q0") + F.col("_n1") * (F.coalesce("_d1", F.lit(0.0)) + off * off)
+    spread = F.greatest(q - s * s / n, F.lit(0.0))
+    out = joined.withColumns({
+        count_name: F.col("_rows0") + F.col("_rows1"), variance_name: F.when(n > 1, spread / (n - 1)).otherwise(F.lit(0.0)),
+    })
+    return _unpack(out, df.columns, keys, count_name, variance_name)
+
+
+def seconds_since_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
+    """Seconds from the previous row of the same key; NULL for the first. ``order`` starts with a time."""
+    position, us = time_position(df, order), epoch_us(F.col(order[0]))
+    slices = RowSlices(df, keys, position, rows)
+    if slices.cuts is None:
+        return df.withColumn(name, (us - F.lag(us).over(Window.partitionBy(*keys).orderBy(*order))) / F.lit(1e6))
+    cut = slices.pack(df, keys, position, _us=us)
     ends = cut.groupBy(KEYS, SLICE).agg(F.max("_us").alias("_end"))
     carried = ends.select(KEYS, SLICE, F.lag("_end").over(_slices()).alias("_before"))
-    lagged = cut.withColumn("_prev", F.lag("_us").over(_rows(order)))
-    seconds = (F.col("_us") - F.coalesce("_prev", "_before")) / F.lit(1e6)
+    lagged = cut.withColumns({"_prev": F.lag("_us").over(_rows(order)), "_first": F.row_number().over(_rows(order)) == 1})
+    seconds = (F.col("_us") - F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_prev"))) / F.lit(1e6)
     return _unpack(lagged.join(carried, [KEYS, SLICE]).withColumn(name, seconds), df.columns, keys, name)
 
 
-def count_in_last_seconds(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str, length: Length = None
-) -> DataFrame:
+def count_in_last_seconds(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str, rows: int | None = None) -> DataFrame:
     """Rows of the same key in the ``seconds`` up to and including each row, peers in time included.
 
-    The last ``seconds`` of a slice are copied into the next one as context and dropped again after the window, so the
-    copies stay a small share of the data (a fifth at most unless shorter slices are asked for).
+    Rows of one key without a time are peers of each other. With a heavy key the count is a difference: rows up to this
+    time, less rows before the start of the window. The latter are looked up among the former, slice by slice.
     """
-    if isinstance(length, int) and seconds > length:
-        raise ValueError("a slice must be at least as long as the window")
-    span, length = seconds * 1_000_000, slice_length(df, ts, length, at_least=5 * seconds)
-    us = epoch_us(F.col(ts))
-    own = cut_at(F.col(ts), length)
-    late = us >= (own + 1) * length - F.lit(span)
-    slices = F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))
-    copied = _pack(df, keys, slices, _us=us, _own=own)
-    trailing = Window.partitionBy(KEYS, SLICE).orderBy("_us").rangeBetween(-span, 0)
-    counted = copied.withColumn(name, F.count(F.lit(1)).over(trailing)).filter(F.col(SLICE) == F.col("_own"))
-    return _unpack(counted, df.columns, keys, name)
-
-
-def latest_before(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, name: str, length: Length = None,
-    basis: DataFrame | None = None,
+    span, us = seconds * SECOND, epoch_us(F.col(ts))
+    position = time_position(df, [ts])
+    slices = RowSlices(df, keys, position, rows)
+    if slices.cuts is None:
+        return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(us).rangeBetween(-span, 0)))
+    # one row for each key and time, with the rows up to it
+    times = df.select(*keys, position.alias("_at")).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_here"))
+    upto = running_sums(times, keys, ["_at"], F.col("_at"), {"_upto": F.col("_here")}, rows=rows)
+    opening = F.when(F.col("_at") >= UNTIMED // 2, F.col("_at") - span)
+    before = last_before(upto.withColumn("_opening", opening), "_opening", upto, "_at", "_upto", keys, "_gone", strict=True, rows=rows)
+    # rows without a time stand before all windows, and are counted among themselves
+    value = F.when(F.col("_at") < UNTIMED // 2, F.col("_here")).otherwise(F.col("_upto") - F.coalesce("_gone", F.lit(0)))
+    found = before.select(_packed_keys(keys).alias("_found_keys"), F.col("_at").alias("_found_at"), value.alias(name))
+    packed = df.withColumns({"_k": _packed_keys(keys), "_at": position})
+    joined = packed.join(found, (F.col("_k") == F.col("_found_keys")) & (F.col("_at") == F.col("_found_at")))
+    return joined.select(*df.columns, name)
+
+
+def last_before(
+    left: DataFrame, left_at: str, right: DataFrame, right_at: str, value: str, keys: Sequence[str], name: str,
+    strict: bool = False, rows: int | None = None,
 ) -> DataFrame:
+    """As-of lookup: for each left row the last ``value`` of the right rows with equal keys at or before it (before it, if
+    ``strict``); NULL without one, and for left rows without a position. Values must not decrease along the right rows."""
+    sides = [
+        (left.withColumns({"_asked": F.col(left_at), "_found": F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(0 if strict else 1)})),
+        right.select(*keys, F.col(right_at).alias("_asked"), F.col(value).alias("_found"), F.lit(1 if strict else 0).alias("_side"))
+        .filter(F.col("_asked").isNotNull() & F.col("_found").isNotNull()),
+    ]
+    rows_of = sides[0].unionByName(sides[1], allowMissingColumns=True).withColumn("_left", F.col("_side") == (0 if strict else 1))
+    position = F.coalesce(F.col("_asked"), F.lit(2 * UNTIMED + 1))
+    slices = RowSlices(rows_of.select(*keys, "_asked"), keys, position, rows)
+    order = ["_asked", "_side"]
+    if slices.cuts is None:
+        spec = _so_far(Window.partitionBy(*keys).orderBy(*order))
+        return rows_of.withColumn(name, F.last("_found", ignorenulls=True).over(spec)).filter("_left").select(*left.columns, name)
+    cut = slices.pack(rows_of, keys, position)
+    ends = cut.groupBy(KEYS, SLICE).agg(F.max("_found").alias("_end"))
+    carried = ends.select(KEYS, SLICE, F.max("_end").over(_earlier()).alias("_before"))
+    inside = cut.withColumn("_in", F.last("_found", ignorenulls=True).over(_so_far(_rows(order)))).filter("_left")
+    value_at = F.when(F.col("_asked").isNotNull(), F.coalesce("_in", "_before"))
+    return _unpack(inside.join(carried, [KEYS, SLICE]).withColumn(name, value_at), left.columns, keys, name)
+
+
+def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, name: str, rows: int | None = None) -> DataFrame:
     """As-of join: for each left row the latest right time at or before it with equal keys, NULL without one.
 
-    ``basis`` is the table ``left`` was widened from, with the same keys and times. As in any join, a NULL key has no
-    partner.
+    As in any join, a NULL key has no partner.
     """
-    length = slice_length(left, ts, length)
-    us, cut, none = epoch_us(F.col(ts)), cut_at(F.col(ts), length), F.lit(None).cast("bigint")
-    seen = right.select(*keys, ts).dropna()
-    seen = _pack(seen, keys, cut, _us=us, _seen=us, _side=F.lit(0)).drop(ts)
-    rows = _pack(left, keys, cut, _us=us, _seen=none, _side=F.lit(1)).unionByName(seen, allowMissingColumns=True)
-    narrow = _pack((left if basis is None else basis).select(*keys, ts), keys, cut, _seen=none).select(KEYS, SLICE, "_seen")
-    ends = narrow.unionByName(seen.select(KEYS, SLICE, "_seen")).groupBy(KEYS, SLICE).agg(F.max("_seen").alias("_end"))
-    carried = ends.select(KEYS, SLICE, F.max("_end").over(_earlier()).alias("_before"))
-    so_far = _rows(["_us", "_side"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    matched = (
-        rows.withColumn("_in", F.last("_seen", ignorenulls=True).over(so_far))
-        .filter(F.col("_side") == 1)
-        .join(carried, [KEYS, SLICE])
-        .withColumn(name, F.timestamp_micros(F.coalesce("_in", "_before")))
-    )
-    return _unpack(matched, left.columns, keys, name)
+    seen = right.select(*keys, epoch_us(F.col(ts)).alias("_us")).dropna()
+    asked = left.withColumn("_us", epoch_us(F.col(ts)))
+    found = last_before(asked, "_us", seen, "_us", "_us", keys, "_latest", rows=rows)
+    return found.select(*left.columns, F.timestamp_micros("_latest").alias(name))

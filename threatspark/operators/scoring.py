@@ -73,8 +73,10 @@ def brand_heuristic(df: DataFrame, host: str, name: str = "brand", rules: L.Bran
     return computed(pointed, name, result).select(*df.columns, name)
 
 
-def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRules = L.ScoreRules()) -> DataFrame:
-    """Add struct(score, reasons): weighted lexical signals, capped at 1, with the text of each signal."""
+def lexical_risk(
+    df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRules = L.ScoreRules(), told_tokens: int = 3
+) -> DataFrame:
+    """Add struct(score, reasons): weighted lexical signals, capped at 1, with the text of each signal, naming ``told_tokens`` tokens."""
     c = F.col
     d = c("_s_d")
     first = normalised(df, host).withColumn("_s_label", X.first_label(d)).withColumns({
@@ -97,7 +99,7 @@ def lexical_risk(df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRul
         (
             tokens > 0,
             F.lit(15) + 5 * F.least(tokens, F.lit(3)),
-            F.concat(F.lit("suspicious token(s): "), F.array_join(F.slice("_s_tokens", 1, 3), ", ")),
+            F.concat(F.lit("suspicious token(s): "), F.array_join(F.slice("_s_tokens", 1, told_tokens), ", ")),
         ),
         (c("_s_pair").isNotNull(), F.lit(15), quoted("lookalike character pattern '", c("_s_pair"))),
         (c("_s_mixed") != "", F.lit(20), quoted("digit/letter mixing in token '", c("_s_mixed"))),

@@ -132,8 +132,9 @@ def verdict_cascade(
     model_scores: DataFrame | None = None,
     external: DataFrame | None = None,
     lists: L.HostLists = L.HostLists(),
+    told_signals: tuple[int, int] = (4, 3),
 ) -> DataFrame:
-    """Layered verdict of distinct hosts.
+    """Layered verdict of distinct hosts. Reasons tell the first ``told_signals`` of phishing and of open verdicts.
 
     Block list, allow list, reputation, then model (phishing from .6) or lexical score (from .55), then a sure
     legitimate model (from .7 with a lexical score under .3), else unknown. ``model_scores`` (host, prediction,
@@ -158,7 +159,7 @@ def verdict_cascade(
     by_model = ran & (F.col("_ml_label") == "phishing") & (conf >= 0.6)
     by_score = ~known & (score >= 0.55)
     safe = ran & (F.col("_ml_label") == "legitimate") & (conf >= 0.7) & (score < 0.3)
-    whole_percent = F.concat(F.format_string("%.0f", conf * 100), F.lit("%"))
+    whole_percent = F.concat(F.format_string("%.0f", F.bround(conf * 100, 0)), F.lit("%"))
 
     def signals(n: int) -> Column:
         return F.when(
@@ -167,10 +168,10 @@ def verdict_cascade(
         )
 
     phishing_reason = F.concat_ws(
-        " · ", F.when(by_model, F.concat(F.lit("ML model says PHISHING ("), whole_percent, F.lit(" confidence)"))), signals(4)
+        " · ", F.when(by_model, F.concat(F.lit("ML model says PHISHING ("), whole_percent, F.lit(" confidence)"))), signals(told_signals[0])
     )
     open_reason = F.concat_ws(
-        " · ", F.when(ran, F.concat(F.lit("ML: "), F.col("_ml_label"), F.lit(" ("), whole_percent, F.lit(")"))), signals(3)
+        " · ", F.when(ran, F.concat(F.lit("ML: "), F.col("_ml_label"), F.lit(" ("), whole_percent, F.lit(")"))), signals(told_signals[1])
     )
     final = (
         F.when(

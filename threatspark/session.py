@@ -5,13 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[8]", app: str = "threatspark", shuffle_partitions: int = 8) -> SparkSession:
     """A session for one machine. On a cluster the submit configuration decides; AQE sizes the shuffles."""
+    builder = SparkSession.builder
+    if not SparkConf().get("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="threatspark-"))  # one machine: its own folder
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -34,14 +38,8 @@ def build_session(master: str = "local[8]", app: str = "threatspark", shuffle_pa
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables and stream checkpoints.
-
-    On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``. Only a local session without that
-    setting falls back to the machine's own temporary folder.
-    """
+    """A new folder for intermediate tables and stream checkpoints, below the shared folder ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/threatspark/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix=f"threatspark-{name}-")
+    return f"{shared.rstrip('/')}/threatspark/{name}-{uuid.uuid4().hex}"

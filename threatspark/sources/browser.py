@@ -50,51 +50,56 @@ def download_block_rows(downloads: DataFrame) -> DataFrame:
     )
 
 
+def _first_of_each(rows: DataFrame, order: Column) -> DataFrame:
+    """Each (browser, id) once, the row with the smallest ``order``."""
+    rest = [c for c in rows.columns if c not in ("browser", "id")]
+    first = rows.groupBy("browser", "id").agg(F.min_by(F.struct(*rest), order).alias("first"))
+    return first.select("browser", "id", "first.*").select(*rows.columns)
+
+
 def download_blocks(downloads: DataFrame) -> DataFrame:
-    """Withheld downloads, each (browser, id) once."""
-    return download_block_rows(downloads).dropDuplicates(["browser", "id"])
+    """Withheld downloads, each (browser, id) once, the one started first."""
+    return _first_of_each(download_block_rows(downloads), F.struct("start_time", "domain", "error_message"))
+
 
+def navigation_blocks(urls: DataFrame, limit: int | None = None) -> DataFrame:
+    """Error-page visits whose address still names a public host, each (browser, id) once, the newest.
 
-def navigation_blocks(urls: DataFrame, limit: int = 200) -> DataFrame:
-    """Newest error-page visits per browser whose address still names a public host."""
-    newest = Window.partitionBy("browser").orderBy(F.col("last_visit_time").desc(), F.col("id").desc())
+    ``limit`` keeps that many of the newest visits of each browser.
+    """
     host = external_host(F.regexp_extract("url", r"https?://([A-Za-z0-9.\-]+)", 1))
-    return (
+    named = (
         urls.filter(F.col("url").startswith("chrome-error://") | F.col("url").startswith("edge-error://"))
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= limit)
-        .withColumn("domain", host)
+        .select("id", "browser", host.alias("domain"), "last_visit_time")
         .filter(F.col("domain") != "")
-        .select(
-            "id", "browser", "domain",
-            F.col("browser").alias("source"),
-            F.lit("browser_navigation_block").alias("block_type"),
-            F.concat(F.initcap("browser"), F.lit(" showed an error page for "), F.col("domain")).alias("error_message"),
-            F.lit("").alias("destination_ip"),
-        )
-        .dropDuplicates(["browser", "id"])
+    )
+    visits = _first_of_each(named, F.struct(-F.col("last_visit_time"), F.col("domain")))
+    if limit is not None:
+        newest = Window.partitionBy("browser").orderBy(F.col("last_visit_time").desc(), F.col("id").desc())
+        visits = visits.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= limit)
+    return visits.select(
+        "id", "browser", "domain",
+        F.col("browser").alias("source"),
+        F.lit("browser_navigation_block").alias("block_type"),
+        F.concat(F.initcap("browser"), F.lit(" showed an error page for "), F.col("domain")).alias("error_message"),
+        F.lit("").alias("destination_ip"),
     )
 
 
-def recent_domains(urls: DataFrame, now_us: Column | None = None, hours: int = 24, limit: int = 200) -> DataFrame:
-    """Public hosts visited in the last ``hours``, most recent first.
+def recent_domains(urls: DataFrame, now_us: Column | None = None, hours: int = 24, limit: int | None = None) -> DataFrame:
+    """Public hosts visited in the last ``hours`` with their last visit, or the ``limit`` most recent of them.
 
-    ``now_us`` is in browser microseconds; by default the newest visit of the table is "now". At most ``limit`` visits
-    per browser are looked at and at most ``limit`` hosts returned.
+    ``now_us`` is in browser microseconds; by default the newest visit of the table is "now".
     """
     now = now_us if now_us is not None else urls.agg(F.max("last_visit_time")).scalar()
-    newest = Window.partitionBy("browser").orderBy(F.col("last_visit_time").desc(), F.col("id").desc())
-    return (
+    hosts = (
         urls.filter(F.col("last_visit_time") > now - F.lit(hours * 3_600_000_000))
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= limit)
         .withColumn("domain", external_host(F.col("url")))
         .filter(F.col("domain") != "")
         .groupBy("domain")
         .agg(F.max("last_visit_time").alias("last_visit_time"))
-        .orderBy(F.col("last_visit_time").desc(), "domain")
-        .limit(limit)
     )
+    return hosts if limit is None else hosts.orderBy(F.col("last_visit_time").desc(), "domain").limit(limit)
 
 
 def hosts_file_blocks(lines: DataFrame, line: str = "line", line_no: str = "line_no") -> DataFrame:

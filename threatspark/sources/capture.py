@@ -48,22 +48,37 @@ def flow_packets_scan(packets: DataFrame) -> DataFrame:
 def hello_server_name(payload: Column) -> Column:
     """Server name of a TLS ClientHello payload, NULL when the payload is no ClientHello or names none.
 
-    The name is looked for at the first offset from 43 whose two bytes are zero and whose announced name fits. With one
-    character per byte, a look-ahead finds those offsets (each with the rest of the payload) in a single scan.
+    The name is looked for at the first offset from 43 whose two bytes are zero and whose announced name fits. The gaps
+    between zero pairs, found in one scan and disjoint, add up to their offsets. An announced length has two bytes, so
+    any pair more than 64 KB before the end fits: only the last 64 KB are ever gone through pair by pair.
     """
-    body = F.substring(F.decode(payload, "ISO-8859-1"), 44, 1 << 30)
-    candidates = F.regexp_extract_all(body, F.lit(r"(?s)(?=(\x00\x00.{8,}))"), F.lit(1))
+    size = F.octet_length(payload)
 
-    def announced(rest: Column) -> Column:
-        return F.ascii(F.substring(rest, 8, 1)) * 256 + F.ascii(F.substring(rest, 9, 1))
+    def announced(offset: Column) -> Column:
+        return F.conv(F.hex(F.substring(payload, offset + 8, F.lit(2))), 16, 10).cast("int")
 
-    def named(rest: Column) -> Column:
-        raw = F.encode(F.substring(rest, F.lit(10), announced(rest)), "ISO-8859-1")
+    def fits(offset: Column) -> Column:
+        return (offset + 10 <= size) & (offset + 9 + announced(offset) <= size)
+
+    def named(offset: Column) -> Column:
+        raw = F.substring(payload, offset + 10, announced(offset))
         return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
 
-    fitting = F.filter(candidates, lambda rest: announced(rest) + 9 <= F.length(rest))
+    # offsets count from 0, positions in strings from 1; one character stands for one byte
+    body = F.decode(F.substring(payload, F.lit(44), size), "ISO-8859-1")
+    opening = F.instr(body, "\x00\x00") + 42
+    rest = F.decode(F.substring(payload, opening + 1, size), "ISO-8859-1")
+    gaps = F.regexp_extract_all(rest, F.lit(r"(?s)(.*?)\x00(?=\x00)"), F.lit(1))
+    start = F.struct((opening - 1).alias("at"), F.lit(None).cast("int").alias("found"))
+
+    def step(state: Column, gap: Column) -> Column:
+        at = state["at"] + 1 + F.length(gap)
+        return F.struct(at.alias("at"), F.when(state["found"].isNull() & fits(at), at).otherwise(state["found"]).alias("found"))
+
+    walked = F.aggregate(gaps, start, step, lambda state: state["found"])
+    offset = F.when(opening < 43, F.lit(None)).when(size - opening > 65_553, opening).otherwise(walked)
     hello = F.substring(payload, 6, 1) == F.lit(b"\x01")
-    return F.when(hello, F.get(F.transform(F.slice(fitting, 1, 1), named), F.lit(0)))
+    return F.when(hello, named(offset))
 
 
 def sni_inventory(payloads: DataFrame, payload: str = "payload", ts: str = "ts") -> DataFrame:

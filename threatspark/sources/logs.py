@@ -30,27 +30,56 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
 
 
-def newest_names(spark: SparkSession, pattern: str, count: int) -> list[str]:
-    """The last ``count`` names, in name order, among the paths that match a glob. No file is opened."""
+def matching_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the paths that match a glob, in order. No file is opened."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted((status.getPath().getName() for status in found), reverse=True)[:count]
+    return sorted(status.getPath().getName() for status in found or [])
 
 
-def detection_log_scan(spark: SparkSession, folder: str, days: int = 5) -> DataFrame:
-    """Events of the newest log files, each (domain, timestamp) once.
+def detection_log_scan(spark: SparkSession, folder: str, days: int | None = None) -> DataFrame:
+    """Logged events, each (domain, timestamp) once: the line that stands first in the newest file with it.
 
-    Reads both layouts: one ``detections_YYYYMMDD.jsonl`` per day, or ``dt=YYYY-MM-DD`` folders, where only the
-    folders of the newest days are opened.
+    Reads both layouts together: one ``detections_YYYYMMDD.jsonl`` per day, and ``dt=YYYY-MM-DD`` folders. All days are
+    read unless ``days`` asks for the newest ones only.
     """
-    flat = newest_names(spark, f"{folder}/detections_*.jsonl", days)
+    flat = {name: name.removeprefix("detections_").removesuffix(".jsonl") for name in matching_names(spark, f"{folder}/detections_*.jsonl")}
+    dated = {name: name.removeprefix("dt=").replace("-", "") for name in matching_names(spark, f"{folder}/dt=*")}
+    if days is not None:
+        newest = set(sorted({*flat.values(), *dated.values()}, reverse=True)[:days])
+        flat, dated = ({n: d for n, d in found.items() if d in newest} for found in (flat, dated))
+    schema = f"{DETECTION_SCHEMA}, {POSITION_SCHEMA}"
+    events = spark.createDataFrame([], schema)
     if flat:
-        events = read_json_lines(spark, f"{folder}/{{{','.join(flat)}}}", DETECTION_SCHEMA)
-    else:
-        newest = [name.removeprefix("dt=") for name in newest_names(spark, f"{folder}/dt=*", days)]
-        events = read_json_lines(spark, folder, f"{DETECTION_SCHEMA}, dt string").filter(F.col("dt").isin(newest))
+        names = "detections_*.jsonl" if days is None else f"{{{','.join(flat)}}}"
+        events = events.unionByName(_placed(spark, f"{folder}/{names}"))
+    if dated:
+        names = "dt=*" if days is None else f"{{{','.join(dated)}}}"
+        events = events.unionByName(_placed(spark, f"{folder}/{names}"))
     required = F.col("domain").isNotNull() & F.col("timestamp").isNotNull() & F.col("prediction").isNotNull()
-    return events.filter(required).drop("dt", "batch").dropDuplicates(["domain", "timestamp"])
+    rest = [c for c in events.columns if c not in ("domain", "timestamp", "_at")]
+    first = events.filter(required).groupBy("domain", "timestamp").agg(F.min_by(F.struct(*rest), "_at").alias("first"))
+    return first.select("domain", "timestamp", "first.*").select(*[c for c in events.columns if c != "_at"])
+
+
+POSITION_SCHEMA = "_at struct<age: int, path: string, block: bigint, row: bigint>"
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Readable lines with their place in the log: newest day first, then file and line."""
+    day = F.concat(*[F.regexp_extract("_metadata.file_path", r"(?:detections_|dt=)(\d{4})-?(\d{2})-?(\d{2})", k) for k in (1, 2, 3)])
+    lines = (
+        spark.read.schema(f"{DETECTION_SCHEMA}, {BAD_LINE} string")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BAD_LINE)
+        .option("recursiveFileLookup", "true")
+        .json(path)
+    )
+    place = F.struct(
+        F.coalesce(-day.try_cast("int"), F.lit(0)).alias("age"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+    )
+    return lines.withColumn("_at", place).filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
 
 
 def system_block_log_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,10 +119,10 @@ def netloc(url: Column) -> Column:
 
 
 def feed_domains_netloc(
-    urls: DataFrame, order: str, limit: int = 100, url: str = "url", require_dot: bool = False
+    urls: DataFrame, order: str = "entry", limit: int | None = None, url: str = "url", require_dot: bool = False
 ) -> DataFrame:
-    """Distinct authorities of the first ``limit`` feed entries; bare entries give the text before ``/``."""
-    first = urls.orderBy(order).limit(limit)
+    """Distinct authorities of the feed, or of its first ``limit`` entries; bare entries give the text before ``/``."""
+    first = urls if limit is None else urls.orderBy(order).limit(limit)
     name = netloc(F.col(url))
     if require_dot:
         domain = F.when(name != "", name).otherwise(F.split_part(F.col(url), F.lit("/"), F.lit(3)))
@@ -115,7 +144,7 @@ def marked(line: Column, marker: str = L.BLOCK_MARKER) -> Column:
 def blocklist_entries(lines: DataFrame, marker: str = L.BLOCK_MARKER) -> DataFrame:
     """(line_no, ip, domain, timestamp) of the marked lines; text after the marker is the time, else ``Unknown``."""
     parts = F.split(strip(F.col("line")), r"\s+")
-    since = F.array_join(F.slice(parts, 4, 1000), " ")
+    since = F.array_join(F.slice(parts, F.lit(4), F.size(parts)), " ")
     return lines.filter(marked(F.col("line"), marker) & (F.size(parts) >= 2)).select(
         "line_no",
         parts[0].alias("ip"),
@@ -124,9 +153,10 @@ def blocklist_entries(lines: DataFrame, marker: str = L.BLOCK_MARKER) -> DataFra
     )
 
 
-def blocklist_text_scan(lines: DataFrame, last: int = 50, marker: str = L.BLOCK_MARKER) -> DataFrame:
-    """The last ``last`` marked entries by position."""
-    return blocklist_entries(lines, marker).orderBy(F.col("line_no").desc()).limit(last)
+def blocklist_text_scan(lines: DataFrame, last: int | None = None, marker: str = L.BLOCK_MARKER) -> DataFrame:
+    """The marked entries, or the last ``last`` of them by position."""
+    entries = blocklist_entries(lines, marker)
+    return entries if last is None else entries.orderBy(F.col("line_no").desc()).limit(last)
 
 
 def training_tables_scan(tables: list[DataFrame], order: str) -> DataFrame:

@@ -53,11 +53,15 @@ def write_lines(lines: DataFrame, path: str, line: str = "line", mode: str = "ap
 
 
 def blocklist_remove(lines: DataFrame, domains: DataFrame, marker: str = L.BLOCK_MARKER) -> DataFrame:
-    """The lines without the marked ones of the given domains. Write the result to a new path."""
+    """The lines without the marked ones of the given domains. Write the result to a new path.
+
+    Only marked lines take part in the join; the others have no name to join on.
+    """
     named = F.split(strip(F.col("line")), r"\s+")
-    listed = F.when(marked(F.col("line"), marker) & (F.size(named) >= 2), named[1])
+    listed = F.coalesce(marked(F.col("line"), marker) & (F.size(named) >= 2), F.lit(False))
     gone = domains.select(F.col("domain").alias("_domain")).distinct()
-    return lines.withColumn("_domain", listed).join(gone, "_domain", "left_anti").select(*lines.columns)
+    entries = lines.filter(listed).withColumn("_domain", named[1]).join(gone, "_domain", "left_anti")
+    return lines.filter(~listed).unionByName(entries.select(*lines.columns))
 
 
 def blocklist_clear(lines: DataFrame, marker: str = L.BLOCK_MARKER) -> DataFrame:
@@ -73,9 +77,14 @@ def blocklist_history(actions: DataFrame) -> DataFrame:
 
 
 def labelled_dataset_sink(rows: DataFrame, path: str, label: str = "label") -> DataFrame:
-    """Write the rows as CSV with header, as JSON, and their counts per label; return the counts."""
-    rows.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
+    """Write the rows as JSON, as CSV with header, and their counts per label; return the counts.
+
+    The rows are computed once: all but the JSON is made from what was written.
+    """
+    spark = rows.sparkSession
     rows.write.mode("overwrite").json(f"{path}/json")
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("records"))
+    written = spark.read.schema(rows.schema).json(f"{path}/json")
+    written.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
+    counts = written.groupBy(label).agg(F.count(F.lit(1)).alias("records"))
     counts.write.mode("overwrite").json(f"{path}/summary")
-    return counts
+    return spark.read.schema(counts.schema).json(f"{path}/summary")
