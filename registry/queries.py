@@ -302,14 +302,15 @@ def connection_features(v):
 
 @query
 def connection_defaults(v):
-    """Names that were never seen on the wire: every group is filled in."""
-    none = queries_of(v).withColumn("query_domain", F.concat(F.lit("x."), F.col("query_domain")))
-    empty_tls = handshakes_of(v).filter("dst_port = 1")
-    empty_flow = packets_of(v).filter("dst_port = 1")
-    return rounded(features.connection_features(none, empty_tls, empty_flow).select(
-        "domain", "destination_ip", "dns_imputed", "tls_imputed", "flow_imputed", "tls_tls_version", "tls_tls_version_code",
-        "tls_handshake_packet_size", "tls_sni_length", "flow_packet_size_mean", "flow_total_packets", "flow_destination_port",
-        "flow_ttl_value",
+    """Requests for names and addresses that were never seen on the wire: every group is filled in."""
+    requests = v.lookalikes.select(
+        F.upper("domain").alias("domain"), F.lit("203.0.113.9").alias("destination_ip"), F.concat(F.lit("cdn."), F.col("domain")).alias("sni")
+    )
+    rows = features.connection_features(queries_of(v), handshakes_of(v), packets_of(v), requests=requests)
+    return rounded(rows.select(
+        "domain", "destination_ip", "sni", "dns_imputed", "tls_imputed", "flow_imputed", "dns_ttl_value", "dns_query_type",
+        "dns_query_frequency", "dns_ttl_variance", "tls_tls_version", "tls_tls_version_code", "tls_handshake_packet_size",
+        "tls_sni_length", "flow_packet_size_mean", "flow_total_packets", "flow_destination_port", "flow_ttl_value",
     ))
 
 
@@ -547,6 +548,30 @@ def verdict_cascade(v):
     return detection.check_domains(asked, "domain", v.feeds)
 
 
+@query
+def verdict_cascade_scored(v):
+    """The cascade with the scores of a model, so that every layer is reached."""
+    asked = v.lookalikes.unionByName(v.dns_queries.select(F.col("query_domain").alias("domain")))
+    return rounded(detection.check_domains(asked, "domain", v.feeds, v.model_scores))
+
+
+@query
+def connection_model_cascade(v):
+    """Connection features to a fitted model to verdicts, in one run. What the lists, the feeds and the names decide does not
+    depend on the fit, nor does the number of hosts left to the model."""
+    rows = connections(v).withColumn("label", training.label_index(lexical.keyword_label(F.col("domain"))))
+    matrix = training.training_matrix(rows)
+    names = [c for c in matrix.columns if c not in ("domain", "label")]
+    model = training.train(matrix, training.random_forest(names, trees=20, depth=8))
+    scored = training.score_batch(matrix, model, names).groupBy("domain").agg(
+        F.max_by("prediction", F.struct("confidence", "prediction")).alias("prediction"), F.max("confidence").alias("confidence")
+    )
+    asked = v.lookalikes.unionByName(v.dns_queries.select(F.col("query_domain").alias("domain")))
+    judged = detection.check_domains(asked, "domain", v.feeds, scored)
+    settled = F.when(F.col("ml_ran"), "left to the model").when(F.col("source").isin("hardcoded_blocklist", "hardcoded_allowlist"), "lists").otherwise("other")
+    return judged.groupBy(settled.alias("settled_by")).agg(F.count(F.lit(1)).alias("hosts"))
+
+
 @query
 def domain_decisions(v):
     """Names to list verdict to policy decision: the smallest whole run."""
@@ -920,9 +945,16 @@ def split_rows(v: Views) -> tuple[DataFrame, DataFrame]:
 
 
 def held_out_metrics(v: Views, pipeline) -> DataFrame:
+    """How many rows were held out, their positives, and whether the model beats the answer of the larger class."""
     fit, test = split_rows(v)
     scored = training.phishing_score(training.train(fit, pipeline).transform(test), "label")
-    return rounded(metrics.binary_metrics(scored))
+    return beats_majority(metrics.binary_metrics(scored))
+
+
+def beats_majority(measured: DataFrame, *keep: str) -> DataFrame:
+    tested, positives = F.expr("tn + fp + fn + tp"), F.expr("fn + tp")
+    majority = F.greatest(positives, tested - positives) / tested
+    return measured.select(*keep, tested.alias("tested"), positives.alias("positives"), (F.col("accuracy") >= majority).alias("beats_majority"))
 
 
 @query
@@ -954,7 +986,11 @@ def model_ranking(v):
 
 @query
 def cross_validate(v):
-    return rounded(training.cross_validate(labelled(v), lambda: training.random_forest(training.DOMAIN_FEATURES)))
+    """One row; every mean and deviation lies within its range."""
+    found = training.cross_validate(labelled(v), lambda: training.random_forest(training.DOMAIN_FEATURES, trees=20))
+    return found.select(*[
+        (F.col(f"{n}_mean").between(0.5, 1) & F.col(f"{n}_std").between(0, 0.5)).alias(f"{n}_in_range") for n in ("accuracy", "f1", "roc_auc")
+    ])
 
 
 def forest(v: Views):
@@ -964,12 +1000,21 @@ def forest(v: Views):
 
 @query
 def score_batch(v):
-    return rounded(training.score_batch(labelled(v), forest(v), training.DOMAIN_FEATURES))
+    """Every domain: what the lists say, which does not depend on the fit, and that the model has given the rest a verdict."""
+    scored = training.score_batch(labelled(v), forest(v), training.DOMAIN_FEATURES)
+    listed = matching.list_suffix_match(v.domains, "domain").select("domain", "in_block_list", "in_allow_list")
+    by_list = F.col("in_block_list") | F.col("in_allow_list")
+    sure = F.col("confidence").between(0.5, 1) & F.col("prediction").isin("phishing", "legitimate")
+    return scored.join(listed, "domain").select(
+        "domain", F.when(by_list, F.col("prediction")).alias("listed_as"), sure.alias("has_verdict")
+    )
 
 
 @query
 def feature_importance(v):
-    return rounded(training.feature_importance(v.spark, forest(v), training.DOMAIN_FEATURES))
+    """All features have a weight, and the weights add up to 1."""
+    found = training.feature_importance(v.spark, forest(v), training.DOMAIN_FEATURES, len(training.DOMAIN_FEATURES))
+    return found.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("all_positive"))
 
 
 @query
@@ -980,7 +1025,7 @@ def model_metadata_sink(v):
     folder = work_folder(v.spark, "model")
     training.model_metadata_sink(model, evaluation, training.DOMAIN_FEATURES, "RandomForest", folder, fit, test)
     return v.spark.read.json(f"{folder}/metadata").select(
-        "model_type", "num_features", "num_samples", "num_train", "num_test", r("evaluation.accuracy").alias("accuracy")
+        "model_type", "num_features", "num_samples", "num_train", "num_test", F.col("evaluation.accuracy").between(0, 1).alias("measured")
     )
 
 
@@ -991,4 +1036,4 @@ def select_model(v):
         "NeuralNetwork": training.neural_network(training.DOMAIN_FEATURES),
     }
     results = training.select_model(labelled(v), training.DOMAIN_FEATURES, pipelines, work_folder(v.spark, "best"))
-    return rounded(results)
+    return beats_majority(results, "ordinal", "model")

@@ -252,6 +252,15 @@ class Views:
             "ELSE cast((doc_id * 31 + quality * 20) % 97 AS double) / 97 END AS score",
         )
 
+    @property
+    def model_scores(self) -> DataFrame:
+        """What a model might say of the names, with every kind of answer."""
+        names = self.lookalikes.unionByName(self.dns_queries.selectExpr("query_domain AS domain")).distinct()
+        return names.selectExpr(
+            "domain", "CASE WHEN length(domain) % 2 = 0 THEN 'phishing' ELSE 'legitimate' END AS prediction",
+            "cast(50 + ascii(substring(domain, -6, 1)) % 50 AS double) / 100 AS confidence",
+        ).filter("length(domain) % 5 <> 0")
+
     @property
     def feedback(self) -> DataFrame:
         """Ratings, half of them for events that were never seen."""
@@ -374,6 +383,10 @@ FROM events e JOIN domain_dim d ON d.i = (e.event_id * 7 + e.user_id) % 24""",
 SELECT CASE WHEN doc_id % 37 = 3 THEN NULL ELSE doc_id END AS doc_id, CASE WHEN doc_id % 43 = 7 THEN NULL ELSE quality END AS label,
  CASE doc_id % 41 WHEN 5 THEN NULL WHEN 6 THEN 1.0 WHEN 7 THEN 0.0 ELSE cast((doc_id * 31 + quality * 20) % 97 AS double) / 97 END::DOUBLE AS score FROM labels""",
     "cased_domains": "SELECT domain FROM domains UNION SELECT upper(domain) FROM lookalikes UNION SELECT 'PayPal-' || domain FROM domain_dim",
+    "model_scores": """
+SELECT domain, CASE WHEN length(domain) % 2 = 0 THEN 'phishing' ELSE 'legitimate' END AS prediction,
+ cast(50 + ascii(substring(domain, -6, 1)) % 50 AS double) / 100 AS confidence
+FROM (SELECT domain FROM lookalikes UNION SELECT query_domain FROM dns_queries) n WHERE length(domain) % 5 <> 0""",
     "feedback": "SELECT 2 * event_id AS event_id, event_id % 3 <> 0 AS was_correct FROM events",
     "list_actions": """
 SELECT e.event_id, e.ts, concat('u', cast(e.user_id AS string), '.', d.domain) AS domain, '127.0.0.1' AS ip,
@@ -387,6 +400,7 @@ DEPENDS = {
     "feed_urls": ["domain_dim"], "feed_one": ["lookalikes"], "hello_payloads": ["dns_queries"],
     "http_payloads": ["dns_queries"], "verifier_replies": ["domain_dim"], "noisy_names": ["domain_dim"],
     "urls": ["domain_dim"], "list_actions": ["domain_dim"], "cased_domains": ["domains"],
+    "model_scores": ["lookalikes", "dns_queries"],
 }
 
 

@@ -253,14 +253,24 @@ def session_of(chosen: DataFrame, handshakes: DataFrame, queries: DataFrame, sec
 
 # --- wide row -----------------------------------------------------------------------------------
 def connection_features(
-    queries: DataFrame, handshakes: DataFrame, packets: DataFrame, lists: L.HostLists = L.HostLists()
+    queries: DataFrame, handshakes: DataFrame, packets: DataFrame, lists: L.HostLists = L.HostLists(),
+    requests: DataFrame | None = None,
 ) -> DataFrame:
-    """One wide row per (name, resolved address): DNS, TLS, flow and session features with ``*_imputed`` flags.
+    """One wide row per (name, address): DNS, TLS, flow and session features with ``*_imputed`` flags.
+
+    The rows are the names asked for with the addresses they resolved to, or those of ``requests`` (domain,
+    destination_ip, and an optional sni), whether they were seen on the wire or not. Groups without a packet get defaults.
 
     Every lookup is aggregated to its key before it is joined, so the joins see one row per name or address. Session
     features are those of the handshake that supplies the TLS features; no other handshake is numbered or counted.
     """
-    pairs = queries.select(F.lower("query_domain").alias("domain"), F.col("dst_ip").alias("destination_ip")).distinct()
+    asked = F.lit(None).cast("string")
+    if requests is None:
+        pairs = queries.select(F.lower("query_domain").alias("domain"), F.col("dst_ip").alias("destination_ip"), asked.alias("asked_sni"))
+    else:
+        asked = F.col("sni") if "sni" in requests.columns else asked
+        pairs = requests.select(F.lower("domain").alias("domain"), "destination_ip", asked.alias("asked_sni"))
+    pairs = pairs.distinct()
     dns = queries.groupBy(F.lower("query_domain").alias("domain")).agg(
         F.min_by(F.struct(F.col("ttl").alias("ttl_value"), "query_type", "ts"), F.struct(*ARRIVAL)).alias("first"),
         *query_stats(),
@@ -282,12 +292,12 @@ def connection_features(
     joined = pairs.join(dns, "domain", "left").join(tls, "destination_ip", "left").join(flows, "destination_ip", "left")
     lexical = domain_columns(F.col("domain"), lists)
     name = F.col("domain")
-    seen = joined.withColumns({"sni": F.col("h.sni"), "tls_version": F.col("h.tls_version"), "dst_port": F.col("h.dst_port"),
+    seen = joined.withColumns({"sni": F.col("h.sni"), "asked_or_domain": F.coalesce("asked_sni", "domain"), "tls_version": F.col("h.tls_version"), "dst_port": F.col("h.dst_port"),
                                "packet_size": F.col("h.packet_size")})
     measured = tls_columns(name)
     missing_tls = F.col("h").isNull()
     tls_defaults = {
-        **TLS_DEFAULTS, "sni_present": True, "sni_length": F.length(name), "sni_entropy": entropy_stripped(name),
+        **TLS_DEFAULTS, "sni_present": True, "sni_length": F.length("asked_or_domain"), "sni_entropy": entropy_stripped(F.col("asked_or_domain")),
     }
     dns_out = lexical | {
         n: F.coalesce(F.col(f"q.{n}"), F.lit(d)) for n, d in DNS_DEFAULTS.items()
@@ -309,7 +319,7 @@ def connection_features(
     return seen.select(
         "domain",
         "destination_ip",
-        "sni",
+        F.coalesce("asked_sni", "sni").alias("sni"),
         *[c.alias(f"{group}_{n}") for group, columns in groups for n, c in columns.items()],
         F.col("q").isNull().alias("dns_imputed"),
         missing_tls.alias("tls_imputed"),
