@@ -62,3 +62,17 @@ def ship_code(df: DataFrame) -> DataFrame:
         context.addPyFile(path)
         _shipped.add(context.applicationId)
     return df
+
+
+class WorkerCache(dict):
+    """A bounded cache of a Python worker. A worker runs tasks of many operators one after the other: the cache of one is
+    emptied when another operator begins."""
+
+    _current: WorkerCache | None = None
+
+    def begin(self) -> WorkerCache:
+        before = WorkerCache._current
+        if before is not None and before is not self:
+            before.clear()
+        WorkerCache._current = self
+        return self

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatspark.llm.common import settled, ship_code
+from threatspark.llm.common import WorkerCache, settled, ship_code
 
 PART_WORDS = 48
 HALF = 32  # passages are 64 words, one starts every 32
@@ -42,7 +42,7 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 GRAM = 5
 SLICE_WORDS = 400_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 K1, B = 1.2, 0.75
 _TERM = re.compile(r"\w+")
 
@@ -181,7 +181,7 @@ class BlockIndex:
         return out
 
 
-class _Numbers(dict):
+class _Numbers(WorkerCache):
     """The term numbers of a word as it is written, as int32 bytes: one for each run of word characters, -1 for terms of no item."""
 
     def __init__(self, number: dict[str, int]) -> None:
@@ -258,6 +258,7 @@ def contaminated(
 def _search(docs: DataFrame, sent, overlap: float, schema: T.StructType) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = BlockIndex(*sent.value)
+        index.cache.begin()
 
         def answer(ids: list, texts: list[str]) -> pa.RecordBatch:
             hits = index.verified(texts, overlap)

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatspark.llm.common import ship_code
+from threatspark.llm.common import WorkerCache, ship_code
 
 MARK = "▁"
-CACHED_RUNS = 500_000
-SLICE_CHARS = 4_000_000
+CACHED_RUNS = 240_000
+SLICE_CHARS = 1_000_000
 
 
-class _Runs(dict):
+class _Runs(WorkerCache):
     """Ids of the runs met lately: two generations of half of CACHED_RUNS each; long runs are not held."""
 
     def __init__(self, encode: Callable[[str], bytes]) -> None:
@@ -44,11 +44,16 @@ class _Runs(dict):
             ids = self.encode(run)
         if len(run) <= 64:
             if len(self) >= CACHED_RUNS // 2:
-                self.old = dict(self)
+                old = dict(self)
                 self.clear()
+                self.old = old
             self[run] = ids
         return ids
 
+    def clear(self) -> None:
+        self.old = {}
+        super().clear()
+
 
 class PieceEncoder:
     """Encodes with the pieces and scores of a byte-fallback merge model that leaves texts as they are."""
@@ -231,6 +236,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
+        encoder.cache.begin()
         for batch in batches:
             for low, high in _slices(batch.column(1)):
                 part = batch.slice(low, high - low)

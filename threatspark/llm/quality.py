@@ -20,17 +20,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatspark.llm.common import settled, ship_code
+from threatspark.llm.common import WorkerCache, settled, ship_code
 
 BUCKET_BITS = 16
 TARGET_DOCS = 20_000
 NOISE_SEED = 42
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Tokens(dict):
+class _Tokens(WorkerCache):
     """Hashes of the tokens (runs of word characters, runs of other signs) of a word, as uint64 bytes."""
 
     def __missing__(self, word: str) -> bytes:
@@ -57,6 +57,7 @@ def _counts(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts of all texts and of those flagged as target; each task sends at most one row for each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _TOKENS.begin()
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -104,6 +105,7 @@ class Importance:
 
         @F.pandas_udf("double")
         def log_ratio(texts: pd.Series) -> pd.Series:
+            _TOKENS.begin()
             out = []
             for t in texts:
                 found = buckets_of(t, bits)

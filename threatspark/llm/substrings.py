@@ -27,17 +27,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatspark.llm.common import settled, ship_code
+from threatspark.llm.common import WorkerCache, settled, ship_code
 
 WINDOW = 20
 ANCHOR = 10
 SLICE_WORDS = 1_000_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _LAST = (1 << 63) - 1
 
 
-class _WordHashes(dict):
+class _WordHashes(WorkerCache):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(self) >= CACHED_WORDS:
@@ -146,6 +146,7 @@ _ROWS = T.StructType([
 
 def _slices(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[tuple[list, list, list]]:
     """Keys, words and spans of about SLICE_WORDS, cut between documents."""
+    _HASHES.begin()
     keys, words, spans, total = [], [], [], 0
     for batch in batches:
         for k in range(batch.num_rows):
