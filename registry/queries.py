@@ -843,7 +843,7 @@ def stream_verdicts(v):
 
 @query
 def stream_new_domains(v):
-    out = run(v, jobs.stream_new_domains(decisions_of(v)), "new-domains")
+    out = run(v, decisions_of(v), "new-domains", jobs.new_domains_writer)
     return v.spark.read.parquet(out).filter("blocked OR prediction <> 'phishing'").groupBy("domain").agg(
         F.count(F.lit(1)).alias("sightings")
     )

@@ -113,3 +113,36 @@ def test_streamed_log_is_read_by_day(spark, stream, batch, tmp_path):
     last = [r[0] for r in every.select(F.to_date("ts").alias("d")).distinct().orderBy(F.col("d").desc()).limit(2).collect()]
     want = every.filter(F.to_date("ts").isin(last)).select("domain", "ts").distinct().count()
     assert logs.detection_log_scan(spark, out, days=2).count() == want
+
+
+def test_new_domains_against_a_table(spark, stream, batch, tmp_path):
+    """Exact however long ago a domain was seen, over several batches, and a repeated batch changes nothing."""
+    writer = jobs.new_domains_writer(str(tmp_path / "out"))
+    ids = []
+
+    def twice(rows, batch_id):
+        ids.append(batch_id)
+        writer(rows, batch_id)
+        writer(rows, batch_id)
+
+    jobs.run_available(jobs.stream_detect(stream.dns_queries, stream.tls_handshakes), str(tmp_path / "checkpoint"), twice)
+    assert len(ids) == 4
+    out = spark.read.parquet(str(tmp_path / "out"))
+    every = detection.detect(detection.domain_events(batch.dns_queries, batch.tls_handshakes))
+    settled = "blocked OR prediction <> 'phishing'"
+    assert same(out.filter(settled).select("domain"), every.filter(settled).select("domain").distinct())
+    assert out.filter(f"NOT ({settled})").count() == every.filter(f"NOT ({settled})").count()
+
+
+def test_totals_stay_few_and_right(spark, stream, batch, tmp_path):
+    path = str(tmp_path / "out")
+    writer = jobs.totals_writer(path)
+
+    def twice(rows, batch_id):
+        writer(rows, batch_id)
+        writer(rows, batch_id)
+
+    jobs.run_available(stream.detections.withColumn("blocked", F.lit(True)), str(tmp_path / "checkpoint"), twice)
+    totals = jobs.read_totals(spark, path).first()
+    assert (totals.total_events, totals.total_phishing) == (batch.detections.count(), batch.detections.filter("prediction = 'phishing'").count())
+    assert len(logs.matching_names(spark, f"{path}/batch=*")) <= 3

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threatspark import lexicon as L
 from threatspark.functions.lexical import entropy_stripped, has_any
 from threatspark.operators import running
+from threatspark.session import settled
 
 # fixed values: what a missing feature group is filled with
 DNS_DEFAULTS = {"ttl_value": 3600, "query_type": "A", "query_frequency": 1, "ttl_variance": 0.0}
@@ -279,9 +280,9 @@ def connection_features(
 
     https = F.col("dst_port") == 443
     handshake = F.struct("event_id", "ts", "sni", "tls_version", "dst_port", "packet_size", "src_ip")
-    first_tls = running.settled(handshakes.filter(https).groupBy(F.col("dst_ip").alias("destination_ip")).agg(
+    first_tls = settled(handshakes.filter(https).groupBy(F.col("dst_ip").alias("destination_ip")).agg(
         F.min_by(handshake, F.struct(*ARRIVAL)).alias("h")
-    ))
+    ), "first-tls")
     chosen = first_tls.filter("h.sni IS NOT NULL").select("h.event_id", "h.ts", "h.sni", "h.src_ip")
     session = session_of(chosen, handshakes, queries).withColumnRenamed("event_id", "_event")
     tls = first_tls.join(session, F.col("h.event_id") == F.col("_event"), "left").select("destination_ip", "h", *SESSION_COLUMNS)

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from threatspark.session import work_folder
+from threatspark.session import settled
 
 KEYS, SLICE, POSITION = "_keys", "_slice", "_position"
 ROWS_PER_SLICE = 20_000_000
@@ -48,13 +48,6 @@ def time_position(df: DataFrame, order: Sequence[str]) -> Column:
     return F.coalesce(epoch_us(F.col(order[0])), F.lit(UNTIMED) + number)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    spark, path = df.sparkSession, work_folder(df.sparkSession, "cuts")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _packed_keys(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))
 
@@ -68,13 +61,13 @@ class RowSlices:
     def __init__(self, source: DataFrame, keys: Sequence[str], position: Column, rows: int | None = None, width: float = SECOND) -> None:
         self.rows, self.width, self.cuts = rows or ROWS_PER_SLICE, width, None
         packed = source.select(_packed_keys(keys).alias(KEYS), position.alias(POSITION))
-        heavy = settled(packed.groupBy(KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.rows).select(KEYS))
+        heavy = settled(packed.groupBy(KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.rows).select(KEYS), "heavy")
         if heavy.isEmpty():
             return
         placed = packed.join(heavy, KEYS, "left_semi").withColumn("_stretch", self._stretch(F.col(POSITION)))
         counted = placed.groupBy(KEYS, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
         before = F.coalesce(F.sum("_n").over(Window.partitionBy(KEYS).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counted = settled(counted.withColumn("_before", before))
+        counted = settled(counted.withColumn("_before", before), "stretches")
         base = F.floor(F.col("_before") / self.rows).alias("_base")
         full = counted.filter(F.col("_n") > self.rows)
         if full.isEmpty():
@@ -88,7 +81,7 @@ class RowSlices:
         starts = first.agg(F.min(POSITION).alias("_start")).filter(F.col("_number") > F.floor(F.col("_before") / self.rows))
         # as many bounds as the stretch holds slices
         bounds = starts.groupBy(KEYS, "_stretch").agg(F.collect_list(F.col("_start").cast(packed.schema[POSITION].dataType)).alias("_bounds"))
-        self.cuts = settled(counted.select(KEYS, "_stretch", base).join(bounds, [KEYS, "_stretch"], "left"))
+        self.cuts = settled(counted.select(KEYS, "_stretch", base).join(bounds, [KEYS, "_stretch"], "left"), "cuts")
 
     def _stretch(self, position: Column) -> Column:
         return F.floor(position / self.width)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import SparkConf
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", app: str = "threatspark", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,6 +27,8 @@ def build_session(master: str = "local[8]", app: str = "threatspark", shuffle_pa
         # call sites are not recorded for every column: expressions here are built from many small parts
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # a flow with much traffic then arrives at its session as few rows
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config(
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -43,3 +45,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{shared.rstrip('/')}/threatspark/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and its size is known to the optimizer."""
+    spark, path = df.sparkSession, work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

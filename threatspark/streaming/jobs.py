@@ -1,6 +1,7 @@
 """Structured Streaming jobs. Event time is ``ts``; every stateful job has a watermark and a checkpoint.
 
-Domains that return after the watermark has passed are new again: state is bounded, unlike an ever-growing set.
+In jobs that de-duplicate in state, what returns after the watermark has passed is new again: ``delay`` bounds the state.
+:func:`new_domains_writer` is the exact form, with a table in place of the state.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from threatspark.functions.policy import LIVE_POLICY, DecisionPolicy
 from threatspark.operators.matching import feed_parent_match
 from threatspark.operators.verdicts import loggable, logged_event_override, verdict_cascade
 from threatspark.plans.detection import detect, domain_events
+from threatspark.session import settled
 from threatspark.sources.browser import chrome_time, download_block_rows
+from threatspark.sources.logs import matching_names
 from threatspark.sources.sinks import log_row
 
 SALTS = 16
@@ -82,23 +85,48 @@ def stream_detect(
     return detect(domain_events(queries, handshakes), lists, rules)
 
 
-def stream_new_domains(decisions: DataFrame, delay: str = "1 day") -> DataFrame:
+def stream_new_domains(decisions: DataFrame, delay: str = "1 day", salts: int = SALTS) -> DataFrame:
     """First sight of each settled domain; alerted ones pass every time they are seen.
 
     Streaming de-duplication has no map-side combine, so it runs twice: per (domain, salt), which spreads a domain with
-    a large share of the traffic over tasks, then per domain on the few rows left.
+    a large share of the traffic over ``salts`` tasks, then per domain on the few rows left. A domain is new again when it
+    returns after ``delay``.
     """
     alerted = (F.col("prediction") == "phishing") & ~F.col("blocked")
     timed = decisions.withWatermark("ts", delay)
-    salted = timed.filter(~alerted).withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)))
+    salted = timed.filter(~alerted).withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
     first = salted.dropDuplicatesWithinWatermark(["domain", "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(["domain"])
     return first.unionByName(timed.filter(alerted))
 
 
+def new_domains_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """First sight of each settled domain, however long ago; alerted ones pass every time they are seen.
+
+    Each micro-batch is folded to its distinct domains before the shuffle and checked against those written so far. A
+    repeated batch replaces its own folder and does not see itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        alerted = (F.col("prediction") == "phishing") & ~F.col("blocked")
+        rest = [c for c in batch.columns if c != "domain"]
+        first = batch.filter(~alerted).groupBy("domain").agg(F.min_by(F.struct(*rest), F.struct("ts", "event_id")).alias("first"))
+        new = first.select("domain", "first.*").select(*batch.columns)
+        if any(name != f"batch={batch_id}" for name in matching_names(spark, f"{path}/batch=*")):
+            known = spark.read.parquet(path).filter((F.col("batch") != batch_id) & ~alerted).select("domain").distinct()
+            new = new.join(known, "domain", "left_anti").select(*batch.columns)
+        new.unionByName(batch.filter(alerted)).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+
+    return write
+
+
 def stream_traffic_windows(
     predictions: DataFrame, tick: str = "1 hour", slide: str | None = None, delay: str = "1 hour"
 ) -> DataFrame:
-    """Phishing and safe events per closed tick; with ``slide`` as overlapping windows for a rolling view."""
+    """Phishing and safe events per closed tick; with ``slide`` as overlapping windows for a rolling view.
+
+    A tick is emitted once the watermark has passed it: the last ones are missing until later events arrive.
+    """
     window = F.window("ts", tick, slide) if slide else F.window("ts", tick)
     phishing = F.col("prediction") == "phishing"
     return (
@@ -119,32 +147,50 @@ def stream_detection_totals(
 
 
 def totals_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """Counts of each micro-batch; :func:`read_totals` adds them up."""
+    """The totals up to each micro-batch. A repeated batch starts again from the one before it; older totals go, so that
+    there are never more than three."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         phishing, safe = F.col("prediction") == "phishing", F.col("prediction") == "legitimate"
-        batch.agg(
+        before = [i for i in _batches(spark, path) if i < batch_id]
+        counts = batch.agg(
             F.count(F.lit(1)).alias("total_events"),
             F.count_if(phishing).alias("total_phishing"),
             F.count_if(phishing & F.col("blocked")).alias("total_blocked"),
             F.count_if(safe).alias("total_safe"),
-        ).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        )
+        if before:
+            counts = counts.unionByName(spark.read.parquet(batch_folder(path, before[-1])))
+        counts.agg(*[F.sum(n).alias(n) for n in counts.columns]).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        for old in before[:-1]:
+            remove(spark, batch_folder(path, old))
 
     return write
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(name.removeprefix("batch=")) for name in matching_names(spark, f"{path}/batch=*"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    names = ("total_events", "total_phishing", "total_blocked", "total_safe")
-    return spark.read.parquet(path).agg(*[F.sum(n).alias(n) for n in names])
+    """The totals after the last finished micro-batch."""
+    return spark.read.parquet(batch_folder(path, _batches(spark, path)[-1]))
 
 
 def stream_flow_sessions(packets: DataFrame, gap: str = "30 seconds", delay: str = "1 hour") -> DataFrame:
     """Flow statistics per 5-tuple session, emitted when the session is closed.
 
-    The mean gap is the duration over the number of gaps, so no order is needed inside a session. Sessions are merged
-    before the shuffle too, so a flow with much traffic arrives as few rows.
+    The mean gap is the duration over the number of gaps, so no order is needed inside a session. Set
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` in the session, as ``build_session`` does: then
+    a flow with much traffic arrives as few rows. A session is emitted once the watermark has passed its end.
     """
-    packets.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     us = F.unix_micros("ts")
     size = F.col("packet_size")
     seconds = (F.max(us) - F.min(us)) / F.lit(1e6)
@@ -174,7 +220,11 @@ def stream_block_monitor(downloads: DataFrame, delay: str = "30 days") -> DataFr
 
 
 class RefreshingFeed:
-    """A feed dimension that is read again once its snapshot is older than ``ttl_seconds``."""
+    """A feed dimension that is read again once its snapshot is older than ``ttl_seconds``.
+
+    A snapshot is a table in the shared folder: micro-batches in between neither read nor de-duplicate the feed again, and
+    are not disturbed when its files are replaced.
+    """
 
     def __init__(self, read: Callable[[], DataFrame], ttl_seconds: float = 3600, clock: Callable[[], float] = time.time):
         self._read, self._ttl, self._clock = read, ttl_seconds, clock
@@ -183,7 +233,7 @@ class RefreshingFeed:
 
     def current(self) -> DataFrame:
         if self._frame is None or self._clock() - self._loaded >= self._ttl:
-            self._frame, self._loaded = self._read(), self._clock()
+            self._frame, self._loaded = settled(self._read(), "feed"), self._clock()
         return self._frame
 
 
