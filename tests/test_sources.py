@@ -1,13 +1,16 @@
 """Files with bad lines, both log layouts, feeds, payload edge cases and folders."""
 
 import json
+import random
+import time
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from threatspark import lexicon as L
 from threatspark import session
-from threatspark.sources import capture, logs, sinks
+from threatspark.sources import browser, capture, logs, sinks
 
 
 def event(domain, ts, **more):
@@ -23,10 +26,70 @@ def test_flat_detection_logs(spark, tmp_path):
         lines = [event(f"d{day}.com", day), event(f"d{day}.com", day), "{not json", "", event("same.com", 99.5), json.dumps({"domain": "x"})]
         (tmp_path / f"detections_2026010{day}.jsonl").write_text("\n".join(lines))
     (tmp_path / "system_blocks_20260101.jsonl").write_text(event("other.com", 1))
-    got = sorted((r.domain, r.timestamp) for r in logs.detection_log_scan(spark, str(tmp_path)).collect())
-    assert got == [(f"d{d}.com", float(d)) for d in range(3, 8)] + [("same.com", 99.5)]
+    for days, first in ((None, 1), (5, 3)):
+        got = sorted((r.domain, r.timestamp) for r in logs.detection_log_scan(spark, str(tmp_path), days).collect())
+        assert got == [(f"d{d}.com", float(d)) for d in range(first, 8)] + [("same.com", 99.5)]
+
+
+def test_both_log_layouts_are_read_and_the_newest_line_wins(spark, tmp_path):
+    (tmp_path / "detections_20260101.jsonl").write_text("\n".join([event("a.com", 1), event("b.com", 2, reason="old"), event("b.com", 2, reason="older")]))
+    (tmp_path / "dt=2026-01-02").mkdir()
+    (tmp_path / "dt=2026-01-02" / "part-0.json").write_text("\n".join([event("b.com", 2, reason="new"), event("c.com", 3)]))
+    rows = {r.domain: r.reason for r in logs.detection_log_scan(spark, str(tmp_path)).collect()}
+    assert rows == {"a.com": "r", "b.com": "new", "c.com": "r"}
+    assert {r.domain for r in logs.detection_log_scan(spark, str(tmp_path), 1).collect()} == {"b.com", "c.com"}
+    assert logs.detection_log_scan(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_nothing_is_capped(spark):
+    words = " ".join(f"w{k}" for k in range(1500))
+    lines = spark.createDataFrame([(k, f"127.0.0.1 h{k}.com # {L.BLOCK_MARKER} {words}") for k in range(60)], "line_no long, line string")
+    entries = logs.blocklist_text_scan(lines).collect()
+    assert len(entries) == 60 and all(r.timestamp.endswith("w1499") for r in entries)
+    assert [r.line_no for r in logs.blocklist_text_scan(lines, 2).collect()] == [59, 58]
+    visits = [(k, "chrome", f"chrome-error://x/#https://h{k}.com/" if k % 2 else f"chrome-error://x/#https://10.0.0.{k % 250}/", 10**16 + k) for k in range(900)]
+    urls = spark.createDataFrame(visits, "id long, browser string, url string, last_visit_time long")
+    assert browser.navigation_blocks(urls).count() == 450
+    assert sorted(r.id for r in browser.navigation_blocks(urls, 3).collect()) == [895, 897, 899]
+    reloads = [(k, "chrome", f"https://{'one' if k > 300 else f'h{k}'}.com/", 10**16 + k) for k in range(600)]
+    seen = spark.createDataFrame(reloads, "id long, browser string, url string, last_visit_time long")
+    assert browser.recent_domains(seen).count() == 302
+    assert [r.domain for r in browser.recent_domains(seen, limit=2).collect()] == ["one.com", "h300.com"]
+    feed = spark.createDataFrame([(k, f"https://h{k}.com/") for k in range(300)], "entry long, url string")
+    assert logs.feed_domains_netloc(feed).count() == 300 and logs.feed_domains_netloc(feed, limit=7).count() == 7
 
 
+def test_server_names(spark):
+    def hello(name, before=b"\xff" * 37):
+        return b"\x16\x03\x01\x00\xff\x01" + before + b"\x00\x00" + bytes([0, len(name) + 5, 0, len(name) + 3, 0, 0, len(name)]) + name + b"\xff" * 4
+
+    def brute(payload):
+        if len(payload) < 6 or payload[5] != 1:
+            return None
+        for p in range(43, len(payload) - 9):
+            size = payload[p + 7] * 256 + payload[p + 8]
+            if payload[p : p + 2] == b"\x00\x00" and p + 9 + size <= len(payload):
+                return payload[p + 9 : p + 9 + size].decode("utf-8", "ignore")
+        return None
+
+    rng = random.Random(4)
+    payloads = [hello(b"a.com"), hello("é.com".encode()), hello(b"b.org", b"\x00\x00\xff\xff" * 12), b"\x16", b"", hello(b"x") [:50]]
+    payloads += [b"\x16\x03\x01\x00\xff\x01" + bytes(rng.choice([0, 0, 0, 1, 255, 65]) for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    frame = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(payloads)], "k long, p binary")
+    got = {r.k: r.n for r in frame.select("k", capture.hello_server_name(F.col("p")).alias("n")).collect()}
+    assert got == {k: brute(p) for k, p in enumerate(payloads)}
+
+
+def test_zeros_take_linear_time(spark):
+    sizes = [64_000, 1_000_000]
+    rows = [(n, bytearray(b"\x16\x03\x01\x00\xff\x01" + b"\xff" * 37 + b"\x00" * n)) for n in sizes]
+    rows += [(n + 1, bytearray(b"\x16\x03\x01\x00\xff\x01" + b"\xff" * 37 + b"\x00\x00\x00\xff" * (n // 4))) for n in sizes]
+    frame = spark.createDataFrame(rows, "n long, p binary").repartition(1)
+    frame.select(capture.hello_server_name(F.col("p"))).collect()
+    start = time.perf_counter()
+    frame.select(capture.hello_server_name(F.col("p"))).collect()
+    assert time.perf_counter() - start < 4  # four payloads, up to 1 MB
+
 def test_day_folders_open_only_the_newest(spark, tmp_path):
     rows = [(f"d{d}.com", "phishing", 0.9, True, f"2026-01-0{d} 10:00:00") for d in range(1, 8)]
     frame = spark.createDataFrame(rows, "domain string, prediction string, confidence double, blocked boolean, t string")
@@ -34,7 +97,7 @@ def test_day_folders_open_only_the_newest(spark, tmp_path):
     sinks.detection_log_sink(frame, str(tmp_path))
     scanned = logs.detection_log_scan(spark, str(tmp_path), days=2)
     assert sorted(r.domain for r in scanned.collect()) == ["d6.com", "d7.com"]
-    assert "PartitionFilters: [isnotnull(dt" in scanned._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [dt" in scanned._jdf.queryExecution().executedPlan().toString()
+    assert {f.split("/dt=")[1][:10] for f in scanned.inputFiles()} == {"2026-01-06", "2026-01-07"}
     assert {r.destination_ip for r in scanned.collect()} == {"0.0.0.0"}
 
 
