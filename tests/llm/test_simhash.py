@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -61,6 +62,22 @@ def test_links_against_all_pairs(spark):
         assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= bits}
 
 
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_crowds_are_connected_like_pairs(spark, bits):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    values = {b ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 4))}) for b in base for _ in range(60)}
+    label = brute_components(values, bits)
+    signed = {v - (1 << 64) if v >> 63 else v: v for v in values}
+    links = near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), bits, crowd=5)
+    found = {r.node: r.label for r in components(links).collect()}
+    groups, expected = {}, {}
+    for s, v in signed.items():
+        groups.setdefault(found.get(s, s), set()).add(v)
+        expected.setdefault(label[v], set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

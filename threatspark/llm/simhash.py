@@ -6,11 +6,14 @@ into a table by (segment, value); each one probes the table with its own value a
 set bits. As one of two values that differ in one bit has that bit set, all pairs are met from one side. Whole distances
 are verified in the join; the links run through connected components.
 
-Copies fold into one fingerprint before anything is joined.
+Copies fold into one fingerprint before anything is joined. Values held by very many fingerprints (a large group of near
+copies) are linked by the points they have in common, which takes no pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -23,6 +26,8 @@ from threatspark.llm.graph import components
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
+#: Values of a segment held by more distinct fingerprints are linked without pairs: so many pairs are as many rows.
+CROWD = 4096
 _ROWS = 1 << 16
 
 
@@ -59,8 +64,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ship_code(docs).select(F.col(id_col).alias("doc_id"), simhash(text).alias("fp"), F.xxhash64(text).alias("text_hash"))
 
 
-def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """u, v: pairs of the distinct fingerprints ``fp`` at ``max_bits`` or fewer differing bits."""
+def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
+    """u, v: links between distinct fingerprints ``fp`` at ``max_bits`` or fewer differing bits, that connect all such pairs.
+
+    These are the pairs themselves, but for values of a segment held by more than ``crowd`` fingerprints: there
+    :func:`_crowd_links` joins the same groups with a number of rows in proportion to the fingerprints.
+    """
     segments = max(1, -(-(max_bits + 1) // 2))
     bounds = [64 * k // segments for k in range(segments + 1)]
 
@@ -78,8 +87,33 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     held = distinct.select(F.col("fp").alias("a"), F.expr(f"inline(array({own}))"))
     probes = distinct.select(F.col("fp").alias("b"), F.expr(f"inline(concat({balls}))"))
     near = F.expr(f"bit_count(a ^ b) <= {max_bits}") & (~F.col("exact") | (F.col("a") < F.col("b")))
-    return held.join(probes, (held.seg == probes.seg) & (held.val == probes.val) & near).select(
+    full = settled(held.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("seg", "val"), "crowds")
+    dense = None
+    if not full.isEmpty():
+        inside = held.select("seg", "val", F.col("a").alias("fp")).unionByName(probes.select("seg", "val", F.col("b").alias("fp")))
+        dense = _crowd_links(inside.join(full, ["seg", "val"], "left_semi").select("fp").distinct(), max_bits)
+        held = held.join(full, ["seg", "val"], "left_anti")
+    pairs = held.join(probes, (held.seg == probes.seg) & (held.val == probes.val) & near).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return pairs if dense is None else pairs.unionByName(dense)
+
+
+def _crowd_links(fingerprints: DataFrame, max_bits: int) -> DataFrame:
+    """Links that connect all fingerprints within ``max_bits``, without pairs.
+
+    Every fingerprint names the points within half the distance of it; for an odd distance, the edges at these points. Two
+    fingerprints share a name exactly if they are within the distance, so whoever shares one is linked to the smallest. A
+    name is shared by a few hundred fingerprints at most (for three bits: two balls of 65), each has 4160 of them.
+    """
+    masks = [sum(1 << b for b in bits) for n in range(max_bits // 2 + 1) for bits in combinations(range(64), n)]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    points = fingerprints.select("fp", F.explode(signed).alias("mask")).select("fp", F.expr("fp ^ mask").alias("point"))
+    if max_bits % 2:
+        points = points.select("fp", "point", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("edge")).select(
+            "fp", F.expr("point & ~shiftleft(1L, edge)").alias("point"), "edge")
+    names = [c for c in points.columns if c != "fp"]
+    shared = points.groupBy(*names).agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
+    return shared.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u <> v").distinct()
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> DataFrame:
