@@ -147,6 +147,8 @@ add("system_block_log_scan", "block_events", BLOCKS + """ SELECT domain, '0.0.0.
 FEED_HOSTS = f"SELECT DISTINCT {host_of('url')} AS host FROM feed_urls WHERE contains(url, '://') AND {host_of('url')} <> ''"
 add("feed_hosts", "feed_urls", FEED_HOSTS)
 add("feed_snapshot_scan", "feed_urls", FEED_HOSTS)
+add("text_feed_scan", "feed_urls", FEED_HOSTS)
+add("json_feed_scan", "feed_urls", FEED_HOSTS)
 add("feed_domains_netloc", "feed_urls", r"""
 , f AS (SELECT url, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS n FROM feed_urls)
 SELECT DISTINCT lower(CASE WHEN n <> '' THEN n ELSE split_part(url, '/', 1) END) AS domain, 'any' AS variant FROM f
@@ -155,6 +157,7 @@ MARKED = f"""SELECT line_no, split_part(line, ' ', 1) AS ip, split_part(line, '
  CASE WHEN contains(line, '{MARKER} ') OR line LIKE '%lan # %' THEN array_to_string(string_split(line, ' ')[4:], ' ') ELSE 'Unknown' END AS timestamp
  FROM hosts_lines WHERE contains(line, '{MARKER}')"""
 add("blocklist_text_scan", "hosts_lines", MARKED)
+add("hosts_file_round_trip", "hosts_lines", f"SELECT ip, domain, timestamp, count(*) AS lines FROM ({MARKED}) GROUP BY ALL")
 
 
 def local(h: str) -> str:
@@ -202,6 +205,7 @@ add("training_tables_scan", "dns_queries tls_handshakes", QUERIES + HANDSHAKES +
 , u AS (SELECT 0 AS t, event_id, query_domain AS domain, ttl, query_type, NULL AS tls_version, NULL AS packet_size FROM q
  UNION ALL SELECT 1, event_id, sni, NULL, NULL, tls_version, packet_size FROM h WHERE sni IS NOT NULL)
 SELECT * EXCLUDE (t) FROM u QUALIFY row_number() OVER (PARTITION BY domain ORDER BY t, event_id) = 1""")
+ORACLES["training_csv_scan"] = ORACLES["training_tables_scan"]
 
 # --- sinks --------------------------------------------------------------------------------------
 BLOCKED = f""", named AS (SELECT * REPLACE ('u' || (event_id % 50) || '.' || domain AS domain) FROM detections)
@@ -506,6 +510,7 @@ add("run_summary", LIVE_VIEWS, live() + """ SELECT count(DISTINCT CASE WHEN pred
  count(DISTINCT CASE WHEN prediction = 'phishing' AND NOT blocked THEN domain END) AS detected_phishing,
  count(DISTINCT CASE WHEN blocked THEN domain END) AS blocked_domains FROM lv""")
 add("stream_detect", LIVE_VIEWS, live() + " SELECT event_id, origin, domain, action_taken, reason FROM lv")
+add("stream_routed_actions", LIVE_VIEWS, live() + " SELECT action_taken, count(*) AS events, count(DISTINCT domain) AS domains FROM lv GROUP BY 1")
 add("stream_new_domains", LIVE_VIEWS, live() + " SELECT DISTINCT domain, 1::BIGINT AS sightings FROM lv WHERE blocked OR prediction <> 'phishing'")
 add("blocked_only", "detections", f"SELECT event_id, domain FROM ({decided('detections')}) WHERE blocked")
 add("list_suffix_match", "domains", f"""
@@ -568,7 +573,7 @@ CASCADE = reputation("asked") + lexical("asked") + f"""
  CASE WHEN a OR b THEN 1.0::DOUBLE WHEN verdict <> 'unknown' THEN confidence ELSE score END AS confidence,
  CASE WHEN b THEN 'Domain matches a known phishing pattern — REJECT.' WHEN a THEN 'Domain is recognised as trusted — APPROVE.'
   WHEN verdict <> 'unknown' THEN reason WHEN score >= 0.55 THEN 'Signals: ' || array_to_string(reasons[1:4], '; ')
-  WHEN len(reasons) > 0 THEN 'Signals: ' || array_to_string(reasons[1:3], '; ') ELSE 'Domain not recognised — needs review.' END AS reason,
+  ELSE concat_ws(' · ', 'ML model unavailable', CASE WHEN len(reasons) > 0 THEN 'Signals: ' || array_to_string(reasons[1:3], '; ') END) END AS reason,
  CASE WHEN b THEN 'hardcoded_blocklist' WHEN a THEN 'hardcoded_allowlist' WHEN verdict <> 'unknown' THEN source WHEN score >= 0.55 THEN 'heuristic' ELSE 'none' END AS source,
  false AS ml_ran FROM c)"""
 NO_EXTERNAL = ", ext AS (SELECT NULL::VARCHAR AS host WHERE false)"
@@ -682,7 +687,9 @@ add("stream_flow_sessions", "flow_packets", PACKETS + f"""
 SELECT * EXCLUDE (sid, last_ts, d), round(d + 1e-9, 6) AS flow_duration, CASE WHEN total_packets > 1 THEN round(d / (total_packets - 1) + 1e-9, 6) ELSE 0 END AS inter_packet_timing_mean,
  CASE WHEN d > 0 THEN round(total_packets / d + 1e-9, 6) ELSE 0 END AS packets_per_second
 FROM g WHERE last_ts + INTERVAL 30 SECONDS <= (SELECT max(ts) FROM p) - INTERVAL 1 HOUR""")
-add("traffic_deltas", "detections", HOURLY + " ORDER BY 1 DESC LIMIT 30")
+add("traffic_deltas", "detections", f", h AS ({HOURLY})" + """
+, e AS (SELECT min(tick) AS lo, max(tick) AS hi FROM h), t AS (SELECT unnest(generate_series(greatest(lo, hi - INTERVAL 29 HOUR), hi, INTERVAL 1 HOUR)) AS tick FROM e)
+SELECT t.tick, coalesce(phishing, 0) AS phishing, coalesce(safe, 0) AS safe FROM t LEFT JOIN h ON h.tick = t.tick""")
 
 # --- top lists ----------------------------------------------------------------------------------
 add("latest_feeds", "detections", CLASSIFIED + """

@@ -167,6 +167,33 @@ def feed_snapshot_scan(v):
     return logs.feed_snapshot_scan(v.spark, folder)
 
 
+@query
+def text_feed_scan(v):
+    """A feed published as one URL a line."""
+    folder = work_folder(v.spark, "text-feed")
+    sinks.write_lines(v.feed_urls, folder, "url")
+    return logs.feed_hosts(logs.read_text_feed(v.spark, folder))
+
+
+@query
+def json_feed_scan(v):
+    """A feed published as JSON arrays of objects, about a thousand in each file."""
+    folder = work_folder(v.spark, "json-feed")
+    numbered = v.feed_urls.withColumn("file", F.floor(F.col("entry") / 1000))
+    arrays = numbered.groupBy("file").agg(F.to_json(F.collect_list(F.struct("entry", "url"))).alias("value"))
+    arrays.write.partitionBy("file").text(folder)
+    return logs.feed_hosts(logs.read_json_feed(v.spark, folder))
+
+
+@query
+def hosts_file_round_trip(v):
+    """The hosts file written as lines and read again."""
+    folder = work_folder(v.spark, "hosts")
+    sinks.write_lines(v.hosts_lines, folder)
+    entries = logs.blocklist_entries(logs.read_text_lines(v.spark, folder))
+    return entries.groupBy("ip", "domain", "timestamp").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query
 def blocklist_text_scan(v):
     return logs.blocklist_text_scan(v.hosts_lines)
@@ -199,6 +226,17 @@ def training_tables_scan(v):
     return logs.training_tables_scan([dns, tls], "event_id")
 
 
+@query
+def training_csv_scan(v):
+    """The same tables from a folder of CSV files."""
+    folder = work_folder(v.spark, "csv")
+    dns = queries_of(v).select("event_id", F.col("query_domain").alias("domain"), "ttl", "query_type")
+    tls = handshakes_of(v).filter("sni IS NOT NULL").select("event_id", F.col("sni").alias("domain"), "tls_version", "packet_size")
+    for name, rows in (("a_dns.csv", dns), ("b_tls.csv", tls)):
+        rows.write.option("header", "true").csv(f"{folder}/{name}")
+    return logs.training_csv_scan(v.spark, folder, "event_id")
+
+
 # --- sinks --------------------------------------------------------------------------------------
 def blocked_events(v: Views) -> DataFrame:
     named = v.detections.withColumn("domain", F.concat(F.lit("u"), (F.col("event_id") % 50).cast("string"), F.lit("."), F.col("domain")))
@@ -830,6 +868,19 @@ def stream_detect(v):
     return logs.read_json_lines(v.spark, out, "event_id bigint, origin string, domain string, action_taken string, reason string").drop("batch", "dt")
 
 
+@query
+def stream_routed_actions(v):
+    """Decisions handed to one writer for each action."""
+    folder = work_folder(v.spark, "actions")
+    handlers = {a: jobs.parquet_writer(f"{folder}/{a}") for a in ("block_dns", "alert", "log_only")}
+    jobs.run_available(decisions_of(v), f"{folder}/checkpoint", jobs.route_actions(handlers))
+    written = None
+    for action in handlers:
+        part = v.spark.read.parquet(f"{folder}/{action}").select("action_taken", "domain")
+        written = part if written is None else written.unionByName(part)
+    return written.groupBy("action_taken").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("domain").alias("domains"))
+
+
 @query
 def stream_verdicts(v):
     """The whole cascade on every name of the stream, with both feeds."""

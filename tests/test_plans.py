@@ -7,7 +7,7 @@ from registry.queries import QUERIES
 # writing, streaming and training queries run jobs while they are built; their plans are plain file scans
 EAGER = {n for n in QUERIES if n.startswith(("stream_", "train_"))} | {
     "detection_log_scan", "detection_log_sink", "system_block_log_sink", "system_block_log_scan", "feed_snapshot_scan",
-    "labelled_dataset_sink", "cross_validate", "score_batch", "feature_importance", "model_metadata_sink", "select_model",
+    "labelled_dataset_sink", "text_feed_scan", "json_feed_scan", "hosts_file_round_trip", "training_csv_scan", "cross_validate", "score_batch", "feature_importance", "model_metadata_sink", "select_model",
 }
 
 
@@ -27,7 +27,7 @@ def test_ranks_are_cut_before_the_shuffle(spark, sf_dir, name):
     assert "WindowGroupLimit" in plan_of(QUERIES[name](spark, sf_dir))
 
 
-@pytest.mark.parametrize("name", ["top_domains", "recent_events", "recent_blocks", "traffic_deltas"])
+@pytest.mark.parametrize("name", ["top_domains", "recent_events", "recent_blocks"])
 def test_top_lists_keep_only_their_rows(spark, sf_dir, name):
     assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, sf_dir))
 

@@ -138,7 +138,7 @@ def verdict_cascade(
 
     Block list, allow list, reputation, then model (phishing from .6) or lexical score (from .55), then a sure
     legitimate model (from .7 with a lexical score under .3), else unknown. ``model_scores`` (host, prediction,
-    confidence) is optional. The hosts are read once; the lists settle too few of them to be worth a second scan.
+    confidence) is optional; without it the reason of an open verdict says so. The hosts are read once; the lists settle too few of them to be worth a second scan.
     """
     h = F.col(host)
     judged = reputation_check(hosts, host, feeds, external, lists)
@@ -171,7 +171,7 @@ def verdict_cascade(
         " · ", F.when(by_model, F.concat(F.lit("ML model says PHISHING ("), whole_percent, F.lit(" confidence)"))), signals(told_signals[0])
     )
     open_reason = F.concat_ws(
-        " · ", F.when(ran, F.concat(F.lit("ML: "), F.col("_ml_label"), F.lit(" ("), whole_percent, F.lit(")"))), signals(told_signals[1])
+        " · ", F.lit("ML model unavailable" if model_scores is None else None).cast("string"), F.when(ran, F.concat(F.lit("ML: "), F.col("_ml_label"), F.lit(" ("), whole_percent, F.lit(")"))), signals(told_signals[1])
     )
     final = (
         F.when(

@@ -168,3 +168,12 @@ def training_tables_scan(tables: list[DataFrame], order: str) -> DataFrame:
     columns = [c for c in stacked.columns if c not in ("_table", "domain")]
     first = F.min_by(F.struct(*columns), F.struct("_table", order)).alias("first")
     return stacked.groupBy("domain").agg(first).select("domain", "first.*")
+
+
+def training_csv_scan(spark: SparkSession, folder: str, order: str) -> DataFrame:
+    """Training tables from the ``*.csv`` files (or folders) of a folder, in name order, by column name."""
+    names = matching_names(spark, f"{folder}/*.csv")
+    if not names:
+        raise ValueError(f"no CSV table in {folder}")
+    read = spark.read.option("header", "true").option("inferSchema", "true")
+    return training_tables_scan([read.csv(f"{folder}/{name}") for name in names], order)
