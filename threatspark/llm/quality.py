@@ -91,8 +91,10 @@ class Importance:
         self.share = counts.get(True, 0) / sum(counts.values()) if counts.get(True) else None
         if self.share is None:
             return
-        part = min(1.0, target_docs / counts[True])
-        ids = marked.where(F.col("_good") & (F.pmod(F.xxhash64("_label", F.lit("target")), F.lit(1 << 20)) < part * (1 << 20))).limit(target_docs)
+        # the smallest hashes, of few more rows than are wanted: the same sample on every run
+        place = F.pmod(F.xxhash64("_label", F.lit("target")), F.lit(1 << 30))
+        part = min(1.0, 1.1 * target_docs / counts[True] + 1e-3)
+        ids = marked.where(F.col("_good") & (place < part * (1 << 30))).orderBy(place, "_label").limit(target_docs)
         flagged = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(
             F.broadcast(ids.select("_label", F.lit(True).alias("_good"))), F.col("_id") == F.col("_label"), "left")  # target_docs rows at most
         raw, target = _counts(flagged.select("text", F.coalesce("_good", F.lit(False)).alias("good")), bits)
