@@ -15,6 +15,7 @@ from threatspark import lexicon as L
 from threatspark.functions.lexical import first_label, entropy
 from threatspark.model import metrics
 from threatspark.operators import running
+from threatspark.session import settled
 from threatspark.operators.features import domain_columns
 from threatspark.operators.verdicts import list_override
 
@@ -150,6 +151,7 @@ def cross_validate(df: DataFrame, pipeline: Callable[[], Pipeline], label: str =
         model = pipeline().fit(split.filter(F.col("fold") != fold))
         part = phishing_score(model.transform(split.filter(F.col("fold") == fold)), "fold", label)
         held_out = part if held_out is None else held_out.unionByName(part)
+    held_out = settled(held_out, "scores")  # all measures read the same scores
     per_fold = metrics.binary_metrics(held_out, by=["fold"]).join(metrics.roc_auc(held_out, by=["fold"]), "fold")
     names = ("accuracy", "f1", "roc_auc")
     summary = per_fold.agg(
@@ -170,7 +172,7 @@ def evaluate_models(test: DataFrame, models: dict[str, PipelineModel], label: st
     for ordinal, (name, model) in enumerate(models.items()):
         part = phishing_score(model.transform(test), label).withColumns({"ordinal": F.lit(ordinal), "model": F.lit(name)})
         stacked = part if stacked is None else stacked.unionByName(part)
-    by = ["ordinal", "model"]
+    by, stacked = ["ordinal", "model"], settled(stacked, "scores")
     return metrics.binary_metrics(stacked, by=by).join(metrics.roc_auc(stacked, by=by), by)
 
 
@@ -179,7 +181,7 @@ def select_model(rows: DataFrame, features: Sequence[str], pipelines: dict[str,
 
     Returns the metrics of all models. Only the name of the winner comes to the driver.
     """
-    split = stratified_split(rows, "label", row_id)
+    split = settled(stratified_split(rows, "label", row_id), "split")
     fit, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     models = {name: train(fit, pipeline) for name, pipeline in pipelines.items()}
     results = evaluate_models(test, models)

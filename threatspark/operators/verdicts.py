@@ -88,7 +88,9 @@ def reputation_check(
         joined = joined.join(hits, host, "left")
     else:
         joined = joined.withColumn("_threat", F.lit(None).cast("string"))
-    judged = brand_heuristic(joined, host, "_brand", rules)
+    # only hosts that no list or feed has settled are scored
+    settled = in_list(h, lists.anchors) | F.col("_threat").isNotNull() | F.col("feed_rank").isNotNull()
+    judged = brand_heuristic(joined.withColumn("_open", F.when(~settled, h)), "_open", "_brand", rules)
     result = (
         F.when(h == "", _reputation("unknown", F.lit("none"), F.lit(0.0), F.lit("Empty input.")))
         .when(
@@ -153,7 +155,7 @@ def verdict_cascade(
     judged = judged.withColumns({"_block": in_list(h, lists.block), "_allow": in_list(h, lists.allow)})
     block, allow = F.col("_block"), F.col("_allow")
     known = block | allow | (F.col("verdict") != "unknown")
-    scored = lexical_risk(judged, host, "_lex")
+    scored = lexical_risk(judged.withColumn("_unsettled", F.when(~known, h)), "_unsettled", "_lex")
     ran = ~known & F.col("_ml_label").isNotNull()
     conf, score = F.coalesce("_ml_conf", F.lit(0.0)), F.col("_lex.score")
     by_model = ran & (F.col("_ml_label") == "phishing") & (conf >= 0.6)
