@@ -124,7 +124,7 @@ def write_archives(
     records.write.option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
-def _parsed(data: bytes, length_checked: bool = True) -> dict | None:
+def _parsed(data: bytes) -> dict:
     """One record from what follows the separator."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
@@ -143,7 +143,6 @@ def _parsed(data: bytes, length_checked: bool = True) -> dict | None:
 
 def _whole_file(content: bytes) -> Iterator[dict]:
     """The records of one archive, by their lengths."""
-    start = f"{SEPARATOR}".encode()
     at = 0
     while (at := content.find(VERSION, at)) >= 0:
         head_end = content.find(b"\r\n\r\n", at)
@@ -154,7 +153,6 @@ def _whole_file(content: bytes) -> Iterator[dict]:
         block = content[head_end + 4 : head_end + 4 + size]
         yield _parsed(fields.get(b"warc-type", b"") + b"\r\n" + b"\r\n".join(others) + b"\r\n\r\n" + block + b"\r\n\r\n")
         at = head_end + 4 + size
-    del start
 
 
 def _decoded(row: dict) -> dict:
@@ -175,8 +173,7 @@ def read_archives(spark: SparkSession, path: str, whole_files: bool = False) ->
     """One row per response or revisit: key, url, record_type, refers_to, digest (sha1 in base 32), payload, valid.
 
     ``valid`` is false for records whose length, total length, segment numbers or chunk framing are damaged; their payload
-    is null. Revisits carry no payload. ``whole_files`` holds each file (decompressed by name is left to Spark's reader,
-    so only plain files) in one row, at most 2 GB.
+    is null. Revisits carry no payload. ``whole_files`` is for plain files only and holds each in one row, at most 2 GB.
     """
 
     if whole_files:
