@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from threatspark.llm.common import WorkerCache, ship_code
 
 MARK = "▁"
-CACHED_RUNS = 240_000
+CACHED_RUNS = 400_000
 SLICE_CHARS = 1_000_000
 
 
@@ -93,8 +93,9 @@ class PieceEncoder:
         breaks = "".join(c for c in "\n\t\r" if c not in self.known)
         letter = re.compile(rf"[^\W\d_{MARK}]")
         mixed = any(MARK not in a + b and bool(letter.match(a)) != bool(letter.match(b)) for t in self.score for a, b in zip(t, t[1:], strict=False))
-        word = rf"{MARK}*[^{MARK}{breaks}]+" if mixed else rf"{MARK}*[^\W\d_{MARK}]+|{MARK}*(?:(?![^\W\d_])[^{MARK}{breaks}])+"
-        self.runs = None if crossing else re.compile(rf"{word}|{MARK}+" + (f"|[{breaks}]" if breaks else ""))
+        # runs are cut with blanks in place of marks: such texts and keys take less room
+        word = rf" *[^ {breaks}]+" if mixed else rf" *[^\W\d_]+| *(?:(?![^\W\d_])[^ {breaks}])+"
+        self.runs = None if crossing else re.compile(rf"{word}| +" + (f"|[{breaks}]" if breaks else ""))
         self.cache = _Runs(self.run)
 
     def merged(self, text: str, least: int = 1) -> list[str]:
@@ -175,6 +176,7 @@ class PieceEncoder:
 
     def run(self, text: str) -> bytes:
         """The ids of one run as int32 bytes; characters without a piece become their UTF-8 bytes."""
+        text = text.replace(" ", MARK)
         if self.known.issuperset(text):
             return array("i", self.backtrack(text)).tobytes()
         ids: list[int] = []
@@ -192,10 +194,10 @@ class PieceEncoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        marked = MARK + text.replace(" ", MARK)
+        text = " " + text.replace(MARK, " ")  # a mark in the text is a blank to the model
         if self.runs is None:
-            return np.frombuffer(self.run(marked), np.int32)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.runs.findall(marked))), np.int32)
+            return np.frombuffer(self.run(text), np.int32)
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.runs.findall(text))), np.int32)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids)
