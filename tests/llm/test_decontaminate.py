@@ -107,3 +107,19 @@ def test_own_question_and_answer(spark, make_docs):
     docs = make_docs([(1, "what is the capital of that far land the city of nowhere at all"), (2, "what is the capital of that far land I ask you"), (3, "the city of nowhere at all")])
     found = contaminated(docs, benchmark, question_col="q", answer_col="a").collect()
     assert [(r.doc_id, r.question_overlap, r.answer_overlap) for r in found] == [(1, 1.0, 1.0)]
+
+
+ODD = [
+    (1, "the room has an area of 25 km² and ½ of it is wet"), (2, "हिन्दी भाषा में यह एक परीक्षा का प्रश्न है और उत्तर यहाँ है"),
+    (3, "un café présenté à l'été dans la rue"), (4, "İstanbul ① and ② are the names of two İ signs"), (5, "½"), (6, "́ ्"),
+]
+
+
+@pytest.mark.parametrize("block_postings", [400_000, 20])
+def test_signs_that_java_and_python_cut_differently(spark, make_docs, block_postings):
+    docs = [(k, f"some words before {text} and others after it") for k, text in ODD]
+    docs += [(10 + k, text.upper()) for k, text in ODD] + [(20, "none of them stands in here"), (21, "25 km and half of it is wet"), (22, "½ of it")]
+    benchmark = spark.createDataFrame(ODD, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in contaminated(make_docs(docs), benchmark, block_postings=block_postings).collect()}
+    assert found == brute(docs, ODD)
+    assert {(k, k) for k in range(1, 6)} <= found and not any(i == 6 for _, i in found)

@@ -26,6 +26,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,7 +200,12 @@ class _Numbers(WorkerCache):
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, question_col: str | None, answer_col: str | None) -> DataFrame:
-    """item_id, question, answer, words: all items with a word in them."""
+    """item_id, question, answer, words (those of terms_of, as in BlockIndex): all items with a word in them."""
+
+    @F.pandas_udf("array<string>")
+    def terms(questions: pd.Series, answers: pd.Series) -> pd.Series:
+        return pd.Series([terms_of(q) + terms_of(a) for q, a in zip(questions, answers, strict=True)], dtype="object")
+
     if question_col and answer_col:
         question, answer = F.coalesce(question_col, F.lit("")), F.coalesce(answer_col, F.lit(""))
         items = benchmark.select(F.col(item_col).alias("item_id"), question.alias("question"), answer.alias("answer"))
@@ -210,9 +216,8 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, question_col: str
         items = parted.select(
             "item_id", F.array_join(F.slice("w", F.lit(1), cut), " ").alias("question"),
             F.array_join(F.slice("w", cut + 1, F.size("w")), " ").alias("answer"))
-    both = F.concat_ws(" ", "question", "answer")
-    found = F.regexp_extract_all(F.lower(both), F.lit(r"(?U)\w+"), F.lit(0))
-    return items.withColumn("words", found).where("size(words) > 0").distinct()
+    # each block reads the items again, but they are cut once
+    return settled(items.distinct().withColumn("words", terms("question", "answer")).where("size(words) > 0"), "items")
 
 
 def contaminated(
