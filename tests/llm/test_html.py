@@ -40,3 +40,18 @@ def test_templates_of_a_host(spark):
     assert text[205] == "Same line\n\n5"  # of an article only containers are template
     assert text[300] == text[None] == ""
     assert extract(pages.where(F.lit(False))).count() == 0
+
+
+def test_template_of_a_large_host(spark):
+    def page(k):
+        menu = "<div>Section menu</div>" if k % 20 < 3 else ""  # on 15% of the pages
+        return (k, f"http://big.org/{k}", f"{menu}<div><h2>Text {k}</h2><table><tr><td>{k % 7}</td><td>of {k}</td></tr></table></div>")
+
+    rows = [page(k) for k in range(400)]
+    rows += [(1000 + k, f"http://big.org/copy/{k}", "<div><p>The same page</p></div>") for k in range(30)]
+    rows += [(2000 + k, f"http://small.org/{k}", ("<div>Section menu</div>" if k < 15 else "") + f"<p>Text {k}</p>") for k in range(70)]
+    text = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert not any("Section menu" in t for t in text.values())
+    assert text[1] == "Text 1\n\n1\n\nof 1"  # cells are equal by chance
+    assert text[1000] == text[1029] == "The same page"  # copies of a page are one page
+    assert text[2001] == "Text 1"

@@ -1,8 +1,10 @@
 """Main text of web pages by site template removal.
 
 Each page is parsed into its element tree. Every block element with text is hashed with all below it (tag, class, id, text
-and children); Spark counts on how many pages of a host each hash occurs, and subtrees that recur on many of them are
-template: they are deleted, together with what is boilerplate by its element, role or class.
+and children); Spark counts on how many different pages of a host each hash occurs, and subtrees that recur on many of
+them are template: they are deleted, together with what is boilerplate by its element, role or class. Many are
+``LEAST_PAGES``, however large the host. Only headings, list items and table cells on their own, which are equal by chance
+("Introduction", "5"), must also recur on ``LEAST_SHARE`` of the host's pages.
 
 Inside an article only containers are compared: paragraphs, headings and lists of an article are its text even where
 several pages share them. A page with an ``article`` (or ``main``) consists of that; otherwise of what is left of its body.
@@ -34,6 +36,8 @@ _BLOCK = frozenset(
     "h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption address".split())
+#: Parts of a text, list or table, that are equal on many pages by chance.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot figcaption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _DROPPED = frozenset(
     "head script style noscript template nav footer aside form menu dialog iframe object embed applet svg math canvas audio video "
@@ -191,9 +195,10 @@ def _comparable(node: Node, inside: bool) -> bool:
     return not (inside and node.tag in _TEXT_BLOCK)
 
 
-def subtree_hashes(text: str | None) -> set[int]:
-    """The hashes of all subtrees of a page that may be template."""
-    return {int.from_bytes(n.digest, "big", signed=True) for n, inside in _walk(parse(text or ""), False) if _comparable(n, inside)}
+def subtree_hashes(text: str | None) -> dict[int, bool]:
+    """The hashes of all subtrees of a page that may be template, with whether they are only parts of a text, list or table."""
+    found = (n for n, inside in _walk(parse(text or ""), False) if _comparable(n, inside))
+    return {int.from_bytes(n.digest, "big", signed=True): n.tag in _PARTS for n in found}
 
 
 def _roots(root: Node) -> list[Node]:
@@ -257,33 +262,42 @@ def extract(
 ) -> DataFrame:
     """One row per page: page_id, url, text.
 
-    A subtree is template if it occurs on ``least_pages`` pages of a host at least and on ``least_share`` of them. Blocks
-    are joined in page order by an empty line, white space within one is a blank, character references are decoded.
+    A subtree is template if it occurs on ``least_pages`` different pages of a host at least; a heading, list item or table
+    cell on its own must also occur on ``least_share`` of them. Blocks are joined in page order by an empty line, white
+    space within one is a blank, character references are decoded.
 
     Null or empty html gives an empty text. Pages with a null url, or one without host, are compared as pages of one host.
-    Null ids pass through, repeated rows each get a row and count as pages. An empty table gives no rows; other columns
-    are not read.
+    Null ids pass through, repeated rows each get a row; pages with equal html count as one, so copies of a page aren't
+    taken for template. An empty table gives no rows; other columns are not read.
     """
     ship_code(pages)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),
-                        host_of(F.col(url_col)).alias("host"))
+                        host_of(F.col(url_col)).alias("host")).withColumn("page", F.xxhash64("html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [0, *sorted(subtree_hashes(text))]  # 0 counts the pages
+            hosts, keys, found, parts = [], [], [], []
+            for host, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = {0: False} | subtree_hashes(text)  # 0 counts the pages
                 hosts += [host] * len(own)
+                keys += [key] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
-
-    counts = rows.select("host", "html").mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    counts = settled(counts.where((F.col("n") >= least_pages) | (F.col("hash") == 0)), "subtrees")
+                parts += own.values()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(found, pa.int64()), pa.array(parts, pa.bool_())],
+                names=["host", "page", "hash", "part"])
+
+    found = rows.select("host", "page", "html").mapInArrow(hashes, "host string, page long, hash long, part boolean")
+    subtrees = settled(found.distinct(), "subtrees")
+    counts = subtrees.groupBy("host", "hash", "part").agg(F.count("*").alias("n"))
+    counts = settled(counts.where((F.col("n") >= least_pages) | (F.col("hash") == 0)), "counts")
     sizes = counts.where("hash = 0").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
-    common = counts.where("hash <> 0").join(sizes, F.col("host") == F.col("_host")).where(F.col("n") >= least_share * F.col("pages"))
-    # at most (subtrees of a page) / least_share hashes for a host
-    template = settled(common.groupBy("_host").agg(F.collect_set("hash").alias("template")), "template")
-    joined = rows.join(template, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "template")
+    common = counts.where("hash <> 0").join(sizes, F.col("host") == F.col("_host")).where(~F.col("part") | (F.col("n") >= least_share * F.col("pages")))
+    common = common.select("_host", F.col("hash").alias("_hash"))
+    # what is template of each page: at most the subtrees of the page, whatever its host has
+    own = subtrees.join(common, (F.col("host") == F.col("_host")) & (F.col("hash") == F.col("_hash")))
+    template = settled(own.groupBy(F.col("host").alias("_host"), F.col("page").alias("_page")).agg(F.collect_list("hash").alias("template")), "template")
+    joined = rows.join(template, (F.col("host") == F.col("_host")) & (F.col("page") == F.col("_page")), "left").select("page_id", "url", "html", "template")
 
     @F.pandas_udf(T.StringType())
     def text_of(texts: pd.Series, templates: pd.Series) -> pd.Series:
