@@ -15,6 +15,16 @@ CASES = [
     ("<article><p>x</p><div class=comments><article>no</article></div></article>", "x"), ("</p></div>a</b>", "a"),
     ("<div class=sidebar-layout><article>x</article></div>", "x"), ("<p>a<!b>c<?d>e</p>1 < 2", "ace\n\n1 < 2"),
     ("<div " * 2000, ""), ("<p>" + "x " * 100_000, ("x " * 100_000).strip()), ("<div>" * 3000 + "deep", "deep"),
+    # the page lies in a wrapper
+    ("<body><form id=f><input><nav>no</nav><div><p>a b c</p></div></form></body>", "a b c"), ("<form><p>no</p><article><p>x</p></article></form>", "no\n\nx"),
+    ("<form action=s>no</form><article><p>a b</p><aside>no</aside></article>", "a b"), ("<dialog open><article>x y</article></dialog>", "x y"),
+    ("<body style='display:none'><p>a</p></body>", "a"), ("<div hidden><article>x</article></div><div hidden>no</div>", "x"),
+    ("<aside><p>a b c</p></aside><p>d</p>", "a b c\n\nd"), ("<main><p>a b c</p></main><aside><article>no</article></aside>", "a b c"),
+    ("<p hidden>no no no</p><p>yes</p>", "yes"), ("<article><p>a b c d</p><form><article>no</article></form></article>", "a b c d"),
+    # text outside of an article
+    ("<main><h1>T</h1><p>lead</p><article><p>x y z</p></article></main>", "T\n\nlead\n\nx y z"),
+    ("<main><header><h1>T</h1>by</header><article>x</article></main>", "T\n\nx"),
+    ("<div><h1>T</h1><p>a long text</p></div><article>b</article>", "T\n\na long text\n\nb"), ("loose main text<article>b</article>", "loose main text\n\nb"),
 ]
 
 
@@ -55,3 +65,10 @@ def test_template_of_a_large_host(spark):
     assert text[1] == "Text 1\n\n1\n\nof 1"  # cells are equal by chance
     assert text[1000] == text[1029] == "The same page"  # copies of a page are one page
     assert text[2001] == "Text 1"
+
+
+def test_template_beside_articles(spark):
+    page = "<main><h1>Head {0}</h1><ul><li>Section menu</li></ul><article><p>Text {0}</p><p>Same line</p></article></main><div>Follow us</div>"
+    rows = [(k, f"http://a.org/{k}", page.format(k)) for k in range(12)]
+    text = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[3] == "Head 3\n\nText 3\n\nSame line"

@@ -6,8 +6,11 @@ them are template: they are deleted, together with what is boilerplate by its el
 ``LEAST_PAGES``, however large the host. Only headings, list items and table cells on their own, which are equal by chance
 ("Introduction", "5"), must also recur on ``LEAST_SHARE`` of the host's pages.
 
-Inside an article only containers are compared: paragraphs, headings and lists of an article are its text even where
-several pages share them. A page with an ``article`` (or ``main``) consists of that; otherwise of what is left of its body.
+Inside an article only containers are compared: paragraphs, headings and lists of an article (or of a ``main`` without
+one) are its text even where several pages share them. What stands outside of articles is text, too, unless it is template
+or boilerplate; only where articles hold most of a page's text, what lies in no block of the body beside them is left out.
+Forms, dialogs, asides and hidden containers are boilerplate unless they hold most of the page's text; all but asides also
+stay if they hold the larger part of its articles.
 """
 
 from __future__ import annotations
@@ -40,9 +43,12 @@ _TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre ta
 _PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot figcaption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _DROPPED = frozenset(
-    "head script style noscript template nav footer aside form menu dialog iframe object embed applet svg math canvas audio video "
+    "head script style noscript template nav footer menu iframe object embed applet svg math canvas audio video "
     "select button input textarea label fieldset datalist noembed noframes title link meta".split()
 )
+#: Boilerplate unless the page's text is in them; the same by role.
+_WRAPPERS = frozenset("aside form dialog".split())
+_WRAPPER_ROLES = frozenset("complementary form dialog".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words in class or id that mark boilerplate.
 _DROPPED_WORDS = frozenset(
@@ -69,11 +75,13 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "hidden", "children", "digest", "has_article")
+    __slots__ = ("tag", "marks", "role", "hidden", "children", "digest", "has_article", "size", "held", "most", "holds")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.children, self.digest, self.has_article = tag, [], b"", False
         self.marks, self.role, self.hidden = "", "", False
+        self.size, self.held = 0, 0  # words without those of boilerplate, and those of them in articles
+        self.most, self.holds = True, True  # whether these are the larger part of the page's; known at its end
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 name = m[1].lower()
@@ -86,12 +94,16 @@ class Node:
 
     def boilerplate(self, inside: bool = False) -> bool:
         """By element, role or class; outside of articles (``inside``) never what holds the article."""
-        if self.tag in _DROPPED or self.hidden:
+        if self.tag in _DROPPED:
+            return True
+        wraps = self.has_article and not inside
+        if self.tag in _WRAPPERS and not (self.most or wraps and self.holds and self.tag != "aside"):
+            return True
+        if self.hidden and (self.tag not in _BLOCK or self.tag in _TEXT_BLOCK or not (self.most or wraps and self.holds)):
             return True
         if self.tag in ("html", "body", "main"):
             return False
-        wraps = self.has_article and not inside
-        if self.role in _DROPPED_ROLES and not wraps:
+        if self.role in _DROPPED_ROLES and not wraps and not (self.most and self.role in _WRAPPER_ROLES):
             return True
         words = {w.lower() for w in _WORD.findall(re.sub(r"(?:class|id)=", " ", self.marks))} if self.marks else ()
         return bool(words) and not words.isdisjoint(_LISTED_WORDS if wraps else _DROPPED_WORDS)
@@ -158,7 +170,7 @@ def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
 
 
 def _finish(root: Node) -> None:
-    """Hashes of all subtrees with text, from the leaves up, and what holds an article."""
+    """Hashes of all subtrees with text, from the leaves up, their words, and what holds an article."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -168,14 +180,31 @@ def _finish(root: Node) -> None:
         hash_, any_text = xxhash.xxh3_64(f"{node.tag} {node.marks}"), False
         for c in node.children:
             if isinstance(c, Node):
-                node.has_article |= (c.has_article or c.tag in ("article", "main")) and not c.boilerplate()
+                if not c.boilerplate():
+                    node.has_article |= c.has_article or c.tag in ("article", "main")
+                    node.size += c.size
+                    node.held += c.held
                 if c.digest:
                     any_text = True
                     hash_.update(b"<" + c.digest)
             elif words := c.split():
                 any_text = True
+                node.size += len(words)
                 hash_.update((">" + " ".join(words)).encode("utf-8", "surrogatepass"))
         node.digest = hash_.digest() if any_text else b""
+        if node.tag in ("article", "main"):
+            node.held = node.size
+    for node in reversed(order):
+        node.most, node.holds = 2 * node.size > root.size, 2 * node.held > root.held
+    if any(n.tag in _WRAPPERS or n.hidden or n.role in _WRAPPER_ROLES for n in order):
+        for node in reversed(order):  # again, as wrappers may be boilerplate by now
+            below = (c for c in node.children if isinstance(c, Node) and (c.has_article or c.tag in ("article", "main")))
+            node.has_article = any(not c.boilerplate() for c in below)
+
+
+def _inner(node: Node, inside: bool) -> bool:
+    """Whether the children of an element are inside an article, or a main element without one."""
+    return inside or node.tag == "article" or node.tag == "main" and not node.has_article
 
 
 def _walk(node: Node, inside: bool) -> Iterator[tuple[Node, bool]]:
@@ -184,7 +213,7 @@ def _walk(node: Node, inside: bool) -> Iterator[tuple[Node, bool]]:
     while todo:
         here, within = todo.pop()
         yield here, within
-        within = within or here.tag in ("article", "main")
+        within = _inner(here, within)
         todo += [(c, within) for c in reversed(here.children) if isinstance(c, Node) and not c.boilerplate(within)]
 
 
@@ -201,21 +230,6 @@ def subtree_hashes(text: str | None) -> dict[int, bool]:
     return {int.from_bytes(n.digest, "big", signed=True): n.tag in _PARTS for n in found}
 
 
-def _roots(root: Node) -> list[Node]:
-    """The outermost articles, or main elements, or else the page."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == tag and node.digest:
-                found.append(node)
-            else:
-                todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.boilerplate()]
-        if found:
-            return found
-    return [root]
-
-
 def main_text(text: str | None, template: set[int] = frozenset()) -> str:
     """The blocks of the main text, joined by an empty line."""
     blocks: list[str] = []
@@ -226,33 +240,36 @@ def main_text(text: str | None, template: set[int] = frozenset()) -> str:
             blocks.append(" ".join(words))
         open_.clear()
 
-    for root in _roots(parse(text or "")):
-        # (node or text, inside an article, only headings count); None closes a block
-        todo: list = [(root, root.tag in ("article", "main"), False)]
-        while todo:
-            item = todo.pop()
-            if item is None:
-                close()
-                continue
-            here, inside, only = item
-            if isinstance(here, str):
-                if not only:
-                    open_.append(here)
+    page = parse(text or "")
+    apart = 2 * page.held > page.size  # then what lies in no block of the body isn't text
+    # (node or text, inside an article, inside an article or main, only headings count, in no block); None closes a block
+    todo: list = [(page, False, False, False, True)]
+    while todo:
+        item = todo.pop()
+        if item is None:
+            close()
+            continue
+        here, inside, within, only, loose = item
+        if isinstance(here, str):
+            if not only and not (loose and apart):
+                open_.append(here)
+            continue
+        if here is not page:
+            if here.boilerplate(inside) or _comparable(here, inside) and int.from_bytes(here.digest, "big", signed=True) in template:
                 continue
-            if here is not root:
-                if here.boilerplate(inside) or _comparable(here, inside) and int.from_bytes(here.digest, "big", signed=True) in template:
+            if here.tag == "header" and not here.has_article:
+                if not within:
                     continue
-                if here.tag == "header" and not here.has_article:
-                    if not inside:
-                        continue
-                    only = True  # of an article's own header its title is text
-                elif here.tag in _HEADINGS:
-                    only = False
-            if here.tag in _BLOCK:
-                close()
-                todo.append(None)
-            todo += [(c, inside or here.tag in ("article", "main"), only) for c in reversed(here.children)]
-        close()
+                only = True  # of an article's own header its title is text
+            elif here.tag in _HEADINGS:
+                only = False
+        if here.tag in _BLOCK:
+            close()
+            todo.append(None)
+        inside, within = _inner(here, inside), within or here.tag in ("article", "main")
+        loose = loose and (here.tag not in _BLOCK or here.tag in ("html", "body"))
+        todo += [(c, inside, within, only, loose) for c in reversed(here.children)]
+    close()
     return "\n\n".join(blocks)
 
 
