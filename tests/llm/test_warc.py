@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -77,3 +78,24 @@ def test_empty_table(spark, pages):
     path = shared_folder(spark, "test")
     write_archives(pages.limit(0), path)
     assert payload_digests(read_archives(spark, path)).count() == 0
+
+
+def test_archives_of_others(spark, tmp_path):
+    def record(version, kind, url, block):
+        head = f"WARC/{version}\r\nWARC-Record-ID: <urn:{url}>\r\nContent-Length: {len(block)}\r\nwarc-type: {kind}\r\nWARC-Target-URI: {url}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    parts = [record("1.0", "response", "http://a/", http + b"one WARC/1.1\r\nWARC-Type: response"), record("1.1", "response", "http://b/", http + b"two")]
+    for name, data in [("plain", b"".join(parts)), ("members", b"".join(map(gzip.compress, parts)))]:
+        (tmp_path / name).write_bytes(data)
+        got = read_archives(spark, str(tmp_path / name), whole_files=True).collect()
+        assert sorted((r.url, bytes(r.payload), r.valid) for r in got) == [("http://a/", b"one WARC/1.1\r\nWARC-Type: response", True), ("http://b/", b"two", True)]
+    (tmp_path / "other").write_bytes(b"no archive at all")
+    (tmp_path / "empty").write_bytes(b"")
+    with pytest.raises(Exception, match="no WARC record"):
+        read_archives(spark, str(tmp_path / "other"), whole_files=True).collect()
+    assert read_archives(spark, str(tmp_path / "empty"), whole_files=True).count() == 0
+    for name in ("plain", "other"):
+        with pytest.raises(Exception, match="whole_files=True"):
+            read_archives(spark, str(tmp_path / name)).collect()

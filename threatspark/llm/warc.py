@@ -7,12 +7,16 @@ segment number, verifies the total length and takes the chunks apart.
 Archives are written and read by Spark's own text writer and reader, so they can lie in any store Spark reaches, and large
 ones are read in splits where they are not compressed. Records are told apart by ``SEPARATOR``; the writer never lets it
 stand in a block, as it ends a chunk (or a segment) in the middle of it. Every record is checked against its length. For
-archives of others, in whose blocks the separator may stand, ``whole_files=True`` reads file by file and record by record.
+archives of others, in whose blocks the separator may stand, ``whole_files=True`` reads file by file and record by record,
+of any WARC version and order of fields, also in gzip.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
+import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from threatspark.llm.common import settled, ship_code
 
 VERSION = b"WARC/1.1\r\n"
+_ANY_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
+_TYPES = frozenset("warcinfo response resource request metadata revisit conversion continuation".split())
 SEPARATOR = "WARC/1.1\r\nWARC-Type: "
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
@@ -142,11 +148,16 @@ def _parsed(data: bytes) -> dict:
 
 
 def _whole_file(content: bytes) -> Iterator[dict]:
-    """The records of one archive, by their lengths."""
+    """The records of one archive, by their lengths; its gzip members are taken apart. One without a record raises ValueError."""
+    if content.startswith(b"\x1f\x8b"):
+        content = gzip.GzipFile(fileobj=io.BytesIO(content)).read()
     at = 0
-    while (at := content.find(VERSION, at)) >= 0:
-        head_end = content.find(b"\r\n\r\n", at)
-        head = content[at + len(VERSION) : head_end]
+    if not _ANY_VERSION.search(content) and content.strip():
+        raise ValueError("no WARC record in a file")
+    while found := _ANY_VERSION.search(content, at):
+        head_end = content.find(b"\r\n\r\n", found.end())
+        head_end = len(content) if head_end < 0 else head_end
+        head = content[found.end() : head_end]
         fields = {a.strip().lower(): c.strip() for a, _, c in (line.partition(b":") for line in head.split(b"\r\n"))}
         size = int(fields.get(b"content-length", b"0"))
         others = [x for x in head.split(b"\r\n") if not x.lower().startswith(b"warc-type:")]
@@ -155,6 +166,14 @@ def _whole_file(content: bytes) -> Iterator[dict]:
         at = head_end + 4 + size
 
 
+def _own(data: bytes) -> dict:
+    """One record of the writer's layout; anything else raises ValueError."""
+    row = _parsed(data)
+    if row["kind"] not in _TYPES:
+        raise ValueError("an archive of another layout: read it with whole_files=True")
+    return row
+
+
 def _decoded(row: dict) -> dict:
     payload, valid = None, row["valid"]
     if valid and row["kind"] == "response":
@@ -173,7 +192,9 @@ def read_archives(spark: SparkSession, path: str, whole_files: bool = False) ->
     """One row per response or revisit: key, url, record_type, refers_to, digest (sha1 in base 32), payload, valid.
 
     ``valid`` is false for records whose length, total length, segment numbers or chunk framing are damaged; their payload
-    is null. Revisits carry no payload. ``whole_files`` is for plain files only and holds each in one row, at most 2 GB.
+    is null. Revisits carry no payload. ``whole_files`` takes plain files and gzip, any WARC version and order of fields, and
+    holds each file in one row, at most 2 GB. A file without a record, damaged gzip, or without ``whole_files`` an archive
+    whose records don't begin as the writer's, ends the job with an error.
     """
 
     if whole_files:
@@ -185,7 +206,7 @@ def read_archives(spark: SparkSession, path: str, whole_files: bool = False) ->
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         for data in batch.column(0):
-            yield from _whole_file(data.as_py()) if whole_files else (_parsed(data.as_py()),)
+            yield from _whole_file(data.as_py()) if whole_files else (_own(data.as_py()),)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
