@@ -77,3 +77,14 @@ def test_awkward_rows(spark, awkward):
     assert {r.doc_id for r in importance_sample(awkward, none).collect() if r.kept} == {None, 4, 5, 6, 7, 8, 9, 10}
     assert good_documents(awkward, none).columns == awkward.columns
     assert good_documents(awkward.where(F.lit(False)), labels).count() == 0
+
+
+def test_documents_without_words_take_no_places(spark, make_docs):
+    docs, labels = corpus(3)
+    empty = [(1000 + k, [None, "", " \u00a0\u2003\n"][k % 3]) for k in range(100)]  # a third of all
+    table = spark.createDataFrame(labels + [(1000 + k, k % 2) for k in range(60)], "doc_id long, quality int")
+    share = sum(q for _, q in labels) / len(labels)
+    got = importance_sample(make_docs(docs + empty), table).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(got) == 300 and len(kept) == round(len(docs) * share) < len(docs)
+    assert {r.doc_id for r in good_documents(make_docs(docs + empty), table).collect()} == kept

@@ -5,7 +5,7 @@ log importance is the sum over its n-grams of log(target) - log(raw); the k docu
 Gumbel noise are a sample of k without replacement in proportion to importance.
 
 The target is a bounded sample of documents labelled good (``TARGET_DOCS``, by a hash of the id); counts of the raw model
-cover every document. k is the number of documents times the share of good ones among the labelled.
+cover every document. k is the number of documents with words times the share of good ones among the labelled with words.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Any sign that str.split() doesn't take for white space; \s is ASCII only in Spark.
+_WORD = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 class _Tokens(WorkerCache):
     """Hashes of the tokens (runs of word characters, runs of other signs) of a word, as uint64 bytes."""
 
@@ -77,15 +81,19 @@ def _counts(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return raw, target
 
 
+def _has_words(text: Column) -> Column:
+    return F.regexp_like(text.cast("string"), F.lit(_WORD))
+
+
 class Importance:
-    """The fitted ratio of the two models, and the share of good documents among the labelled."""
+    """The fitted ratio of the two models, and the share of good documents among the labelled with words."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, good: Column, bits: int, target_docs: int) -> None:
         ship_code(docs)
         self.text_col, self.bits, self.id_col = text_col, bits, id_col
         marked = labels.select(F.col("doc_id").cast("long").alias("_label"), good.alias("_good")).where("_label is not null and _good is not null")
         marked = marked.groupBy("_label").agg(F.max("_good").alias("_good"))
-        there = docs.select(F.col(id_col).cast("long").alias("_label")).distinct().join(marked, "_label")
+        there = docs.where(_has_words(F.col(text_col))).select(F.col(id_col).cast("long").alias("_label")).distinct().join(marked, "_label")
         n = there.groupBy("_good").count().collect()
         counts = {bool(r["_good"]): r["count"] for r in n}
         self.share = counts.get(True, 0) / sum(counts.values()) if counts.get(True) else None
@@ -160,7 +168,7 @@ def importance_sample(
 
     ``good`` is the condition on ``labels`` (doc_id, ...) for the target, ``quality = 1`` by default; rows without an id or
     a verdict are passed over, of several verdicts a good one counts. Documents without words have null scores and are
-    never kept. Noise depends on the id alone: rows repeating an id and its text share its decision, and ties at the
+    never kept, nor do they count for how many are. Noise depends on the id alone: rows repeating an id and its text share its decision, and ties at the
     threshold are all kept; null ids share one noise. Without good labels nothing can be learned and every document with
     words is kept. Empty tables give no rows; other columns are not read.
     """
@@ -174,14 +182,14 @@ def _decided(docs, labels, id_col, text_col, good, bits, target_docs, seed):
     model = Importance(docs, labels, id_col, text_col, good, bits, target_docs)
     rows = _scored(docs, model, id_col, text_col, seed).select(F.col(id_col).alias("doc_id"), "log_importance", "perturbed")
     scored = settled(rows, "importance")
-    k = round(scored.count() * (1.0 if model.share is None else model.share))
+    k = round(scored.agg(F.count("perturbed")).first()[0] * (1.0 if model.share is None else model.share))
     threshold = threshold_of(scored, "perturbed", k)
     return scored, threshold if threshold is not None else float("inf"), model
 
 
 def _scored(docs: DataFrame, model: Importance, id_col: str, text_col: str, seed: int) -> DataFrame:
     if model.share is None:
-        score = F.when(F.regexp_like(F.col(text_col).cast("string"), F.lit(r"\S")), F.lit(0.0))
+        score = F.when(_has_words(F.col(text_col)), F.lit(0.0))
     else:
         score = model.score(F.col(text_col).cast("string"))
     rows = docs.withColumn("log_importance", score)
