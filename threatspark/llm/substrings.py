@@ -1,6 +1,7 @@
-"""Repeated passages by relative Lempel-Ziv parsing.
+"""Repeated passages by content-defined phrases and exact window lookup.
 
-Every document is factored greedily against an index of the whole corpus. The index holds phrases: the windows of
+This is no relative Lempel-Ziv parsing: nothing is matched greedily against reference blocks. Phrases are compared whole, by
+hash, with those of the whole corpus, and the rest window by window. Phrases are cut as follows: the windows of
 ``window`` words of a document are grouped by their anchor, the word ``ANCHOR``-gram with the smallest hash in the window
 (leftmost of equals), and a phrase is the text below the windows of one anchor. Equal windows have equal anchors at equal
 places, so a window can only repeat where its anchor does.
