@@ -53,3 +53,10 @@ def test_little_to_learn_from(make_docs, languages, expected):
 
 def test_empty_table(make_docs):
     assert identify(make_docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_numbers_are_no_letters(make_docs):
+    rows = texts(60, 4, ["en", "de"]) + [(900, "½ ² ①", None), (901, "٣ Ⅷ _", None), (902, "² der", None)]
+    got = {r.doc_id: r for r in identify(make_docs(rows)).collect()}
+    assert [(got[k].lang_pred, got[k].score) for k in (900, 901)] == [("und", 0.0)] * 2
+    assert got[902].lang_pred in ("en", "de")
