@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatspark.llm import decontaminate, exact, html, language, pieces, quality, simhash, substrings, urls, warc
+from threatspark.llm import decontaminate, exact, html, language, mixing, pieces, quality, ranked, simhash, spelling, substrings, urls, warc
 from threatspark.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,67 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page: its main text and the number of its code points."""
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents, the near word it is a variant of, and the root of its chain of forms."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+               FROM documents),
+         g AS (SELECT count(*) AS nn, sum(len(terms))::BIGINT AS ll FROM d WHERE len(terms) > 0),
+         i AS (SELECT item_id, text,
+                      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+               FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+         q AS (SELECT item_id, text, term, count(*) AS times FROM i GROUP BY ALL),
+         t AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+               FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY r, term),
+         w AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+               FROM t, g WHERE term IN (SELECT term FROM q) GROUP BY term),
+         s AS (SELECT item_id, text, r, any_value(doc_id) AS doc_id,
+                      sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+               FROM q JOIN w USING (term) JOIN t USING (term), g GROUP BY item_id, text, r),
+         o AS (SELECT item_id, doc_id, score,
+                      row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+               FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+    """
+)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item with its ten best documents."""
+    return ranked.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                      ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT
+                      / 4503599627370496.0::DOUBLE AS draw
+               FROM documents),
+         s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place
+               FROM d GROUP BY source),
+         w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+                      CASE place WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
+         o AS (SELECT cap / weight AS most, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS pos,
+                      (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE
+                       - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+               FROM w),
+         l AS (SELECT min_by(level, pos) AS level FROM o WHERE level < most),
+         t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM l), 'inf'::DOUBLE)) AS target FROM w),
+         r AS (SELECT doc_id, size, source_size, target, draw, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) AS taken FROM r
+    """
+)
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its words, those of its source, the source's target, and the words that the mixture takes of it."""
+    mixed = mixing.copies_of(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
