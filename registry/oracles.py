@@ -89,9 +89,9 @@ def decided(source: str, high: float = 0.85, low: float = 0.65) -> str:
  prediction = 'phishing' AND confidence >= {high} AS blocked FROM {source}"""
 
 
-def overridden(source: str) -> str:
+def overridden(source: str, block: str = "", allow: str = "") -> str:
     """Logged events after the list override."""
-    block, allow = listed("lower(domain)", L.BLOCK_LIST), listed("lower(domain)", L.ALLOW_LIST)
+    block, allow = block or listed("lower(domain)", L.BLOCK_LIST), allow or listed("lower(domain)", L.ALLOW_LIST)
     return f"""SELECT * EXCLUDE (_b, _a) REPLACE (
  CASE WHEN _b THEN 'phishing' WHEN _a THEN 'legitimate' ELSE prediction END AS prediction,
  CASE WHEN _b THEN true WHEN _a THEN false ELSE blocked END AS blocked,
@@ -205,7 +205,7 @@ add("training_tables_scan", "dns_queries tls_handshakes", QUERIES + HANDSHAKES +
 , u AS (SELECT 0 AS t, event_id, query_domain AS domain, ttl, query_type, NULL AS tls_version, NULL AS packet_size FROM q
  UNION ALL SELECT 1, event_id, sni, NULL, NULL, tls_version, packet_size FROM h WHERE sni IS NOT NULL)
 SELECT * EXCLUDE (t) FROM u QUALIFY row_number() OVER (PARTITION BY domain ORDER BY t, event_id) = 1""")
-ORACLES["training_csv_scan"] = ORACLES["training_tables_scan"]
+ORACLES["training_csv_scan"] = f"SELECT *, CASE WHEN ttl IS NOT NULL THEN 1 - length(domain) % 2 ELSE length(domain) % 2 END::INT AS label FROM ({ORACLES['training_tables_scan']})"
 
 # --- sinks --------------------------------------------------------------------------------------
 BLOCKED = f""", named AS (SELECT * REPLACE ('u' || (event_id % 50) || '.' || domain AS domain) FROM detections)
@@ -334,12 +334,12 @@ CONNECTION = QUERIES + HANDSHAKES + PACKETS + SESSION + f"""
  is_known_phishing AS dns_is_known_phishing, is_known_legitimate AS dns_is_known_legitimate, ttl_value AS dns_ttl_value, query_type AS dns_query_type,
  query_frequency AS dns_query_frequency, round(ttl_variance, 6) AS dns_ttl_variance,
  CASE WHEN h_id IS NULL THEN true ELSE sni_matches_domain END AS tls_sni_matches_domain, CASE WHEN h_id IS NULL THEN false ELSE has_sni_spoofing END AS tls_has_sni_spoofing,
- CASE WHEN h_id IS NULL THEN 'TLS 1.3' ELSE tls_version END AS tls_tls_version, CASE WHEN h_id IS NULL THEN 4 ELSE tls_version_code END AS tls_tls_version_code,
+ CASE WHEN h_id IS NULL THEN 'TLS 1.3' ELSE tls_version END AS tls_tls_version, CASE WHEN h_id IS NULL THEN 3 ELSE tls_version_code END AS tls_tls_version_code,
  CASE WHEN h_id IS NULL THEN false ELSE is_outdated_tls END AS tls_is_outdated_tls,
  CASE WHEN h_id IS NULL THEN true ELSE uses_standard_https_port END AS tls_uses_standard_https_port,
  CASE WHEN h_id IS NULL THEN 516 ELSE handshake_packet_size END AS tls_handshake_packet_size, 0 AS tls_certificate_subject_length,
  CASE WHEN h_id IS NULL THEN true ELSE sni_present END AS tls_sni_present, CASE WHEN h_id IS NULL THEN length(domain) ELSE sni_length END::INT AS tls_sni_length,
- CASE WHEN h_id IS NULL THEN domain_entropy ELSE sni_entropy END AS tls_sni_entropy,
+ CASE WHEN h_id IS NULL THEN round({entropy('domain')}, 6) ELSE sni_entropy END AS tls_sni_entropy,
  {', '.join(f"{near(f'coalesce({c}, {d})')} AS flow_{c}" for c, d in (('packet_size_mean', 1200.0), ('packet_size_std', 400.0), ('inter_packet_timing_mean', 0.01), ('inter_packet_timing_std', 0.005), ('inter_packet_timing_min', 0.001), ('inter_packet_timing_max', 0.05), ('flow_duration', 0.1), ('packets_per_second', 100.0)))},
  coalesce(packet_size_min, 66) AS flow_packet_size_min, coalesce(packet_size_max, 1460) AS flow_packet_size_max, coalesce(packet_size_range, 1394) AS flow_packet_size_range,
  coalesce(total_packets, 10) AS flow_total_packets, coalesce(destination_port, 443) AS flow_destination_port, coalesce(flow_ttl, 64) AS flow_ttl_value,
@@ -360,11 +360,14 @@ SELECT domain, destination_ip, array_to_string(list_filter([
  CASE WHEN flow_total_packets < 5 THEN 'few_packets' END, CASE WHEN flow_flow_duration < 1 THEN 'short_flow' END,
  CASE WHEN flow_packets_per_second > 100 THEN 'bulk_transfer' END, CASE WHEN session_dns_to_tls_delay < 0.1 THEN 'instant_handshake' END],
  lambda x: x IS NOT NULL), '|') AS indicators FROM wide""")
-add("connection_defaults", "lookalikes", """
-SELECT DISTINCT lower(domain) AS domain, '203.0.113.' || length(domain) AS destination_ip, 'cdn.' || domain AS sni, true AS dns_imputed, true AS tls_imputed, true AS flow_imputed,
+add("connection_defaults", "lookalikes", f"""
+, rq AS (SELECT DISTINCT lower(domain) AS domain, '203.0.113.' || length(domain) AS destination_ip,
+ CASE WHEN length(domain) % 2 = 0 THEN upper(domain[1]) || lower(domain[2:]) ELSE 'cdn.' || domain END AS sni FROM lookalikes)
+SELECT *, true AS dns_imputed, true AS tls_imputed, true AS flow_imputed,
  3600 AS dns_ttl_value, 'A' AS dns_query_type, 1::BIGINT AS dns_query_frequency, 0e0 AS dns_ttl_variance,
- 'TLS 1.3' AS tls_tls_version, 4 AS tls_tls_version_code, 516 AS tls_handshake_packet_size, (length(domain) + 4)::INT AS tls_sni_length,
- 1200e0 AS flow_packet_size_mean, 10::BIGINT AS flow_total_packets, 443 AS flow_destination_port, 64 AS flow_ttl_value FROM lookalikes""")
+ 'TLS 1.3' AS tls_tls_version, 3 AS tls_tls_version_code, 516 AS tls_handshake_packet_size, length(sni)::INT AS tls_sni_length,
+ round({entropy('sni')}, 6) AS tls_sni_entropy, length(domain) % 2 = 0 AS tls_sni_matches_domain, false AS tls_has_sni_spoofing, round({entropy('domain')}, 6) AS dns_domain_entropy,
+ 1200e0 AS flow_packet_size_mean, 10::BIGINT AS flow_total_packets, 443 AS flow_destination_port, 64 AS flow_ttl_value FROM rq""")
 add("feature_vector", "domains", f"""
 , f AS (SELECT domain, {DOMAIN_FEATURES} FROM domains)
 SELECT domain, domain_length::DOUBLE AS f0, subdomain_count::DOUBLE AS f1, domain_entropy AS f2, has_numbers_in_domain::INT::DOUBLE AS f3,
@@ -410,6 +413,28 @@ def brand(source: str) -> str:
 
 
 add("typosquat_match", "domains", typos("domains") + " SELECT domain, distance::INT AS distance, brand FROM typo")
+TABLE_TYPOS = """, near AS (SELECT domain, b.word AS brand, levenshtein(split_part(domain, '.', 1), b.word) AS distance FROM domains
+ JOIN (SELECT DISTINCT word FROM brand_words WHERE kind = 'brand' AND length(word) >= 6) b ON length(split_part(domain, '.', 1)) >= 4
+ AND split_part(domain, '.', 1) <> b.word AND abs(length(split_part(domain, '.', 1)) - length(b.word)) <= 2)
+, typo AS (SELECT domain, brand, distance FROM near WHERE distance BETWEEN 1 AND CASE WHEN length(brand) = 6 THEN 1 ELSE 2 END
+ QUALIFY row_number() OVER (PARTITION BY domain ORDER BY distance, brand) = 1)"""
+TABLE_WORDS = """, hw AS (SELECT DISTINCT domain, kind, word FROM domains JOIN brand_words ON word <> '' AND contains(domain, word))
+, hl AS (SELECT domain, coalesce(list_sort(list(word) FILTER (kind = 'brand')), []) AS bh, coalesce(list_sort(list(word) FILTER (kind = 'token')), []) AS th
+ FROM domains LEFT JOIN hw USING (domain) GROUP BY domain)"""
+add("typosquat_table", "domains brand_words", TABLE_TYPOS + " SELECT domain, distance::INT AS distance, brand FROM typo")
+
+
+def brand_from_table() -> str:
+    """The CTE parts of :func:`brand` with the words of the table, telling three tokens."""
+    rest = brand("domains")[len(typos("domains")):]
+    rest = rest.replace(f"{hits('s.domain', L.BRANDS)} AS bh, {hits('s.domain', L.BRAND_TOKENS)} AS th", "w.bh, w.th")
+    rest = rest.replace("FROM domains s LEFT JOIN typo", "FROM domains s JOIN hl w ON w.domain = s.domain LEFT JOIN typo")
+    return TABLE_TYPOS + TABLE_WORDS + rest.replace("th[1:2]", "th[1:3]")
+
+
+add("brand_table_heuristic", "domains brand_words", brand_from_table() + """
+SELECT domain, is_phishing, least(points, 95) / 100.0::DOUBLE AS confidence, points / 100.0::DOUBLE AS score,
+ CASE WHEN is_phishing THEN 'Brand-impersonation pattern: ' || why END AS reason FROM brandy""")
 add("brand_heuristic", "domains", brand("domains") + """
 SELECT domain, is_phishing, least(points, 95) / 100.0::DOUBLE AS confidence, points / 100.0::DOUBLE AS score,
  CASE WHEN is_phishing THEN 'Brand-impersonation pattern: ' || why END AS reason FROM brandy""")
@@ -437,6 +462,9 @@ def lexical(source: str) -> str:
 
 
 add("lexical_risk_score", "domains", lexical("domains") + " SELECT domain, score, array_to_string(reasons, '|') AS reasons FROM lr")
+add("lexical_table_score", "domains brand_words", TABLE_WORDS + lexical("domains")
+    .replace(f"{hits('domain', L.SCORE_BRANDS)}[1]", "bh0[1]").replace(f"{hits('domain', L.SCORE_TOKENS)} AS th", "th0 AS th")
+    .replace("FROM lm)", "FROM lm JOIN (SELECT domain, bh AS bh0, th AS th0 FROM hl) w USING (domain))") + " SELECT domain, score, array_to_string(reasons, '|') AS reasons FROM lr")
 add("digit_swap_brands", "domains", lexical("domains") + " SELECT domain, coalesce(tok, '') AS token, swapped AS brand FROM lx")
 add("keyword_label", "cased_domains", f"SELECT domain, {keyword_label('lower(domain)')} AS label FROM cased_domains")
 VERIFIED = f""", vp AS (SELECT domain, 40 * {count('domain', L.VERIFY_STRONG)} + 20 * {count('domain', L.VERIFY_MEDIUM)}
@@ -510,11 +538,39 @@ add("run_summary", LIVE_VIEWS, live() + """ SELECT count(DISTINCT CASE WHEN pred
  count(DISTINCT CASE WHEN prediction = 'phishing' AND NOT blocked THEN domain END) AS detected_phishing,
  count(DISTINCT CASE WHEN blocked THEN domain END) AS blocked_domains FROM lv""")
 add("stream_detect", LIVE_VIEWS, live() + " SELECT event_id, origin, domain, action_taken, reason FROM lv")
+LIVE_ROWS = QUERIES + HANDSHAKES + """
+, named AS (SELECT * FROM h WHERE sni IS NOT NULL)
+, lq AS (SELECT n.event_id, q.ts AS asked, q.ttl, q.query_type FROM named n JOIN q ON q.src_ip = n.src_ip AND lower(q.query_domain) = lower(n.sni)
+ AND q.ts BETWEEN n.ts - INTERVAL 10 SECONDS AND n.ts QUALIFY row_number() OVER (PARTITION BY n.event_id ORDER BY q.ts DESC, q.event_id DESC) = 1)
+, lc AS (SELECT n.*, lower(n.sni) AS domain, lq.asked, lq.ttl, lq.query_type FROM named n LEFT JOIN lq ON lq.event_id = n.event_id)"""
+_NAMES = "domain_length subdomain_count domain_entropy has_numbers_in_domain has_hyphens_in_domain has_suspicious_chars is_known_phishing is_known_legitimate".split()
+_TLS_NAMES = ("sni_present sni_length sni_entropy sni_matches_domain has_sni_spoofing tls_version tls_version_code is_outdated_tls "
+              "uses_standard_https_port handshake_packet_size certificate_subject_length").split()
+add("live_connections", LIVE_VIEWS, LIVE_ROWS + f"""
+, d1 AS (SELECT *, {DOMAIN_FEATURES} FROM lc)
+, d2 AS (SELECT * EXCLUDE (tls_version), {tls_features('domain')} FROM d1)
+SELECT event_id, ts, src_ip, dst_ip, domain, {', '.join(f'{n} AS dns_{n}' for n in _NAMES)}, coalesce(ttl, 3600) AS dns_ttl_value, coalesce(query_type, 'A') AS dns_query_type,
+ {', '.join(f'{n} AS tls_{n}' for n in _TLS_NAMES)}, round((epoch_us(ts) - epoch_us(asked)) / 1e6, 6) AS session_dns_to_tls_delay, asked IS NULL AS dns_imputed FROM d2""")
+add("stream_connections", LIVE_VIEWS, LIVE_ROWS + f"""
+, f AS (SELECT *, {listed('domain', L.BLOCK_LIST)} AS b, {listed('domain', L.ALLOW_LIST)} AS a FROM lc)
+SELECT event_id, domain, dst_ip AS destination_ip, CASE WHEN a OR b THEN 0 ELSE {{features}} END AS features_used,
+ CASE WHEN b THEN 'phishing' WHEN a THEN 'legitimate' END AS listed_as, true AS as_in_batch FROM f""".replace("{features}", "19"))
 add("stream_routed_actions", LIVE_VIEWS, live() + " SELECT action_taken, count(*) AS events, count(DISTINCT domain) AS domains FROM lv GROUP BY 1")
 add("stream_new_domains", LIVE_VIEWS, live() + " SELECT DISTINCT domain, 1::BIGINT AS sightings FROM lv WHERE blocked OR prediction <> 'phishing'")
 add("blocked_only", "detections", f"SELECT event_id, domain FROM ({decided('detections')}) WHERE blocked")
 add("list_suffix_match", "domains", f"""
 SELECT domain, {listed('domain', L.BLOCK_LIST)} AS in_block_list, {listed('domain', L.ALLOW_LIST)} AS in_allow_list FROM domains""")
+
+
+def tabled(source: str, domain: str = "lower(domain)") -> str:
+    """CTE part: the rows of ``source`` with flags of the block and the allow table."""
+    def hit(table: str) -> str:
+        return f"EXISTS (SELECT 1 FROM {table} t WHERE t.host <> '' AND ({domain} = t.host OR ends_with({domain}, '.' || t.host)))"
+
+    return f"SELECT *, {hit('block_table')} AS _b, {hit('allow_table')} AS _a FROM {source}"
+
+
+add("list_table_match", "nested_domains block_table allow_table", f", f AS ({tabled('nested_domains')}) SELECT domain, _b AS in_block_list, _a AS in_allow_list FROM f")
 FEED_MATCH = f""", fh AS ({FEED_HOSTS})
 , ud AS (SELECT DISTINCT domain FROM nq), hit AS (SELECT DISTINCT ud.domain FROM ud JOIN fh ON (ud.domain = fh.host OR (ends_with(ud.domain, '.' || fh.host) AND contains(fh.host, '.'))))
 SELECT nq.event_id, nq.domain, hit.domain IS NOT NULL AS in_feed FROM nq LEFT JOIN hit ON hit.domain = nq.domain"""
@@ -525,6 +581,13 @@ add("list_override", "detections", WITH_RISK + f"""
 SELECT event_id, domain, destination_ip, CASE WHEN b THEN 'phishing' WHEN a THEN 'legitimate' ELSE prediction END AS prediction,
  CASE WHEN a OR b THEN 1.0 ELSE confidence END AS confidence, CASE WHEN b THEN 'high' WHEN a THEN 'low' ELSE risk_level END AS risk_level,
  CASE WHEN a OR b THEN 0 ELSE features_used END AS features_used FROM lo""")
+add("list_table_override", "detections block_table allow_table", WITH_RISK + f"""
+, dr AS (SELECT * EXCLUDE (ts) REPLACE ('M.' || domain AS domain) FROM wr), fl AS ({tabled('dr')})
+, lo AS (SELECT * REPLACE (CASE WHEN _b THEN 'phishing' WHEN _a THEN 'legitimate' ELSE prediction END AS prediction,
+ CASE WHEN _a OR _b THEN 1.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN _b THEN 'high' WHEN _a THEN 'low' ELSE risk_level END AS risk_level,
+ CASE WHEN _a OR _b THEN 0 ELSE features_used END AS features_used) FROM fl)
+, dc AS (SELECT * EXCLUDE (_a, _b), _b AS _tb, _a AS _ta, NULL::VARCHAR AS source FROM ({decided('lo')}))
+SELECT * EXCLUDE (_tb, _ta) FROM ({overridden('dc', '_tb', '_ta')})""")
 add("logged_event_override", "detections", CLASSIFIED + " SELECT * EXCLUDE (ts) FROM ev")
 add("new_domains_only", "detections", f"""
 , nd AS (SELECT * REPLACE ('n' || (event_id % 701) || '.' || domain AS domain) FROM detections)
@@ -683,9 +746,12 @@ add("stream_flow_sessions", "flow_packets", PACKETS + f"""
 , s AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY {FLOW_KEY} ORDER BY ts) AS sid FROM c)
 , g AS (SELECT {FLOW_KEY}, sid, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS total_packets, round(avg(packet_size) + 1e-9, 6) AS packet_size_mean,
  round(coalesce(stddev_samp(packet_size), 0) + 1e-9, 3) AS packet_size_std, min(packet_size) AS packet_size_min, max(packet_size) AS packet_size_max,
- (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS d FROM s GROUP BY {FLOW_KEY}, sid)
-SELECT * EXCLUDE (sid, last_ts, d), round(d + 1e-9, 6) AS flow_duration, CASE WHEN total_packets > 1 THEN round(d / (total_packets - 1) + 1e-9, 6) ELSE 0 END AS inter_packet_timing_mean,
- CASE WHEN d > 0 THEN round(total_packets / d + 1e-9, 6) ELSE 0 END AS packets_per_second
+ (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS d, max(packet_size) - min(packet_size) AS packet_size_range,
+ round(coalesce(avg(gap), 0) + 1e-9, 6) AS inter_packet_timing_mean, round(coalesce(stddev_samp(gap), 0) + 1e-9, 3) AS inter_packet_timing_std,
+ round(coalesce(min(gap), 0) + 1e-9, 6) AS inter_packet_timing_min, round(coalesce(max(gap), 0) + 1e-9, 6) AS inter_packet_timing_max,
+ dst_port AS destination_port, arg_max(ttl, (ts, event_id, seq)) AS ttl_value
+ FROM (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {FLOW_KEY}, sid ORDER BY ts, event_id, seq)) / 1e6 AS gap FROM s) GROUP BY {FLOW_KEY}, sid)
+SELECT * EXCLUDE (sid, last_ts, d), round(d + 1e-9, 6) AS flow_duration, CASE WHEN d > 0 THEN round(total_packets / d + 1e-9, 6) ELSE 0 END AS packets_per_second
 FROM g WHERE last_ts + INTERVAL 30 SECONDS <= (SELECT max(ts) FROM p) - INTERVAL 1 HOUR""")
 add("traffic_deltas", "detections", f", h AS ({HOURLY})" + """
 , e AS (SELECT min(tick) AS lo, max(tick) AS hi FROM h), t AS (SELECT unnest(generate_series(greatest(lo, hi - INTERVAL 29 HOUR), hi, INTERVAL 1 HOUR)) AS tick FROM e)

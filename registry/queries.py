@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,9 +233,11 @@ def training_csv_scan(v):
     folder = work_folder(v.spark, "csv")
     dns = queries_of(v).select("event_id", F.col("query_domain").alias("domain"), "ttl", "query_type")
     tls = handshakes_of(v).filter("sni IS NOT NULL").select("event_id", F.col("sni").alias("domain"), "tls_version", "packet_size")
+    dns = dns.withColumn("label", F.when(F.length("domain") % 2 == 0, "phishing").otherwise("legitimate"))
+    tls = tls.withColumn("label", F.length("domain") % 2)  # labels of both kinds in one folder
     for name, rows in (("a_dns.csv", dns), ("b_tls.csv", tls)):
         rows.write.option("header", "true").csv(f"{folder}/{name}")
-    return logs.training_csv_scan(v.spark, folder, "event_id")
+    return logs.training_csv_scan(v.spark, folder, "event_id").withColumn("label", training.label_index(F.col("label")))
 
 
 # --- sinks --------------------------------------------------------------------------------------
@@ -340,15 +343,17 @@ def connection_features(v):
 
 @query
 def connection_defaults(v):
-    """Requests for names and addresses that were never seen on the wire: every group is filled in."""
+    """Requests for names and addresses that were never seen on the wire: every group is filled in. Some ask for another
+    server name than the domain."""
     requests = v.lookalikes.select(
-        F.upper("domain").alias("domain"), F.concat(F.lit("203.0.113."), F.length("domain").cast("string")).alias("destination_ip"), F.concat(F.lit("cdn."), F.col("domain")).alias("sni")
+        F.upper("domain").alias("domain"), F.concat(F.lit("203.0.113."), F.length("domain").cast("string")).alias("destination_ip"),
+        F.when(F.length("domain") % 2 == 0, F.initcap("domain")).otherwise(F.concat(F.lit("cdn."), F.col("domain"))).alias("sni"),
     )
     rows = features.connection_features(queries_of(v), handshakes_of(v), packets_of(v), requests=requests)
     return rounded(rows.select(
         "domain", "destination_ip", "sni", "dns_imputed", "tls_imputed", "flow_imputed", "dns_ttl_value", "dns_query_type",
         "dns_query_frequency", "dns_ttl_variance", "tls_tls_version", "tls_tls_version_code", "tls_handshake_packet_size",
-        "tls_sni_length", "flow_packet_size_mean", "flow_total_packets", "flow_destination_port", "flow_ttl_value",
+        "tls_sni_length", "tls_sni_entropy", "tls_sni_matches_domain", "tls_has_sni_spoofing", "dns_domain_entropy", "flow_packet_size_mean", "flow_total_packets", "flow_destination_port", "flow_ttl_value",
     ))
 
 
@@ -506,6 +511,20 @@ def list_suffix_match(v):
     return matching.list_suffix_match(v.domains, "domain")
 
 
+@query
+def list_table_match(v):
+    """Lists as tables that grow with the names."""
+    return matching.list_suffix_match(v.nested_domains, "domain", matching.ListTables(v.block_table, v.allow_table))
+
+
+@query
+def list_table_override(v):
+    """Predictions and logged events under lists that are tables."""
+    tables = matching.ListTables(v.block_table, v.allow_table)
+    named = with_risk(v).drop("ts").withColumn("domain", F.concat(F.lit("M."), F.col("domain")))
+    return verdicts.logged_event_override(verdicts.decide(verdicts.list_override(named, tables)), tables)
+
+
 @query
 def feed_parent_match(v):
     names = queries_of(v).withColumn("domain", F.concat(F.lit("a.b."), F.col("query_domain")))
@@ -569,6 +588,23 @@ def typosquat_match(v):
     return scoring.typosquat_match(v.domains, "domain")
 
 
+@query
+def typosquat_table(v):
+    """Near misses of a brand table that grows with the users."""
+    return scoring.typosquat_match(v.domains, "domain", v.brand_words.filter("kind = 'brand'").select(F.col("word").alias("brand")))
+
+
+@query
+def brand_table_heuristic(v):
+    """The brand rules with brands and tokens from a table."""
+    return scoring.brand_heuristic(v.domains, "domain", "b", words=v.brand_words, told_tokens=3).select("domain", "b.*")
+
+
+@query
+def lexical_table_score(v):
+    return text(scoring.lexical_risk(v.domains, "domain", "s", words=v.brand_words).select("domain", "s.*"))
+
+
 @query
 def reputation_check(v):
     external = v.pages.filter("url LIKE '%.html'").select(
@@ -835,6 +871,28 @@ def event_dedup(v):
     return reports.event_dedup(coarse).select("domain", "ts", "event_id", "prediction")
 
 
+# --- live connections -----------------------------------------------------------------------------
+LIVE_DROPPED = (*training.NOT_FEATURES, "event_id", "dns_is_known_phishing", "dns_is_known_legitimate")
+
+
+def live_rows(v: Views) -> DataFrame:
+    return features.live_connections(queries_of(v), handshakes_of(v))
+
+
+@query
+def live_connections(v):
+    return rounded(live_rows(v))
+
+
+def live_model(v: Views) -> tuple[PipelineModel, list[str]]:
+    """A stored pipeline for connection rows, fitted on the tables and read again, and its features."""
+    rows = live_rows(v).withColumn("label", training.label_index(lexical.keyword_label(F.col("domain"))))
+    names = training.feature_names(rows, LIVE_DROPPED)
+    path = work_folder(v.spark, "live-model")
+    training.train(training.training_matrix(rows.select("label", *names), drop=("label",), keep=("label",)), training.random_forest(names, trees=10, depth=5)).save(path)
+    return PipelineModel.load(path), names
+
+
 # --- streams: the given events as a stream, run to the end ----------------------------------------
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream, whether it is one file or a folder of files."""
@@ -851,6 +909,14 @@ def stream_views(v: Views) -> Views:
     return Views(v.spark, v.sf_dir, event_stream(v.spark, v.sf_dir))
 
 
+def closed_views(v: Views) -> Views:
+    """The stream with one last event long after all others, so that the watermark passes every given row."""
+    folder, stream = work_folder(v.spark, "last-event"), event_stream(v.spark, v.sf_dir)
+    last = v.spark.range(1).select(F.lit(10**12 + 4).alias("event_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(0).cast(stream.schema["user_id"].dataType).alias("user_id"))
+    last.select(F.col("event_id").cast(stream.schema["event_id"].dataType), "ts", "user_id").write.parquet(folder)
+    return Views(v.spark, v.sf_dir, stream.unionByName(v.spark.readStream.schema(stream.schema).parquet(folder)))
+
+
 def decisions_of(v: Views) -> DataFrame:
     s = stream_views(v)
     return jobs.stream_detect(s.dns_queries, s.tls_handshakes)
@@ -868,6 +934,19 @@ def stream_detect(v):
     return logs.read_json_lines(v.spark, out, "event_id bigint, origin string, domain string, action_taken string, reason string").drop("batch", "dt")
 
 
+@query
+def stream_connections(v):
+    """Every handshake judged by a stored model in the stream, next to what the same chain says of the tables."""
+    model, names = live_model(v)
+    s = closed_views(v)
+    frame = jobs.stream_connections(capture.dns_queries_scan(s.dns_queries), capture.tls_handshakes_scan(s.tls_handshakes.drop("query_domain")), model, names)
+    live = v.spark.read.parquet(run(v, frame, "connections"))
+    batch = detection.detect_connections(live_rows(v), model, names).select("event_id", *[F.col(c).alias(f"_{c}") for c in ("prediction", "confidence", "action_taken")])
+    same = (F.col("prediction") == F.col("_prediction")) & (F.round("confidence", 9) == F.round("_confidence", 9)) & (F.col("action_taken") == F.col("_action_taken"))
+    listed = F.when(F.col("features_used") == 0, F.col("prediction"))
+    return live.join(batch, "event_id", "left").select("event_id", "domain", "destination_ip", "features_used", listed.alias("listed_as"), F.coalesce(same, F.lit(False)).alias("as_in_batch"))
+
+
 @query
 def stream_routed_actions(v):
     """Decisions handed to one writer for each action."""
@@ -894,7 +973,7 @@ def stream_verdicts(v):
 
 @query
 def stream_new_domains(v):
-    out = run(v, decisions_of(v), "new-domains", jobs.new_domains_writer)
+    out = run(v, jobs.stream_new_domains(decisions_of(v)), "new-domains")
     return v.spark.read.parquet(out).filter("blocked OR prediction <> 'phishing'").groupBy("domain").agg(
         F.count(F.lit(1)).alias("sightings")
     )

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatspark import lexicon as L
+
 DOMAINS = (
     "google.com", "github.com", "amazon.com", "mail.google.com", "wikipedia.org", "docs.docker.com",
     "telemetry.individual.githubcopilot.com", "assets.airtel.in", "paypal-verify.com", "apple-login.com",
@@ -266,6 +268,30 @@ class Views:
         """Ratings, half of them for events that were never seen."""
         return self.events.selectExpr("2 * event_id AS event_id", "event_id % 3 <> 0 AS was_correct")
 
+    @property
+    def brand_words(self) -> DataFrame:
+        """Brands and tokens as a table: the curated ones, brands that grow with the users, and first labels of the pages."""
+        fixed = [(w, "brand") for w in (*L.BRANDS, "mcdonald's", "o'reilly")] + [(w, "token") for w in L.BRAND_TOKENS]
+        grown = self.events.selectExpr(f"concat({_pick(LOOK_BRANDS, 'event_id % 10')}, cast(user_id AS string)) AS word", "'brand' AS kind")
+        labels = self.pages.select(F.regexp_extract("url", "^[a-z]+://([^/:?#.]+)", 1).alias("word"), F.lit("token").alias("kind"))
+        return self.spark.createDataFrame(fixed, "word string, kind string").unionByName(grown).unionByName(labels).distinct()
+
+    @property
+    def block_table(self) -> DataFrame:
+        fixed = self.spark.createDataFrame([(w,) for w in L.BLOCK_LIST], "host string")
+        return fixed.unionByName(self.lookalikes.filter("domain LIKE '%-verify%' OR domain LIKE 'apple.mail%'").selectExpr("domain AS host"))
+
+    @property
+    def allow_table(self) -> DataFrame:
+        fixed = self.spark.createDataFrame([(w,) for w in L.ALLOW_LIST], "host string")
+        return fixed.unionByName(self.pages.select(F.upper(F.regexp_extract("url", r"([^/:?#.]+\.example\.[a-z]+)", 1)).alias("host")))
+
+    @property
+    def nested_domains(self) -> DataFrame:
+        """Names in mixed case, the same below two more labels, and a blank one."""
+        below = self.domains.select(F.concat(F.lit("a.B."), F.col("domain")).alias("domain"))
+        return self.cased_domains.unionByName(below).unionByName(self.spark.createDataFrame([("",)], "domain string")).distinct()
+
     @property
     def list_actions(self) -> DataFrame:
         name = f"concat('u', cast(user_id AS string), '.', {_pick(DOMAINS, 'event_id % 24')})"
@@ -388,6 +414,17 @@ SELECT domain, CASE WHEN length(domain) % 2 = 0 THEN 'phishing' ELSE 'legitimate
  cast(50 + ascii(substring(domain, -6, 1)) % 50 AS double) / 100 AS confidence
 FROM (SELECT domain FROM lookalikes UNION SELECT query_domain FROM dns_queries) n WHERE length(domain) % 5 <> 0""",
     "feedback": "SELECT 2 * event_id AS event_id, event_id % 3 <> 0 AS was_correct FROM events",
+    "brand_words": f"""
+SELECT * FROM (VALUES {", ".join("('" + w.replace("'", "''") + "', '" + k + "')" for k, ws in (("brand", (*L.BRANDS, "mcdonald's", "o'reilly")), ("token", L.BRAND_TOKENS)) for w in ws)}) AS t(word, kind)
+UNION SELECT concat(b.v, cast(e.user_id AS string)), 'brand' FROM events e JOIN (VALUES {_rows(LOOK_BRANDS)}) AS b(i, v) ON b.i = e.event_id % 10
+UNION SELECT regexp_extract(url, '^[a-z]+://([^/:?#.]+)', 1), 'token' FROM pages""",
+    "block_table": f"""
+SELECT * FROM (VALUES {", ".join(f"('{w}')" for w in L.BLOCK_LIST)}) AS t(host)
+UNION SELECT domain FROM lookalikes WHERE domain LIKE '%-verify%' OR domain LIKE 'apple.mail%'""",
+    "allow_table": f"""
+SELECT * FROM (VALUES {", ".join(f"('{w}')" for w in L.ALLOW_LIST)}) AS t(host)
+UNION SELECT lower(regexp_extract(url, '([^/:?#.]+[.]example[.][a-z]+)', 1)) FROM pages""",
+    "nested_domains": "SELECT domain FROM cased_domains UNION SELECT 'a.B.' || domain FROM domains UNION SELECT ''",
     "list_actions": """
 SELECT e.event_id, e.ts, concat('u', cast(e.user_id AS string), '.', d.domain) AS domain, '127.0.0.1' AS ip,
  CASE WHEN e.event_id % 3 = 0 THEN 'unblocked' ELSE 'blocked' END AS action
@@ -400,7 +437,7 @@ DEPENDS = {
     "feed_urls": ["domain_dim"], "feed_one": ["lookalikes"], "hello_payloads": ["dns_queries"],
     "http_payloads": ["dns_queries"], "verifier_replies": ["domain_dim"], "noisy_names": ["domain_dim"],
     "urls": ["domain_dim"], "list_actions": ["domain_dim"], "cased_domains": ["domains"],
-    "model_scores": ["lookalikes", "dns_queries"],
+    "model_scores": ["lookalikes", "dns_queries"], "block_table": ["lookalikes"], "nested_domains": ["domains", "cased_domains"],
 }
 
 

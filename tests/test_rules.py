@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from threatspark import lexicon as L
 from threatspark.functions import hosts, lexical, policy
-from threatspark.operators import matching, reports, scoring, verdicts
+from threatspark.operators import features, matching, reports, scoring, verdicts
 from threatspark.plans import detection
 
 
@@ -237,3 +238,115 @@ def test_settled_verdicts_become_log_events(spark):
     frame = spark.createDataFrame(rows, "domain string, verdict string, blocked boolean, confidence double, reason string, source string")
     got = {r.domain: (r.prediction, r.risk_level, r.alert_severity, r.action_taken) for r in verdicts.loggable(frame, F.current_timestamp()).collect()}
     assert got == {"a.com": ("phishing", "high", "critical", "block_dns"), "b.com": ("legitimate", "low", "low", "log_only")}
+
+
+# --- lists and words as tables --------------------------------------------------------------------
+NAMES = (
+    "google.com", "mail.Google.com", "paypal-verify.com", "x.paypal-verify.com.", "com", "", None, "amazonn.com", "gogle.com", "paypa1.com", "mcdonalds.com",
+    "login.amazon-account.com", "secure-paypal-login.com", "faceboook.net", "micros0ft.org", "mcdonald's.com", "mcdonaldss.com", "a" * 200 + ".com", "xpaypal.top",
+    "verify-apple-id-update.xyz", "github.com", "notgithub.com", "sub.sub.github.com",
+)
+
+
+@pytest.fixture(scope="module")
+def names(spark):
+    return spark.createDataFrame([(n,) for n in NAMES], "domain string")
+
+
+def rows_of(frame):
+    return sorted(map(repr, frame.collect()))
+
+
+def as_tables(spark, lists):
+    return matching.ListTables(*[spark.createDataFrame([(h.upper(),) for h in hosts], "host string") for hosts in (lists.block, lists.allow)])
+
+
+def test_list_tables_match_as_literals_do(spark, names):
+    lists = L.HostLists()
+    assert rows_of(matching.list_suffix_match(names, "domain", as_tables(spark, lists))) == rows_of(matching.list_suffix_match(names, "domain", lists))
+    judged = names.selectExpr("domain", "'legitimate' AS prediction", "0.7D AS confidence", "48 AS features_used", "'low' AS risk_level")
+    for override in (verdicts.list_override, lambda p, t: verdicts.logged_event_override(verdicts.decide(p), t)):
+        a, b = override(judged, as_tables(spark, lists)), override(judged, lists)
+        assert rows_of(a.select(*b.columns)) == rows_of(b)
+
+
+def test_a_list_of_a_million_rows(spark, names):
+    lists = L.HostLists()
+    long = spark.range(1_000_000).selectExpr("concat('h', cast(id AS string), '.example.net') AS host")
+    tables = as_tables(spark, lists)
+    tables = matching.ListTables(tables.block.unionByName(long), tables.allow)
+    more = names.unionByName(spark.createDataFrame([("deep.h77.example.net",), ("h1000000.example.net",)], "domain string"))
+    got = {r.domain: r.in_block_list for r in matching.list_suffix_match(more, "domain", tables).collect()}
+    assert got["deep.h77.example.net"] and not got["h1000000.example.net"]
+    assert {n: got[n] for n in NAMES} == {r.domain: r.in_block_list for r in matching.list_suffix_match(names, "domain", lists).collect()}
+
+
+def test_empty_list_tables(spark, names):
+    none = spark.createDataFrame([], "host string")
+    assert matching.list_suffix_match(names, "domain", matching.ListTables(none, none)).filter("in_block_list OR in_allow_list").count() == 0
+
+
+def test_brands_with_an_apostrophe(spark, names):
+    brands = ("mcdonald's", "o'reilly", "paypal")
+    got = {r.domain: (r.distance, r.brand) for r in scoring.typosquat_match(names.na.drop(), "domain", brands).collect()}
+    assert got["mcdonalds.com"] == (1, "mcdonald's") and got["paypa1.com"] == (1, "paypal")
+    rules = L.BrandRules(brands=brands)
+    assert scoring.brand_heuristic(names, "domain", "b", rules).filter("b.reason LIKE '%mcdonald''s%'").count() > 0
+    assert scoring.typosquat_match(names.na.drop(), "domain", ("paypal",)).count() == 2
+    swapped = names.na.drop().withColumn("t", F.lit("0reilly")).select(lexical.digit_swap_brand("t", L.ScoreRules(brands=("oreilly", "o'x"))).alias("b"))
+    assert {r.b for r in swapped.collect()} == {"oreilly"}
+
+
+def test_brand_tables_match_as_literals_do(spark, names):
+    brands = (*L.BRANDS, "mcdonald's", "toolongabrandforanylabel")
+    table = spark.createDataFrame([(b,) for b in brands], "brand string")
+    some = names.na.drop().unionByName(spark.createDataFrame([(b[:k] + c + b[k + j:] + ".com",) for b in brands for k in (0, 2, len(b) - 1) for j in (0, 1, 2) for c in ("", "x", "xy")], "domain string")).distinct()
+    a, b = scoring.typosquat_match(some, "domain", table), scoring.typosquat_match(some, "domain", brands)
+    assert b.count() > 100 and rows_of(a.select(*b.columns)) == rows_of(b)
+
+
+def test_many_brands_take_no_theta_join(spark, names):
+    table = spark.range(100_000).selectExpr("concat('brand', cast(id AS string)) AS brand")
+    frame = scoring.typosquat_match(names.na.drop(), "domain", table)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    one = spark.createDataFrame([("brand1x234.com",), ("brandx99999.com",), ("brand.com",)], "domain string")
+    got = {r.domain: (r.distance, r.brand) for r in scoring.typosquat_match(one, "domain", table).collect()}
+    assert got == {"brand1x234.com": (1, "brand10234"), "brandx99999.com": (1, "brand99999"), "brand.com": (1, "brand0")}
+
+
+def test_word_tables_score_as_literals_do(spark, names):
+    rules = L.BrandRules()
+    words = spark.createDataFrame([(w, "brand") for w in rules.brands] + [(w, "token") for w in rules.tokens], "word string, kind string")
+    a, b = (scoring.brand_heuristic(names, "domain", "b", words=w) for w in (words, None))
+    assert rows_of(a) == rows_of(b)
+    score = L.ScoreRules()
+    words = spark.createDataFrame([(w, "brand") for w in score.brands] + [(w, "token") for w in score.tokens], "word string, kind string")
+    a, b = (scoring.lexical_risk(names, "domain", "s", words=w) for w in (words, None))
+    assert rows_of(a) == rows_of(b)
+
+
+def test_words_are_found_wherever_they_stand(spark):
+    hosts = spark.createDataFrame([("abcabcd",), ("xabc",), ("zz",), ("",)], "h string")
+    words = spark.createDataFrame([("abc", "a"), ("bcabcd", "a"), ("z", "b"), ("abcdx", "a"), ("", "a"), ("abc", "a")], "word string, kind string")
+    got = {r.h: dict(r._held) for r in scoring.words_in(hosts, "h", words).collect()}
+    assert got == {"abcabcd": {"a": ["abc", "bcabcd"]}, "xabc": {"a": ["abc"]}, "zz": {"b": ["z"]}}
+
+
+def test_one_wrong_clock_does_not_stretch_the_ticks(spark):
+    rows = spark.createDataFrame([("1970-01-01 00:00:00", "phishing"), ("2026-01-01 00:00:01", "legitimate"), ("2026-01-01 00:00:03", "phishing"), (None, "phishing")], "t string, prediction string")
+    got = reports.traffic_deltas(rows.select(F.col("t").cast("timestamp").alias("ts"), "prediction"), "1 second", 5).orderBy("tick").collect()
+    assert [(r.phishing, r.safe) for r in got] == [(0, 0), (0, 0), (0, 1), (0, 0), (1, 0)]
+
+
+def test_defaults_of_a_connection_that_was_not_seen(spark):
+    packet = "event_id int, seq int, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, packet_size int, ttl int"
+    handshake = "event_id int, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, sni string, tls_version string, packet_size int"
+    query = "event_id int, ts timestamp, src_ip string, dst_ip string, query_domain string, query_type string, ttl int, packet_size int"
+    requests = spark.createDataFrame([("a.com", "1.1.1.1", "evil.net"), ("A.com", "1.1.1.2", "a.COM"), ("b_x.com", "1.1.1.3", None)], "domain string, destination_ip string, sni string")
+    rows = features.connection_features(*[spark.createDataFrame([], s) for s in (query, handshake, packet)], requests=requests).collect()
+    got = {r.destination_ip: r for r in rows}
+    assert [got[f"1.1.1.{k}"].tls_sni_matches_domain for k in (1, 2, 3)] == [False, True, True]
+    assert {(r.tls_has_sni_spoofing, r.tls_tls_version_code, r.dns_is_known_legitimate) for r in rows} == {(False, 3, False)}
+    assert [got[f"1.1.1.{k}"].dns_has_suspicious_chars for k in (1, 3)] == [False, True]
+    assert got["1.1.1.1"].tls_sni_entropy == pytest.approx(2.75) and got["1.1.1.1"].tls_sni_length == 8

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threatspark import lexicon as L
 from threatspark import session
+from threatspark.model.training import label_index
 from threatspark.sources import browser, capture, logs, sinks
 
 
@@ -161,5 +162,27 @@ def fake_session(shared, master):
 
 def test_work_folder_is_the_shared_one():
     assert session.work_folder(fake_session("/shared/", "yarn"), "x").startswith("/shared/threatspark/x-")
-    with pytest.raises(ValueError, match="checkpoint"):
-        session.work_folder(fake_session(None, "yarn"), "x")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.work_folder(fake_session(None, master), "x")
+    assert "/threatspark/x-" in session.work_folder(fake_session(None, "local[2]"), "x")  # one machine: its own folder
+
+
+def test_work_is_cleared(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(session, "_made", [])
+    frame = session.settled(spark.range(5), "cleared")
+    folder = session._made[0].removeprefix("file:")
+    assert frame.count() == 5 and os.path.isdir(folder)
+    session.clear_work(spark)
+    assert not os.path.exists(folder) and session._made == []
+
+
+def test_csv_tables_with_labels_of_both_kinds(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("domain,label,n,flag,x\na.com,phishing,1,true,1.5\nb.com,legitimate,2,false,\n")
+    (tmp_path / "b.csv").write_text("domain,n,label,y\nc.com,3000000000,1,\nd.com,4,0,\na.com,9,0,\n")
+    got = logs.training_csv_scan(spark, str(tmp_path), "n")
+    assert dict(got.dtypes) == {"domain": "string", "label": "string", "n": "bigint", "flag": "boolean", "x": "double", "y": "string"}
+    assert {r.domain: r.label for r in got.collect()} == {"a.com": "phishing", "b.com": "legitimate", "c.com": "1", "d.com": "0"}
+    assert {r.domain: r.i for r in got.select("domain", label_index(F.col("label")).alias("i")).collect()} == {"a.com": 1, "b.com": 0, "c.com": 1, "d.com": 0}

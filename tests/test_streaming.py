@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from registry import queries
 from registry.views import Views
+from threatspark.operators import features
 from threatspark.plans import detection
-from threatspark.sources import browser, logs
+from threatspark.sources import browser, capture, logs
 from threatspark.streaming import jobs
 
 
@@ -115,9 +117,9 @@ def test_streamed_log_is_read_by_day(spark, stream, batch, tmp_path):
     assert logs.detection_log_scan(spark, out, days=2).count() == want
 
 
-def test_new_domains_against_a_table(spark, stream, batch, tmp_path):
+def test_new_domains_exactly(spark, stream, batch, tmp_path):
     """Exact however long ago a domain was seen, over several batches, and a repeated batch changes nothing."""
-    writer = jobs.new_domains_writer(str(tmp_path / "out"))
+    writer = jobs.parquet_writer(str(tmp_path / "out"))
     ids = []
 
     def twice(rows, batch_id):
@@ -125,7 +127,8 @@ def test_new_domains_against_a_table(spark, stream, batch, tmp_path):
         writer(rows, batch_id)
         writer(rows, batch_id)
 
-    jobs.run_available(jobs.stream_detect(stream.dns_queries, stream.tls_handshakes), str(tmp_path / "checkpoint"), twice)
+    decisions = jobs.stream_detect(stream.dns_queries, stream.tls_handshakes)
+    jobs.run_available(jobs.stream_new_domains(decisions), str(tmp_path / "checkpoint"), twice)
     assert len(ids) == 4
     out = spark.read.parquet(str(tmp_path / "out"))
     every = detection.detect(detection.domain_events(batch.dns_queries, batch.tls_handshakes))
@@ -134,6 +137,38 @@ def test_new_domains_against_a_table(spark, stream, batch, tmp_path):
     assert out.filter(f"NOT ({settled})").count() == every.filter(f"NOT ({settled})").count()
 
 
+@pytest.fixture(scope="module")
+def live_model(spark, sf_dir):
+    return queries.live_model(Views(spark, sf_dir))
+
+
+def test_connections_are_judged_as_in_a_batch(spark, stream, batch, live_model, tmp_path):
+    """Over several micro-batches: every handshake once, when its time has passed, with the same features and verdict."""
+    model, names = live_model
+    frame = jobs.stream_connections(capture.dns_queries_scan(stream.dns_queries), capture.tls_handshakes_scan(stream.tls_handshakes), model, names)
+    out = spark.read.parquet(run(spark, frame, tmp_path)).drop("batch")
+    rows = features.live_connections(capture.dns_queries_scan(batch.dns_queries), capture.tls_handshakes_scan(batch.tls_handshakes))
+    want = detection.detect_connections(rows, model, names).select(out.columns)
+    newest = min(v.agg(F.max("ts")).first()[0] for v in (batch.dns_queries, batch.tls_handshakes))
+    closed = F.col("ts") < F.lit(newest) - F.expr("INTERVAL 2 MINUTES")
+    assert out.count() == out.select("event_id").distinct().count() > 100
+    assert same(out.filter(closed), want.filter(closed))
+    assert out.join(want.select("event_id"), "event_id", "left_anti").count() == 0
+    assert {r.features_used for r in out.select("features_used").distinct().collect()} == {0, len(names)}
+
+
+def test_sessions_do_not_depend_on_the_batches(spark, stream, sf_dir, chunks, tmp_path):
+    """Late and unordered packets: in four batches as in one."""
+    whole = Views(spark, sf_dir, spark.readStream.schema(spark.read.parquet(chunks).schema).parquet(chunks))
+    outs = []
+    for k, views in enumerate((stream, whole)):
+        folder = tmp_path / str(k)
+        outs.append(spark.read.parquet(run(spark, jobs.stream_flow_sessions(capture.flow_packets_scan(views.flow_packets)), folder)).drop("batch"))
+    assert outs[0].count() > 100
+    rounded = [queries.rounded_flows(o) for o in outs]
+    assert same(rounded[0], rounded[1])
+
+
 def test_totals_stay_few_and_right(spark, stream, batch, tmp_path):
     path = str(tmp_path / "out")
     writer = jobs.totals_writer(path)

@@ -93,10 +93,12 @@ def typosquat(label: str, brands: tuple[str, ...] = L.BRANDS) -> Column:
     """
     tried = sorted(b for b in brands if len(b) >= 6)
     codes = ", ".join(
-        f"CASE WHEN length({label}) BETWEEN {len(brand) - 2} AND {len(brand) + 2} AND {label} <> '{brand}' "
-        f"THEN pmod(levenshtein({label}, '{brand}', {1 if len(brand) == 6 else 2}), 100) * 1000 + {number} END"
+        f"CASE WHEN length({label}) BETWEEN {len(brand) - 2} AND {len(brand) + 2} AND {label} <> {literal(brand)} "
+        f"THEN pmod(levenshtein({label}, {literal(brand)}, {1 if len(brand) == 6 else 2}), 100) * 1000 + {number} END"
         for number, brand in enumerate(tried)
     )
+    if len(tried) < 2:  # least() takes two arguments
+        codes = ", ".join(filter(None, [codes, "99000", "99000"]))
     best = F.expr(f"CASE WHEN length({label}) >= 4 THEN least({codes}) END")
     names = F.array(*[F.lit(b) for b in tried])
     return F.when(
@@ -113,9 +115,9 @@ def mixed_token(label: Column) -> Column:
 def digit_swap_brand(token: str, rules: L.ScoreRules = L.ScoreRules()) -> Column:
     """Brand hidden by digits in a mixed token (``paypa1``), or NULL."""
     digits, letters = rules.deobfuscate
-    plain = f"translate({token}, '{digits}', '{letters}')"
+    plain = f"translate({token}, {literal(digits)}, {literal(letters)})"
     cases = (
-        f"CASE WHEN contains({plain}, '{b}') AND NOT contains({token}, '{b}') THEN '{b}' END" for b in sorted(rules.brands)
+        f"CASE WHEN contains({plain}, {literal(b)}) AND NOT contains({token}, {literal(b)}) THEN {literal(b)} END" for b in sorted(rules.brands)
     )
     return F.expr(f"coalesce({', '.join(cases)})")
 

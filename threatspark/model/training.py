@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -17,6 +20,7 @@ from threatspark.model import metrics
 from threatspark.operators import running
 from threatspark.session import settled
 from threatspark.operators.features import domain_columns
+from threatspark.operators.matching import ListTables
 from threatspark.operators.verdicts import list_override
 
 # identifiers, labels and columns that leak the label or the time of capture
@@ -143,14 +147,35 @@ def train(df: DataFrame, pipeline: Pipeline) -> PipelineModel:
         kept.unpersist()
 
 
-def cross_validate(df: DataFrame, pipeline: Callable[[], Pipeline], label: str = "label", row_id: str = "domain", folds: int = 5) -> DataFrame:
-    """Mean and population deviation of accuracy, F1 and AUC over the held-out folds, in one row."""
+A = TypeVar("A")
+B = TypeVar("B")
+
+
+def at_once(work: Callable[[A], B], items: Sequence[A], parallelism: int) -> list[B]:
+    """``work`` for every item, so many at a time: their Spark jobs share the executors, which one small fit leaves idle."""
+    session = SparkSession.active()
+    with ThreadPoolExecutor(max(1, min(parallelism, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(session)(work), items))
+
+
+def cross_validate(
+    df: DataFrame, pipeline: Callable[[], Pipeline], label: str = "label", row_id: str = "domain", folds: int = 5, parallelism: int = 5
+) -> DataFrame:
+    """Mean and population deviation of accuracy, F1 and AUC over the held-out folds, in one row.
+
+    The folds are marked once and kept; ``parallelism`` of them are fitted side by side.
+    """
     split = kfold_assign(df, label, row_id, folds).persist()
-    held_out = None
-    for fold in range(folds):
+    split.count()  # kept before the folds are read side by side
+
+    def held(fold: int) -> DataFrame:
         model = pipeline().fit(split.filter(F.col("fold") != fold))
-        part = phishing_score(model.transform(split.filter(F.col("fold") == fold)), "fold", label)
-        held_out = part if held_out is None else held_out.unionByName(part)
+        return phishing_score(model.transform(split.filter(F.col("fold") == fold)), "fold", label)
+
+    parts = at_once(held, range(folds), parallelism)
+    held_out = parts[0]
+    for part in parts[1:]:
+        held_out = held_out.unionByName(part)
     held_out = settled(held_out, "scores")  # all measures read the same scores
     per_fold = metrics.binary_metrics(held_out, by=["fold"]).join(metrics.roc_auc(held_out, by=["fold"]), "fold")
     names = ("accuracy", "f1", "roc_auc")
@@ -176,14 +201,20 @@ def evaluate_models(test: DataFrame, models: dict[str, PipelineModel], label: st
     return metrics.binary_metrics(stacked, by=by).join(metrics.roc_auc(stacked, by=by), by)
 
 
-def select_model(rows: DataFrame, features: Sequence[str], pipelines: dict[str, Pipeline], path: str, row_id: str = "domain") -> DataFrame:
-    """Whole training run: split, fit every pipeline, measure, keep the best by F1 with its metadata.
+def select_model(
+    rows: DataFrame, features: Sequence[str], pipelines: dict[str, Pipeline], path: str, row_id: str = "domain", parallelism: int = 4
+) -> DataFrame:
+    """Whole training run: split, fit every pipeline (``parallelism`` side by side), measure, keep the best by F1 with its metadata.
 
     Returns the metrics of all models. Only the name of the winner comes to the driver.
     """
     split = settled(stratified_split(rows, "label", row_id), "split")
-    fit, test = split.filter("split = 'train'"), split.filter("split = 'test'")
-    models = {name: train(fit, pipeline) for name, pipeline in pipelines.items()}
+    fit, test = split.filter("split = 'train'").persist(), split.filter("split = 'test'")
+    fit.count()
+    try:
+        models = dict(zip(pipelines, at_once(lambda pipeline: pipeline.fit(fit), list(pipelines.values()), parallelism), strict=True))
+    finally:
+        fit.unpersist()
     results = evaluate_models(test, models)
     best = metrics.model_ranking(results).first()["model"]
     model_metadata_sink(models[best], results.filter(F.col("model") == best), features, best, path, fit, test)
@@ -191,11 +222,14 @@ def select_model(rows: DataFrame, features: Sequence[str], pipelines: dict[str,
 
 
 # --- use of a model -----------------------------------------------------------------------------
-def score_batch(rows: DataFrame, model: PipelineModel, features: Sequence[str], lists: L.HostLists = L.HostLists()) -> DataFrame:
-    """Prediction and confidence per domain, with the host lists on top."""
+def score_batch(
+    rows: DataFrame, model: PipelineModel, features: Sequence[str], lists: L.HostLists | ListTables = L.HostLists(), keep: Sequence[str] = ("domain",)
+) -> DataFrame:
+    """Prediction and confidence per domain, with the host lists on top and the columns ``keep`` in front. Row-wise, so the rows
+    may be a stream."""
     probability = vector_to_array("probability")
     scored = model.transform(rows).select(
-        "domain",
+        *keep,
         F.when(F.col("prediction") == 1, "phishing").otherwise("legitimate").alias("prediction"),
         F.array_max(probability).alias("confidence"),
         F.lit(len(features)).alias("features_used"),

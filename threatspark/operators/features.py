@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatspark import lexicon as L
-from threatspark.functions.lexical import entropy_stripped, has_any
+from threatspark.functions.lexical import entropy, entropy_stripped, has_any
 from threatspark.operators import running
 from threatspark.session import settled
 
 # fixed values: what a missing feature group is filled with
 DNS_DEFAULTS = {"ttl_value": 3600, "query_type": "A", "query_frequency": 1, "ttl_variance": 0.0}
 TLS_DEFAULTS = {
-    "sni_matches_domain": True, "has_sni_spoofing": False, "tls_version": "TLS 1.3",
-    "tls_version_code": 4, "is_outdated_tls": False, "uses_standard_https_port": True, "handshake_packet_size": 516,
+    "has_sni_spoofing": False, "tls_version": "TLS 1.3", "tls_version_code": 3, "is_outdated_tls": False, "uses_standard_https_port": True, "handshake_packet_size": 516,
     "certificate_subject_length": 0,
 }
 FLOW_DEFAULTS = {
@@ -114,37 +113,121 @@ def inter_packet_gaps(
     return running.seconds_since_previous(packets, keys, order, "gap_seconds", rows)
 
 
-def flow_stats(
-    packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL, rows: int | None = None
-) -> DataFrame:
-    """Size, timing and volume statistics per flow.
+# fixed lengths of the steps in which the parts of a flow are put together: second, hour, all
+PART_SECONDS = (1, 3600)
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """Count, mean and squared deviations of two samples together."""
+    n = a["n"] + b["n"]
+    apart = F.when((a["n"] > 0) & (b["n"] > 0), b["mean"] - a["mean"]).otherwise(0.0)
+    share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+    mean = F.when(a["n"] > 0, a["mean"] + apart * share).otherwise(b["mean"])
+    return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"))
+
+
+def _moments(n: Column, mean: Column, m2: Column) -> Column:
+    return F.struct(n.cast("bigint").alias("n"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(m2, F.lit(0.0)).alias("m2"))
+
+
+def deviation(sample: Column) -> Column:
+    """Sample deviation of (n, mean, m2); 0 for one value."""
+    return F.when(sample["n"] > 1, F.sqrt(F.greatest(sample["m2"], F.lit(0.0)) / (sample["n"] - 1))).otherwise(0.0)
+
+
+def _gap_moments(gap: Column) -> Column:
+    return _moments(F.lit(1), gap, F.lit(0.0))
+
+
+def flow_parts(packets: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per (flow, second): a summary that can be put together with the next one of the flow.
 
-    The gaps come from sliced windows and the statistics from one aggregation with map-side combine, so a flow may hold
-    any share of the packets.
+    A second has a million different times at most; packets at one time have no gap between them. So the set of times, which
+    is combined before the shuffle, and the number of packets tell all gaps, and a flow at one single time is one time.
     """
-    gaps = inter_packet_gaps(packets, keys, order, rows)
-    us = running.epoch_us(F.col(order[0]))
+    us, size = running.epoch_us(F.col(order[0])), F.col("packet_size")
     last = F.max_by(F.struct(F.col("dst_port").alias("port"), F.col("ttl").alias("ttl")), F.struct(*order))
-    size, gap = F.col("packet_size"), F.col("gap_seconds")
-    stats = gaps.groupBy(*keys).agg(
-        F.avg(size).alias("packet_size_mean"),
-        F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("packet_size_std"),
-        F.min(size).alias("packet_size_min"),
-        F.max(size).alias("packet_size_max"),
-        (F.max(size) - F.min(size)).alias("packet_size_range"),
-        F.coalesce(F.avg(gap), F.lit(0.0)).alias("inter_packet_timing_mean"),
-        F.coalesce(F.stddev_samp(gap), F.lit(0.0)).alias("inter_packet_timing_std"),
-        F.coalesce(F.min(gap), F.lit(0.0)).alias("inter_packet_timing_min"),
-        F.coalesce(F.max(gap), F.lit(0.0)).alias("inter_packet_timing_max"),
-        F.count(F.lit(1)).alias("total_packets"),
-        ((F.max(us) - F.min(us)) / F.lit(1e6)).alias("flow_duration"),
-        last.alias("_last"),
+    at = F.floor(us / (PART_SECONDS[0] * running.SECOND)).alias("_at")
+    # the key columns may be those that are aggregated, too
+    packed = packets.select(
+        running._packed_keys(keys).alias("_flow"), at, us.alias("_us"), size.alias("packet_size"), "dst_port", "ttl", *[c for c in order if c not in ("dst_port", "ttl")])
+    parts = packed.groupBy("_flow", "_at").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_us").alias("timed"), F.sort_array(F.collect_set("_us")).alias("times"),
+        _moments(F.count("packet_size"), F.avg("packet_size"), F.var_pop("packet_size") * F.count("packet_size")).alias("size"),
+        F.min("packet_size").alias("low"), F.max("packet_size").alias("high"), F.max(F.struct(*order)).alias("at"), last.alias("last"),
     )
-    rate = F.when(F.col("flow_duration") > 0, F.col("total_packets") / F.col("flow_duration")).otherwise(0.0)
-    return (
-        stats.withColumns({
-            "packets_per_second": rate, "destination_port": F.col("_last.port"), "ttl_value": F.col("_last.ttl"),
-        }).drop("_last")
+    return with_gaps(parts).select("_flow", "_at", F.struct(
+        "rows", "size", "low", "high", "at", "last", "first_us", "last_us", "gaps", "gap_low", "gap_high").alias("part"))
+
+
+def with_gaps(parts: DataFrame) -> DataFrame:
+    """Adds first_us, last_us, gaps (count, mean and squared deviations), gap_low and gap_high, all in seconds, for rows of
+    ``times`` (different microseconds in order) and ``timed`` (the packets with a time)."""
+    times, distinct = F.col("times"), F.size("times")
+    steps = F.transform(
+        F.when(distinct > 1, F.sequence(F.lit(1), distinct - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: (F.get(times, i) - F.get(times, i - 1)) / F.lit(1e6))
+    zero = F.col("timed") - distinct  # packets at a time that another one has
+    ends = parts.select("*", steps.alias("_steps"), F.array_min("times").alias("first_us"), F.array_max("times").alias("last_us"))
+    mean = F.when(distinct > 1, (F.col("last_us") - F.col("first_us")) / F.lit(1e6) / (distinct - 1)).otherwise(0.0)
+    squares = F.aggregate("_steps", F.lit(0.0), lambda total, g: total + (g - F.col("_mean")) * (g - F.col("_mean")))
+    summed = ends.withColumn("_mean", mean).withColumn("_m2", squares)
+    moved = _moments(F.greatest(distinct - 1, F.lit(0)), F.col("_mean"), F.col("_m2"))
+    return summed.withColumns({
+        "gaps": _merged(moved, _moments(zero, F.lit(0.0), F.lit(0.0))),
+        "gap_low": F.least(F.array_min("_steps"), F.when(zero > 0, 0.0)), "gap_high": F.greatest(F.array_max("_steps"), F.when(zero > 0, 0.0)),
+    }).drop("_steps", "_mean", "_m2")
+
+
+def _put_together(parts: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The parts of each group as one, along ``order`` (parts without a time first)."""
+    listed = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(order), F.lit(running.UNTIMED)).alias("at"), "part"))).alias("_l"))
+
+    def both(a: Column, item: Column) -> Column:
+        b = item["part"]
+        gap = (b["first_us"] - a["last_us"]) / F.lit(1e6)
+        joined = F.when(gap.isNotNull(), _merged(_merged(a["gaps"], _gap_moments(gap)), b["gaps"])).otherwise(_merged(a["gaps"], b["gaps"]))
+        later = b["at"] > a["at"]
+        return F.struct(
+            (a["rows"] + b["rows"]).alias("rows"), _merged(a["size"], b["size"]).alias("size"), F.least(a["low"], b["low"]).alias("low"),
+            F.greatest(a["high"], b["high"]).alias("high"), F.greatest(a["at"], b["at"]).alias("at"), F.when(later, b["last"]).otherwise(a["last"]).alias("last"),
+            F.coalesce(a["first_us"], b["first_us"]).alias("first_us"), F.coalesce(b["last_us"], a["last_us"]).alias("last_us"), joined.alias("gaps"),
+            F.least(a["gap_low"], b["gap_low"], gap).alias("gap_low"), F.greatest(a["gap_high"], b["gap_high"], gap).alias("gap_high"),
+        )
+
+    first, rest = F.get("_l", F.lit(0))["part"], F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(1)))
+    return listed.select(*group, F.aggregate(rest, first, both).alias("part"))
+
+
+def flow_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL) -> DataFrame:
+    """Size, timing and volume statistics per flow.
+
+    No packet is sorted: each (flow, second) is summed up on its own and combined before the shuffle, the seconds of an hour
+    are put together in order, then the hours. So a flow may hold any share of the packets.
+    """
+    seconds = flow_parts(packets, keys, order)
+    hour = F.floor(F.col("_at") / (PART_SECONDS[1] // PART_SECONDS[0]))
+    hours = _put_together(seconds.withColumn("_hour", hour), ["_flow", "_hour"], "_at")
+    flows = _put_together(hours, ["_flow"], "_hour")
+    p, size, gaps = F.col("part"), F.col("part.size"), F.col("part.gaps")
+
+    stats = flows.select("_flow", "part", ((p["last_us"] - p["first_us"]) / F.lit(1e6)).alias("flow_duration"))
+    return stats.select(
+        *[F.col(f"_flow.{c}").alias(c) for c in keys],
+        F.when(size["n"] > 0, size["mean"]).alias("packet_size_mean"),
+        deviation(size).alias("packet_size_std"),
+        p["low"].alias("packet_size_min"),
+        p["high"].alias("packet_size_max"),
+        (p["high"] - p["low"]).alias("packet_size_range"),
+        gaps["mean"].alias("inter_packet_timing_mean"),
+        deviation(gaps).alias("inter_packet_timing_std"),
+        F.coalesce(p["gap_low"], F.lit(0.0)).alias("inter_packet_timing_min"),
+        F.coalesce(p["gap_high"], F.lit(0.0)).alias("inter_packet_timing_max"),
+        p["rows"].alias("total_packets"),
+        "flow_duration",
+        F.when(F.col("flow_duration") > 0, p["rows"] / F.col("flow_duration")).otherwise(0.0).alias("packets_per_second"),
+        p["last"]["port"].alias("destination_port"),
+        p["last"]["ttl"].alias("ttl_value"),
     )
 
 
@@ -199,18 +282,18 @@ def _named(handshakes: DataFrame) -> DataFrame:
     return handshakes.filter(F.col("sni").isNotNull()).withColumn("_name", F.lower("sni"))
 
 
-def dns_to_tls_delay(handshakes: DataFrame, queries: DataFrame, rows: int | None = None) -> DataFrame:
+def dns_to_tls_delay(handshakes: DataFrame, queries: DataFrame, rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Seconds from the client's latest earlier query for the server name to the handshake, NULL without one."""
     asked = queries.select("src_ip", F.lower("query_domain").alias("_name"), "ts")
-    matched = running.latest_before(_named(handshakes), asked, ["src_ip", "_name"], "ts", "_asked", rows)
+    matched = running.latest_before(_named(handshakes), asked, ["src_ip", "_name"], "ts", "_asked", rows, at_most)
     delay = (running.epoch_us(F.col("ts")) - F.unix_micros("_asked")) / F.lit(1e6)
     return matched.withColumn("dns_to_tls_delay", delay).drop("_name", "_asked")
 
 
-def connection_ordinal(handshakes: DataFrame, rows: int | None = None) -> DataFrame:
+def connection_ordinal(handshakes: DataFrame, rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """How many connections the client has made to the server name so far, this one included."""
     named = handshakes.filter(F.col("sni").isNotNull())
-    return running.row_number(named, ["src_ip", "sni"], ARRIVAL, "connection_count_to_domain", rows)
+    return running.row_number(named, ["src_ip", "sni"], ARRIVAL, "connection_count_to_domain", rows, at_most)
 
 
 def first_connection_flag(handshakes: DataFrame, rows: int | None = None) -> DataFrame:
@@ -220,9 +303,9 @@ def first_connection_flag(handshakes: DataFrame, rows: int | None = None) -> Dat
     ).drop("connection_count_to_domain")
 
 
-def concurrent_connections(handshakes: DataFrame, seconds: int = 60, rows: int | None = None) -> DataFrame:
+def concurrent_connections(handshakes: DataFrame, seconds: int = 60, rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """Handshakes of the same client in the last ``seconds``, this one included."""
-    return running.count_in_last_seconds(handshakes, ["src_ip"], "ts", seconds, "concurrent_connections", rows)
+    return running.count_in_last_seconds(handshakes, ["src_ip"], "ts", seconds, "concurrent_connections", rows, at_most)
 
 
 def session_features(handshakes: DataFrame, queries: DataFrame, seconds: int = 60) -> DataFrame:
@@ -236,22 +319,55 @@ def session_features(handshakes: DataFrame, queries: DataFrame, seconds: int = 6
 def session_of(chosen: DataFrame, handshakes: DataFrame, queries: DataFrame, seconds: int = 60) -> DataFrame:
     """event_id and session features of the ``chosen`` handshakes.
 
-    Only rows of their clients and names are looked at, and each is numbered once.
+    Only rows of their clients and names are looked at. They are written once, narrow, and all features read them from there;
+    as their number is known then, no feature counts its rows again unless a key can be heavy.
     """
     def like(rows: DataFrame, keys: Sequence[str], of: DataFrame | None = None) -> DataFrame:
         return rows.join((chosen if of is None else of).select(*keys).distinct(), list(keys), "left_semi")
 
     wanted = chosen.select("event_id")
-    ordinal = connection_ordinal(like(handshakes, ("src_ip", "sni"))).select("event_id", "connection_count_to_domain")
-    counted = concurrent_connections(like(handshakes, ("src_ip",)), seconds).select("event_id", "concurrent_connections")
+    own = settled(like(handshakes.select("event_id", "ts", "src_ip", "sni"), ("src_ip",)), "session-handshakes")
     named = chosen.select("src_ip", F.lower("sni").alias("query_domain"))
-    asked = like(queries.withColumn("query_domain", F.lower("query_domain")), ("src_ip", "query_domain"), named)
-    delayed = dns_to_tls_delay(chosen, asked).select("event_id", "dns_to_tls_delay")
+    asked = queries.select("event_id", "ts", "src_ip", F.lower("query_domain").alias("query_domain"))
+    asked = settled(like(asked, ("src_ip", "query_domain"), named), "session-queries")
+    seen, tried = own.count(), asked.count()  # read from the files' footers
+    ordinal = connection_ordinal(like(own, ("src_ip", "sni")), at_most=seen).select("event_id", "connection_count_to_domain")
+    counted = concurrent_connections(own, seconds, at_most=seen).select("event_id", "concurrent_connections")
+    delayed = dns_to_tls_delay(chosen, asked, at_most=seen + tried).select("event_id", "dns_to_tls_delay")
     joined = delayed.join(ordinal.join(wanted, "event_id", "left_semi"), "event_id", "left").join(
         counted.join(wanted, "event_id", "left_semi"), "event_id", "left")
     return joined.withColumn("is_first_connection_to_domain", F.col("connection_count_to_domain") == 1)
 
 
+# --- live connections -----------------------------------------------------------------------------
+def live_connections(queries: DataFrame, handshakes: DataFrame, within: str = "10 seconds", lists: L.HostLists = L.HostLists()) -> DataFrame:
+    """One feature row per handshake with a server name: lexical and TLS features, and those of the client's latest query for
+    that name in the time ``within`` before it (defaults where there is none).
+
+    The time bound makes this an interval join, so the same rows come from tables and from streams with a watermark: there the
+    state holds the last ``within`` and the delay only, and a handshake without a query comes out when its time has passed.
+    """
+    named = handshakes.filter(F.col("sni").isNotNull())
+    asked = queries.select(
+        F.col("ts").alias("_asked"), F.col("src_ip").alias("_client"), F.lower("query_domain").alias("_name"),
+        F.struct(running.epoch_us(F.col("ts")).alias("us"), F.col("event_id").alias("id"), "ttl", "query_type").alias("_query"),
+    )
+    near = (F.col("_asked") <= F.col("ts")) & (F.col("_asked") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
+    joined = named.join(asked, (F.col("src_ip") == F.col("_client")) & (F.lower("sni") == F.col("_name")) & near, "left")
+    latest = joined.select(*named.columns, "_query").groupBy(*named.columns).agg(F.max("_query").alias("q"))
+    rows = latest.withColumn("domain", F.lower("sni"))
+    lexical, tls = domain_columns(F.col("domain"), lists), tls_columns(F.col("domain"))
+    return rows.select(
+        "event_id", "ts", "src_ip", "dst_ip", "domain",
+        *[c.alias(f"dns_{n}") for n, c in lexical.items()],
+        F.coalesce("q.ttl", F.lit(DNS_DEFAULTS["ttl_value"])).alias("dns_ttl_value"),
+        F.coalesce("q.query_type", F.lit(DNS_DEFAULTS["query_type"])).alias("dns_query_type"),
+        *[c.alias(f"tls_{n}") for n, c in tls.items()],
+        ((running.epoch_us(F.col("ts")) - F.col("q.us")) / F.lit(1e6)).alias("session_dns_to_tls_delay"),
+        F.col("q").isNull().alias("dns_imputed"),
+    )
+
+
 # --- wide row -----------------------------------------------------------------------------------
 def connection_features(
     queries: DataFrame, handshakes: DataFrame, packets: DataFrame, lists: L.HostLists = L.HostLists(),
@@ -297,9 +413,17 @@ def connection_features(
                                "packet_size": F.col("h.packet_size")})
     measured = tls_columns(name)
     missing_tls = F.col("h").isNull()
+    # without a handshake the server name asked for is taken, or the domain itself: as a whole, and with all its characters
     tls_defaults = {
-        **TLS_DEFAULTS, "sni_present": True, "sni_length": F.length("asked_or_domain"), "sni_entropy": entropy_stripped(F.col("asked_or_domain")),
+        **TLS_DEFAULTS, "sni_present": True, "sni_length": F.length("asked_or_domain"), "sni_entropy": entropy(F.col("asked_or_domain")),
+        "sni_matches_domain": F.coalesce(F.lower("asked_or_domain") == name, F.lit(False)),
+    }
+    missing_dns = F.col("q").isNull()
+    dns_defaults = {
+        "domain_entropy": entropy(name), "has_suspicious_chars": has_any(name, L.UNSEEN_SUSPICIOUS_CHARS),
+        "is_known_phishing": F.lit(False), "is_known_legitimate": F.lit(False),
     }
+    lexical = {n: F.when(missing_dns, dns_defaults[n]).otherwise(c) if n in dns_defaults else c for n, c in lexical.items()}
     dns_out = lexical | {
         n: F.coalesce(F.col(f"q.{n}"), F.lit(d)) for n, d in DNS_DEFAULTS.items()
     }
@@ -322,7 +446,7 @@ def connection_features(
         "destination_ip",
         F.coalesce("asked_sni", "sni").alias("sni"),
         *[c.alias(f"{group}_{n}") for group, columns in groups for n, c in columns.items()],
-        F.col("q").isNull().alias("dns_imputed"),
+        missing_dns.alias("dns_imputed"),
         missing_tls.alias("tls_imputed"),
         F.col("f").isNull().alias("flow_imputed"),
     )

@@ -250,15 +250,18 @@ def feed_stats(feeds: DataFrame) -> DataFrame:
 
 # --- time ---------------------------------------------------------------------------------------
 def traffic_deltas(events: DataFrame, tick: str = "1 hour", last: int = 30) -> DataFrame:
-    """New phishing and new safe events per tick, the last ``last`` ticks up to the newest event; quiet ones are zero."""
+    """New phishing and new safe events per tick, the last ``last`` ticks up to the newest event; quiet ones are zero.
+
+    Only the ticks asked for are made, however far back the oldest event lies.
+    """
     phishing = F.col("prediction") == "phishing"
     counts = events.groupBy(F.window("ts", tick).alias("w")).agg(
         F.count_if(phishing).alias("phishing"), F.count_if(F.col("prediction") == "legitimate").alias("safe")
     ).select(F.col("w.start").alias("tick"), "phishing", "safe")
-    ends = counts.agg(F.min("tick").alias("first"), F.max("tick").alias("newest"))
     step = F.expr(f"INTERVAL {tick}")
-    ticks = ends.select(F.explode(F.sequence("first", "newest", step)).alias("tick"), "newest")
-    recent = ticks.filter(F.col("tick") > F.col("newest") - F.expr(f"{last} * INTERVAL {tick}")).select("tick")
+    ends = counts.filter(F.col("tick").isNotNull()).agg(F.min("tick").alias("first"), F.max("tick").alias("newest"))
+    ends = ends.filter(F.col("newest").isNotNull()).withColumn("start", F.greatest("first", F.col("newest") - F.lit(last - 1) * step))
+    recent = ends.select(F.explode(F.sequence("start", "newest", step)).alias("tick"))
     return recent.join(counts, "tick", "left").na.fill(0, ["phishing", "safe"])
 
 

@@ -2,14 +2,16 @@
 
 ``Window.partitionBy(key)`` sends all rows of a key to one task, so a domain or client with a third of all traffic
 would stall the job. Here keys with more than ``ROWS_PER_SLICE`` rows are cut into *slices* along the sort order, at
-counted row positions: whatever the times look like (a burst, one wrong clock, no time at all), a slice holds at most
-twice that many rows. The row-level window runs per (key, slice); what earlier slices contribute is carried over from a
-narrow table with one row per (key, slice), built with map-side aggregation.
+counted row positions: whatever the times look like (a burst, one wrong clock, no time at all, one and the same time), a
+slice holds at most twice that many rows. The row-level window runs per (key, slice); what earlier slices contribute is
+carried over from a narrow table with one row per (key, slice), built with map-side aggregation.
 
-Cutting takes one count per key. If no key is heavy, that is all, and the window is an ordinary one. Otherwise the rows
-of the heavy keys (at most rows / ROWS_PER_SLICE keys) are counted by stretches of the position; a stretch that is itself
-too full is cut at counted values. The cuts are written to the shared folder: both sides of a carry-over join read the
-same ones, whatever is computed again, and the optimizer knows their size.
+Cutting takes one count per key. If no key is heavy, that is all, and the window is an ordinary one; a caller that knows
+how many rows there are at most (``at_most``) saves even that. Otherwise the rows of the heavy keys (at most rows /
+ROWS_PER_SLICE keys) are counted by stretches of the position. A stretch that is itself too full is sorted over all tasks by
+the whole order (time, then the further columns, then a hash of the row) and cut at every ROWS_PER_SLICE-th row, so equal
+times can be cut; only rows equal in all columns stay together. The cuts are written to the shared folder: both sides of a
+carry-over join read the same ones, whatever is computed again, and the optimizer knows their size.
 
 Key columns travel as one struct, in which NULLs are equal to each other, so rows without a client or name form a group of
 their own and none is lost.
@@ -21,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threatspark.session import settled
 
@@ -52,51 +55,80 @@ def _packed_keys(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("none"))
 
 
+def heavy_keys(source: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
+    """The keys with more than ``rows`` rows, None if there is none."""
+    counts = source.groupBy(_packed_keys(keys).alias(KEYS)).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = settled(counts.filter(F.col("_n") > rows).select(KEYS), "heavy")
+    return None if heavy.isEmpty() else heavy
+
+
+def finer(df: DataFrame, order: Sequence[str]) -> Column:
+    """Where rows of one position stand: the columns of the order, then a hash of the row."""
+    return F.struct(*order, F.xxhash64(*df.columns).alias("_hash"))
+
+
 class RowSlices:
     """The cuts of the heavy keys of a table; none if there is no heavy key.
 
-    ``position`` is a number that does not decrease along the order. Rows of one key at one position stay together.
+    ``position`` is a number that does not decrease along the order. Rows of one key at one position stay together, unless
+    ``ties`` (see :func:`finer`) orders them. ``at_most`` is a bound of the rows, if one is known.
     """
 
-    def __init__(self, source: DataFrame, keys: Sequence[str], position: Column, rows: int | None = None, width: float = SECOND) -> None:
-        self.rows, self.width, self.cuts = rows or ROWS_PER_SLICE, width, None
-        packed = source.select(_packed_keys(keys).alias(KEYS), position.alias(POSITION))
-        heavy = settled(packed.groupBy(KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.rows).select(KEYS), "heavy")
-        if heavy.isEmpty():
+    def __init__(
+        self, source: DataFrame, keys: Sequence[str], position: Column, rows: int | None = None, width: float = SECOND,
+        ties: Column | None = None, at_most: int | None = None,
+    ) -> None:
+        self.rows, self.width, self.ties, self.cuts = rows or ROWS_PER_SLICE, width, ties, None
+        if at_most is not None and at_most <= self.rows:
             return
-        placed = packed.join(heavy, KEYS, "left_semi").withColumn("_stretch", self._stretch(F.col(POSITION)))
+        packed = source.select(_packed_keys(keys).alias(KEYS), self._place(position).alias(POSITION))
+        heavy = heavy_keys(source, keys, self.rows)
+        if heavy is None:
+            return
+        placed = packed.join(heavy, KEYS, "left_semi").withColumn("_stretch", self._stretch(F.col(f"{POSITION}.at")))
         counted = placed.groupBy(KEYS, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
         before = F.coalesce(F.sum("_n").over(Window.partitionBy(KEYS).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counted = settled(counted.withColumn("_before", before), "stretches")
         base = F.floor(F.col("_before") / self.rows).alias("_base")
         full = counted.filter(F.col("_n") > self.rows)
+        none = F.array().cast(T.ArrayType(packed.schema[POSITION].dataType))
         if full.isEmpty():
-            self.cuts = counted.select(KEYS, "_stretch", base, F.array().cast("array<double>").alias("_bounds"))
+            self.cuts = counted.select(KEYS, "_stretch", base, none.alias("_bounds"))
             return
-        values = placed.join(full.select(KEYS, "_stretch", "_before"), [KEYS, "_stretch"])
-        values = values.groupBy(KEYS, "_stretch", "_before", POSITION).agg(F.count(F.lit(1)).alias("_n"))
-        ahead = Window.partitionBy(KEYS, "_stretch").orderBy(POSITION).rowsBetween(Window.unboundedPreceding, -1)
-        number = F.floor((F.col("_before") + F.coalesce(F.sum("_n").over(ahead), F.lit(0))) / self.rows)
-        first = values.select(KEYS, "_stretch", "_before", POSITION, number.alias("_number")).groupBy(KEYS, "_stretch", "_before", "_number")
-        starts = first.agg(F.min(POSITION).alias("_start")).filter(F.col("_number") > F.floor(F.col("_before") / self.rows))
-        # as many bounds as the stretch holds slices
-        bounds = starts.groupBy(KEYS, "_stretch").agg(F.collect_list(F.col("_start").cast(packed.schema[POSITION].dataType)).alias("_bounds"))
+        bounds = self._bounds(placed.join(full.select(KEYS, "_stretch", "_before"), [KEYS, "_stretch"]))
         self.cuts = settled(counted.select(KEYS, "_stretch", base).join(bounds, [KEYS, "_stretch"], "left"), "cuts")
 
+    def _bounds(self, placed: DataFrame) -> DataFrame:
+        """The places where slices begin within too full stretches, by a sort over all tasks and one count for each task."""
+        group = [KEYS, "_stretch"]
+        line = placed.orderBy(*group, POSITION).withColumn("_id", F.monotonically_increasing_id())
+        line = settled(line.withColumn("_part", F.shiftrightunsigned("_id", 33)), "places")
+        parts = line.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+        ahead = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = settled(parts.select(*group, "_part", "_first", F.coalesce(ahead, F.lit(0)).alias("_ahead")), "parts")
+        rank = F.col("_before") + F.col("_ahead") + F.col("_id") - F.col("_first")
+        starts = line.join(parts, [*group, "_part"]).filter((rank % self.rows == 0) & (rank > F.floor(F.col("_before") / self.rows) * self.rows))
+        # as many bounds as the stretch holds slices
+        return starts.groupBy(*group).agg(F.collect_list(POSITION).alias("_bounds"))
+
+    def _place(self, position: Column) -> Column:
+        return F.struct(position.alias("at"), *([] if self.ties is None else [self.ties.alias("tie")]))
+
     def _stretch(self, position: Column) -> Column:
         return F.floor(position / self.width)
 
     def pack(self, df: DataFrame, keys: Sequence[str], position: Column, **columns: Column) -> DataFrame:
         """The rows with their keys as one struct, the number of the slice and further columns."""
-        packed = _pack(df, keys, position, **columns).withColumnRenamed(SLICE, POSITION)
+        packed = _pack(df, keys, position, **columns)
         if self.cuts is None:
-            return packed.drop(POSITION).withColumn(SLICE, F.struct(F.lit(0).alias("at")))
-        place = F.col(f"{POSITION}.at")
+            return packed.withColumn(SLICE, F.struct(F.lit(0).alias("at")))
+        rest = [c for c in packed.columns if c != SLICE]
+        packed = _pack(df, keys, position, **columns, **{POSITION: self._place(position)}).drop(SLICE)
         cuts = self.cuts.withColumnsRenamed({KEYS: "_cut_keys", "_stretch": "_cut_stretch"})
-        found = packed.join(cuts, (F.col(KEYS) == F.col("_cut_keys")) & (self._stretch(place) == F.col("_cut_stretch")), "left")
-        passed = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= place)), F.lit(0))
+        found = packed.join(cuts, (F.col(KEYS) == F.col("_cut_keys")) & (self._stretch(F.col(f"{POSITION}.at")) == F.col("_cut_stretch")), "left")
+        passed = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(POSITION))), F.lit(0))
         number = F.coalesce(F.col("_base") + F.greatest(passed, F.lit(0)), F.lit(0))
-        return found.withColumn(SLICE, F.struct(number.alias("at"))).select(*[c for c in packed.columns if c != POSITION], SLICE)
+        return found.withColumn(SLICE, F.struct(number.alias("at"))).select(*rest, SLICE)
 
 
 def hash_slice(digest: Column, digits: int = 4) -> Column:
@@ -148,10 +180,12 @@ def _ranked(df: DataFrame, packed: DataFrame, keys: Sequence[str], order: Sequen
     return _unpack(joined, df.columns, keys, name, *([total] if total else []))
 
 
-def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
+def row_number(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int | None = None, at_most: int | None = None
+) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``order`` starts with a time."""
     position = time_position(df, order)
-    slices = RowSlices(df, keys, position, rows)
+    slices = RowSlices(df, keys, position, rows, ties=finer(df, order), at_most=at_most)
     if slices.cuts is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     return _ranked(df, slices.pack(df, keys, position), keys, order, name, None)
@@ -166,7 +200,8 @@ def running_sums(
     if slices.cuts is None:
         spec = _so_far(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumns({n: F.sum(c).over(spec) for n, c in sums.items()})
-    cut = slices.pack(df, keys, position, **{f"_v_{n}": c for n, c in sums.items()})
+    # written once: the sums and what they carry over read the same cut rows
+    cut = settled(slices.pack(df, keys, position, **{f"_v_{n}": c for n, c in sums.items()}), "cut-rows")
     totals = cut.groupBy(KEYS, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = _earlier(descending)
     carried = totals.select(
@@ -187,7 +222,7 @@ def running_count_variance(
     mean of the key's first slice, so large values with a small spread lose no digits.
     """
     v, position = F.col(value).cast("double"), time_position(df, order)
-    slices = RowSlices(df, keys, position, rows)
+    slices = RowSlices(df, keys, position, rows, ties=finer(df, order))
     if slices.cuts is None:
         spec = _so_far(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumns({
@@ -222,7 +257,7 @@ def running_count_variance(
 def seconds_since_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
     """Seconds from the previous row of the same key; NULL for the first. ``order`` starts with a time."""
     position, us = time_position(df, order), epoch_us(F.col(order[0]))
-    slices = RowSlices(df, keys, position, rows)
+    slices = RowSlices(df, keys, position, rows, ties=finer(df, order))
     if slices.cuts is None:
         return df.withColumn(name, (us - F.lag(us).over(Window.partitionBy(*keys).orderBy(*order))) / F.lit(1e6))
     cut = slices.pack(df, keys, position, _us=us)
@@ -233,25 +268,31 @@ def seconds_since_previous(df: DataFrame, keys: Sequence[str], order: Sequence[s
     return _unpack(lagged.join(carried, [KEYS, SLICE]).withColumn(name, seconds), df.columns, keys, name)
 
 
-def count_in_last_seconds(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str, rows: int | None = None) -> DataFrame:
+def count_in_last_seconds(
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str, rows: int | None = None, at_most: int | None = None
+) -> DataFrame:
     """Rows of the same key in the ``seconds`` up to and including each row, peers in time included.
 
-    Rows of one key without a time are peers of each other. With a heavy key the count is a difference: rows up to this
-    time, less rows before the start of the window. The latter are looked up among the former, slice by slice.
+    Rows of one key without a time are peers of each other. With a heavy key the times of a key become one line of events:
+    the rows of a time enter at it and leave just after the window of ``seconds``. One running sum along the line is the
+    count, so a window needs no look back, whatever it holds.
     """
     span, us = seconds * SECOND, epoch_us(F.col(ts))
-    position = time_position(df, [ts])
-    slices = RowSlices(df, keys, position, rows)
-    if slices.cuts is None:
+    position, few = time_position(df, [ts]), rows or ROWS_PER_SLICE
+    if at_most is not None and at_most <= few or heavy_keys(df, keys, few) is None:
         return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy(us).rangeBetween(-span, 0)))
-    # one row for each key and time, with the rows up to it
-    times = df.select(*keys, position.alias("_at")).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_here"))
-    upto = running_sums(times, keys, ["_at"], F.col("_at"), {"_upto": F.col("_here")}, rows=rows)
-    opening = F.when(F.col("_at") >= UNTIMED // 2, F.col("_at") - span)
-    before = last_before(upto.withColumn("_opening", opening), "_opening", upto, "_at", "_upto", keys, "_gone", strict=True, rows=rows)
-    # rows without a time stand before all windows, and are counted among themselves
-    value = F.when(F.col("_at") < UNTIMED // 2, F.col("_here")).otherwise(F.col("_upto") - F.coalesce("_gone", F.lit(0)))
-    found = before.select(_packed_keys(keys).alias("_found_keys"), F.col("_at").alias("_found_at"), value.alias(name))
+    # one row for each key and time: no event of the line has a peer of its kind
+    times = settled(df.select(*keys, position.alias("_at")).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_here")), "times")
+    leaves = F.col("_at") >= UNTIMED // 2
+    events = F.array(
+        F.struct(F.col("_at").alias("_on"), F.lit(1).alias("_enters"), F.col("_here").alias("_change")),
+        F.struct((F.col("_at") + F.when(leaves, F.lit(span + 1)).otherwise(0)).alias("_on"), F.lit(0).alias("_enters"), (-F.col("_here")).alias("_change")),
+    )
+    # rows without a time stand before all windows: they leave before they enter, and are counted among themselves
+    line = times.select(*keys, "_at", F.explode(events).alias("_e")).select(*keys, "_at", "_e.*")
+    counted = running_sums(line, keys, ["_on", "_enters"], F.col("_on"), {"_inside": F.col("_change")}, rows=rows).filter("_enters = 1")
+    value = F.when(F.col("_at") < UNTIMED // 2, F.col("_change")).otherwise(F.col("_inside"))
+    found = counted.select(_packed_keys(keys).alias("_found_keys"), F.col("_at").alias("_found_at"), value.alias(name))
     packed = df.withColumns({"_k": _packed_keys(keys), "_at": position})
     joined = packed.join(found, (F.col("_k") == F.col("_found_keys")) & (F.col("_at") == F.col("_found_at")))
     return joined.select(*df.columns, name)
@@ -259,7 +300,7 @@ def count_in_last_seconds(df: DataFrame, keys: Sequence[str], ts: str, seconds:
 
 def last_before(
     left: DataFrame, left_at: str, right: DataFrame, right_at: str, value: str, keys: Sequence[str], name: str,
-    strict: bool = False, rows: int | None = None,
+    strict: bool = False, rows: int | None = None, at_most: int | None = None,
 ) -> DataFrame:
     """As-of lookup: for each left row the last ``value`` of the right rows with equal keys at or before it (before it, if
     ``strict``); NULL without one, and for left rows without a position. Values must not decrease along the right rows."""
@@ -270,8 +311,8 @@ def last_before(
     ]
     rows_of = sides[0].unionByName(sides[1], allowMissingColumns=True).withColumn("_left", F.col("_side") == (0 if strict else 1))
     position = F.coalesce(F.col("_asked"), F.lit(2 * UNTIMED + 1))
-    slices = RowSlices(rows_of.select(*keys, "_asked"), keys, position, rows)
     order = ["_asked", "_side"]
+    slices = RowSlices(rows_of, keys, position, rows, ties=finer(rows_of, order), at_most=at_most)
     if slices.cuts is None:
         spec = _so_far(Window.partitionBy(*keys).orderBy(*order))
         return rows_of.withColumn(name, F.last("_found", ignorenulls=True).over(spec)).filter("_left").select(*left.columns, name)
@@ -283,12 +324,14 @@ def last_before(
     return _unpack(inside.join(carried, [KEYS, SLICE]).withColumn(name, value_at), left.columns, keys, name)
 
 
-def latest_before(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, name: str, rows: int | None = None) -> DataFrame:
+def latest_before(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, name: str, rows: int | None = None, at_most: int | None = None
+) -> DataFrame:
     """As-of join: for each left row the latest right time at or before it with equal keys, NULL without one.
 
     As in any join, a NULL key has no partner.
     """
     seen = right.select(*keys, epoch_us(F.col(ts)).alias("_us")).dropna()
     asked = left.withColumn("_us", epoch_us(F.col(ts)))
-    found = last_before(asked, "_us", seen, "_us", "_us", keys, "_latest", rows=rows)
+    found = last_before(asked, "_us", seen, "_us", "_us", keys, "_latest", rows=rows, at_most=at_most)
     return found.select(*left.columns, F.timestamp_micros("_latest").alias(name))

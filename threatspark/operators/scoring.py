@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from threatspark import lexicon as L
 from threatspark.functions import lexical as X
 from threatspark.functions.hosts import strip
+from threatspark.session import settled
+
+
+#: Characters of a word by which it is looked up in hosts.
+GRAM = 4
 
 
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -28,20 +33,35 @@ def normalised(df: DataFrame, host: str, name: str = "_s_d") -> DataFrame:
     return df.withColumn(name, strip(F.lower(F.coalesce(F.col(host), F.lit("")))))
 
 
+def _held(kind: str) -> Column:
+    """The words of a kind that :func:`words_in` has found; none is an empty array."""
+    return F.coalesce(F.col("_held")[kind], F.array().cast("array<string>"))
+
+
 def quoted(prefix: str, value: Column, suffix: str = "'") -> Column:
     """Text around a value; NULL when the value is."""
     return F.concat(F.lit(prefix), value.cast("string"), F.lit(suffix))
 
 
-def brand_heuristic(df: DataFrame, host: str, name: str = "brand", rules: L.BrandRules = L.BrandRules()) -> DataFrame:
-    """Add struct(is_phishing, confidence, score, reason) of the brand-impersonation rules."""
+def brand_heuristic(
+    df: DataFrame, host: str, name: str = "brand", rules: L.BrandRules = L.BrandRules(), words: DataFrame | None = None, told_tokens: int = 2
+) -> DataFrame:
+    """Add struct(is_phishing, confidence, score, reason) of the brand-impersonation rules, naming ``told_tokens`` tokens.
+
+    ``words`` is a table (word, kind) of kinds ``brand`` and ``token`` in place of those of the rules; it may be of any size.
+    """
     c = F.col
     h = c("_s_d")
-    signals = normalised(df, host).withColumn("_s_label", X.first_label(h)).withColumns({
+    named = normalised(df, host).withColumn("_s_label", X.first_label(h))
+    if words is None:
+        found = {"_s_hit": X.first_hit("_s_d", rules.brands), "_s_typo": X.typosquat("_s_label", rules.brands), "_s_tokens": X.hits("_s_d", rules.tokens)}
+    else:
+        brands = words.filter("kind = 'brand'").select(F.col("word").alias("brand"))
+        named = named.join(words_in(named, "_s_d", words), "_s_d", "left").join(near_brands(named, "_s_label", brands), "_s_label", "left")
+        found = {"_s_hit": F.get(_held("brand"), F.lit(0)), "_s_typo": c("_s_typo"), "_s_tokens": _held("token")}
+    signals = named.withColumns({
         "_s_real": (h == "") | h.isin(*rules.real_domains),
-        "_s_hit": X.first_hit("_s_d", rules.brands),
-        "_s_typo": X.typosquat("_s_label", rules.brands),
-        "_s_tokens": X.hits("_s_d", rules.tokens),
+        **found,
         "_s_hyphens": X.occurrences(c("_s_label"), "-"),
         "_s_cheap": X.ends_with_any(h, rules.tlds),
     })
@@ -60,7 +80,7 @@ def brand_heuristic(df: DataFrame, host: str, name: str = "brand", rules: L.Bran
         "; ",
         quoted("impersonates brand '", c("_s_hit")),
         F.concat(quoted("typo of brand '", c("_s_typo.brand")), quoted(" (edit distance ", c("_s_typo.distance"), ")")),
-        F.when(tokens > 0, F.concat(F.lit("contains "), F.array_join(F.slice("_s_tokens", 1, 2), "/"))),
+        F.when(tokens > 0, F.concat(F.lit("contains "), F.array_join(F.slice("_s_tokens", 1, told_tokens), "/"))),
         F.when(c("_s_hyphens") >= 2, quoted("", c("_s_hyphens"), " hyphens in label")),
         F.when(c("_s_cheap"), F.lit("cheap/abused TLD")),
     )
@@ -74,14 +94,24 @@ def brand_heuristic(df: DataFrame, host: str, name: str = "brand", rules: L.Bran
 
 
 def lexical_risk(
-    df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRules = L.ScoreRules(), told_tokens: int = 3
+    df: DataFrame, host: str, name: str = "risk", rules: L.ScoreRules = L.ScoreRules(), told_tokens: int = 3, words: DataFrame | None = None
 ) -> DataFrame:
-    """Add struct(score, reasons): weighted lexical signals, capped at 1, with the text of each signal, naming ``told_tokens`` tokens."""
+    """Add struct(score, reasons): weighted lexical signals, capped at 1, with the text of each signal, naming ``told_tokens`` tokens.
+
+    ``words`` is a table (word, kind) of kinds ``brand`` and ``token`` in place of those of the rules; it may be of any size. Its
+    brands are looked for as they are; brands hidden by digits stay those of the rules.
+    """
     c = F.col
     d = c("_s_d")
-    first = normalised(df, host).withColumn("_s_label", X.first_label(d)).withColumns({
-        "_s_hit": F.when(~d.isin(*rules.real_domains), X.first_hit("_s_d", rules.brands)),
-        "_s_tokens": X.hits("_s_d", rules.tokens),
+    named = normalised(df, host).withColumn("_s_label", X.first_label(d))
+    if words is None:
+        hit, tokens = X.first_hit("_s_d", rules.brands), X.hits("_s_d", rules.tokens)
+    else:
+        named = named.join(words_in(named, "_s_d", words), "_s_d", "left")
+        hit, tokens = F.get(_held("brand"), F.lit(0)), _held("token")
+    first = named.withColumns({
+        "_s_hit": F.when(~d.isin(*rules.real_domains), hit),
+        "_s_tokens": tokens,
         "_s_pair": F.coalesce(*[F.when(d.contains(p), F.lit(p)) for p in rules.lookalikes]),
         "_s_mixed": X.mixed_token(c("_s_label")),
         "_s_tld": F.coalesce(*[F.when(d.endswith(t), F.lit(t)) for t in rules.tlds]),
@@ -126,8 +156,64 @@ def keyword_verdict(df: DataFrame, host: str, is_dns: Column) -> DataFrame:
     return ruled.select(*df.columns, *[value.alias(n) for n, value in X.verdict_of(F.col("_s_rule")).items()])
 
 
-def typosquat_match(df: DataFrame, host: str) -> DataFrame:
-    """Hosts whose first label is a near miss of a brand, with the brand and the edit distance."""
+def typosquat_match(df: DataFrame, host: str, brands: tuple[str, ...] | DataFrame = L.BRANDS) -> DataFrame:
+    """Hosts whose first label is a near miss of a brand, with the brand and the edit distance.
+
+    A tuple of brands is unrolled into one expression; a table (column ``brand``) may be of any size and is joined by
+    :func:`near_brands`.
+    """
     labelled = df.withColumn("_s_label", X.first_label(F.col(host)))
-    near = computed(labelled, "_s_typo", X.typosquat("_s_label")).filter(F.col("_s_typo").isNotNull())
+    if isinstance(brands, DataFrame):
+        near = labelled.join(near_brands(labelled.select("_s_label"), "_s_label", brands), "_s_label")
+    else:
+        near = computed(labelled, "_s_typo", X.typosquat("_s_label", brands)).filter(F.col("_s_typo").isNotNull())
     return near.select(*df.columns, "_s_typo.*")
+
+
+# --- word tables ----------------------------------------------------------------------------------
+def _deletions(text: str, most: str) -> str:
+    """SQL: hashes of the text and of all texts that are left when up to ``most`` (0 to 2) of its characters go."""
+    def less(t: str, i: str) -> str:
+        return f"concat(substring({t}, 1, {i} - 1), substring({t}, {i} + 1))"
+
+    one = f"transform(sequence(1, length({text})), i -> {less(text, 'i')})"
+    two = f"flatten(transform(sequence(1, length({text}) - 1), i -> transform(sequence(i, length({text}) - 1), j -> {less(less(text, 'i'), 'j')})))"
+    variants = f"concat(array({text}), CASE WHEN {most} >= 1 THEN {one} ELSE array() END, CASE WHEN {most} >= 2 THEN {two} ELSE array() END)"
+    return f"array_distinct(transform({variants}, t -> xxhash64(t)))"
+
+
+def near_brands(labels: DataFrame, label: str, brands: DataFrame) -> DataFrame:
+    """``label`` and ``_s_typo`` = struct(distance, brand) of the nearest brand within its cap, of equals the first.
+
+    Two texts within d edits have a text in common that deleting up to d characters of each can give. So brands and labels
+    are joined on the hashes of these texts, an equi-join without pairs that have nothing in common, and the distance of
+    what meets is measured. Labels that are too long for every brand are not spelled out. Rules as in
+    ``functions.lexical.typosquat``: brands of six letters allow one edit, longer ones two.
+    """
+    tried = brands.select("brand").filter(F.length("brand") >= 6).distinct().withColumn("_cap", F.when(F.length("brand") == 6, 1).otherwise(2))
+    longest = tried.agg(F.max(F.length("brand"))).scalar()
+    asked = labels.select(F.col(label).alias("_l")).filter((F.length("_l") >= 4) & (F.length("_l") <= longest + 2)).distinct()
+    spelled = asked.select("_l", F.explode(F.expr(_deletions("_l", "2"))).alias("_h"))
+    # written, so that the optimizer knows its size, which is many times that of the brands
+    held = settled(tried.select("brand", "_cap", F.explode(F.expr(_deletions("brand", "_cap"))).alias("_h")), "brand-texts")
+    met = spelled.join(held, "_h").filter(F.col("_l") != F.col("brand")).select("_l", "brand", "_cap").distinct()
+    measured = met.withColumn("_d", F.expr("levenshtein(_l, brand, _cap)")).filter(F.col("_d") >= 1)
+    nearest = measured.groupBy(F.col("_l").alias(label)).agg(F.min(F.struct(F.col("_d").alias("distance"), "brand")).alias("_s_typo"))
+    return nearest
+
+
+def words_in(hosts: DataFrame, host: str, words: DataFrame) -> DataFrame:
+    """``host`` and, for each ``kind`` of the table (word, kind), the words that the host holds, in order: a map kind to array.
+
+    Every word stands under its first GRAM characters (shorter words under themselves), every host asks with all its pieces
+    of that length; what meets is tested as a whole. The plan is the same for ten words and for a million.
+    """
+    entries = words.select("word", "kind").filter(F.length("word") > 0).distinct().withColumn("_g", F.substring("word", 1, GRAM))
+    pieces = F.expr(
+        f"array_distinct(flatten(transform(sequence(1, length(_h)), i -> transform(sequence(1, {GRAM}), n -> substring(_h, i, n)))))")
+    asked = hosts.select(F.col(host).alias("_h")).filter(F.length("_h") > 0).distinct()
+    # only pieces of a length that some entry has go into the join
+    sizes = F.coalesce(entries.agg(F.collect_set(F.length("_g"))).scalar(), F.array().cast("array<int>"))
+    asked = asked.select("_h", F.explode(pieces).alias("_g")).filter(F.array_contains(sizes, F.length("_g")))
+    held = asked.join(entries, "_g").filter(F.col("_h").contains(F.col("word"))).groupBy("_h", "kind").agg(F.sort_array(F.collect_set("word")).alias("_w"))
+    return held.groupBy(F.col("_h").alias(host)).agg(F.map_from_entries(F.collect_list(F.struct("kind", "_w"))).alias("_held"))

@@ -9,7 +9,7 @@ from threatspark import lexicon as L
 from threatspark.functions import policy
 from threatspark.functions.hosts import in_list
 from threatspark.functions.policy import DecisionPolicy
-from threatspark.operators.matching import feed_rank
+from threatspark.operators.matching import ListTables, feed_rank, with_lists
 from threatspark.operators.scoring import brand_heuristic, computed, lexical_risk
 
 FEED_SOURCES = (("phishtank", 0.95, "PhishTank verified phishing feed"), ("openphish", 0.90, "OpenPhish community feed"))
@@ -18,10 +18,9 @@ NOT_FOUND = "Not found in PhishTank, OpenPhish, or brand-impersonation heuristic
 NOT_FOUND_EXTERNAL = "Not found in Google Safe Browsing, PhishTank, OpenPhish, or brand-impersonation heuristic."
 
 
-def list_override(predictions: DataFrame, lists: L.HostLists = L.HostLists(), domain: str = "domain") -> DataFrame:
+def list_override(predictions: DataFrame, lists: L.HostLists | ListTables = L.HostLists(), domain: str = "domain") -> DataFrame:
     """Predictions with the block list (phishing, 1.0, high) and then the allow list (legitimate, 1.0, low) on top."""
-    block = in_list(F.col(domain), lists.block)
-    allow = in_list(F.col(domain), lists.allow)
+    flagged, block, allow = _flagged(predictions, domain, lists)
 
     def pick(blocked, allowed, column: Column) -> Column:
         return F.when(block, F.lit(blocked)).when(allow, F.lit(allowed)).otherwise(column)
@@ -29,20 +28,26 @@ def list_override(predictions: DataFrame, lists: L.HostLists = L.HostLists(), do
     risk = F.col("risk_level") if "risk_level" in predictions.columns else policy.risk_level(
         F.col("prediction"), F.col("confidence")
     )
-    return predictions.withColumns({
+    return flagged.withColumns({
         "prediction": pick("phishing", "legitimate", F.col("prediction")),
         "confidence": pick(1.0, 1.0, F.col("confidence")),
         "risk_level": pick("high", "low", risk),
         "features_used": pick(0, 0, F.col("features_used")),
-    })
+    }).drop("_listed_block", "_listed_allow")
 
 
-def logged_event_override(events: DataFrame, lists: L.HostLists = L.HostLists()) -> DataFrame:
+def _flagged(df: DataFrame, domain: str, lists: L.HostLists | ListTables) -> tuple[DataFrame, Column, Column]:
+    """The rows and their list flags: expressions for literal lists, joined columns for tables."""
+    if isinstance(lists, ListTables):
+        return with_lists(df, domain, lists, "_listed_block", "_listed_allow"), F.col("_listed_block"), F.col("_listed_allow")
+    return df, in_list(F.col(domain), lists.block), in_list(F.col(domain), lists.allow)
+
+
+def logged_event_override(events: DataFrame, lists: L.HostLists | ListTables = L.HostLists()) -> DataFrame:
     """Stored events re-classified by the lists; others keep their values and get ``ml_model`` as default source."""
-    block = in_list(F.col("domain"), lists.block)
-    allow = in_list(F.col("domain"), lists.allow)
+    flagged, block, allow = _flagged(events, "domain", lists)
     source = F.col("source") if "source" in events.columns else F.lit(None).cast("string")
-    return events.withColumns({
+    return flagged.withColumns({
         "prediction": F.when(block, "phishing").when(allow, "legitimate").otherwise(F.col("prediction")),
         "blocked": F.when(block, True).when(allow, False).otherwise(F.col("blocked")),
         "confidence": F.when(block | allow, 1.0).otherwise(F.col("confidence")),
@@ -53,7 +58,7 @@ def logged_event_override(events: DataFrame, lists: L.HostLists = L.HostLists())
         .when(allow, "Trusted domain — APPROVED")
         .otherwise(F.col("reason")),
         "source": F.when(block | allow, "list_engine").otherwise(F.coalesce(source, F.lit("ml_model"))),
-    })
+    }).drop("_listed_block", "_listed_allow")
 
 
 def decide(predictions: DataFrame, rules: DecisionPolicy = DecisionPolicy()) -> DataFrame:

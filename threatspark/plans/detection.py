@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatspark import lexicon as L
 from threatspark.functions.hosts import clean_sni, host_of
 from threatspark.functions.policy import LIVE_POLICY, DecisionPolicy
+from threatspark.model import training
+from threatspark.operators.matching import ListTables
 from threatspark.operators.scoring import keyword_verdict
 from threatspark.operators.verdicts import decide, list_override, verdict_cascade
 
@@ -44,6 +49,18 @@ def predict(events: DataFrame, lists: L.HostLists = L.HostLists()) -> DataFrame:
     return list_override(ruled, lists)
 
 
+def detect_connections(
+    connections: DataFrame, model: PipelineModel, features: Sequence[str], lists: L.HostLists | ListTables = L.HostLists(), rules: DecisionPolicy = LIVE_POLICY
+) -> DataFrame:
+    """Feature rows of :func:`operators.features.live_connections` to logged decisions by a fitted pipeline, the lists on top.
+
+    Row-wise, so tables and streams share it; ``features_used`` is the number of features the pipeline reads.
+    """
+    flat = training.training_matrix(connections, drop=("event_id",), keep=("event_id", "ts", "domain", "dst_ip"))
+    flat = flat.select("event_id", "ts", "domain", F.col("dst_ip").alias("destination_ip"), *features)
+    return decide(training.score_batch(flat, model, features, lists, keep=("event_id", "ts", "domain", "destination_ip")), rules)
+
+
 def detect(events: DataFrame, lists: L.HostLists = L.HostLists(), rules: DecisionPolicy = LIVE_POLICY) -> DataFrame:
     """Domain events to logged decisions. Row-wise only, so batch and stream share it and nothing is shuffled."""
     return decide(predict(events, lists).withColumnRenamed("dst_ip", "destination_ip"), rules)

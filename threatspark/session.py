@@ -33,18 +33,47 @@ def build_session(master: str = "local[8]", app: str = "threatspark", shuffle_pa
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
+        # a micro-batch checkpoints what it changed, not the whole state
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_own: list[str] = []
+_made: list[str] = []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables and stream checkpoints, below the shared folder ``spark.checkpoint.dir``."""
+    """A new folder for intermediate tables and stream checkpoints, below the shared folder ``spark.checkpoint.dir``.
+
+    A local session without that setting gets a temporary folder; a cluster session without it is refused, as its executors
+    could not see each other's files.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return f"{shared.rstrip('/')}/threatspark/{name}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="threatspark-"))
+        shared = _own[0]
+    _made.append(f"{shared.rstrip('/')}/threatspark/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the intermediate tables and stream folders made so far. Frames that read them are of no use afterwards, so write
+    or collect results first."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:

@@ -76,7 +76,8 @@ def hello_server_name(payload: Column) -> Column:
         return F.struct(at.alias("at"), F.when(state["found"].isNull() & fits(at), at).otherwise(state["found"]).alias("found"))
 
     walked = F.aggregate(gaps, start, step, lambda state: state["found"])
-    offset = F.when(opening < 43, F.lit(None)).when(size - opening > 65_553, opening).otherwise(walked)
+    # the first pair nearly always fits; only otherwise the rest is decoded and walked
+    offset = F.when(opening < 43, F.lit(None)).when((size - opening > 65_553) | fits(opening), opening).otherwise(walked)
     hello = F.substring(payload, 6, 1) == F.lit(b"\x01")
     return F.when(hello, named(offset))
 

@@ -17,6 +17,8 @@ SYSTEM_BLOCK_SCHEMA = (
     "domain string, destination_ip string, block_type string, timestamp double, error_message string, source string"
 )
 BAD_LINE = "_bad_line"
+#: What a CSV column may be, narrowest first; text otherwise.
+CSV_TYPES = ("int", "bigint", "double", "boolean")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -94,7 +96,7 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_feed(spark: SparkSession, path: str) -> DataFrame:
-    """URL column of a published JSON feed (one array of objects with ``url``)."""
+    """URL column of a published JSON feed (one array of objects with ``url``). A file is read by one task, object by object."""
     return spark.read.schema("url string").option("multiLine", "true").json(path)
 
 
@@ -132,7 +134,8 @@ def feed_domains_netloc(
 
 
 def feed_snapshot_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Hosts of a cached snapshot: each file is one JSON array of strings."""
+    """Hosts of a cached snapshot: each file is one JSON array of strings, read as one row by one task, 2 GB at most (some 80
+    million hosts). Larger snapshots belong into several files, or one host a line for :func:`read_text_feed`."""
     whole = spark.read.option("wholetext", "true").text(path)
     return whole.select(F.explode(F.from_json("value", "array<string>")).alias("host")).distinct()
 
@@ -171,9 +174,29 @@ def training_tables_scan(tables: list[DataFrame], order: str) -> DataFrame:
 
 
 def training_csv_scan(spark: SparkSession, folder: str, order: str) -> DataFrame:
-    """Training tables from the ``*.csv`` files (or folders) of a folder, in name order, by column name."""
+    """Training tables from the ``*.csv`` files (or folders) of a folder, in name order, by column name.
+
+    The files are stacked as text. A column is then of the narrowest type that all its values of all files have: a whole
+    number, a number, true or false, else text; so labels ``phishing`` in one file and ``1`` in another are text. ``order`` is
+    compared in its own type. A column without values is text.
+    """
     names = matching_names(spark, f"{folder}/*.csv")
     if not names:
         raise ValueError(f"no CSV table in {folder}")
-    read = spark.read.option("header", "true").option("inferSchema", "true")
-    return training_tables_scan([read.csv(f"{folder}/{name}") for name in names], order)
+    read = spark.read.option("header", "true").option("inferSchema", "false")
+    tables = [read.csv(f"{folder}/{name}") for name in names]
+    columns = list(dict.fromkeys(c for table in tables for c in table.columns))
+
+    def bad(column: str, kind: str) -> Column:
+        return F.count_if(F.col(column).isNotNull() & strip(F.col(column)).try_cast(kind).isNull()).alias(f"{kind}_{column}")
+
+    stacked = tables[0]
+    for table in tables[1:]:
+        stacked = stacked.unionByName(table, allowMissingColumns=True)
+    found = stacked.agg(*[F.count(F.col(c)).alias(f"n_{c}") for c in columns], *[bad(c, k) for c in columns for k in CSV_TYPES]).first()  # one row
+    types = {c: next((k for k in CSV_TYPES if found[f"n_{c}"] and not found[f"{k}_{c}"]), "string") for c in columns}
+
+    def typed(table: DataFrame) -> DataFrame:
+        return table.select(*[F.col(c) if types[c] == "string" else strip(F.col(c)).try_cast(types[c]).alias(c) for c in table.columns])
+
+    return training_tables_scan([typed(table) for table in tables], order)

@@ -1,24 +1,26 @@
 """Structured Streaming jobs. Event time is ``ts``; every stateful job has a watermark and a checkpoint.
 
 In jobs that de-duplicate in state, what returns after the watermark has passed is new again: ``delay`` bounds the state.
-:func:`new_domains_writer` is the exact form, with a table in place of the state.
+:func:`stream_new_domains` has an exact form, too.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threatspark import lexicon as L
 from threatspark.functions.policy import LIVE_POLICY, DecisionPolicy
-from threatspark.operators.matching import feed_parent_match
+from threatspark.operators.features import deviation, live_connections, with_gaps
+from threatspark.operators.matching import ListTables, feed_parent_match
 from threatspark.operators.verdicts import loggable, logged_event_override, verdict_cascade
-from threatspark.plans.detection import detect, domain_events
-from threatspark.session import settled
+from threatspark.plans.detection import detect, detect_connections, domain_events
+from threatspark.session import remove, settled
 from threatspark.sources.browser import chrome_time, download_block_rows
 from threatspark.sources.logs import matching_names
 from threatspark.sources.sinks import log_row
@@ -85,39 +87,36 @@ def stream_detect(
     return detect(domain_events(queries, handshakes), lists, rules)
 
 
-def stream_new_domains(decisions: DataFrame, delay: str = "1 day", salts: int = SALTS) -> DataFrame:
-    """First sight of each settled domain; alerted ones pass every time they are seen.
+def stream_connections(
+    queries: DataFrame, handshakes: DataFrame, model: PipelineModel, features: Sequence[str], within: str = "10 seconds", delay: str = "1 minute",
+    lists: L.HostLists | ListTables = L.HostLists(), rules: DecisionPolicy = LIVE_POLICY,
+) -> DataFrame:
+    """Decisions of a stored model for every handshake, with the features of the client's query before it.
 
-    Streaming de-duplication has no map-side combine, so it runs twice: per (domain, salt), which spreads a domain with
-    a large share of the traffic over ``salts`` tasks, then per domain on the few rows left. A domain is new again when it
-    returns after ``delay``.
+    Both sides have a watermark of ``delay``; a handshake comes out when its time has passed by it, with or without a query,
+    and exactly as :func:`plans.detection.detect_connections` decides on tables. Later rows are dropped.
     """
-    alerted = (F.col("prediction") == "phishing") & ~F.col("blocked")
-    timed = decisions.withWatermark("ts", delay)
-    salted = timed.filter(~alerted).withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
-    first = salted.dropDuplicatesWithinWatermark(["domain", "_salt"]).drop("_salt").dropDuplicatesWithinWatermark(["domain"])
-    return first.unionByName(timed.filter(alerted))
-
+    rows = live_connections(queries.withWatermark("ts", delay), handshakes.withWatermark("ts", delay), within)
+    return detect_connections(rows, model, features, lists, rules)
 
-def new_domains_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """First sight of each settled domain, however long ago; alerted ones pass every time they are seen.
 
-    Each micro-batch is folded to its distinct domains before the shuffle and checked against those written so far. A
-    repeated batch replaces its own folder and does not see itself.
-    """
+def stream_new_domains(decisions: DataFrame, delay: str | None = None, salts: int = SALTS) -> DataFrame:
+    """First sight of each settled domain; alerted ones pass every time they are seen.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        alerted = (F.col("prediction") == "phishing") & ~F.col("blocked")
-        rest = [c for c in batch.columns if c != "domain"]
-        first = batch.filter(~alerted).groupBy("domain").agg(F.min_by(F.struct(*rest), F.struct("ts", "event_id")).alias("first"))
-        new = first.select("domain", "first.*").select(*batch.columns)
-        if any(name != f"batch={batch_id}" for name in matching_names(spark, f"{path}/batch=*")):
-            known = spark.read.parquet(path).filter((F.col("batch") != batch_id) & ~alerted).select("domain").distinct()
-            new = new.join(known, "domain", "left_anti").select(*batch.columns)
-        new.unionByName(batch.filter(alerted)).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+    Streaming de-duplication has no map-side combine, so it runs twice: per (domain, salt), which spreads a domain with
+    a large share of the traffic over ``salts`` tasks, then per domain on the few rows left. The domains seen are keyed state:
+    a micro-batch looks up its own domains and writes what is new, whatever the number of batches before it.
 
-    return write
+    Without ``delay`` this is exact for ever, and the state grows with the distinct domains, on the executors' disks (RocksDB,
+    with changes only in the checkpoint, as ``build_session`` sets it). With ``delay`` the state is bounded: a domain is new
+    again when it returns after it, and rows later than it are dropped.
+    """
+    alerted = (F.col("prediction") == "phishing") & ~F.col("blocked")
+    timed = decisions if delay is None else decisions.withWatermark("ts", delay)
+    first = timed.filter(~alerted).withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
+    for keys in (["domain", "_salt"], ["domain"]):
+        first = first.dropDuplicates(keys) if delay is None else first.dropDuplicatesWithinWatermark(keys)
+    return first.drop("_salt").unionByName(timed.filter(alerted))
 
 
 def stream_traffic_windows(
@@ -173,43 +172,37 @@ def _batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(name.removeprefix("batch=")) for name in matching_names(spark, f"{path}/batch=*"))
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store it lies."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
     """The totals after the last finished micro-batch."""
     return spark.read.parquet(batch_folder(path, _batches(spark, path)[-1]))
 
 
 def stream_flow_sessions(packets: DataFrame, gap: str = "30 seconds", delay: str = "1 hour") -> DataFrame:
-    """Flow statistics per 5-tuple session, emitted when the session is closed.
+    """The statistics of ``operators.features.flow_stats`` per 5-tuple session, emitted when the session is closed.
 
-    The mean gap is the duration over the number of gaps, so no order is needed inside a session. Set
-    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` in the session, as ``build_session`` does: then
-    a flow with much traffic arrives as few rows. A session is emitted once the watermark has passed its end.
+    The state of an open session is a summary that takes packets in any order, late ones too: counts, moments, the last
+    packet, and the set of different packet times, from which the gaps follow when the session is closed. So an open session
+    holds 8 bytes for each different microsecond. Set ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` in
+    the session, as ``build_session`` does: then a flow with much traffic arrives as few rows. A session is emitted once the
+    watermark has passed its end.
     """
-    us = F.unix_micros("ts")
-    size = F.col("packet_size")
-    seconds = (F.max(us) - F.min(us)) / F.lit(1e6)
-    count = F.count(F.lit(1))
-    return (
-        packets.withWatermark("ts", delay)
-        .groupBy("src_ip", "dst_ip", "src_port", "dst_port", "protocol", F.session_window("ts", gap).alias("w"))
-        .agg(
-            count.alias("total_packets"),
-            F.avg(size).alias("packet_size_mean"),
-            F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("packet_size_std"),
-            F.min(size).alias("packet_size_min"),
-            F.max(size).alias("packet_size_max"),
-            seconds.alias("flow_duration"),
-            F.when(count > 1, seconds / (count - 1)).otherwise(0.0).alias("inter_packet_timing_mean"),
-            F.when(seconds > 0, count / seconds).otherwise(0.0).alias("packets_per_second"),
-        )
-        .withColumn("session_start", F.col("w.start"))
-        .drop("w")
+    us, size = F.unix_micros("ts"), F.col("packet_size")
+    count, keys = F.count(F.lit(1)), ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
+    sessions = packets.withWatermark("ts", delay).groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(
+        count.alias("total_packets"), F.count("ts").alias("timed"), F.collect_set(us).alias("times"),
+        F.avg(size).alias("packet_size_mean"), F.coalesce(F.stddev_samp(size), F.lit(0.0)).alias("packet_size_std"),
+        F.min(size).alias("packet_size_min"), F.max(size).alias("packet_size_max"),
+        F.max_by("ttl", F.struct("ts", "event_id", "seq")).alias("ttl_value"),
+    )
+    closed = with_gaps(sessions.withColumn("times", F.sort_array("times")))
+    seconds = (F.col("last_us") - F.col("first_us")) / F.lit(1e6)
+    return closed.withColumn("flow_duration", seconds).select(
+        *keys, F.col("w.start").alias("session_start"), "total_packets", "packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max",
+        (F.col("packet_size_max") - F.col("packet_size_min")).alias("packet_size_range"),
+        F.col("gaps.mean").alias("inter_packet_timing_mean"), deviation(F.col("gaps")).alias("inter_packet_timing_std"),
+        F.coalesce("gap_low", F.lit(0.0)).alias("inter_packet_timing_min"), F.coalesce("gap_high", F.lit(0.0)).alias("inter_packet_timing_max"),
+        "flow_duration", F.when(F.col("flow_duration") > 0, F.col("total_packets") / F.col("flow_duration")).otherwise(0.0).alias("packets_per_second"),
+        F.col("dst_port").alias("destination_port"), "ttl_value",
     )
 
 
