@@ -1,11 +1,16 @@
+import html as references
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from threatspark.llm.html import extract, main_text
+from threatspark.llm import html
+from threatspark.llm.html import Node, extract, main_text, parse
 
+_BODY = "a word of the text " * 40 + "end"
 CASES = [
     (None, ""), ("", ""), ("plain  text &amp; more", "plain text & more"),
-    ("<p>a<p>b<br>c</p>d", "a\n\nb c\n\nd"), ("<article><h1>T</h1><p><b>x.<br><p>y</article>z", "T\n\nx.\n\ny"),
+    ("<p>a<p>b<br>c</p>d", "a\n\nb c\n\nd"), ("<article><h1>T</h1><p><b>x.<br><p>y</article>z", "T\n\nx.\n\ny\n\nz"),
     ("<nav>n</nav><main><p>m</p></main><footer>f</footer>", "m"), ("<script>var a='<p>no</p>'</script><p>yes", "yes"),
     ("<style>p{}</style><title>t</title><p>1 &lt; 2 &#233;&nbsp;&eacute;", "1 < 2 é é"), ("<!-- <p>no --><p>yes<!-- cut <p>no", "yes"),
     ("<article>a<div class='ad'>no</div><form>no</form><p>b</article", "a\n\nb"), ("<p title='a>b' hidden>no</p><p data-x=\"<p>\">yes</p>", "yes"),
@@ -25,6 +30,16 @@ CASES = [
     ("<main><h1>T</h1><p>lead</p><article><p>x y z</p></article></main>", "T\n\nlead\n\nx y z"),
     ("<main><header><h1>T</h1>by</header><article>x</article></main>", "T\n\nx"),
     ("<div><h1>T</h1><p>a long text</p></div><article>b</article>", "T\n\na long text\n\nb"), ("loose main text<article>b</article>", "loose main text\n\nb"),
+    # names of classes and ids: what holds the page stays, and so does what only has such a word in its name
+    (f"<div class='layout has-sidebar'><p>{_BODY}</p><div class=sidebar>no</div></div>", _BODY),
+    (f"<div id=page class='no-comments'><article><p>{_BODY}</p></article></div>", _BODY),
+    (f"<div role=main class=banner-page><p>{_BODY}</p></div>", _BODY), (f"<div class=social-network-analysis><p>{_BODY}</p></div><p>b</p>", _BODY + "\n\nb"),
+    (f"<div class=sidebar><p>{_BODY}</p></div>", _BODY), (f"<p>{_BODY}</p><div class='SideBar-left box'>no</div><div id=cookie-banner>no</div>", _BODY),
+    (f"<article><p>{_BODY}</p><section id=related-work>a</section><h2 id=ad-blocking>b</h2><p id=promotion>c</p></article>", _BODY + "\n\na\n\nb\n\nc"),
+    (f"<article><p>{_BODY}</p><section class=related-posts>no</section><div class='ad slot'>no</div></article>", _BODY),
+    ("<article><p>x <math><mi>a</mi></math> <label>b</label> <object>c</object></article>", "x a b c"),
+    (f"<article><p>x y</p></article><ol class=discussion><li>{_BODY}</li></ol><div class=comment-list>{_BODY}</div>", "x y"),
+    ("<section class=discussion><h2>Discussion</h2><p>a</p></section>", "Discussion\n\na"), ("<div class=comments><p>the only text</p></div>", "the only text"),
 ]
 
 
@@ -72,3 +87,99 @@ def test_template_beside_articles(spark):
     rows = [(k, f"http://a.org/{k}", page.format(k)) for k in range(12)]
     text = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert text[3] == "Head 3\n\nText 3\n\nSame line"
+
+
+def test_loose_text_of_a_host(spark):
+    page = "Site of a.org {1}<article><p>Text {0}</p></article>Own words {0}<footer>f</footer>"
+    rows = [(k, f"http://a.org/{k}", page.format(k, "" if k else "and more")) for k in range(12)]
+    text = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[3] == "Text 3\n\nOwn words 3"  # however much of the page its articles hold
+    assert text[0] == "Site of a.org and more\n\nText 0\n\nOwn words 0"
+
+
+# --- the same by nested loops -----------------------------------------------------------------------
+def shape(node):
+    """An element as nested tuples, None without text."""
+    inner = [s for c in node.children for s in [shape(c) if isinstance(c, Node) else tuple(c.split()) or None] if s is not None]
+    return (node.tag, node.marks, *inner) if inner else None
+
+
+def walked(node, inside=False):
+    """Elements that may be template, with whether they are parts only."""
+    if html._comparable(node, inside):
+        yield shape(node), node.tag in html._PARTS
+    for c in node.children:
+        if isinstance(c, Node) and not c.boilerplate(html._inner(node, inside)):
+            yield from walked(c, html._inner(node, inside))
+
+
+def loose_blocks(page):
+    return [b for b, loose in html._blocks(page) if loose]
+
+
+def plain(node, template, loose_template, page, inside=False, within=False, only=False, loose=True):
+    """Blocks as a list of texts; None stands between blocks."""
+    out = []
+    for c in node.children:
+        if isinstance(c, str):
+            out += [(c, loose)] if not only else []
+            continue
+        block = [None] if c.tag in html._BLOCK else []
+        if c.boilerplate(inside) or html._comparable(c, inside) and shape(c) in template or c.tag == "header" and not c.has_article and not within:
+            out += block
+            continue
+        head = only and c.tag not in html._HEADINGS or c.tag == "header" and not c.has_article
+        below = plain(c, template, loose_template, page, html._inner(c, inside), within or c.tag in ("article", "main"), head, loose and not (block and c.tag not in ("html", "body")))
+        out += [*block, *below, *block]
+    return out
+
+
+def brute(rows, least_pages, least_share):
+    pages, out = {}, []
+    for _, url, source in rows:
+        pages.setdefault(url.split("/")[2], set()).add(source)
+    for i, url, source in rows:
+        host = pages[url.split("/")[2]]
+        trees = [parse(s) for s in host]
+        template, loose = set(), set()
+        for found, part in set(walked(parse(source))):
+            n = sum(any(found == other for other, _ in walked(t)) for t in trees)
+            if n >= least_pages and (not part or n >= least_share * len(host)):
+                template.add(found)
+        for block in loose_blocks(parse(source)):
+            if sum(block in loose_blocks(t) for t in trees) >= least_pages:
+                loose.add(block)
+        blocks, run = [], []
+        for x in [*plain(parse(source), template, loose, None), None]:
+            if x is not None:
+                run.append(x)
+                continue
+            words = references.unescape("".join(t for t, _ in run)).split()
+            if words and not (run[-1][1] and " ".join(words) in loose):
+                blocks.append(" ".join(words))
+            run = []
+        out.append((i, "\n\n".join(blocks)))
+    return sorted(out)
+
+
+def random_page(rng, depth=0):
+    kinds = ["div", "section", "p", "ul", "li", "article", "main", "nav", "aside", "form", "header", "footer", "span", "b", "h2", "table", "td", "tr"]
+    marks = ["", "", "", " class=menu", " class=sidebar", " id=x", " hidden", " role=banner", " class='has-sidebar wide'", " class=comments"]
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        if depth > 3 or rng.random() < 0.4:
+            out.append(rng.choice(["alpha ", "beta gamma ", "&amp; x ", "<br>", f"w{rng.randrange(30)} "]))
+        else:
+            tag = rng.choice(kinds)
+            out.append(f"<{tag}{rng.choice(marks)}>{random_page(rng, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_against_nested_loops(spark):
+    rng = random.Random(5)
+    shared = [random_page(rng, 1) for _ in range(6)]
+    rows = [(k, f"http://{rng.choice('ab')}.org/{k}", "".join(rng.choice([random_page(rng, 1), rng.choice(shared), rng.choice(shared)]) for _ in range(4))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for least_pages, least_share in ((3, 0.2), (8, 0.5)):
+        got = sorted((r.page_id, r.text) for r in extract(frame, least_pages=least_pages, least_share=least_share).collect())
+        assert got == brute(rows, least_pages, least_share)

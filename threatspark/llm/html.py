@@ -8,9 +8,13 @@ them are template: they are deleted, together with what is boilerplate by its el
 
 Inside an article only containers are compared: paragraphs, headings and lists of an article (or of a ``main`` without
 one) are its text even where several pages share them. What stands outside of articles is text, too, unless it is template
-or boilerplate; only where articles hold most of a page's text, what lies in no block of the body beside them is left out.
-Forms, dialogs, asides and hidden containers are boilerplate unless they hold most of the page's text; all but asides also
-stay if they hold the larger part of its articles.
+or boilerplate; loose text in no block of the body is compared as the block it would make.
+
+A class or id marks boilerplate if one of its names is a word of the list, alone or beside words of place and shape only
+(``sidebar``, ``comment-list``; not ``has-sidebar`` or ``related-work``); paragraphs and headings are never marked so inside an
+article. Whatever is marked, forms, dialogs, asides and hidden containers stay if they hold most of the page's text, and all
+but asides if they hold the larger part of its articles; only comments and lists of other articles go whatever they hold,
+unless the page has no other text. What the names can't tell, the counts decide.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -42,9 +47,11 @@ _TEXT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre ta
 #: Parts of a text, list or table, that are equal on many pages by chance.
 _PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot figcaption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_PROSE = _HEADINGS | {"p", "blockquote", "pre", "figure", "figcaption", "table"}
+_LISTS = frozenset("ul ol dl".split())
 _DROPPED = frozenset(
-    "head script style noscript template nav footer menu iframe object embed applet svg math canvas audio video "
-    "select button input textarea label fieldset datalist noembed noframes title link meta".split()
+    "head script style noscript template nav footer menu iframe embed applet svg canvas audio video "
+    "select button input textarea fieldset datalist noembed noframes title link meta".split()
 )
 #: Boilerplate unless the page's text is in them; the same by role.
 _WRAPPERS = frozenset("aside form dialog".split())
@@ -59,6 +66,15 @@ _DROPPED_WORDS = frozenset(
 )
 #: Those of them that mark boilerplate even where it is made of ``article`` elements.
 _LISTED_WORDS = frozenset("comment comments commentlist disqus recommended related replies reply respond".split())
+#: Words that make a list one of readers' contributions.
+_THREAD_WORDS = frozenset("discussion discussions thread threads responses conversation".split())
+#: Words of place and shape beside the marking one.
+_COMPANIONS = frozenset(
+    "area article articles bar block bottom box buttons button center col column container content desktop fixed form global group header "
+    "inner inline item items left link links list main mobile module outer page panel post posts primary right row secondary section site slot "
+    "sticky top unit user widget wrap wrapper".split()
+)
+_KNOWN_WORDS = _DROPPED_WORDS | _THREAD_WORDS | _COMPANIONS
 _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"},
@@ -75,13 +91,14 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "hidden", "children", "digest", "has_article", "size", "held", "most", "holds")
+    __slots__ = ("tag", "marks", "role", "hidden", "children", "digest", "has_article", "size", "held", "most", "holds", "alone")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.children, self.digest, self.has_article = tag, [], b"", False
         self.marks, self.role, self.hidden = "", "", False
         self.size, self.held = 0, 0  # words without those of boilerplate, and those of them in articles
         self.most, self.holds = True, True  # whether these are the larger part of the page's; known at its end
+        self.alone = False  # the page has no text but in what is marked
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 name = m[1].lower()
@@ -105,8 +122,25 @@ class Node:
             return False
         if self.role in _DROPPED_ROLES and not wraps and not (self.most and self.role in _WRAPPER_ROLES):
             return True
-        words = {w.lower() for w in _WORD.findall(re.sub(r"(?:class|id)=", " ", self.marks))} if self.marks else ()
-        return bool(words) and not words.isdisjoint(_LISTED_WORDS if wraps else _DROPPED_WORDS)
+        if not self.marks or self.alone or inside and self.tag in _PROSE:
+            return False
+        words = _marking(self.marks)
+        if words & _LISTED_WORDS or self.tag in _LISTS and words & _THREAD_WORDS:
+            return True
+        return bool(words & _DROPPED_WORDS) and not wraps and not self.most
+
+
+@lru_cache(4096)
+def _marking(marks: str) -> frozenset[str]:
+    """The marking words of classes and ids that stand alone or beside companions only."""
+    found: set[str] = set()
+    for name in re.sub(r"\b(?:class|id)=", " ", marks).split():
+        pieces = [p for p in re.split(r"[-_]+", name) if p]
+        words = {w for p in pieces for w in ([p.lower()] if p.lower() in _KNOWN_WORDS else [x.lower() for x in _WORD.findall(p)])}
+        marking = words & (_DROPPED_WORDS | _THREAD_WORDS)
+        if marking and words <= marking | _COMPANIONS:
+            found |= marking
+    return frozenset(found)
 
 
 def parse(text: str) -> Node:
@@ -194,9 +228,13 @@ def _finish(root: Node) -> None:
         node.digest = hash_.digest() if any_text else b""
         if node.tag in ("article", "main"):
             node.held = node.size
+    if not root.size and any(n.digest and n.marks for n in order):
+        for node in reversed(order):
+            node.alone = True
+            node.size = sum(len(c.split()) if isinstance(c, str) else 0 if c.boilerplate() else c.size for c in node.children)
     for node in reversed(order):
         node.most, node.holds = 2 * node.size > root.size, 2 * node.held > root.held
-    if any(n.tag in _WRAPPERS or n.hidden or n.role in _WRAPPER_ROLES for n in order):
+    if any(n.tag in _WRAPPERS or n.hidden or n.role in _WRAPPER_ROLES or n.marks for n in order):
         for node in reversed(order):  # again, as wrappers may be boilerplate by now
             below = (c for c in node.children if isinstance(c, Node) and (c.has_article or c.tag in ("article", "main")))
             node.has_article = any(not c.boilerplate() for c in below)
@@ -225,52 +263,65 @@ def _comparable(node: Node, inside: bool) -> bool:
 
 
 def subtree_hashes(text: str | None) -> dict[int, bool]:
-    """The hashes of all subtrees of a page that may be template, with whether they are only parts of a text, list or table."""
-    found = (n for n, inside in _walk(parse(text or ""), False) if _comparable(n, inside))
-    return {int.from_bytes(n.digest, "big", signed=True): n.tag in _PARTS for n in found}
+    """The hashes of all subtrees and loose blocks of a page that may be template, with whether they are only parts of a text,
+    list or table."""
+    page = parse(text or "")
+    found = (n for n, inside in _walk(page, False) if _comparable(n, inside))
+    return {_loose_hash(b): False for b, loose in _blocks(page) if loose} | {
+        int.from_bytes(n.digest, "big", signed=True): n.tag in _PARTS for n in found}
+
+
+def _loose_hash(block: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64(("#loose " + block).encode("utf-8", "surrogatepass")).digest(), "big", signed=True)
 
 
 def main_text(text: str | None, template: set[int] = frozenset()) -> str:
     """The blocks of the main text, joined by an empty line."""
-    blocks: list[str] = []
+    return "\n\n".join(b for b, loose in _blocks(parse(text or ""), template) if not (loose and _loose_hash(b) in template))
+
+
+def _blocks(page: Node, template: set[int] = frozenset()) -> Iterator[tuple[str, bool]]:
+    """The blocks of the main text in page order, and whether they lie loose in the body."""
     open_: list[str] = []
+    at_loose = False
 
-    def close() -> None:
+    def closed() -> Iterator[tuple[str, bool]]:
         if words := references.unescape("".join(open_)).split():
-            blocks.append(" ".join(words))
+            yield " ".join(words), at_loose
         open_.clear()
 
-    page = parse(text or "")
-    apart = 2 * page.held > page.size  # then what lies in no block of the body isn't text
     # (node or text, inside an article, inside an article or main, only headings count, in no block); None closes a block
     todo: list = [(page, False, False, False, True)]
     while todo:
         item = todo.pop()
         if item is None:
-            close()
+            yield from closed()
             continue
         here, inside, within, only, loose = item
         if isinstance(here, str):
-            if not only and not (loose and apart):
+            if not only:
+                at_loose = loose
                 open_.append(here)
             continue
         if here is not page:
             if here.boilerplate(inside) or _comparable(here, inside) and int.from_bytes(here.digest, "big", signed=True) in template:
+                if here.tag in _BLOCK:
+                    yield from closed()
                 continue
             if here.tag == "header" and not here.has_article:
                 if not within:
+                    yield from closed()
                     continue
                 only = True  # of an article's own header its title is text
             elif here.tag in _HEADINGS:
                 only = False
         if here.tag in _BLOCK:
-            close()
+            yield from closed()
             todo.append(None)
         inside, within = _inner(here, inside), within or here.tag in ("article", "main")
         loose = loose and (here.tag not in _BLOCK or here.tag in ("html", "body"))
         todo += [(c, inside, within, only, loose) for c in reversed(here.children)]
-    close()
-    return "\n\n".join(blocks)
+    yield from closed()
 
 
 def extract(
