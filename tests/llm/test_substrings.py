@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from threatspark.llm import substrings
 from threatspark.llm.substrings import without_repeats
 
@@ -70,3 +72,72 @@ def test_awkward_rows(awkward):
 
 def test_empty_table(make_docs):
     assert without_repeats(make_docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_factors_are_the_longest_matches():
+    """Against all earlier phrases with the same anchor, word by word; what follows a factor is looked up again."""
+    rng = random.Random(6)
+    window, gram = 6, 3
+    left, size = window - gram, 2 * window - gram
+    rows = []
+    for _ in range(300):
+        n = rng.randint(1, left + 1)
+        lead = rng.randint(n - 1, left)
+        line = [0] * size
+        for k in range(left - lead, left - lead + n + window - 1):
+            line[k] = 7 if left <= k < left + gram else rng.choice([1, 1, 1, 2])
+        rows.append((rng.choice([5, 9]), n, lead, line))
+    rows.sort(key=lambda r: r[0])
+    expect = []
+    for i, (h, n, lead, line) in enumerate(rows):
+        low = left - lead
+        high, at = low + n + window - 1, low
+        while at + window <= high:
+            longest = 0
+            for h2, n2, lead2, other in rows[:i]:
+                if h2 == h and left - lead2 <= at:
+                    k = at
+                    while k < min(high, left - lead2 + n2 + window - 1) and other[k] == line[k]:
+                        k += 1
+                    longest = max(longest, k - at)
+            if longest >= window:
+                expect.append((i, at - low, longest - window + 1))
+            at += max(1, longest - window + 1)
+    h, n, lead = (np.array([r[k] for r in rows]) for k in range(3))
+    got = substrings.factors(h.astype(np.uint64), n, lead, np.array([r[3] for r in rows], np.uint64), window)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == expect and len(expect) > 100
+
+
+def test_hot_anchors_are_split(make_docs, monkeypatch):
+    rows = random_rows(120, 7)
+    line = " ".join(f"common{k}" for k in range(14))
+    rng = random.Random(8)
+    rows += [(1000 + k, f"{rng.randrange(9)} x{rng.randrange(5)} y z {line} {rng.randrange(4)} a b c d{rng.randrange(6)} e") for k in range(80)]
+    docs = make_docs(rows, 4)
+    plain = sorted(map(tuple, without_repeats(docs).select("doc_id", "n_removed", "kept_text").collect()))
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    for most in (10, 1, 0):
+        monkeypatch.setattr(substrings, "HOT_DOCS", most)
+        keyed = docs.selectExpr("doc_id AS doc", "0 AS tag", "cast(text AS binary) AS text")
+        assert len(substrings._hot_anchors(keyed, 20)) > 0
+        assert sorted(map(tuple, without_repeats(docs).select("doc_id", "n_removed", "kept_text").collect())) == plain
+        check(docs, 20)
+
+
+def test_blocks_keep_anchors_together():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    h = sorted(rng.choices(range(40), k=500))
+    batches, at = [], 0
+    while at < len(h):
+        size = rng.randint(0, 30)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(h[at : at + size], pa.int64())], names=["h"]))
+        at += size
+    before, substrings.BLOCK_ROWS = substrings.BLOCK_ROWS, 60
+    try:
+        blocks = [b.column(0).to_pylist() for b in substrings._blocks(iter(batches))]
+    finally:
+        substrings.BLOCK_ROWS = before
+    assert [x for b in blocks for x in b] == h and len(blocks) > 4
+    assert all(a[-1] != b[0] for a, b in zip(blocks, blocks[1:], strict=False))

@@ -1,20 +1,26 @@
-"""Repeated passages by content-defined phrases and exact window lookup.
+"""Repeated passages by relative Lempel-Ziv parsing against reference blocks that anchors route to.
 
-This is no relative Lempel-Ziv parsing: nothing is matched greedily against reference blocks. Phrases are compared whole, by
-hash, with those of the whole corpus, and the rest window by window. Phrases are cut as follows: the windows of
+Parsing every document against every block of the corpus would be quadratic, so anchors decide what meets. The windows of
 ``window`` words of a document are grouped by their anchor, the word ``ANCHOR``-gram with the smallest hash in the window
-(leftmost of equals), and a phrase is the text below the windows of one anchor. Equal windows have equal anchors at equal
-places, so a window can only repeat where its anchor does.
-
-1. Phrases. Each task cuts its documents into phrases and looks them up among its own first; those met before there are
-   factors already and are joined to longer ones. Only the first of each kind goes on to the index, so that a phrase
-   repeated in a third of all documents sends one row for each slice of documents, not for each document.
-2. Index. Phrases meet by anchor. One whose (anchor, text, length) was met earlier in the corpus is a factor. The first of
-   a kind is new text, unless its anchor also stands in other phrases: then windows at the edge of a factor may repeat.
-3. Factor boundaries. For these few phrases, the windows themselves are looked up in the same way.
-
-What a factor covers is removed. Windows are compared by two independent 64-bit hashes of their words (the anchor's and the
-text's), both polynomials over word hashes.
+(leftmost of equals); a phrase is the text below the windows of one anchor. Equal windows have equal anchors at equal places,
+so a window can only repeat where its anchor does.
+
+1. Whole phrases. Each task cuts its documents into phrases and looks them up among its own first; those met before there
+   are factors already and are joined to longer ones. Only the first of each kind goes on, so that a phrase repeated in a
+   third of all documents sends one row for each slice of documents, not for each document. Phrases then meet by anchor: one
+   whose (anchor, text, length) was met earlier in the corpus is a factor as a whole.
+2. Reference blocks. What is left to parse are new phrases whose anchor also stands in other phrases. They are sent, with
+   their words, to the block of their anchor, a part of a shuffle by anchor, sorted by their place in the corpus. The block is
+   indexed by the grams that begin at each place beside the anchor, and every phrase is factored greedily against all
+   earlier ones: at the first place where ``window`` words are known, the longest match is taken as a factor.
+3. Factor boundaries. After a factor, the windows that reach beyond its end are looked up one by one, and the next one that
+   is known begins the next factor; so no window at the edge of a factor is missed.
+
+What a factor covers is removed. Phrases and grams are compared by 64-bit hashes together with the words' own (whole phrases
+by two independent ones, that of the anchor and that of the text).
+
+Anchors that a sample shows in more than ``HOT_DOCS`` documents (a common line with other text around it) would fill one
+block. Their phrases are sent window by window, each to the place of its own hash, where only its first occurrence counts.
 """
 
 from __future__ import annotations
@@ -34,6 +40,10 @@ WINDOW = 20
 ANCHOR = 10
 SLICE_WORDS = 1_000_000
 CACHED_WORDS = 200_000
+HOT_DOCS = 200_000
+#: One document in so many is looked at to find anchors of more than HOT_DOCS; the results don't depend on it.
+SAMPLED = 64
+BLOCK_ROWS = 50_000
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _LAST = (1 << 63) - 1
 
@@ -86,13 +96,13 @@ class _Slice:
         starts = np.arange(len(self.hashes) - window + 1)
         return starts[self.of[starts] == self.of[starts + window - 1]]
 
-    def phrases(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """start, number of windows, hash of the anchor and hash of the text of every phrase."""
+    def phrases(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """start, number of windows, hash of the anchor, hash of the text and place of the anchor of every phrase."""
         at = self.windows(window)
         gram = min(ANCHOR, window)
         if not len(at):
             none = np.empty(0, np.int64)
-            return none, none, none.view(np.uint64), none.view(np.uint64)
+            return none, none, none.view(np.uint64), none.view(np.uint64), none
         grams = np.zeros(len(self.hashes) - gram + 1, np.uint64)
         for k in range(gram):
             grams = grams * np.uint64(_M1) + self.hashes[k : k + len(grams)]
@@ -108,7 +118,13 @@ class _Slice:
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(at)))
         start = at[first]
-        return start, n, best[first], _spans_hash(self.hashes, start, n + window - 1, _M2)
+        return start, n, best[first], _spans_hash(self.hashes, start, n + window - 1, _M2), place[first]
+
+    def windows_of(self, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of some phrases, each as a phrase of its own: start, 1, and two hashes of the text."""
+        starts = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        size = np.full(len(starts), window, np.int64)
+        return starts, np.ones(len(starts), np.int64), _spans_hash(self.hashes, starts, size, _M1), _spans_hash(self.hashes, starts, size, _M2)
 
     def rows(self, start: np.ndarray, n: np.ndarray, h: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
         """Phrases (or windows) not met before in this slice, and with n below zero the runs of those that were."""
@@ -145,6 +161,13 @@ _ROWS = T.StructType([
 ])
 
 
+_SEGMENTS = T.StructType([
+    T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("at", T.LongType()),
+    T.StructField("n", T.IntegerType()), T.StructField("lead", T.IntegerType()), T.StructField("words", T.BinaryType()),
+])
+_FACTORS = T.StructType([_SEGMENTS[n] for n in ("doc", "tag", "at", "n")])
+
+
 def _slices(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[tuple[list, list, list]]:
     """Keys, words and spans of about SLICE_WORDS, cut between documents."""
     _HASHES.begin()
@@ -155,7 +178,7 @@ def _slices(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[
             keys.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()))
             words.append(text)
             if extra:
-                spans.append(np.array([(x["at"], x["n"]) for x in batch.column(3)[k].as_py()], np.int64).reshape(-1, 2))
+                spans.append(np.array([x["at"] for x in batch.column(3)[k].as_py()], np.int64))
             total += len(text)
             if total >= SLICE_WORDS:
                 yield keys, words, spans
@@ -164,15 +187,69 @@ def _slices(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[
         yield keys, words, spans
 
 
-def _known_earlier(rows: DataFrame, by_text: bool) -> DataFrame:
-    """doc, tag, at, n, kind: 1 for factors, 2 (if ``by_text``) for new phrases whose anchor stands in several kinds."""
+def segments(part: _Slice, starts: np.ndarray, window: int) -> pa.RecordBatch:
+    """The phrases that begin at ``starts`` with the hashes of their words, in a line on which the anchor has a fixed place."""
+    gram = min(ANCHOR, window)
+    left = window - gram
+    start, n, h, _, place = part.phrases(window)
+    go = np.isin(start, starts)
+    start, n, h, place = start[go], n[go], h[go], place[go]
+    line = place[:, None] - left + np.arange(2 * left + gram)
+    inside = (line >= start[:, None]) & (line < (start + n + window - 1)[:, None])
+    words = np.where(inside, part.hashes[np.clip(line, 0, len(part.hashes) - 1)], np.uint64(0)) if len(start) else np.empty((0, 2 * left + gram), np.uint64)
+    own = part.of[start]
+    size = 8 * words.shape[1]
+    data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((np.arange(len(start) + 1) * size).astype(np.int32)), pa.py_buffer(words.tobytes())])
+    return pa.RecordBatch.from_arrays([
+        pa.array(h.view(np.int64)), pa.array(part.doc[own]), pa.array(part.tag[own]), pa.array(start - part.low[own]), pa.array(n.astype(np.int32)),
+        pa.array((place - start).astype(np.int32)), data], names=_SEGMENTS.names)
+
+
+def factors(h: np.ndarray, n: np.ndarray, lead: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of the phrases of a block against the earlier ones with the same anchor: row, first window, windows.
+
+    Rows are in the order of the corpus; ``words`` is a line for each, on which the anchor begins at ``window`` less its size.
+    """
+    size = words.shape[1]
+    left = size - window
+    low = left - lead  # where the phrase begins on its line, and where it ends
+    high = low + n + window - 1
+    powers = np.cumprod(np.full(size + 1, _M1, np.uint64))
+    sums = np.zeros((len(h), size + 1), np.uint64)
+    np.cumsum(words * powers[:size], axis=1, out=sums[:, 1:])
+
+    def known(at: int, length: int, rows: np.ndarray) -> np.ndarray:
+        """Of the given rows, all that have the gram, those in which it isn't the first of its kind."""
+        key = _mixed(sums[rows, at + length] - sums[rows, at]) ^ _mixed(h[rows])
+        _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+        return first[kind] < np.arange(len(rows))
+
+    found, cursor = [], low.copy()
+    for at in range(left + 1):
+        have = np.flatnonzero((low <= at) & (high >= at + window))
+        hit = have[known(at, window, have)] if len(have) else have
+        active = hit[cursor[hit] <= at]  # windows within a factor are known with it
+        length = np.full(len(h), window)
+        growing, longer = active, window
+        while len(growing):  # the longest match: the gram is made longer as long as an earlier phrase has it
+            longer += 1
+            have = np.flatnonzero((low <= at) & (high >= at + longer))
+            if not len(have):
+                break
+            growing = np.intersect1d(growing, have[known(at, longer, have)], assume_unique=True)
+            length[growing] = longer
+        windows = length[active] - window + 1
+        cursor[active] = at + windows
+        found.append((active, at - low[active], windows))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _known_earlier(rows: DataFrame) -> DataFrame:
+    """doc, tag, at, n, kind: 1 for factors, 2 for new phrases whose anchor stands in several kinds."""
     order = ["doc", "tag", "at"]
-    if by_text:
-        anchor = Window.partitionBy("h").orderBy("text", "n", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ends = [f("text").over(anchor) for f in (F.first, F.last)] + [f("n").over(anchor) for f in (F.first, F.last)]
-        rows = rows.withColumn("several", (ends[0] != ends[1]) | (ends[2] != ends[3]))
-    else:
-        rows = rows.withColumn("several", F.lit(False))
+    anchor = Window.partitionBy("h").orderBy("text", "n", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = [f("text").over(anchor) for f in (F.first, F.last)] + [f("n").over(anchor) for f in (F.first, F.last)]
+    rows = rows.withColumn("several", (ends[0] != ends[1]) | (ends[2] != ends[3]))
     kind = Window.partitionBy("h", "text", "n").orderBy(*order)
     doc, tag, at = (F.first(c).over(kind) for c in order)
     later = (F.col("tag") > tag) | ((F.col("tag") == tag) & (F.col("at") > at))
@@ -181,6 +258,45 @@ def _known_earlier(rows: DataFrame, by_text: bool) -> DataFrame:
     return rows.select("doc", "tag", "at", F.abs("n").alias("n"), found.alias("kind")).where("kind is not null")
 
 
+def _hot_anchors(keyed: DataFrame, window: int) -> np.ndarray:
+    """Hashes of the anchors that, by a sample of the documents, stand in more than HOT_DOCS: a short list."""
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, words, _ in _slices(batches):
+            part = _Slice(keys, words)
+            start, _, h, _, _ = part.phrases(window)
+            h, n = np.unique(np.unique(np.stack([h, part.of[start].astype(np.uint64)]), axis=1)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    sample = keyed.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(SAMPLED)) == 0).select("doc", "tag", "text")
+    counts = sample.mapInArrow(anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    hot = counts.where(F.col("n") * SAMPLED > HOT_DOCS).select("h").collect()
+    return np.sort(np.array([r.h for r in hot], np.int64).view(np.uint64))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about BLOCK_ROWS, with all rows of an anchor together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column(0).to_numpy()
+        if size >= BLOCK_ROWS:
+            last = held[-1].column(0)[-1].as_py()
+            cut = int(np.argmax(h != last)) if (h != last).any() else len(h)
+            held.append(batch.slice(0, cut))
+            batch = batch.slice(cut)
+            if batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _by_document(spans: DataFrame) -> DataFrame:
     """The spans of each document in one list, which the length of the document bounds."""
     return spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
@@ -203,21 +319,36 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.hash(text).alias("tag"), text.cast("binary").alias("text"),
         F.col(id_col).alias("doc_id"))
 
+    hot = _hot_anchors(keyed, window)
+
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, words, _ in _slices(batches):
             part = _Slice(keys, words)
-            yield part.rows(*part.phrases(window))
-
-    def edge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = part.phrases(window)[:4]
+            if len(hot):
+                many = np.isin(rows[2], hot)
+                alone = part.windows_of(rows[0][many], rows[1][many], window)
+                rows = tuple(np.concatenate([a[~many], b]) for a, b in zip(rows, alone, strict=True))
+                order = np.argsort(rows[0], kind="stable")
+                rows = tuple(x[order] for x in rows)
+            yield part.rows(*rows)
+
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, words, spans in _slices(batches, True):
             part = _Slice(keys, words)
-            lows = np.concatenate([s[:, 0] + low for s, low in zip(spans, part.low, strict=False)])
-            sizes = np.concatenate([s[:, 1] for s in spans])
-            first = np.repeat(lows - np.cumsum(sizes) + sizes, sizes)
-            starts = np.unique(first + np.arange(len(first)))
-            whole = np.full(len(starts), window, np.int64)
-            ones = np.ones(len(starts), np.int64)
-            yield part.rows(starts, ones, _spans_hash(part.hashes, starts, whole, _M1), _spans_hash(part.hashes, starts, whole, _M2))
+            yield segments(part, np.concatenate([s + low for s, low in zip(spans, part.low, strict=False)]), window)
+
+    def factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            # rows that repeat a document are one
+            place = np.stack([block.column(k).to_numpy().astype(np.int64) for k in range(4)])
+            block = block.filter(pa.array(np.append(True, (place[:, 1:] != place[:, :-1]).any(axis=0))))
+            h, n, lead = (block.column(k).to_numpy() for k in (0, 4, 5))
+            words = np.frombuffer(b"".join(block.column(6).to_pylist()), np.uint64).reshape(len(h), -1)
+            row, first, windows = factors(h.view(np.uint64), n, lead, words, window)
+            yield pa.RecordBatch.from_arrays([
+                block.column(1).take(pa.array(row)), block.column(2).take(pa.array(row)), pa.array(block.column(3).to_numpy()[row] + first),
+                pa.array(windows.astype(np.int32))], names=_FACTORS.names)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,12 +372,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 pa.array(factors, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))),
             ], names=["doc_id", "n_words", "n_removed", "kept", "factors"])
 
-    found = settled(_known_earlier(keyed.select("doc", "tag", "text").mapInArrow(phrases, _ROWS), True), "factors")
+    found = settled(_known_earlier(keyed.select("doc", "tag", "text").mapInArrow(phrases, _ROWS)), "factors")
     by_doc = ["doc", "tag", "text", "doc_id"]
     edges = _by_document(found.where("kind = 2"))
     touched = keyed.select(*by_doc).join(edges, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")))
-    at_edges = _known_earlier(touched.select("doc", "tag", "text", "_spans").mapInArrow(edge_windows, _ROWS), False)
-    spans = _by_document(found.where("kind = 1").select("doc", "tag", "at", "n").unionByName(at_edges.select("doc", "tag", "at", "n")))
+    routed = touched.select("doc", "tag", "text", "_spans").mapInArrow(to_blocks, _SEGMENTS)
+    parsed = routed.repartition("h").sortWithinPartitions("h", "doc", "tag", "at").mapInArrow(factored, _FACTORS)
+    spans = _by_document(found.where("kind = 1").select("doc", "tag", "at", "n").unionByName(parsed))
     marked = keyed.select(*by_doc).join(spans, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
