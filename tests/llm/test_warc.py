@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("compression,whole_files,segment_bytes", [("gzip", False, 32_768), ("none", False, 700), ("none", True, 1_500)])
+@pytest.mark.parametrize("compression,whole_files,segment_bytes", [("gzip", True, 32_768), ("none", False, 700), ("none", True, 1_500)])
 def test_round_trip(spark, pages, compression, whole_files, segment_bytes):
     path = shared_folder(spark, "test")
     write_archives(pages, path, compression=compression, segment_bytes=segment_bytes)
@@ -48,6 +49,41 @@ def test_round_trip(spark, pages, compression, whole_files, segment_bytes):
     assert records.where(F.col("url").isNull()).count() == 1
 
 
+def test_a_key_with_several_payloads(spark):
+    rows = [(5, "u", "a" * 2000), (5, "u", "b" * 3000), (3, "u", "a" * 2000), (4, "u", "b" * 3000), (4, "u", "a" * 2000), (None, "u", "b" * 3000)]
+    pages = spark.createDataFrame([(*r, "p", "k") for r in rows], SCHEMA).repartition(3)
+    path = shared_folder(spark, "test")
+    write_archives(pages, path)
+    assert sorted((tuple(r) for r in payload_digests(read_archives(spark, path, whole_files=True)).collect()), key=str) == expected(rows)
+
+
+def test_archives_are_as_other_tools_expect(spark, pages):
+    """Gzip members hold one record each; every record has an id, a date and its length; a revisit names a response."""
+    path = shared_folder(spark, "test")
+    write_archives(pages, path, date="2026-01-02T03:04:05Z")
+    responses, refers, ids = set(), [], []
+    for file in spark.read.format("binaryFile").load(path).collect():
+        data = bytes(file.content)
+        while data:
+            stream = zlib.decompressobj(wbits=31)
+            record = stream.decompress(data) + stream.flush()
+            data = stream.unused_data
+            head, _, block = record.partition(b"\r\n\r\n")
+            first, *lines = head.split(b"\r\n")
+            fields = dict(line.split(b": ", 1) for line in lines)
+            assert first == b"WARC/1.1" and fields[b"WARC-Date"] == b"2026-01-02T03:04:05Z"
+            assert block[int(fields[b"Content-Length"]):] == b"\r\n\r\n"
+            ids.append(fields[b"WARC-Record-ID"])
+            if fields[b"WARC-Type"] == b"response":
+                responses.add((fields[b"WARC-Record-ID"], fields[b"WARC-Payload-Digest"]))
+            elif fields[b"WARC-Type"] == b"revisit":
+                assert fields[b"WARC-Refers-To-Date"] == b"2026-01-02T03:04:05Z"
+                refers.append((fields.get(b"WARC-Refers-To"), fields[b"WARC-Payload-Digest"], fields[b"X-Refers-To-Key"]))
+    assert len(ids) == len(set(ids)) and len(refers) > 20
+    for name, digest, key in refers:
+        assert (name, digest) in responses if key != b"201" else name is None  # the key 201 is repeated
+
+
 def test_damage_is_seen(spark, pages):
     path = shared_folder(spark, "test")
     write_archives(pages, path, compression="none", segment_bytes=5_000)
@@ -77,7 +113,7 @@ def test_chunks():
 def test_empty_table(spark, pages):
     path = shared_folder(spark, "test")
     write_archives(pages.limit(0), path)
-    assert payload_digests(read_archives(spark, path)).count() == 0
+    assert payload_digests(read_archives(spark, path, whole_files=True)).count() == 0
 
 
 def test_archives_of_others(spark, tmp_path):

@@ -128,7 +128,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page: what the archives written from the table and read back say of its record."""
     path = shared_folder(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.payload_digests(warc.read_archives(spark, path)).withColumnRenamed("key", "page_id")
+    return warc.payload_digests(warc.read_archives(spark, path, whole_files=True)).withColumnRenamed("key", "page_id")
 
 
 @query()

@@ -4,16 +4,17 @@ Payloads are written as HTTP responses in chunked transfer framing. A block long
 first record and continuation records. Reading groups the records by the id of the first one (the origin), orders them by
 segment number, verifies the total length and takes the chunks apart.
 
-Archives are written and read by Spark's own text writer and reader, so they can lie in any store Spark reaches, and large
-ones are read in splits where they are not compressed. Records are told apart by ``SEPARATOR``; the writer never lets it
-stand in a block, as it ends a chunk (or a segment) in the middle of it. Every record is checked against its length. For
-archives of others, in whose blocks the separator may stand, ``whole_files=True`` reads file by file and record by record,
-of any WARC version and order of fields, also in gzip.
+Archives are written and read by Spark's own writers and readers, so they can lie in any store Spark reaches. In gzip every
+record is a member of its own, as other tools expect it; such files, and archives of others, are read file by file and record
+by record (``whole_files=True``), of any WARC version and order of fields. Plain archives of this writer are also read in
+splits: records are told apart by ``SEPARATOR``, and the writer never lets it stand in a block, as it ends a chunk (or a
+segment) in the middle of it. Every record is checked against its length.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import io
 import re
@@ -32,6 +33,7 @@ SEPARATOR = "WARC/1.1\r\nWARC-Type: "
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 LEAST_REVISIT = 1_000
+RECORDS_PER_FILE = 10_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _RECORD = "record string, origin string, segment int, total long, kind string, key string, url string, refers_to string, digest string, block binary, valid boolean"
 
@@ -71,24 +73,40 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body
 
 
-def _records(row: dict, segment_bytes: int) -> Iterator[bytes]:
+def member(record: bytes) -> bytes:
+    """A record as a gzip member, without its last byte: this is the highest of the four of its length, zero below 16 MB."""
+    data = gzip.compress(record, 6, mtime=0)
+    if data[-1]:
+        raise ValueError("a record of 16 MB or more")
+    return data[:-1]
+
+
+def _field(url: str | None) -> bytes:
+    return (url or "").encode("utf-8", "surrogatepass").replace(b"\r", b"%0D").replace(b"\n", b"%0A")
+
+
+def _records(row: dict, segment_bytes: int, date: bytes) -> Iterator[bytes]:
     """The records of one page, without the final CRLF."""
-    name = f"<urn:page:{row['number']}>".encode()
-    url = (row["url"] or "").encode("utf-8", "surrogatepass").replace(b"\r", b"%0D").replace(b"\n", b"%0A")
+    name, url = row["name"].encode(), _field(row["url"])
     common = b"WARC-Target-URI: %b\r\nWARC-Payload-Digest: sha1:%b\r\nX-Key: %b\r\n" % (
         url, base64.b32encode(bytes.fromhex(row["digest"])), b"" if row["key"] is None else str(row["key"]).encode())
     if row["url"] is None:
         common = common.partition(b"\r\n")[2]
     if row["refers_to"] is not None:
         common += b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nX-Refers-To-Key: %d\r\n" % row["refers_to"]
+        common += b"WARC-Refers-To-Date: %b\r\n" % date
+        if row["refers_id"] is not None:
+            common += b"WARC-Refers-To: %b\r\n" % row["refers_id"].encode()
+        if row["refers_url"] is not None:
+            common += b"WARC-Refers-To-Target-URI: %b\r\n" % _field(row["refers_url"])
         block, kind = _HTTP + b"\r\n", b"revisit"
     else:
         block, kind = _HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(row["payload"]), b"response"
     cuts = list(range(0, len(block), segment_bytes))
     for k, low in enumerate(cuts):
         part = block[low : low + segment_bytes]
-        fields = b"%b%b\r\nWARC-Record-ID: %b\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n" % (
-            VERSION + b"WARC-Type: ", kind if k == 0 else b"continuation", name if k == 0 else name[:-1] + b":%d>" % k, len(part))
+        fields = b"%b%b\r\nWARC-Record-ID: %b\r\nWARC-Date: %b\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n" % (
+            VERSION + b"WARC-Type: ", kind if k == 0 else b"continuation", name if k == 0 else name[:-1] + b":part%d>" % k, date, len(part))
         if len(cuts) > 1:
             fields += b"WARC-Segment-Number: %d\r\n" % (k + 1)
         if k:
@@ -102,32 +120,44 @@ def _records(row: dict, segment_bytes: int) -> Iterator[bytes]:
 
 def write_archives(
     pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    least_revisit: int = LEAST_REVISIT, segment_bytes: int = SEGMENT_BYTES, compression: str = "gzip",
+    least_revisit: int = LEAST_REVISIT, segment_bytes: int = SEGMENT_BYTES, compression: str = "gzip", date: str | None = None,
 ) -> None:
     """Writes one response or revisit for each row of ``pages`` to archives in the folder ``path``.
 
     Of rows with equal payloads of at least ``least_revisit`` bytes those with the largest key are responses, the others
-    revisit them. Null html is an empty payload. A null key never is the largest unless all are null; rows that repeat the
+    revisit them and name its record, unless the largest key is repeated. ``compression`` is ``gzip`` (a member for each record) or
+    ``none``; ``date`` is that of all records, now by default. Null html is an empty payload. A null key never is the largest unless all are null; rows that repeat the
     largest key are all responses. An empty table writes an empty folder; other columns are not read.
     """
+    if compression not in ("gzip", "none") or not 0 < segment_bytes <= 8 << 20:
+        raise ValueError("compression is gzip or none, a segment has 8 MB at most")
+    when = (date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")).encode()
     ship_code(pages)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("same", F.unhex(F.sha2("payload", 256)))
-    large = rows.where(F.octet_length("payload") >= least_revisit).groupBy("same").agg(F.max("key").alias("last"), F.count("*").alias("n"))
+    large = rows.where(F.octet_length("payload") >= least_revisit).groupBy("same", "key").agg(F.count("*").alias("n"), F.max("url").alias("url"))
+    large = large.groupBy("same").agg(F.max(F.struct("key", "n", "url")).alias("last"), F.sum("n").alias("n"))
     repeated = settled(large.where("n > 1").select(F.col("same").alias("_same"), "last"), "repeated")
+    digest, last = F.sha1("payload"), F.col("last.key")
+    # the one record that others refer to has a name made of key and payload
+    named = F.when(F.col("last.n") == 1, F.concat(F.lit("<urn:page:"), last.cast("string"), F.lit(":"), digest, F.lit(">")))
+    revisits = ~F.col("key").eqNullSafe(last)
     judged = rows.join(repeated, F.col("same") == F.col("_same"), "left").select(
-        F.monotonically_increasing_id().alias("number"), "key", "url", "payload", F.sha1("payload").alias("digest"),
-        F.when(~F.col("key").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+        F.coalesce(F.when(F.col("key") == last, named), F.concat(F.lit("<urn:page:"), F.monotonically_increasing_id().cast("string"), F.lit(">"))).alias("name"),
+        "key", "url", "payload", digest.alias("digest"), F.when(revisits, last).alias("refers_to"),
+        F.when(revisits, named).alias("refers_id"), F.when(revisits, F.col("last.url")).alias("refers_url"))
+    pack = member if compression == "gzip" else bytes
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
-                out = [r for row in batch.slice(low, 500).to_pylist() for r in _records(row, segment_bytes)]
+                out = [pack(r if compression == "none" else r + b"\r\n") for row in batch.slice(low, 500).to_pylist() for r in _records(row, segment_bytes, when)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = judged.mapInArrow(serialise, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n").option("compression", compression).text(path)
+    ends = "\r\n" if compression == "none" else "\x00"  # of a record, or of a member: its last byte
+    records.write.option("lineSep", ends).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def _parsed(data: bytes) -> dict:
@@ -193,7 +223,7 @@ def read_archives(spark: SparkSession, path: str, whole_files: bool = False) ->
 
     ``valid`` is false for records whose length, total length, segment numbers or chunk framing are damaged; their payload
     is null. Revisits carry no payload. ``whole_files`` takes plain files and gzip, any WARC version and order of fields, and
-    holds each file in one row, at most 2 GB. A file without a record, damaged gzip, or without ``whole_files`` an archive
+    holds each file in one row, at most 2 GB (the writer puts ``RECORDS_PER_FILE`` records into one). A file without a record, damaged gzip, or without ``whole_files`` an archive
     whose records don't begin as the writer's, ends the job with an error.
     """
 
@@ -247,17 +277,20 @@ def read_archives(spark: SparkSession, path: str, whole_files: bool = False) ->
 def payload_digests(records: DataFrame) -> DataFrame:
     """One row per record: key, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to.
 
-    Revisits have no payload; length and digest are those of the response they refer to. A damaged record, or a revisit
-    whose response is missing, ends the job with an error.
+    Revisits have no payload; length and digest are those of the response they refer to, which has its key and the payload
+    digest that the revisit names, as a key may be repeated with other payloads. A damaged record, or a revisit whose response is
+    missing, ends the job with an error.
     """
     slim = settled(records.select(
-        "key", "record_type", "refers_to", "valid", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")), "records")
+        "key", "record_type", "refers_to", "digest", "valid", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")), "records")
     whole = F.when(F.col("valid"), F.col("record_type")).otherwise(F.raise_error(F.lit("damaged archive record")))
-    responses = slim.where("record_type = 'response'").groupBy(F.col("key").alias("_key")).agg(
+    # responses of one key and digest are equal
+    responses = slim.where("record_type = 'response'").groupBy(F.col("key").alias("_key"), F.col("digest").alias("_named")).agg(
         F.first("payload_bytes").alias("_bytes"), F.first("payload_digest").alias("_digest"))
-    asked = slim.where("record_type = 'revisit'").select("refers_to").distinct()
-    responses = settled(responses.join(asked, F.col("_key") == F.col("refers_to"), "left_semi"), "responses")
-    joined = slim.join(responses, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("_key")), "left")
+    asked = slim.where("record_type = 'revisit'").select("refers_to", "digest").distinct()
+    meant = (F.col("refers_to") == F.col("_key")) & (F.col("digest") == F.col("_named"))
+    responses = settled(responses.join(asked, meant, "left_semi"), "responses")
+    joined = slim.join(responses, (F.col("record_type") == "revisit") & meant, "left")
     missing = F.raise_error(F.lit("a revisit without its response")).cast("long")
     return joined.select(
         "key", F.coalesce("payload_bytes", "_bytes", missing).alias("payload_bytes"), F.coalesce("payload_digest", "_digest").alias("payload_digest"),
