@@ -60,3 +60,64 @@ def test_numbers_are_no_letters(make_docs):
     got = {r.doc_id: r for r in identify(make_docs(rows)).collect()}
     assert [(got[k].lang_pred, got[k].score) for k in (900, 901)] == [("und", 0.0)] * 2
     assert got[902].lang_pred in ("en", "de")
+
+
+def test_against_plain_computation(make_docs):
+    """Features, votes and scores once more, from the fitted machines with dictionaries and loops."""
+    import math
+
+    from threatspark.llm import language
+
+    rows = texts(200, 5, list(WORDS)) + [(800, "the der les las", None), (801, "x" * 50_000 + " the of", None), (802, "Ünd ÉTÉ", None)]
+    docs = make_docs(rows)
+    model = language.fit(docs, "doc_id", "text", "lang", language.FAMILIES, language.SAMPLE_DOCS, language.BITS)
+    assert sorted(model.languages) == ["germanic", "romance", "zz"] and len(model.between) == 3 and len(model.within["romance"]) == 1
+
+    def features(text):
+        data = (" " + text.lower() + " ").encode()
+        counts = {}
+        for k in range(len(data) - 2):
+            gram = data[k] << 16 | data[k + 1] << 8 | data[k + 2]
+            bucket = (gram * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - language.BITS
+            counts[bucket] = counts.get(bucket, 0) + 1
+        size = math.sqrt(sum(counts.values()))
+        return {b: math.sqrt(n) / size for b, n in counts.items()}
+
+    def contest(x, names, machines):
+        margins = {n: {} for n in names}
+        for (a, b), (weights, intercept) in machines.items():
+            m = sum(v * weights[k] for k, v in x.items()) + intercept
+            margins[a][b], margins[b][a] = m, -m
+        best = max(names, key=lambda n: (sum(m > 0 for m in margins[n].values()), sum(margins[n].values()), n))
+        return best, 1 / (1 + math.exp(-2 * min([*margins[best].values(), 40.0])))
+
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    for i, text, _ in rows:
+        x = features(text)
+        family, sure = contest(x, sorted(model.languages), model.between)
+        name, within = contest(x, model.languages[family], model.within[family])
+        assert got[i].lang_pred == name and abs(got[i].score - sure * within) < 1e-5
+
+
+def test_a_machine_separates():
+    import numpy as np
+
+    from threatspark.llm.language import machine
+
+    rng = np.random.default_rng(1)
+    side = np.where(rng.random(300) < 0.5, 1.0, -1.0)
+    x = rng.normal(size=(300, 20)) + side[:, None] * np.r_[2.0, np.zeros(19)]
+    weights, intercept = machine(x, side)
+    assert np.mean(np.sign(x @ weights + intercept) == side) > 0.97
+    again, _ = machine(x, side)
+    assert (weights == again).all()
+
+
+def test_clashing_columns_and_long_texts(make_docs):
+    from pyspark.sql import functions as F
+
+    rows = texts(60, 6, ["en", "fr"]) + [(900, "les des " * 100_000, None)]
+    docs = make_docs(rows)
+    plain = {r.doc_id: r.lang_pred for r in identify(docs).collect()}
+    more = docs.withColumns({n: F.lit("x") for n in ("p", "lang_pred", "score", "held_out", "family", "x", "kind", "a", "b", "sign", "id", "label", "features")})
+    assert {r.doc_id: r.lang_pred for r in identify(more).collect()} == plain and plain[900] == "fr"

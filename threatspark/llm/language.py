@@ -1,8 +1,9 @@
 """Language identification in two steps: the family, then one-versus-one linear support vector machines within it.
 
-Features are hashed byte trigrams of the lower-cased text, square roots of their counts, scaled to length 1. All machines
-are fitted by MLlib on a bounded sample (``SAMPLE_DOCS`` of each language, by a hash of the id). Families vote among each
-other in the same way: one machine for each pair of families.
+Features are hashed byte trigrams of the lower-cased text, square roots of their counts, scaled to length 1. The machines
+are fitted on a bounded sample (about ``SAMPLE_DOCS`` of each language, by a hash of the id, and as many of each family), all
+at once: the rows of a pair are a group of one grouped map, at most about two samples, whatever the number of languages.
+Families vote among each other in the same way: one machine for each pair of families.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from threatspark.llm.common import settled, ship_code
 
 BITS = 12
 SAMPLE_DOCS = 500
+COST, EPOCHS = 10.0, 30
 UNDETERMINED = "und"
 #: Language families by ISO 639-1 code; a language not named here is a family of its own.
 FAMILIES = {
@@ -45,11 +45,28 @@ def _fold(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def _machine(rows: DataFrame, column: str, a: str, b: str) -> tuple[np.ndarray, float]:
-    """Weights of a machine that is positive for ``a``."""
-    pair = rows.where(F.col(column).isin(a, b)).withColumn("label", (F.col(column) == a).cast("double"))
-    model = LinearSVC(maxIter=30, regParam=1e-4, standardization=False).fit(pair)
-    return model.coefficients.toArray(), model.intercept
+def machine(x: np.ndarray, sign: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a linear support vector machine with squared hinge loss, by dual coordinate descent."""
+    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+    signed, weights, alpha = x * sign[:, None], np.zeros(x.shape[1]), np.zeros(len(x))
+    curve = np.einsum("ij,ij->i", x, x) + 0.5 / cost
+    rng = np.random.default_rng(0)
+    for _ in range(epochs):
+        for k in rng.permutation(len(x)):
+            slope = signed[k] @ weights - 1 + alpha[k] * 0.5 / cost
+            step = max(alpha[k] - slope / curve[k], 0.0) - alpha[k]
+            if step:
+                alpha[k] += step
+                weights += step * signed[k]
+    return weights[:-1], float(weights[-1])
+
+
+def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
+    """The machine of one pair; it is positive for ``a``."""
+    rows = rows.sort_values(["sign", "h"], kind="stable")
+    kind, a, b = rows[["kind", "a", "b"]].iloc[0]
+    weights, intercept = machine(np.stack(rows["x"].to_numpy()), rows["sign"].to_numpy(np.float64))
+    return pd.DataFrame({"kind": [kind], "a": [a], "b": [b], "weights": [weights], "intercept": [intercept]})
 
 
 class LanguageModel:
@@ -92,20 +109,30 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, families: di
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample_docs / n))])
     picked = usable.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<float>")
     def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([features_of(t, bits) for t in texts])
+        return pd.Series([features_of(t, bits).astype(np.float32) for t in texts])
 
     names = F.create_map(*[F.lit(v) for lang in counts for v in (lang, family_of.get(lang, lang))])
-    rows = settled(picked.select("lang", names[F.col("lang")].alias("family"), features("text").alias("x")), "sample")
-    rows = rows.withColumn("features", array_to_vector("x")).drop("x").repartition(8).persist()
+    hashed = F.xxhash64("id", "text")
+    rows = settled(picked.select("lang", names[F.col("lang")].alias("family"), features("text").alias("x"), hashed.alias("h")), "sample")
     languages: dict[str, list[str]] = {}
     for r in rows.select("family", "lang").distinct().orderBy("family", "lang").collect():
         languages.setdefault(r["family"], []).append(r["lang"])
-    between = {(a, b): _machine(rows, "family", a, b) for a, b in combinations(sorted(languages), 2)}
-    within = {f: {(a, b): _machine(rows, "lang", a, b) for a, b in combinations(ls, 2)} for f, ls in languages.items()}
-    rows.unpersist()
-    return LanguageModel(languages, between, within, bits)
+    # (language, pair, side, share of its rows): a family's sample is as large as a language's
+    sides = [(lang, "within", a, b, 1.0 if lang == a else -1.0, 1.0) for ls in languages.values() for a, b in combinations(ls, 2) for lang in (a, b)]
+    for a, b in combinations(sorted(languages), 2):
+        sides += [(lang, "between", a, b, 1.0 if f == a else -1.0, 1 / len(languages[f])) for f in (a, b) for lang in languages[f]]
+    machines: dict[str, dict] = {"between": {}, "within": {}}
+    if sides:
+        pairs = docs.sparkSession.createDataFrame(sides, "lang string, kind string, a string, b string, sign double, part double")
+        members = rows.join(F.broadcast(pairs), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("part") * (1 << 20))
+        fitted = members.select("kind", "a", "b", "sign", "h", "x").groupBy("kind", "a", "b").applyInPandas(
+            _fitted, "kind string, a string, b string, weights array<double>, intercept double")
+        for r in fitted.collect():  # one row for each pair
+            machines[r["kind"]][r["a"], r["b"]] = np.array(r["weights"]), r["intercept"]
+    within = {f: {(a, b): machines["within"][a, b] for a, b in combinations(ls, 2)} for f, ls in languages.items()}
+    return LanguageModel(languages, machines["between"], within, bits)
 
 
 def identify(
