@@ -45,6 +45,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def own_names(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns called c0, c1, ..., which no operator uses, and the new names of ``columns``."""
+    place = {c.lower(): k for k, c in enumerate(df.columns)}
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), [f"c{place[c.lower()]}" for c in columns]
+
+
 _shipped: set[str] = set()
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatspark.llm.common import WorkerCache, settled, ship_code
+from threatspark.llm.common import WorkerCache, own_names, settled, ship_code
 
 PART_WORDS = 48
 HALF = 32  # passages are 64 words, one starts every 32
@@ -290,7 +290,9 @@ def _search(docs: DataFrame, sent, overlap: float, schema: T.StructType) -> Data
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no test item is found, with all their columns; also rows without an id are judged."""
-    key = F.concat_ws(":", F.xxhash64(F.col(text_col).cast("string")).cast("string"), F.col(id_col).cast("string"))
-    named = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    plain, (own_id, own_text) = own_names(docs, id_col, text_col)
+    key = F.concat_ws(":", F.xxhash64(F.col(own_text).cast("string")).cast("string"), F.col(own_id).cast("string"))
+    named = plain.select(key.alias("_key"), F.col(own_text).alias("_text"))
     leaks = contaminated(named, benchmark, "_key", "_text").select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.withColumn("_key", key).join(settled(leaks, "leaks"), F.col("_key") == F.col("_leak"), "left_anti").select(*docs.columns)
+    keyed = plain.withColumn("_key", key).join(settled(leaks, "leaks"), F.col("_key") == F.col("_leak"), "left_anti")
+    return keyed.select(*plain.columns).toDF(*docs.columns)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatspark.llm.common import BLANKS, settled
+from threatspark.llm.common import BLANKS, own_names, settled
 
 BLOCK_BYTES = 8192
 
@@ -123,12 +123,13 @@ def exact_duplicates(
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Of rows repeating doc_id and text one stays."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     stay = exact_duplicates(docs, id_col, text_col).where("kept").select(
         F.col("doc_id").alias("_id"), F.col("n_chars").alias("_chars"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumns({
-        "_id0": F.col(id_col), "_chars0": F.length(text).cast("long"),
+    plain, (own_id, own_text) = own_names(docs, id_col, text_col)
+    text = F.coalesce(F.col(own_text), F.lit(""))
+    keyed = plain.withColumns({
+        "_id0": F.col(own_id), "_chars0": F.length(text).cast("long"),
         "_sha0": F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256),
     })
     joined = keyed.join(stay, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_chars0") == F.col("_chars")) & (F.col("_sha0") == F.col("_sha")))
-    return joined.dropDuplicates(["_id", "_chars", "_sha"]).select(*docs.columns)
+    return joined.dropDuplicates(["_id", "_chars", "_sha"]).select(*plain.columns).toDF(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatspark.llm.common import WorkerCache, settled, ship_code
+from threatspark.llm.common import WorkerCache, own_names, settled, ship_code
 
 BUCKET_BITS = 16
 TARGET_DOCS = 20_000
@@ -199,8 +199,6 @@ def _scored(docs: DataFrame, model: Importance, id_col: str, text_col: str, seed
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled rows of ``docs`` with all their columns. Texts are scored again in place of moving them through a join."""
     scored, threshold, model = _decided(docs, labels, id_col, text_col, None, BUCKET_BITS, TARGET_DOCS, NOISE_SEED)
-    # own names for the columns, as those of docs may be the same
-    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    own = [f"c{docs.columns.index(c)}" for c in (id_col, text_col)]
+    plain, own = own_names(docs, id_col, text_col)
     rows = _scored(plain, model, own[0], own[1], NOISE_SEED).where(F.col("perturbed") >= F.lit(threshold))
     return rows.select(*plain.columns).toDF(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatspark.llm.common import settled, ship_code
+from threatspark.llm.common import own_names, settled, ship_code
 from threatspark.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -153,6 +153,7 @@ def without_near_duplicates(
     """
     gone = _grouped(docs, id_col, text_col, shingle_words, max_bits).where(~F.col("stays"))
     gone = settled(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct(), "near")
-    keyed = docs.withColumns({"_own": F.col(id_col), "_own_text": F.xxhash64(F.col(text_col).cast("string"))})
+    plain, (own_id, own_text) = own_names(docs, id_col, text_col)
+    keyed = plain.withColumns({"_own": F.col(own_id), "_own_text": F.xxhash64(F.col(own_text).cast("string"))})
     same = F.col("_own").eqNullSafe(F.col("_gone")) & (F.col("_own_text") == F.col("_gone_text"))
-    return keyed.join(gone, same, "left_anti").select(*docs.columns)
+    return keyed.join(gone, same, "left_anti").select(*plain.columns).toDF(*docs.columns)
