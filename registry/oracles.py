@@ -555,6 +555,10 @@ add("stream_connections", LIVE_VIEWS, LIVE_ROWS + f"""
 , f AS (SELECT *, {listed('domain', L.BLOCK_LIST)} AS b, {listed('domain', L.ALLOW_LIST)} AS a FROM lc)
 SELECT event_id, domain, dst_ip AS destination_ip, CASE WHEN a OR b THEN 0 ELSE {{features}} END AS features_used,
  CASE WHEN b THEN 'phishing' WHEN a THEN 'legitimate' END AS listed_as, true AS as_in_batch FROM f""".replace("{features}", "19"))
+add("stream_detect_model", LIVE_VIEWS, live() + f"""
+, f AS (SELECT *, {listed('domain', L.BLOCK_LIST)} AS b, {listed('domain', L.ALLOW_LIST)} AS a FROM nm)
+SELECT event_id, origin, domain, destination_ip, CASE WHEN a OR b THEN 0 ELSE 9 END AS features_used,
+ CASE WHEN b THEN 'phishing' WHEN a THEN 'legitimate' END AS listed_as, true AS as_in_batch FROM f""")
 add("stream_routed_actions", LIVE_VIEWS, live() + " SELECT action_taken, count(*) AS events, count(DISTINCT domain) AS domains FROM lv GROUP BY 1")
 add("stream_new_domains", LIVE_VIEWS, live() + " SELECT DISTINCT domain, 1::BIGINT AS sightings FROM lv WHERE blocked OR prediction <> 'phishing'")
 add("blocked_only", "detections", f"SELECT event_id, domain FROM ({decided('detections')}) WHERE blocked")

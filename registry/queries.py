@@ -16,7 +16,7 @@ from threatspark.functions.policy import LIVE_POLICY
 from threatspark.model import metrics, training
 from threatspark.operators import features, matching, reports, scoring, verdicts
 from threatspark.plans import detection
-from threatspark.session import work_folder
+from threatspark.session import settled, work_folder
 from threatspark.sources import browser, capture, logs, sinks
 from threatspark.streaming import jobs
 
@@ -634,7 +634,7 @@ def connection_model_cascade(v):
     """Connection features to a fitted model to verdicts, in one run. What the lists, the feeds and the names decide does not
     depend on the fit, nor does the number of hosts left to the model."""
     rows = connections(v).withColumn("label", training.label_index(lexical.keyword_label(F.col("domain"))))
-    matrix = training.training_matrix(rows)
+    matrix = settled(training.training_matrix(rows), "matrix")  # the fit and the scores read it
     names = [c for c in matrix.columns if c not in ("domain", "label")]
     model = training.train(matrix, training.random_forest(names, trees=20, depth=8))
     scored = training.score_batch(matrix, model, names).groupBy("domain").agg(
@@ -642,8 +642,8 @@ def connection_model_cascade(v):
     )
     asked = v.lookalikes.unionByName(v.dns_queries.select(F.col("query_domain").alias("domain")))
     judged = detection.check_domains(asked, "domain", v.feeds, scored)
-    settled = F.when(F.col("ml_ran"), "left to the model").when(F.col("source").isin("hardcoded_blocklist", "hardcoded_allowlist"), "lists").otherwise("other")
-    return judged.groupBy(settled.alias("settled_by")).agg(F.count(F.lit(1)).alias("hosts"))
+    settled_by = F.when(F.col("ml_ran"), "left to the model").when(F.col("source").isin("hardcoded_blocklist", "hardcoded_allowlist"), "lists").otherwise("other")
+    return judged.groupBy(settled_by.alias("settled_by")).agg(F.count(F.lit(1)).alias("hosts"))
 
 
 @query
@@ -947,6 +947,22 @@ def stream_connections(v):
     return live.join(batch, "event_id", "left").select("event_id", "domain", "destination_ip", "features_used", listed.alias("listed_as"), F.coalesce(same, F.lit(False)).alias("as_in_batch"))
 
 
+@query
+def stream_detect_model(v):
+    """Every name seen, judged by a stored model over its lexical features, and whether the tables give the same."""
+    rows = training.domain_training_rows(v.domains, training.label_index(lexical.keyword_label(F.col("domain"))))
+    path = work_folder(v.spark, "domain-model")
+    training.train(rows, training.random_forest(training.DOMAIN_FEATURES, trees=10, depth=8)).save(path)
+    model, s = PipelineModel.load(path), stream_views(v)
+    live = v.spark.read.parquet(run(v, jobs.stream_detect(s.dns_queries, s.tls_handshakes, model=model), "model-detect"))
+    batch = detection.detect(detection.domain_events(v.dns_queries, v.tls_handshakes), model=model)
+    batch = batch.select("event_id", "origin", *[F.col(c).alias(f"_{c}") for c in ("prediction", "confidence", "action_taken")])
+    same = (F.col("prediction") == F.col("_prediction")) & (F.round("confidence", 9) == F.round("_confidence", 9)) & (F.col("action_taken") == F.col("_action_taken"))
+    listed = F.when(F.col("features_used") == 0, F.col("prediction"))
+    return live.join(batch, ["event_id", "origin"], "left").select(
+        "event_id", "origin", "domain", "destination_ip", "features_used", listed.alias("listed_as"), F.coalesce(same, F.lit(False)).alias("as_in_batch"))
+
+
 @query
 def stream_routed_actions(v):
     """Decisions handed to one writer for each action."""

@@ -99,3 +99,16 @@ def test_the_best_model_is_kept(spark, rows, tmp_path):
     meta = spark.read.json(f"{tmp_path}/metadata").first()
     assert meta.model_type == max(results, key=lambda r: r.f1).model
     assert meta.num_samples == rows.count()
+
+
+def test_fits_run_side_by_side(spark):
+    import threading
+
+    together = threading.Barrier(3, timeout=30)
+
+    def work(n):
+        together.wait()  # passes only if three are at work
+        return spark.range(n).count()
+
+    assert training.at_once(work, [4, 5, 6], 3) == [4, 5, 6]
+    assert training.at_once(lambda n: n + 1, range(5), 1) == [1, 2, 3, 4, 5]

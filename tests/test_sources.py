@@ -111,6 +111,26 @@ def test_feeds(spark, tmp_path):
     assert sorted(r.host for r in logs.feed_snapshot_scan(spark, str(tmp_path / "snap.json")).collect()) == ["x.com", "y.com"]
 
 
+def test_snapshots_are_read_in_splits(spark, tmp_path):
+    hosts = [f"h{k}.example.com" for k in range(5000)]
+    (tmp_path / "a.json").write_text(json.dumps(hosts, indent=1))
+    (tmp_path / "b.json").write_text('  [ "x.com" ,\n "y\\u002ecom","h1.example.com", null ]\n')
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = logs.feed_snapshot_scan(spark, str(tmp_path))
+        assert sorted(r.host for r in got.collect()) == sorted([*hosts, "x.com", "y.com"])
+        assert spark.read.option("lineSep", ",").text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for bad in ('["a,b.com"]', "[1]", '{"a": 2}', '["a.com" "b.com"]'):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception, match="no host of a snapshot"):
+            logs.feed_snapshot_scan(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_blocklist_round_trip(spark, tmp_path):
     path = tmp_path / "hosts.txt"
     path.write_text("127.0.0.1 localhost\n127.0.0.1 a.com # PHISHING-DETECTOR-BLOCKED\n127.0.0.1 ba.com # PHISHING-DETECTOR-BLOCKED 2026 x\n")

@@ -56,7 +56,7 @@ def label_index(label: Column) -> Column:
     return F.when((text == "legitimate") | zero, 0).otherwise(1)
 
 
-def domain_training_rows(domains: DataFrame, label: Column) -> DataFrame:
+def domain_training_rows(domains: DataFrame, label: Column, keep: Sequence[str] = ("domain",)) -> DataFrame:
     """Lexical training features of a table of domains with the given label; list membership is left out as a leak."""
     d = F.lower("domain")
     known = {n: c for n, c in domain_columns(F.col("domain")).items() if not n.startswith("is_known")}
@@ -66,7 +66,7 @@ def domain_training_rows(domains: DataFrame, label: Column) -> DataFrame:
         "label_length": F.length(first_label(d)),
         "label_entropy": entropy(first_label(d)),
     }
-    return domains.select("domain", label.alias("label"), *[c.alias(n) for n, c in {**known, **extra}.items()])
+    return domains.select(*keep, label.alias("label"), *[c.alias(n) for n, c in {**known, **extra}.items()])
 
 
 def _class_rank(df: DataFrame, label: str, row_id: str, name: str) -> DataFrame:

@@ -113,121 +113,104 @@ def inter_packet_gaps(
     return running.seconds_since_previous(packets, keys, order, "gap_seconds", rows)
 
 
-# fixed lengths of the steps in which the parts of a flow are put together: second, hour, all
-PART_SECONDS = (1, 3600)
+# lengths of the steps in which the parts of a flow are put together: ten seconds, an hour, all
+PART_SECONDS = (10, 3600)
 
 
-def _merged(a: Column, b: Column) -> Column:
-    """Count, mean and squared deviations of two samples together."""
-    n = a["n"] + b["n"]
-    apart = F.when((a["n"] > 0) & (b["n"] > 0), b["mean"] - a["mean"]).otherwise(0.0)
-    share = F.when(n > 0, b["n"] / n).otherwise(0.0)
-    mean = F.when(a["n"] > 0, a["mean"] + apart * share).otherwise(b["mean"])
-    return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"))
+def spread(n: Column, mean: Column, squares: Column) -> Column:
+    """Sample deviation of ``n`` values from their mean and sum of squares; 0 for one value."""
+    return F.when(n > 1, F.sqrt(F.greatest(squares - n * mean * mean, F.lit(0.0)) / (n - 1))).otherwise(0.0)
 
 
-def _moments(n: Column, mean: Column, m2: Column) -> Column:
-    return F.struct(n.cast("bigint").alias("n"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(m2, F.lit(0.0)).alias("m2"))
-
-
-def deviation(sample: Column) -> Column:
-    """Sample deviation of (n, mean, m2); 0 for one value."""
-    return F.when(sample["n"] > 1, F.sqrt(F.greatest(sample["m2"], F.lit(0.0)) / (sample["n"] - 1))).otherwise(0.0)
+def with_gaps(parts: DataFrame) -> DataFrame:
+    """For rows of ``times`` (a set of microseconds) and ``timed`` (the packets with a time): first_us, last_us, and of the gaps
+    between successive packets gap_squares (their sum), gap_low and gap_high, in microseconds, in place of the set."""
+    listed = parts.withColumn("times", F.sort_array("times"))
+    times, distinct = F.col("times"), F.size("times")
+    steps = F.transform(
+        F.when(distinct > 1, F.sequence(F.lit(1), distinct - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get(times, i) - F.get(times, i - 1))
+    same = F.when(F.col("timed") > distinct, F.lit(0).cast("bigint"))  # between packets at one time
+    return listed.withColumn("_steps", steps).withColumns({
+        "first_us": F.get(times, F.lit(0)), "last_us": F.get(times, distinct - 1), "gap_squares": _squares("_steps"),
+        "gap_low": F.least(F.array_min("_steps"), same), "gap_high": F.greatest(F.array_max("_steps"), same),
+    }).drop("times", "_steps")
 
 
-def _gap_moments(gap: Column) -> Column:
-    return _moments(F.lit(1), gap, F.lit(0.0))
+def _squares(gaps: str) -> Column:
+    return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g.cast("double") * g.cast("double"))
 
 
 def flow_parts(packets: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per (flow, second): a summary that can be put together with the next one of the flow.
+    """One row per (flow, ten seconds): a summary that can be put together with the next one of the flow.
 
-    A second has a million different times at most; packets at one time have no gap between them. So the set of times, which
-    is combined before the shuffle, and the number of packets tell all gaps, and a flow at one single time is one time.
+    Ten seconds have ten million different times at most; packets at one time have no gap between them. So the set of times,
+    which is combined before the shuffle, and the number of packets tell all gaps, and a flow at one single time is one time.
     """
-    us, size = running.epoch_us(F.col(order[0])), F.col("packet_size")
-    last = F.max_by(F.struct(F.col("dst_port").alias("port"), F.col("ttl").alias("ttl")), F.struct(*order))
+    us, size = running.epoch_us(F.col(order[0])), F.col("packet_size").cast("double")
     at = F.floor(us / (PART_SECONDS[0] * running.SECOND)).alias("_at")
     # the key columns may be those that are aggregated, too
-    packed = packets.select(
-        running._packed_keys(keys).alias("_flow"), at, us.alias("_us"), size.alias("packet_size"), "dst_port", "ttl", *[c for c in order if c not in ("dst_port", "ttl")])
-    parts = packed.groupBy("_flow", "_at").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("_us").alias("timed"), F.sort_array(F.collect_set("_us")).alias("times"),
-        _moments(F.count("packet_size"), F.avg("packet_size"), F.var_pop("packet_size") * F.count("packet_size")).alias("size"),
-        F.min("packet_size").alias("low"), F.max("packet_size").alias("high"), F.max(F.struct(*order)).alias("at"), last.alias("last"),
-    )
-    return with_gaps(parts).select("_flow", "_at", F.struct(
-        "rows", "size", "low", "high", "at", "last", "first_us", "last_us", "gaps", "gap_low", "gap_high").alias("part"))
-
-
-def with_gaps(parts: DataFrame) -> DataFrame:
-    """Adds first_us, last_us, gaps (count, mean and squared deviations), gap_low and gap_high, all in seconds, for rows of
-    ``times`` (different microseconds in order) and ``timed`` (the packets with a time)."""
-    times, distinct = F.col("times"), F.size("times")
-    steps = F.transform(
-        F.when(distinct > 1, F.sequence(F.lit(1), distinct - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (F.get(times, i) - F.get(times, i - 1)) / F.lit(1e6))
-    zero = F.col("timed") - distinct  # packets at a time that another one has
-    ends = parts.select("*", steps.alias("_steps"), F.array_min("times").alias("first_us"), F.array_max("times").alias("last_us"))
-    mean = F.when(distinct > 1, (F.col("last_us") - F.col("first_us")) / F.lit(1e6) / (distinct - 1)).otherwise(0.0)
-    squares = F.aggregate("_steps", F.lit(0.0), lambda total, g: total + (g - F.col("_mean")) * (g - F.col("_mean")))
-    summed = ends.withColumn("_mean", mean).withColumn("_m2", squares)
-    moved = _moments(F.greatest(distinct - 1, F.lit(0)), F.col("_mean"), F.col("_m2"))
-    return summed.withColumns({
-        "gaps": _merged(moved, _moments(zero, F.lit(0.0), F.lit(0.0))),
-        "gap_low": F.least(F.array_min("_steps"), F.when(zero > 0, 0.0)), "gap_high": F.greatest(F.array_max("_steps"), F.when(zero > 0, 0.0)),
-    }).drop("_steps", "_mean", "_m2")
+    rest = [c for c in order if c not in ("dst_port", "ttl")]
+    packed = packets.select(running._packed_keys(keys).alias("_flow"), at, us.alias("_us"), "packet_size", "dst_port", "ttl", *rest)
+    return with_gaps(packed.groupBy("_flow", "_at").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_us").alias("timed"), F.collect_set("_us").alias("times"),
+        F.count("packet_size").alias("sizes"), F.sum(size).alias("size_sum"), F.sum(size * size).alias("size_squares"),
+        F.min("packet_size").alias("low"), F.max("packet_size").alias("high"),
+        F.max(F.struct(F.struct(*order).alias("at"), F.col("dst_port").alias("port"), F.col("ttl").alias("ttl"))).alias("last"),
+    ))
 
 
 def _put_together(parts: DataFrame, group: list[str], order: str) -> DataFrame:
-    """The parts of each group as one, along ``order`` (parts without a time first)."""
-    listed = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(order), F.lit(running.UNTIMED)).alias("at"), "part"))).alias("_l"))
-
-    def both(a: Column, item: Column) -> Column:
-        b = item["part"]
-        gap = (b["first_us"] - a["last_us"]) / F.lit(1e6)
-        joined = F.when(gap.isNotNull(), _merged(_merged(a["gaps"], _gap_moments(gap)), b["gaps"])).otherwise(_merged(a["gaps"], b["gaps"]))
-        later = b["at"] > a["at"]
-        return F.struct(
-            (a["rows"] + b["rows"]).alias("rows"), _merged(a["size"], b["size"]).alias("size"), F.least(a["low"], b["low"]).alias("low"),
-            F.greatest(a["high"], b["high"]).alias("high"), F.greatest(a["at"], b["at"]).alias("at"), F.when(later, b["last"]).otherwise(a["last"]).alias("last"),
-            F.coalesce(a["first_us"], b["first_us"]).alias("first_us"), F.coalesce(b["last_us"], a["last_us"]).alias("last_us"), joined.alias("gaps"),
-            F.least(a["gap_low"], b["gap_low"], gap).alias("gap_low"), F.greatest(a["gap_high"], b["gap_high"], gap).alias("gap_high"),
-        )
-
-    first, rest = F.get("_l", F.lit(0))["part"], F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(1)))
-    return listed.select(*group, F.aggregate(rest, first, both).alias("part"))
+    """The parts of each group as one. Only the gaps from one part to the next need their order, so the ends are listed."""
+    ends = F.array_sort(F.collect_list(F.when(F.col("first_us").isNotNull(), F.struct(order, "first_us", "last_us"))))
+    sums = [F.sum(n).alias(n) for n in ("rows", "timed", "sizes", "size_sum", "size_squares", "gap_squares")]
+    put = parts.groupBy(*group).agg(
+        ends.alias("_ends"), *sums, *[F.min(n).alias(n) for n in ("low", "gap_low", "first_us")],
+        *[F.max(n).alias(n) for n in ("high", "gap_high", "last_us", "last")])
+    several = F.when(F.size("_ends") > 1, F.sequence(F.lit(1), F.size("_ends") - 1)).otherwise(F.array().cast("array<int>"))
+    between = F.transform(several, lambda i: F.get("_ends", i)["first_us"] - F.get("_ends", i - 1)["last_us"])
+    return put.withColumn("_between", between).withColumns({
+        "gap_squares": F.col("gap_squares") + _squares("_between"), "gap_low": F.least("gap_low", F.array_min("_between")),
+        "gap_high": F.greatest("gap_high", F.array_max("_between")),
+    }).drop("_ends", "_between")
+
+
+def gap_columns() -> dict[str, Column]:
+    """Gap statistics in seconds from timed, first_us, last_us, gap_squares, gap_low and gap_high."""
+    n = F.col("timed") - 1
+    mean = F.when(n > 0, (F.col("last_us") - F.col("first_us")) / n).otherwise(0.0)
+    micro = F.lit(1e6)
+    return {
+        "inter_packet_timing_mean": mean / micro, "inter_packet_timing_std": spread(n, mean, F.col("gap_squares")) / micro,
+        "inter_packet_timing_min": F.coalesce("gap_low", F.lit(0)) / micro, "inter_packet_timing_max": F.coalesce("gap_high", F.lit(0)) / micro,
+        "flow_duration": (F.col("last_us") - F.col("first_us")) / micro,
+    }
 
 
 def flow_stats(packets: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = PACKET_ARRIVAL) -> DataFrame:
     """Size, timing and volume statistics per flow.
 
-    No packet is sorted: each (flow, second) is summed up on its own and combined before the shuffle, the seconds of an hour
-    are put together in order, then the hours. So a flow may hold any share of the packets.
+    No packet is sorted: each (flow, ten seconds) is summed up on its own and combined before the shuffle, those of an hour are
+    put together, then the hours. So a flow may hold any share of the packets.
     """
-    seconds = flow_parts(packets, keys, order)
+    parts = flow_parts(packets, keys, order)
     hour = F.floor(F.col("_at") / (PART_SECONDS[1] // PART_SECONDS[0]))
-    hours = _put_together(seconds.withColumn("_hour", hour), ["_flow", "_hour"], "_at")
+    hours = _put_together(parts.withColumn("_hour", hour), ["_flow", "_hour"], "_at")
     flows = _put_together(hours, ["_flow"], "_hour")
-    p, size, gaps = F.col("part"), F.col("part.size"), F.col("part.gaps")
-
-    stats = flows.select("_flow", "part", ((p["last_us"] - p["first_us"]) / F.lit(1e6)).alias("flow_duration"))
-    return stats.select(
+    mean = F.when(F.col("sizes") > 0, F.col("size_sum") / F.col("sizes"))
+    gaps = gap_columns()
+    return flows.select(
         *[F.col(f"_flow.{c}").alias(c) for c in keys],
-        F.when(size["n"] > 0, size["mean"]).alias("packet_size_mean"),
-        deviation(size).alias("packet_size_std"),
-        p["low"].alias("packet_size_min"),
-        p["high"].alias("packet_size_max"),
-        (p["high"] - p["low"]).alias("packet_size_range"),
-        gaps["mean"].alias("inter_packet_timing_mean"),
-        deviation(gaps).alias("inter_packet_timing_std"),
-        F.coalesce(p["gap_low"], F.lit(0.0)).alias("inter_packet_timing_min"),
-        F.coalesce(p["gap_high"], F.lit(0.0)).alias("inter_packet_timing_max"),
-        p["rows"].alias("total_packets"),
-        "flow_duration",
-        F.when(F.col("flow_duration") > 0, p["rows"] / F.col("flow_duration")).otherwise(0.0).alias("packets_per_second"),
-        p["last"]["port"].alias("destination_port"),
-        p["last"]["ttl"].alias("ttl_value"),
+        mean.alias("packet_size_mean"),
+        spread(F.col("sizes"), mean, F.col("size_squares")).alias("packet_size_std"),
+        F.col("low").alias("packet_size_min"),
+        F.col("high").alias("packet_size_max"),
+        (F.col("high") - F.col("low")).alias("packet_size_range"),
+        *[gaps[n].alias(n) for n in gaps if n != "flow_duration"],
+        F.col("rows").alias("total_packets"),
+        gaps["flow_duration"].alias("flow_duration"),
+        F.when(gaps["flow_duration"] > 0, F.col("rows") / gaps["flow_duration"]).otherwise(0.0).alias("packets_per_second"),
+        F.col("last.port").alias("destination_port"),
+        F.col("last.ttl").alias("ttl_value"),
     )
 
 

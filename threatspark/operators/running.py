@@ -81,20 +81,21 @@ class RowSlices:
         self.rows, self.width, self.ties, self.cuts = rows or ROWS_PER_SLICE, width, ties, None
         if at_most is not None and at_most <= self.rows:
             return
-        packed = source.select(_packed_keys(keys).alias(KEYS), self._place(position).alias(POSITION))
         heavy = heavy_keys(source, keys, self.rows)
         if heavy is None:
             return
-        placed = packed.join(heavy, KEYS, "left_semi").withColumn("_stretch", self._stretch(F.col(f"{POSITION}.at")))
-        counted = placed.groupBy(KEYS, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+        stretches = source.select(_packed_keys(keys).alias(KEYS), self._stretch(position).alias("_stretch"))
+        counted = stretches.groupBy(KEYS, "_stretch").agg(F.count(F.lit(1)).alias("_n")).join(heavy, KEYS, "left_semi")
         before = F.coalesce(F.sum("_n").over(Window.partitionBy(KEYS).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counted = settled(counted.withColumn("_before", before), "stretches")
         base = F.floor(F.col("_before") / self.rows).alias("_base")
         full = counted.filter(F.col("_n") > self.rows)
-        none = F.array().cast(T.ArrayType(packed.schema[POSITION].dataType))
         if full.isEmpty():
-            self.cuts = counted.select(KEYS, "_stretch", base, none.alias("_bounds"))
+            self.ties = None  # nothing is cut within a stretch
+            place = source.select(self._place(position).alias(POSITION)).schema[POSITION].dataType
+            self.cuts = counted.select(KEYS, "_stretch", base, F.array().cast(T.ArrayType(place)).alias("_bounds"))
             return
+        placed = source.select(_packed_keys(keys).alias(KEYS), self._stretch(position).alias("_stretch"), self._place(position).alias(POSITION))
         bounds = self._bounds(placed.join(full.select(KEYS, "_stretch", "_before"), [KEYS, "_stretch"]))
         self.cuts = settled(counted.select(KEYS, "_stretch", base).join(bounds, [KEYS, "_stretch"], "left"), "cuts")
 

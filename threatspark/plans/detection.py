@@ -43,8 +43,15 @@ def domain_events(queries: DataFrame, handshakes: DataFrame) -> DataFrame:
     return dns.unionByName(tls).select(*columns, "origin", F.explode(names).alias("domain"))
 
 
-def predict(events: DataFrame, lists: L.HostLists = L.HostLists()) -> DataFrame:
-    """Prediction per domain event: the lists first, else the keyword rules of its origin."""
+def predict(
+    events: DataFrame, lists: L.HostLists | ListTables = L.HostLists(), model: PipelineModel | None = None, features: Sequence[str] = training.DOMAIN_FEATURES
+) -> DataFrame:
+    """Prediction per domain event: the lists first, else a fitted pipeline over the lexical ``features`` of the name, or without
+    one the keyword rules of its origin."""
+    if model is not None:
+        named = training.domain_training_rows(events, F.lit(None).cast("int"), keep=events.columns).drop("label")
+        scored = training.score_batch(training.training_matrix(named, drop=events.columns, keep=events.columns), model, features, lists, events.columns)
+        return scored.select(*events.columns, "prediction", "confidence", "risk_level", "features_used")
     ruled = keyword_verdict(events, "domain", F.col("origin") == "dns").withColumn("features_used", F.lit(RULE_FEATURES))
     return list_override(ruled, lists)
 
@@ -61,6 +68,9 @@ def detect_connections(
     return decide(training.score_batch(flat, model, features, lists, keep=("event_id", "ts", "domain", "destination_ip")), rules)
 
 
-def detect(events: DataFrame, lists: L.HostLists = L.HostLists(), rules: DecisionPolicy = LIVE_POLICY) -> DataFrame:
-    """Domain events to logged decisions. Row-wise only, so batch and stream share it and nothing is shuffled."""
-    return decide(predict(events, lists).withColumnRenamed("dst_ip", "destination_ip"), rules)
+def detect(
+    events: DataFrame, lists: L.HostLists | ListTables = L.HostLists(), rules: DecisionPolicy = LIVE_POLICY,
+    model: PipelineModel | None = None, features: Sequence[str] = training.DOMAIN_FEATURES,
+) -> DataFrame:
+    """Domain events to logged decisions. Row-wise only (with literal lists), so batch and stream share it and nothing is shuffled."""
+    return decide(predict(events, lists, model, features).withColumnRenamed("dst_ip", "destination_ip"), rules)

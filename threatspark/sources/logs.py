@@ -134,10 +134,18 @@ def feed_domains_netloc(
 
 
 def feed_snapshot_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Hosts of a cached snapshot: each file is one JSON array of strings, read as one row by one task, 2 GB at most (some 80
-    million hosts). Larger snapshots belong into several files, or one host a line for :func:`read_text_feed`."""
-    whole = spark.read.option("wholetext", "true").text(path)
-    return whole.select(F.explode(F.from_json("value", "array<string>")).alias("host")).distinct()
+    """Distinct hosts of a cached snapshot: each file is one JSON array of strings.
+
+    A file is read in splits, from comma to comma, so it may be of any size. Hosts have no commas: an entry with one, or one that
+    is no string, ends the job with an error.
+    """
+    part = F.col("value")
+    entry = F.regexp_extract(part, r'(?s)^\s*\[?\s*("(?:[^"\\]|\\.)*")\s*\]?\s*$', 1)
+    host = F.get(F.from_json(F.concat(F.lit("["), entry, F.lit("]")), "array<string>"), F.lit(0))
+    empty = part.rlike(r"(?s)^\s*\[?\s*(?:null)?\s*\]?\s*$")
+    wrong = F.raise_error(F.concat(F.lit("no host of a snapshot: "), F.left(part, F.lit(100))))
+    parts = spark.read.option("lineSep", ",").text(path)
+    return parts.select(F.when(entry != "", host).when(~empty, wrong).alias("host")).filter(F.col("host").isNotNull()).distinct()
 
 
 def marked(line: Column, marker: str = L.BLOCK_MARKER) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threatspark import lexicon as L
 from threatspark.functions.policy import LIVE_POLICY, DecisionPolicy
-from threatspark.operators.features import deviation, live_connections, with_gaps
+from threatspark.model.training import DOMAIN_FEATURES
+from threatspark.operators.features import gap_columns, live_connections, with_gaps
 from threatspark.operators.matching import ListTables, feed_parent_match
 from threatspark.operators.verdicts import loggable, logged_event_override, verdict_cascade
 from threatspark.plans.detection import detect, detect_connections, domain_events
@@ -81,10 +82,12 @@ def route_actions(handlers: dict[str, Callable[[DataFrame, int], None]]) -> Call
 
 # --- jobs: each returns the streaming frame to be written -----------------------------------------
 def stream_detect(
-    queries: DataFrame, handshakes: DataFrame, lists: L.HostLists = L.HostLists(), rules: DecisionPolicy = LIVE_POLICY
+    queries: DataFrame, handshakes: DataFrame, lists: L.HostLists = L.HostLists(), rules: DecisionPolicy = LIVE_POLICY,
+    model: PipelineModel | None = None, features: Sequence[str] = DOMAIN_FEATURES,
 ) -> DataFrame:
-    """Decisions for every name seen, straight through without state."""
-    return detect(domain_events(queries, handshakes), lists, rules)
+    """Decisions for every name seen, straight through without state: by a stored model over the features of the name, or by
+    the keyword rules without one. :func:`stream_connections` adds the features of the connection."""
+    return detect(domain_events(queries, handshakes), lists, rules, model, features)
 
 
 def stream_connections(
@@ -194,14 +197,11 @@ def stream_flow_sessions(packets: DataFrame, gap: str = "30 seconds", delay: str
         F.min(size).alias("packet_size_min"), F.max(size).alias("packet_size_max"),
         F.max_by("ttl", F.struct("ts", "event_id", "seq")).alias("ttl_value"),
     )
-    closed = with_gaps(sessions.withColumn("times", F.sort_array("times")))
-    seconds = (F.col("last_us") - F.col("first_us")) / F.lit(1e6)
-    return closed.withColumn("flow_duration", seconds).select(
+    gaps = gap_columns()
+    return with_gaps(sessions).withColumns(gaps).select(
         *keys, F.col("w.start").alias("session_start"), "total_packets", "packet_size_mean", "packet_size_std", "packet_size_min", "packet_size_max",
-        (F.col("packet_size_max") - F.col("packet_size_min")).alias("packet_size_range"),
-        F.col("gaps.mean").alias("inter_packet_timing_mean"), deviation(F.col("gaps")).alias("inter_packet_timing_std"),
-        F.coalesce("gap_low", F.lit(0.0)).alias("inter_packet_timing_min"), F.coalesce("gap_high", F.lit(0.0)).alias("inter_packet_timing_max"),
-        "flow_duration", F.when(F.col("flow_duration") > 0, F.col("total_packets") / F.col("flow_duration")).otherwise(0.0).alias("packets_per_second"),
+        (F.col("packet_size_max") - F.col("packet_size_min")).alias("packet_size_range"), *gaps,
+        F.when(F.col("flow_duration") > 0, F.col("total_packets") / F.col("flow_duration")).otherwise(0.0).alias("packets_per_second"),
         F.col("dst_port").alias("destination_port"), "ttl_value",
     )
 
