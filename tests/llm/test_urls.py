@@ -42,3 +42,15 @@ def test_many_long_urls_move_side_by_side():
     automaton = GlobAutomaton(["*.org#/x*y", "a*"])
     texts = [b"." + b"h" * k + b".org#/x" + b"z" * (k * 3) + b"y" for k in range(40)] + [b""]
     assert automaton.matches(texts).tolist() == [[fits("*.org#/x*y", t.decode()), False] for t in texts]
+
+
+def test_many_globs_are_judged_in_parts(spark, monkeypatch):
+    from threatspark.llm import urls
+
+    globs = [f"*.h{k}.net#/p{k % 7}*" for k in range(400)]
+    pages = spark.range(900).selectExpr("id AS page_id", "concat('http://a.h', cast(id % 450 AS string), '.net/p', cast(id % 5 AS string), '/x') AS url")
+    whole = sorted(map(str, judge_urls(pages, blocked=globs).collect()))
+    assert sum("block" in r for r in whole) > 50
+    for cells in (1, 1 << 14):
+        monkeypatch.setattr(urls, "CELLS", cells)
+        assert sorted(map(str, judge_urls(pages, blocked=globs).collect())) == whole

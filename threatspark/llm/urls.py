@@ -28,6 +28,8 @@ RULES = [
 #: Globs over ``.host#path``, used where no rule fits: advertising, trackers and spam by host.
 BLOCKED = ["*.ads.*#*", "*.ads-*#*", "*-ads.*#*", "*.track*.*#*", "*cheap-*#*", "*-pills*#*", "*casino*#*"]
 _FEW = 16
+#: Bytes of a task for states and results: so many URLs are judged side by side as fit into it.
+CELLS = 1 << 26
 
 
 class GlobAutomaton:
@@ -130,9 +132,14 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, blocked: lis
 
     @F.pandas_udf("rule string, verdict string")
     def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        found = automaton.matches([f".{h}#{p}".encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths, strict=True)])
-        by_rule, rest = found[:, : len(ordered)], found[:, len(ordered) :].any(axis=1)
-        best = np.where(by_rule.any(axis=1), by_rule.argmax(axis=1), -1) if len(ordered) else np.full(len(found), -1)
+        texts = [f".{h}#{p}".encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths, strict=True)]
+        best, rest = np.full(len(texts), -1), np.zeros(len(texts), bool)
+        step = max(1, CELLS // (automaton.n + 8 * automaton.words + 1))
+        for low in range(0, len(texts), step):
+            found = automaton.matches(texts[low : low + step])
+            by_rule, rest[low : low + step] = found[:, : len(ordered)], found[:, len(ordered) :].any(axis=1)
+            if ordered:
+                best[low : low + step] = np.where(by_rule.any(axis=1), by_rule.argmax(axis=1), -1)
         return pd.DataFrame({
             "rule": [names[b] if b >= 0 else None for b in best.tolist()],
             "verdict": [ordered[b][0] if b >= 0 else "block" if r else "allow" for b, r in zip(best.tolist(), rest.tolist(), strict=True)],
