@@ -361,8 +361,10 @@ def connection_features(
     The rows are the names asked for with the addresses they resolved to, or those of ``requests`` (domain,
     destination_ip, and an optional sni), whether they were seen on the wire or not. Groups without a packet get defaults.
 
-    Every lookup is aggregated to its key before it is joined, so the joins see one row per name or address. Session
-    features are those of the handshake that supplies the TLS features; no other handshake is numbered or counted.
+    Every lookup is aggregated to its key before it is joined, so the joins see one row per name or address. What belongs to an
+    address (its first handshake with the session features, its flow statistics) is written as one table, so whatever reads the
+    result several times, such as a fit and a scoring, computes it once. Session features are those of the handshake that
+    supplies the TLS features; no other handshake is numbered or counted.
     """
     asked = F.lit(None).cast("string")
     if requests is None:
@@ -388,8 +390,9 @@ def connection_features(
 
     flows = flows_for_ip(packets)
     flows = flows.select(F.col("dst_ip").alias("destination_ip"), F.struct(*FLOW_DEFAULTS).alias("f"))
+    addresses = settled(tls.join(flows, "destination_ip", "full_outer"), "addresses")
 
-    joined = pairs.join(dns, "domain", "left").join(tls, "destination_ip", "left").join(flows, "destination_ip", "left")
+    joined = pairs.join(dns, "domain", "left").join(addresses, "destination_ip", "left")
     lexical = domain_columns(F.col("domain"), lists)
     name = F.col("domain")
     seen = joined.withColumns({"sni": F.col("h.sni"), "asked_or_domain": F.coalesce("asked_sni", "domain"), "tls_version": F.col("h.tls_version"), "dst_port": F.col("h.dst_port"),
