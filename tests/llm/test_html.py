@@ -37,6 +37,7 @@ CASES = [
     (f"<div class=sidebar><p>{_BODY}</p></div>", _BODY), (f"<p>{_BODY}</p><div class='SideBar-left box'>no</div><div id=cookie-banner>no</div>", _BODY),
     (f"<article><p>{_BODY}</p><section id=related-work>a</section><h2 id=ad-blocking>b</h2><p id=promotion>c</p></article>", _BODY + "\n\na\n\nb\n\nc"),
     (f"<article><p>{_BODY}</p><section class=related-posts>no</section><div class='ad slot'>no</div></article>", _BODY),
+    (f"<div class=ad>{_BODY}</div><article><p>a short text</p></article>", "a short text"),
     ("<article><p>x <math><mi>a</mi></math> <label>b</label> <object>c</object></article>", "x a b c"),
     (f"<article><p>x y</p></article><ol class=discussion><li>{_BODY}</li></ol><div class=comment-list>{_BODY}</div>", "x y"),
     ("<section class=discussion><h2>Discussion</h2><p>a</p></section>", "Discussion\n\na"), ("<div class=comments><p>the only text</p></div>", "the only text"),

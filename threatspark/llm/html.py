@@ -12,9 +12,10 @@ or boilerplate; loose text in no block of the body is compared as the block it w
 
 A class or id marks boilerplate if one of its names is a word of the list, alone or beside words of place and shape only
 (``sidebar``, ``comment-list``; not ``has-sidebar`` or ``related-work``); paragraphs and headings are never marked so inside an
-article. Whatever is marked, forms, dialogs, asides and hidden containers stay if they hold most of the page's text, and all
-but asides if they hold the larger part of its articles; only comments and lists of other articles go whatever they hold,
-unless the page has no other text. What the names can't tell, the counts decide.
+article. What is marked stays if it holds an article, or most of the text of a page without one. Forms, dialogs, asides and
+hidden containers stay if they hold most of the page's text, and all but asides if they hold the larger part of its articles.
+Only comments and lists of other articles go whatever they hold, unless the page has no other text. What the names can't tell,
+the counts decide.
 """
 
 from __future__ import annotations
@@ -91,14 +92,14 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "hidden", "children", "digest", "has_article", "size", "held", "most", "holds", "alone")
+    __slots__ = ("tag", "marks", "role", "hidden", "children", "digest", "has_article", "size", "held", "most", "holds", "alone", "bare")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.children, self.digest, self.has_article = tag, [], b"", False
         self.marks, self.role, self.hidden = "", "", False
         self.size, self.held = 0, 0  # words without those of boilerplate, and those of them in articles
         self.most, self.holds = True, True  # whether these are the larger part of the page's; known at its end
-        self.alone = False  # the page has no text but in what is marked
+        self.alone, self.bare = False, True  # the page has no text but in what is marked; it has no article
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 name = m[1].lower()
@@ -127,7 +128,7 @@ class Node:
         words = _marking(self.marks)
         if words & _LISTED_WORDS or self.tag in _LISTS and words & _THREAD_WORDS:
             return True
-        return bool(words & _DROPPED_WORDS) and not wraps and not self.most
+        return bool(words & _DROPPED_WORDS) and not wraps and not (self.most and self.bare)
 
 
 @lru_cache(4096)
@@ -233,7 +234,7 @@ def _finish(root: Node) -> None:
             node.alone = True
             node.size = sum(len(c.split()) if isinstance(c, str) else 0 if c.boilerplate() else c.size for c in node.children)
     for node in reversed(order):
-        node.most, node.holds = 2 * node.size > root.size, 2 * node.held > root.held
+        node.most, node.holds, node.bare = 2 * node.size > root.size, 2 * node.held > root.held, not root.held
     if any(n.tag in _WRAPPERS or n.hidden or n.role in _WRAPPER_ROLES or n.marks for n in order):
         for node in reversed(order):  # again, as wrappers may be boilerplate by now
             below = (c for c in node.children if isinstance(c, Node) and (c.has_article or c.tag in ("article", "main")))
