@@ -1,13 +1,13 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items by block-max WAND.
 
-Test items are cut into parts of at most PART_WORDS words; a part is what the index scores. Statistics (document
-frequencies, mean length) come from all parts. Impacts are divided by the score of the part for itself, so that one
+Test items are cut into parts of at most PART_WORDS words; a part is what the index scores. Document frequencies count items,
+as the parts of an item are parts of one text; the mean length is that of all parts. Impacts are divided by the score of the part for itself, so that one
 threshold holds for all parts and bounds can be compared with it.
 
 The index is used in blocks of at most ``block_postings`` postings, each sent to the executors, as many passes over the
 documents as there are blocks. Within one, parts are ordered by their
-words and grouped by BLOCK_PARTS. The most frequent terms stand before the pivot: they can't lift any part above PIVOT of
-the threshold, so a passage needs terms behind the pivot. For these the largest impact (WAND) and the largest impact in
+words and grouped by BLOCK_PARTS. The most frequent terms stand before the pivot, which is fixed for the block (no cursors move it):
+they can't lift any part above PIVOT of the threshold, so a passage needs terms behind the pivot. For these the largest impact (WAND) and the largest impact in
 each group (block-max) are kept, and for each group the most that the terms before the pivot can add. A passage is passed
 over if its largest impacts stay below the threshold; then every group whose block-max sum does. Only what is left is
 scored. Words repeated in a passage count once.
