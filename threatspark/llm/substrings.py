@@ -120,14 +120,18 @@ class _Slice:
         start = at[first]
         return start, n, best[first], _spans_hash(self.hashes, start, n + window - 1, _M2), place[first]
 
-    def windows_of(self, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The windows of some phrases, each as a phrase of its own: start, 1, and two hashes of the text."""
+    def windows_of(self, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """The windows of some phrases, each as a phrase of its own: start, 1, two hashes of the text, and the start again."""
         starts = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
         size = np.full(len(starts), window, np.int64)
-        return starts, np.ones(len(starts), np.int64), _spans_hash(self.hashes, starts, size, _M1), _spans_hash(self.hashes, starts, size, _M2)
+        return starts, np.ones(len(starts), np.int64), _spans_hash(self.hashes, starts, size, _M1), _spans_hash(self.hashes, starts, size, _M2), starts
 
-    def rows(self, start: np.ndarray, n: np.ndarray, h: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
-        """Phrases (or windows) not met before in this slice, and with n below zero the runs of those that were."""
+    def rows(self, start: np.ndarray, n: np.ndarray, h: np.ndarray, text: np.ndarray, place_: np.ndarray) -> pa.RecordBatch:
+        """Phrases (or windows) not met before in this slice, and with n below zero the runs of those that were.
+
+        The upper half of n is the distance of the anchor from the start, which is the same wherever the text is.
+        """
+        packed = n | (place_ - start) << 16
         own = self.of[start]
         place = start - self.low[own]
         doc, tag = self.doc[own], self.tag[own]
@@ -151,7 +155,7 @@ class _Slice:
         return pa.RecordBatch.from_arrays([
             pa.array(cat([h[go], spread]).view(np.int64)), pa.array(cat([text[go], np.zeros(len(lows), np.uint64)]).view(np.int64)),
             pa.array(cat([doc[go], doc[lows]])), pa.array(cat([tag[go], tag[lows]])),
-            pa.array(cat([place[go], place[lows]])), pa.array(cat([n[go], -sizes]).astype(np.int32)),
+            pa.array(cat([place[go], place[lows]])), pa.array(cat([packed[go], -sizes]).astype(np.int32)),
         ], names=["h", "text", "doc", "tag", "at", "n"])
 
 
@@ -178,7 +182,8 @@ def _slices(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[
             keys.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()))
             words.append(text)
             if extra:
-                spans.append(np.array([x["at"] for x in batch.column(3)[k].as_py()], np.int64))
+                found = batch.column(3)[k].values
+                spans.append(np.stack([found.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("at", "n", "h", "lead")]))
             total += len(text)
             if total >= SLICE_WORDS:
                 yield keys, words, spans
@@ -187,13 +192,11 @@ def _slices(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[
         yield keys, words, spans
 
 
-def segments(part: _Slice, starts: np.ndarray, window: int) -> pa.RecordBatch:
-    """The phrases that begin at ``starts`` with the hashes of their words, in a line on which the anchor has a fixed place."""
+def segments(part: _Slice, start: np.ndarray, n: np.ndarray, h: np.ndarray, lead: np.ndarray, window: int) -> pa.RecordBatch:
+    """Phrases with the hashes of their words, in a line on which the anchor has a fixed place."""
     gram = min(ANCHOR, window)
     left = window - gram
-    start, n, h, _, place = part.phrases(window)
-    go = np.isin(start, starts)
-    start, n, h, place = start[go], n[go], h[go], place[go]
+    place = start + lead
     line = place[:, None] - left + np.arange(2 * left + gram)
     inside = (line >= start[:, None]) & (line < (start + n + window - 1)[:, None])
     words = np.where(inside, part.hashes[np.clip(line, 0, len(part.hashes) - 1)], np.uint64(0)) if len(start) else np.empty((0, 2 * left + gram), np.uint64)
@@ -201,7 +204,7 @@ def segments(part: _Slice, starts: np.ndarray, window: int) -> pa.RecordBatch:
     size = 8 * words.shape[1]
     data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((np.arange(len(start) + 1) * size).astype(np.int32)), pa.py_buffer(words.tobytes())])
     return pa.RecordBatch.from_arrays([
-        pa.array(h.view(np.int64)), pa.array(part.doc[own]), pa.array(part.tag[own]), pa.array(start - part.low[own]), pa.array(n.astype(np.int32)),
+        pa.array(h), pa.array(part.doc[own]), pa.array(part.tag[own]), pa.array(start - part.low[own]), pa.array(n.astype(np.int32)),
         pa.array((place - start).astype(np.int32)), data], names=_SEGMENTS.names)
 
 
@@ -218,26 +221,35 @@ def factors(h: np.ndarray, n: np.ndarray, lead: np.ndarray, words: np.ndarray, w
     sums = np.zeros((len(h), size + 1), np.uint64)
     np.cumsum(words * powers[:size], axis=1, out=sums[:, 1:])
 
-    def known(at: int, length: int, rows: np.ndarray) -> np.ndarray:
-        """Of the given rows, all that have the gram, those in which it isn't the first of its kind."""
-        key = _mixed(sums[rows, at + length] - sums[rows, at]) ^ _mixed(h[rows])
-        _, first, kind = np.unique(key, return_index=True, return_inverse=True)
-        return first[kind] < np.arange(len(rows))
+    own = _mixed(h)
+
+    def known(at: int, length: int, rows: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows, which all have the gram: those asked for in which it isn't the first of its kind, and all of their kinds."""
+        key = _mixed(sums[rows, at + length] - sums[rows, at]) ^ own[rows]
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])
+        kind = np.cumsum(new) - 1
+        hits = ~new & asked[rows[order]]
+        of_kind = np.zeros(kind[-1] + 1, bool)
+        of_kind[kind[hits]] = True
+        return rows[order[hits]], np.sort(rows[order[of_kind[kind]]])
 
     found, cursor = [], low.copy()
     for at in range(left + 1):
         have = np.flatnonzero((low <= at) & (high >= at + window))
-        hit = have[known(at, window, have)] if len(have) else have
-        active = hit[cursor[hit] <= at]  # windows within a factor are known with it
-        length = np.full(len(h), window)
-        growing, longer = active, window
+        # windows within a factor are known with it; the others are looked up
+        active, pool = known(at, window, have, cursor <= at) if len(have) else (have, have)
+        length, longer, growing = np.full(len(h), window), window, active
         while len(growing):  # the longest match: the gram is made longer as long as an earlier phrase has it
             longer += 1
-            have = np.flatnonzero((low <= at) & (high >= at + longer))
-            if not len(have):
+            pool = pool[high[pool] >= at + longer]
+            if not len(pool):
                 break
-            growing = np.intersect1d(growing, have[known(at, longer, have)], assume_unique=True)
+            asked = np.zeros(len(h), bool)
+            asked[growing] = True
+            growing, pool = known(at, longer, pool, asked)
             length[growing] = longer
+        active = np.sort(active)
         windows = length[active] - window + 1
         cursor[active] = at + windows
         found.append((active, at - low[active], windows))
@@ -245,7 +257,7 @@ def factors(h: np.ndarray, n: np.ndarray, lead: np.ndarray, words: np.ndarray, w
 
 
 def _known_earlier(rows: DataFrame) -> DataFrame:
-    """doc, tag, at, n, kind: 1 for factors, 2 for new phrases whose anchor stands in several kinds."""
+    """doc, tag, at, n, h, lead, kind: 1 for factors, 2 for new phrases whose anchor stands in several kinds."""
     order = ["doc", "tag", "at"]
     anchor = Window.partitionBy("h").orderBy("text", "n", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = [f("text").over(anchor) for f in (F.first, F.last)] + [f("n").over(anchor) for f in (F.first, F.last)]
@@ -255,7 +267,8 @@ def _known_earlier(rows: DataFrame) -> DataFrame:
     later = (F.col("tag") > tag) | ((F.col("tag") == tag) & (F.col("at") > at))
     rows = rows.withColumn("earlier", (F.col("doc") > doc) | ((F.col("doc") == doc) & later))
     found = F.when((F.col("n") < 0) | F.col("earlier"), 1).when(F.col("several"), 2)
-    return rows.select("doc", "tag", "at", F.abs("n").alias("n"), found.alias("kind")).where("kind is not null")
+    n = F.when(F.col("n") < 0, -F.col("n")).otherwise(F.col("n").bitwiseAND(0xFFFF))
+    return rows.select("doc", "tag", "at", n.alias("n"), "h", F.shiftright("n", 16).alias("lead"), found.alias("kind")).where("kind is not null")
 
 
 def _hot_anchors(keyed: DataFrame, window: int) -> np.ndarray:
@@ -297,9 +310,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _by_document(spans: DataFrame) -> DataFrame:
+def _by_document(spans: DataFrame, *columns: str) -> DataFrame:
     """The spans of each document in one list, which the length of the document bounds."""
-    return spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("at", "n")).alias("_spans"))
+    return spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct(*columns)).alias("_spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +337,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, words, _ in _slices(batches):
             part = _Slice(keys, words)
-            rows = part.phrases(window)[:4]
+            rows = part.phrases(window)
             if len(hot):
                 many = np.isin(rows[2], hot)
                 alone = part.windows_of(rows[0][many], rows[1][many], window)
@@ -336,7 +349,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, words, spans in _slices(batches, True):
             part = _Slice(keys, words)
-            yield segments(part, np.concatenate([s + low for s, low in zip(spans, part.low, strict=False)]), window)
+            at, n, h, lead = np.concatenate(spans, axis=1)
+            low = np.repeat(part.low[:-1], [s.shape[1] for s in spans])
+            yield segments(part, at + low, n, h, lead, window)
 
     def factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
@@ -374,11 +389,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     found = settled(_known_earlier(keyed.select("doc", "tag", "text").mapInArrow(phrases, _ROWS)), "factors")
     by_doc = ["doc", "tag", "text", "doc_id"]
-    edges = _by_document(found.where("kind = 2"))
+    edges = _by_document(found.where("kind = 2"), "at", "n", "h", "lead")
     touched = keyed.select(*by_doc).join(edges, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")))
     routed = touched.select("doc", "tag", "text", "_spans").mapInArrow(to_blocks, _SEGMENTS)
     parsed = routed.repartition("h").sortWithinPartitions("h", "doc", "tag", "at").mapInArrow(factored, _FACTORS)
-    spans = _by_document(found.where("kind = 1").select("doc", "tag", "at", "n").unionByName(parsed))
+    spans = _by_document(found.where("kind = 1").select("doc", "tag", "at", "n").unionByName(parsed), "at", "n")
     marked = keyed.select(*by_doc).join(spans, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
