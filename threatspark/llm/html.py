@@ -268,8 +268,21 @@ def subtree_hashes(text: str | None) -> dict[int, bool]:
     list or table."""
     page = parse(text or "")
     found = (n for n, inside in _walk(page, False) if _comparable(n, inside))
-    return {_loose_hash(b): False for b, loose in _blocks(page) if loose} | {
-        int.from_bytes(n.digest, "big", signed=True): n.tag in _PARTS for n in found}
+    blocks = (_loose_hash(b) for b, loose in (_blocks(page) if _has_loose(page) else ()) if loose)
+    return dict.fromkeys(blocks, False) | {int.from_bytes(n.digest, "big", signed=True): n.tag in _PARTS for n in found}
+
+
+def _has_loose(page: Node) -> bool:
+    """Whether there is text in no block of the body."""
+    todo = [page]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                if c and not c.isspace():
+                    return True
+            elif c.tag not in _BLOCK or c.tag in ("html", "body"):
+                todo.append(c)
+    return False
 
 
 def _loose_hash(block: str) -> int:
