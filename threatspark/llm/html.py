@@ -235,7 +235,7 @@ def _finish(root: Node) -> None:
             node.size = sum(len(c.split()) if isinstance(c, str) else 0 if c.boilerplate() else c.size for c in node.children)
     for node in reversed(order):
         node.most, node.holds, node.bare = 2 * node.size > root.size, 2 * node.held > root.held, not root.held
-    if any(n.tag in _WRAPPERS or n.hidden or n.role in _WRAPPER_ROLES or n.marks for n in order):
+    if any(n.tag in _WRAPPERS or n.hidden or n.role in _WRAPPER_ROLES or n.alone for n in order):
         for node in reversed(order):  # again, as wrappers may be boilerplate by now
             below = (c for c in node.children if isinstance(c, Node) and (c.has_article or c.tag in ("article", "main")))
             node.has_article = any(not c.boilerplate() for c in below)
