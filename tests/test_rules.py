@@ -333,6 +333,32 @@ def test_words_are_found_wherever_they_stand(spark):
     assert got == {"abcabcd": {"a": ["abc", "bcabcd"]}, "xabc": {"a": ["abc"]}, "zz": {"b": ["z"]}}
 
 
+def test_words_that_begin_alike_do_not_meet_every_host(spark):
+    """Hosts meet the words that they hold, not all that share a beginning."""
+    words = spark.range(3000).selectExpr("concat('paypal', cast(id AS string)) AS word", "'brand' AS kind")
+    hosts = spark.range(3000).selectExpr("concat('x.paypal', cast(id AS string), '.com') AS h")
+    found = scoring.words_in(hosts, "h", words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("Join [word#" in line for line in plan.splitlines())
+    got = {r.h: r._held["brand"] for r in found.collect()}
+    assert got["x.paypal1234.com"] == ["paypal1", "paypal12", "paypal123", "paypal1234"] and len(got) == 3000
+
+
+def test_two_edits_are_tried_only_where_one_is_not_enough(spark, monkeypatch):
+    written = {}
+
+    def kept(df, name):
+        written[name] = df
+        return df
+
+    monkeypatch.setattr(scoring, "settled", kept)
+    brands = spark.range(2000).selectExpr("concat('paypal', cast(1000 + id AS string)) AS brand")
+    labels = spark.createDataFrame([("paypalx1234",), ("paypal12345",), ("paypalxy1234",), ("paypal1234",), ("paypal",)], "l string")
+    got = {r.l: tuple(r._s_typo) for r in scoring.near_brands(labels, "l", brands).collect()}
+    assert got == {"paypalx1234": (1, "paypal1234"), "paypal12345": (1, "paypal1234"), "paypalxy1234": (2, "paypal1234"), "paypal1234": (1, "paypal1034")}
+    assert {r._l for r in written["label-texts"].select("_l").distinct().collect()} == {"paypalxy1234", "paypal"}
+
+
 def test_one_wrong_clock_does_not_stretch_the_ticks(spark):
     rows = spark.createDataFrame([("1970-01-01 00:00:00", "phishing"), ("2026-01-01 00:00:01", "legitimate"), ("2026-01-01 00:00:03", "phishing"), (None, "phishing")], "t string, prediction string")
     got = reports.traffic_deltas(rows.select(F.col("t").cast("timestamp").alias("ts"), "prediction"), "1 second", 5).orderBy("tick").collect()

@@ -171,49 +171,75 @@ def typosquat_match(df: DataFrame, host: str, brands: tuple[str, ...] | DataFram
 
 
 # --- word tables ----------------------------------------------------------------------------------
-def _deletions(text: str, most: str) -> str:
-    """SQL: hashes of the text and of all texts that are left when up to ``most`` (0 to 2) of its characters go."""
-    def less(t: str, i: str) -> str:
-        return f"concat(substring({t}, 1, {i} - 1), substring({t}, {i} + 1))"
+def _less(text: str, i: str) -> str:
+    """SQL: the text without its character at ``i``."""
+    return f"concat(substring({text}, 1, {i} - 1), substring({text}, {i} + 1))"
 
-    one = f"transform(sequence(1, length({text})), i -> {less(text, 'i')})"
-    two = f"flatten(transform(sequence(1, length({text}) - 1), i -> transform(sequence(i, length({text}) - 1), j -> {less(less(text, 'i'), 'j')})))"
-    variants = f"concat(array({text}), CASE WHEN {most} >= 1 THEN {one} ELSE array() END, CASE WHEN {most} >= 2 THEN {two} ELSE array() END)"
-    return f"array_distinct(transform({variants}, t -> xxhash64(t)))"
+
+def _deletions(text: str) -> str:
+    """SQL: hashes of the text and of all texts that are left when one or two of its characters go."""
+    one = f"transform(sequence(1, length({text})), i -> {_less(text, 'i')})"
+    two = f"flatten(transform(sequence(1, length({text}) - 1), i -> transform(sequence(i, length({text}) - 1), j -> {_less(_less(text, 'i'), 'j')})))"
+    return f"array_distinct(transform(concat(array({text}), {one}, {two}), t -> xxhash64(t)))"
+
+
+def _one_edit(text: str, whole: str, without: str) -> str:
+    """SQL: hashes by which texts one edit apart meet: of the text (marked ``whole``), of what each character leaves (marked
+    ``without``) and of the same with its place."""
+    places = f"sequence(1, length({text}))"
+    left = f"transform({places}, i -> xxhash64('{without}', {_less(text, 'i')})), transform({places}, i -> xxhash64(i, {_less(text, 'i')}))"
+    return f"array_distinct(concat(array(xxhash64('{whole}', {text})), {left}))"
+
+
+def _spread(texts: DataFrame) -> DataFrame:
+    """Few texts in many tasks, too: each becomes a hundred rows, so their size does not tell the work."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def near_brands(labels: DataFrame, label: str, brands: DataFrame) -> DataFrame:
     """``label`` and ``_s_typo`` = struct(distance, brand) of the nearest brand within its cap, of equals the first.
 
-    Two texts within d edits have a text in common that deleting up to d characters of each can give. So brands and labels
-    are joined on the hashes of these texts, an equi-join without pairs that have nothing in common, and the distance of
-    what meets is measured. Labels that are too long for every brand are not spelled out. Rules as in
+    First one edit is tried, then two for the labels that this leaves. One edit: either text is the other without a character, or both
+    are equal without the character at the same place, so an equi-join on such texts meets near brands alone. Two edits: two texts
+    within d edits have a text in common that deleting up to d characters of each can give, so hashes of these texts are joined and
+    the distance of what meets is measured. Labels that are too long for every brand are not spelled out. Rules as in
     ``functions.lexical.typosquat``: brands of six letters allow one edit, longer ones two.
     """
-    tried = brands.select("brand").filter(F.length("brand") >= 6).distinct().withColumn("_cap", F.when(F.length("brand") == 6, 1).otherwise(2))
+    tried = brands.select("brand").filter(F.length("brand") >= 6).distinct()
     longest = tried.agg(F.max(F.length("brand"))).scalar()
     asked = labels.select(F.col(label).alias("_l")).filter((F.length("_l") >= 4) & (F.length("_l") <= longest + 2)).distinct()
-    spelled = asked.select("_l", F.explode(F.expr(_deletions("_l", "2"))).alias("_h"))
-    # written, so that the optimizer knows its size, which is many times that of the brands
-    held = settled(tried.select("brand", "_cap", F.explode(F.expr(_deletions("brand", "_cap"))).alias("_h")), "brand-texts")
-    met = spelled.join(held, "_h").filter(F.col("_l") != F.col("brand")).select("_l", "brand", "_cap").distinct()
-    measured = met.withColumn("_d", F.expr("levenshtein(_l, brand, _cap)")).filter(F.col("_d") >= 1)
-    nearest = measured.groupBy(F.col("_l").alias(label)).agg(F.min(F.struct(F.col("_d").alias("distance"), "brand")).alias("_s_typo"))
-    return nearest
+    asked, tried = settled(_spread(asked), "labels"), settled(_spread(tried), "brands")  # both are spelled out twice
+
+    def nearest(met: DataFrame, distance: int) -> DataFrame:
+        return met.filter(F.expr(f"levenshtein(_l, brand, {distance})") == distance).groupBy("_l").agg(F.min("brand").alias("brand"))
+
+    one = asked.select("_l", F.explode(F.expr(_one_edit("_l", "without", "whole"))).alias("_h")).join(
+        tried.select("brand", F.explode(F.expr(_one_edit("brand", "whole", "without"))).alias("_h")), "_h")
+    one = settled(nearest(one, 1), "one-edit")
+    # the side that is mostly small is written, so that the optimizer knows its size
+    rest = asked.join(one, "_l", "left_anti").select("_l", F.explode(F.expr(_deletions("_l"))).alias("_h"))
+    rest = settled(rest, "label-texts")
+    two = tried.filter(F.length("brand") > 6).select("brand", F.explode(F.expr(_deletions("brand"))).alias("_h")).join(rest, "_h")
+    found = one.withColumn("distance", F.lit(1)).unionByName(nearest(two, 2).withColumn("distance", F.lit(2)))
+    return found.select(F.col("_l").alias(label), F.struct("distance", "brand").alias("_s_typo"))
 
 
 def words_in(hosts: DataFrame, host: str, words: DataFrame) -> DataFrame:
     """``host`` and, for each ``kind`` of the table (word, kind), the words that the host holds, in order: a map kind to array.
 
-    Every word stands under its first GRAM characters (shorter words under themselves), every host asks with all its pieces
-    of that length; what meets is tested as a whole. The plan is the same for ten words and for a million.
+    The first GRAM characters of the words (shorter words as they are) tell where in a host a word may stand and how long the
+    words are that begin so; the pieces of those lengths are joined with the words as a whole. So however many words begin alike, a
+    host meets only words that it holds. The plan is the same for ten words and for a million.
     """
-    entries = words.select("word", "kind").filter(F.length("word") > 0).distinct().withColumn("_g", F.substring("word", 1, GRAM))
-    pieces = F.expr(
-        f"array_distinct(flatten(transform(sequence(1, length(_h)), i -> transform(sequence(1, {GRAM}), n -> substring(_h, i, n)))))")
+    entries = words.select("word", "kind").filter(F.length("word") > 0).distinct()
+    starts = entries.groupBy(F.substring("word", 1, GRAM).alias("_g")).agg(F.collect_set(F.length("word")).alias("_sizes"))
+    starts = settled(starts, "word-starts")  # mostly few: the optimizer knows it
     asked = hosts.select(F.col(host).alias("_h")).filter(F.length("_h") > 0).distinct()
-    # only pieces of a length that some entry has go into the join
-    sizes = F.coalesce(entries.agg(F.collect_set(F.length("_g"))).scalar(), F.array().cast("array<int>"))
-    asked = asked.select("_h", F.explode(pieces).alias("_g")).filter(F.array_contains(sizes, F.length("_g")))
-    held = asked.join(entries, "_g").filter(F.col("_h").contains(F.col("word"))).groupBy("_h", "kind").agg(F.sort_array(F.collect_set("word")).alias("_w"))
+    # only pieces of a length that some start has go into the join
+    sizes = F.coalesce(starts.agg(F.collect_set(F.length("_g"))).scalar(), F.array().cast("array<int>"))
+    places = asked.select("_h", F.explode(F.sequence(F.lit(1), F.length("_h"))).alias("_i"), sizes.alias("_n"))
+    pieces = places.select("_h", "_i", F.explode("_n").alias("_n")).filter("_i + _n <= length(_h) + 1").select("_h", "_i", F.expr("substring(_h, _i, _n)").alias("_g"))
+    begun = pieces.join(starts, "_g").select("_h", "_i", F.explode("_sizes").alias("_n")).filter("_i + _n <= length(_h) + 1")
+    held = begun.select("_h", F.expr("substring(_h, _i, _n)").alias("word")).join(entries, "word")
+    held = held.groupBy("_h", "kind").agg(F.sort_array(F.collect_set("word")).alias("_w"))
     return held.groupBy(F.col("_h").alias(host)).agg(F.map_from_entries(F.collect_list(F.struct("kind", "_w"))).alias("_held"))
