@@ -1086,7 +1086,7 @@ def roc_curve(v):
 
 
 def split_rows(v: Views) -> tuple[DataFrame, DataFrame]:
-    rows = training.stratified_split(labelled(v), "label", "domain")
+    rows = settled(training.stratified_split(labelled(v), "label", "domain"), "split")  # both parts are read from it
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 

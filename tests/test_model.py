@@ -112,3 +112,21 @@ def test_fits_run_side_by_side(spark):
 
     assert training.at_once(work, [4, 5, 6], 3) == [4, 5, 6]
     assert training.at_once(lambda n: n + 1, range(5), 1) == [1, 2, 3, 4, 5]
+
+
+def test_small_fits_take_few_tasks(spark):
+    """A round of a fit has no more tasks than its rows keep busy, however the rows were dealt out."""
+    kept = spark.range(3000).repartition(40).persist()
+    trees, network = training.random_forest(("id",)), training.neural_network(("id",))
+    seen = {}
+
+    class Told(type(trees)):
+        def fit(self, df):
+            seen["tasks"] = df.rdd.getNumPartitions()
+
+    assert training.packed(kept, trees).rdd.getNumPartitions() == 1
+    assert training.packed(kept, network).rdd.getNumPartitions() == 2
+    assert training.packed(kept.limit(0), trees).rdd.getNumPartitions() <= 1
+    training.train(spark.range(3000).repartition(40), Told(stages=trees.getStages()))
+    assert seen["tasks"] == 1
+    kept.unpersist()

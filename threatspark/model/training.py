@@ -34,6 +34,8 @@ DOMAIN_FEATURES = (
     "domain_length", "subdomain_count", "domain_entropy", "has_numbers_in_domain", "has_hyphens_in_domain",
     "hyphen_count", "digit_count", "label_length", "label_entropy",
 )
+#: Rows of one task in a round of a fit, where it is not 25,000: a row costs a network far more than a level of a tree.
+TASK_ROWS = {MultilayerPerceptronClassifier: 2_000}
 
 
 # --- preparation --------------------------------------------------------------------------------
@@ -138,11 +140,18 @@ def phishing_score(predictions: DataFrame, *keep: str) -> DataFrame:
     return predictions.select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
+def packed(kept: DataFrame, pipeline: Pipeline) -> DataFrame:
+    """Kept rows in as many tasks as a round of the fit keeps busy: a fit is hundreds of rounds, and what a task costs by itself
+    comes back in each of them."""
+    rows = TASK_ROWS.get(type(pipeline.getStages()[-1]), 25_000)
+    return kept.coalesce(-(-max(kept.count(), 1) // rows))
+
+
 def train(df: DataFrame, pipeline: Pipeline) -> PipelineModel:
     """Fit on rows with ``label``; the input is read many times, so it is kept in memory and on disk meanwhile."""
     kept = df.persist()
     try:
-        return pipeline.fit(kept)
+        return pipeline.fit(packed(kept, pipeline))
     finally:
         kept.unpersist()
 
@@ -212,7 +221,7 @@ def select_model(
     fit, test = split.filter("split = 'train'").persist(), split.filter("split = 'test'")
     fit.count()
     try:
-        models = dict(zip(pipelines, at_once(lambda pipeline: pipeline.fit(fit), list(pipelines.values()), parallelism), strict=True))
+        models = dict(zip(pipelines, at_once(lambda pipeline: pipeline.fit(packed(fit, pipeline)), list(pipelines.values()), parallelism), strict=True))
     finally:
         fit.unpersist()
     results = evaluate_models(test, models)
