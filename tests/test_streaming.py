@@ -181,3 +181,24 @@ def test_totals_stay_few_and_right(spark, stream, batch, tmp_path):
     totals = jobs.read_totals(spark, path).first()
     assert (totals.total_events, totals.total_phishing) == (batch.detections.count(), batch.detections.filter("prediction = 'phishing'").count())
     assert len(logs.matching_names(spark, f"{path}/batch=*")) <= 3
+
+
+@pytest.mark.parametrize("within, seconds", [("10 seconds", 10), ("1 day", 86_400)])
+def test_a_handshake_meets_only_queries_of_its_time(spark, within, seconds):
+    """The join has the time among its keys, and loses no query at the ends of its stretches of time."""
+    start = 1_700_000_000_000_000
+    step = seconds * 1_000_000 // 4
+    asked = [(i, start + i * 7 * step + i % 3, "10.0.0.1", "A.com", i, "A") for i in range(60)] + [(99, None, "10.0.0.1", "a.com", 1, "A")]
+    shook = [(i, start + i * step, "10.0.0.1", "192.0.2.1", 443, "a.COM", "TLS 1.3", 300) for i in range(420)] + [(999, None, "10.0.0.1", "192.0.2.1", 443, "a.com", "TLS 1.3", 300)]
+    queries = spark.createDataFrame(asked, "event_id long, us long, src_ip string, query_domain string, ttl int, query_type string")
+    handshakes = spark.createDataFrame(shook, "event_id long, us long, src_ip string, dst_ip string, dst_port int, sni string, tls_version string, packet_size int")
+    timed = [f.withColumn("ts", F.timestamp_micros("us")).drop("us") for f in (queries, handshakes)]
+    found = features.live_connections(*timed, within)
+    keys = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_stretch" in keys and "_met" in keys
+    got = {r.event_id: None if r.dns_imputed else r.dns_ttl_value for r in found.select("event_id", "dns_imputed", "dns_ttl_value").collect()}
+    want = {}
+    for event, at, *_ in shook:
+        near = [(us, i) for i, us, *_ in asked if at is not None and us is not None and at - seconds * 1_000_000 <= us <= at]
+        want[event] = max(near)[1] if near else None
+    assert got == want and None in want.values() and len(set(want.values())) == 61

@@ -323,20 +323,32 @@ def session_of(chosen: DataFrame, handshakes: DataFrame, queries: DataFrame, sec
 
 
 # --- live connections -----------------------------------------------------------------------------
+def _stretch(within: str) -> tuple[Column, Column]:
+    """Length of a stretch of time and the time within which a query can be met, in microseconds. A stretch is six times ``within``, so
+    one query in six is in two of them; days and months, which differ in length, get five days more."""
+    reach = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00Z' + INTERVAL {within})")
+    reach = reach + F.when(reach < 86_400_000_000, 0).otherwise(5 * 86_400_000_000)
+    return F.greatest(6 * reach, F.lit(1)), reach
+
+
 def live_connections(queries: DataFrame, handshakes: DataFrame, within: str = "10 seconds", lists: L.HostLists = L.HostLists()) -> DataFrame:
     """One feature row per handshake with a server name: lexical and TLS features, and those of the client's latest query for
     that name in the time ``within`` before it (defaults where there is none).
 
     The time bound makes this an interval join, so the same rows come from tables and from streams with a watermark: there the
     state holds the last ``within`` and the delay only, and a handshake without a query comes out when its time has passed.
+    Both sides meet by stretches of time, too, so a handshake is not compared with all the queries of its client for that name.
     """
     named = handshakes.filter(F.col("sni").isNotNull())
+    us, (span, reach) = running.epoch_us(F.col("ts")), _stretch(within)
     asked = queries.select(
         F.col("ts").alias("_asked"), F.col("src_ip").alias("_client"), F.lower("query_domain").alias("_name"),
-        F.struct(running.epoch_us(F.col("ts")).alias("us"), F.col("event_id").alias("id"), "ttl", "query_type").alias("_query"),
+        F.struct(us.alias("us"), F.col("event_id").alias("id"), "ttl", "query_type").alias("_query"),
+        F.explode(F.sequence(F.floor(us / span), F.floor((us + reach) / span))).alias("_met"),
     )
     near = (F.col("_asked") <= F.col("ts")) & (F.col("_asked") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
-    joined = named.join(asked, (F.col("src_ip") == F.col("_client")) & (F.lower("sni") == F.col("_name")) & near, "left")
+    same = (F.col("src_ip") == F.col("_client")) & (F.lower("sni") == F.col("_name")) & (F.col("_stretch") == F.col("_met"))
+    joined = named.withColumn("_stretch", F.floor(us / span)).join(asked, same & near, "left")
     latest = joined.select(*named.columns, "_query").groupBy(*named.columns).agg(F.max("_query").alias("q"))
     rows = latest.withColumn("domain", F.lower("sni"))
     lexical, tls = domain_columns(F.col("domain"), lists), tls_columns(F.col("domain"))
