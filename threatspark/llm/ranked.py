@@ -90,7 +90,7 @@ class ImpactLists:
         order = np.lexsort((doc, -impact, term))
         self.doc, self.impact = doc[order], impact[order]
         names, first = np.unique(term, return_index=True)
-        ends = np.append(first[1:], len(term))
+        ends = np.append(first, len(term))[1:]  # a slice may hold none of the terms
         self.span = dict(zip(names.tolist(), zip(first.tolist(), ends.tolist(), strict=True), strict=True))
         self.documents = len(part.ids)
         self.null = np.array([i is None for i in part.ids], bool)
