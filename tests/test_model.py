@@ -130,3 +130,14 @@ def test_small_fits_take_few_tasks(spark):
     training.train(spark.range(3000).repartition(40), Told(stages=trees.getStages()))
     assert seen["tasks"] == 1
     kept.unpersist()
+
+
+def test_fits_keep_all_cores_busy(spark):
+    """Rows that lie in one large and one small task are dealt out evenly, and a large fit has no more tasks than the cores need."""
+    kept = spark.range(60_000, numPartitions=1).union(spark.range(100, numPartitions=1)).persist()
+    dealt = training.packed(kept, training.neural_network(("id",)))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert cores <= len(sizes) <= 3 * cores and sum(sizes) == 60_100 and max(sizes) - min(sizes) <= 2
+    assert dealt.exceptAll(kept).isEmpty() and kept.exceptAll(dealt).isEmpty()
+    kept.unpersist()

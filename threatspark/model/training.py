@@ -34,8 +34,10 @@ DOMAIN_FEATURES = (
     "domain_length", "subdomain_count", "domain_entropy", "has_numbers_in_domain", "has_hyphens_in_domain",
     "hyphen_count", "digit_count", "label_length", "label_entropy",
 )
-#: Rows of one task in a round of a fit, where it is not 25,000: a row costs a network far more than a level of a tree.
+#: Least rows of one task in a round of a fit, where it is not 25,000: a row costs a network far more than a level of a tree.
 TASK_ROWS = {MultilayerPerceptronClassifier: 2_000}
+#: Tasks of a core in a round of a large fit, and the rows of a task from which on there are more.
+CORE_TASKS, FULL_TASK = 3, 250_000
 
 
 # --- preparation --------------------------------------------------------------------------------
@@ -141,10 +143,12 @@ def phishing_score(predictions: DataFrame, *keep: str) -> DataFrame:
 
 
 def packed(kept: DataFrame, pipeline: Pipeline) -> DataFrame:
-    """Kept rows in as many tasks as a round of the fit keeps busy: a fit is hundreds of rounds, and what a task costs by itself
-    comes back in each of them."""
-    rows = TASK_ROWS.get(type(pipeline.getStages()[-1]), 25_000)
-    return kept.coalesce(-(-max(kept.count(), 1) // rows))
+    """Kept rows dealt out evenly into as many tasks as a round of the fit keeps busy: a fit is hundreds of rounds, and what a task
+    costs by itself, or a core waits for the largest one, comes back in each of them."""
+    rows, least = max(kept.count(), 1), TASK_ROWS.get(type(pipeline.getStages()[-1]), 25_000)
+    cores = kept.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(-(-rows // least), CORE_TASKS * cores), -(-rows // FULL_TASK))
+    return kept.repartition(tasks) if tasks > 1 else kept.coalesce(1)
 
 
 def train(df: DataFrame, pipeline: Pipeline) -> PipelineModel:
