@@ -141,3 +141,19 @@ def test_fits_keep_all_cores_busy(spark):
     assert cores <= len(sizes) <= 3 * cores and sum(sizes) == 60_100 and max(sizes) - min(sizes) <= 2
     assert dealt.exceptAll(kept).isEmpty() and kept.exceptAll(dealt).isEmpty()
     kept.unpersist()
+
+
+def test_selection_deals_rows_out(spark, rows, tmp_path, monkeypatch):
+    """The fits that run side by side get the rows of one file in several even tasks, not in one."""
+    seen = []
+    trees = training.random_forest(training.DOMAIN_FEATURES, trees=2, depth=2)
+
+    class Told(type(trees)):
+        def fit(self, df):
+            seen.append(sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()))
+            return super().fit(df)
+
+    monkeypatch.setitem(training.TASK_ROWS, type(trees.getStages()[-1]), 100)
+    pipelines = {name: Told(stages=trees.getStages()) for name in ("First", "Second")}
+    training.select_model(rows.coalesce(1), training.DOMAIN_FEATURES, pipelines, str(tmp_path))
+    assert len(seen) == 2 and all(len(sizes) > 4 and sum(sizes) > 400 and sizes[-1] <= 2 * sizes[0] for sizes in seen)
