@@ -1,5 +1,9 @@
 """Literal rows with the result each rule must give."""
 
+import math
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +174,18 @@ def test_entropy(spark):
     assert values(spark, rows, "t string", lexical.entropy_stripped(F.col("t")))[5] == 1.0
 
 
+def test_entropy_of_same_characters_in_any_order(spark):
+    """The same characters give the same number to the last bit, however long the text, and no step per kind of character is planned."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefg-12é😀") for _ in range(n)) for n in (9, 17, 31, 63, 200) for _ in range(8)]
+    pairs = [(t, "".join(rng.sample(t, len(t)))) for t in texts] + [("x" * 100_000, "x" * 100_000), ("a\nb\na", "\naab\n")]
+    rows = spark.createDataFrame(pairs, "t string, other string").select("t", lexical.entropy(F.col("t")).alias("e"), lexical.entropy(F.col("other")).alias("o"))
+    for row in rows.collect():
+        shares = [k / len(row.t) for k in Counter(row.t).values()]
+        assert row.e == row.o and row.e == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-12)
+    assert "array_distinct" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lexical_score_of_a_loaded_name(spark):
     frame = spark.createDataFrame([("g00gle-signin.top",), ("google.com",)], "domain string")
     got = {r.domain: r.risk for r in scoring.lexical_risk(frame, "domain", "risk").collect()}
