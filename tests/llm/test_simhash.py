@@ -62,6 +62,15 @@ def test_links_against_all_pairs(spark):
         assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= bits}
 
 
+def test_exploded_fingerprints_are_never_broadcast(spark, tmp_path):
+    """Spark sizes them as before the explode: 35 rows for each fingerprint would go through the driver."""
+    spark.range(1000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/fp")
+    links = near_links(spark.read.parquet(f"{tmp_path}/fp"))
+    assert links.count() == 0
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3])
 def test_crowds_are_connected_like_pairs(spark, bits):
     rng = random.Random(8)

@@ -93,7 +93,8 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD
         inside = held.select("seg", "val", F.col("a").alias("fp")).unionByName(probes.select("seg", "val", F.col("b").alias("fp")))
         dense = _crowd_links(inside.join(full, ["seg", "val"], "left_semi").select("fp").distinct(), max_bits)
         held = held.join(full, ["seg", "val"], "left_anti")
-    pairs = held.join(probes, (held.seg == probes.seg) & (held.val == probes.val) & near).select(
+    # Spark sizes both sides as if each fingerprint were still one row, so it would broadcast millions of them
+    pairs = held.join(probes.hint("merge"), (held.seg == probes.seg) & (held.val == probes.val) & near).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     return pairs if dense is None else pairs.unionByName(dense)
 
