@@ -375,6 +375,25 @@ def test_two_edits_are_tried_only_where_one_is_not_enough(spark, monkeypatch):
     assert {r._l for r in written["label-texts"].select("_l").distinct().collect()} == {"paypalxy1234", "paypal"}
 
 
+def test_many_exploded_brand_texts_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes them as before the explode, so each join is told how many rows it meets."""
+    plans, settled = {}, scoring.settled
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settled(df, name)
+
+    monkeypatch.setattr(scoring, "settled", kept)
+    labels = spark.range(20_000).selectExpr("concat('verify', cast(id AS string)) AS domain")
+    for n, broadcast in ((10_000, False), (100, True)):
+        brands = spark.range(n).selectExpr("concat('paypal', cast(10000 + id AS string)) AS brand")
+        found = scoring.typosquat_match(labels, "domain", brands)
+        assert found.count() == 0
+        for name in ("one-edit", "two-edits"):
+            assert ("BroadcastHashJoin [_h#" in plans[name]) == broadcast and ("SortMergeJoin [_h#" in plans[name]) != broadcast
+        assert "BuildRight" in plans["label-texts"] and "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_wrong_clock_does_not_stretch_the_ticks(spark):
     rows = spark.createDataFrame([("1970-01-01 00:00:00", "phishing"), ("2026-01-01 00:00:01", "legitimate"), ("2026-01-01 00:00:03", "phishing"), (None, "phishing")], "t string, prediction string")
     got = reports.traffic_deltas(rows.select(F.col("t").cast("timestamp").alias("ts"), "prediction"), "1 second", 5).orderBy("tick").collect()
