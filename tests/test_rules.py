@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -394,6 +395,27 @@ def test_many_exploded_brand_texts_are_not_broadcast(spark, monkeypatch):
         assert "BuildRight" in plans["label-texts"] and "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pieces_of_hosts_are_not_broadcast(spark):
+    hosts = spark.range(2000).selectExpr("concat('x.paypal', cast(id AS string), '.com') AS h")
+    words = spark.range(20_000).selectExpr("concat(cast(1000 + id AS string), 'word') AS word", "'brand' AS kind").unionByName(
+        spark.createDataFrame([("paypal", "brand"), ("199", "token")], "word string, kind string"))
+
+    def plan_and_held():
+        found = scoring.words_in(hosts, "h", words)
+        return found._jdf.queryExecution().executedPlan().toString(), {r.h: dict(r._held) for r in found.collect()}
+
+    try:
+        plan, held = plan_and_held()
+        assert re.search(r"BroadcastHashJoin \[_g#\d+\], \[_g#\d+\], Inner, BuildRight", plan) and "BuildLeft" not in plan
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+        plan, again = plan_and_held()
+        assert "SortMergeJoin [_g#" in plan and "SortMergeJoin [word#" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert held == again and len(held) == 2000
+    assert held["x.paypal1990.com"] == {"brand": ["paypal"], "token": ["199"]} and held["x.paypal7.com"] == {"brand": ["paypal"]}
+
+
 def test_one_wrong_clock_does_not_stretch_the_ticks(spark):
     rows = spark.createDataFrame([("1970-01-01 00:00:00", "phishing"), ("2026-01-01 00:00:01", "legitimate"), ("2026-01-01 00:00:03", "phishing"), (None, "phishing")], "t string, prediction string")
     got = reports.traffic_deltas(rows.select(F.col("t").cast("timestamp").alias("ts"), "prediction"), "1 second", 5).orderBy("tick").collect()

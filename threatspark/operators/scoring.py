@@ -249,15 +249,15 @@ def words_in(hosts: DataFrame, host: str, words: DataFrame) -> DataFrame:
     words are that begin so; the pieces of those lengths are joined with the words as a whole. So however many words begin alike, a
     host meets only words that it holds. The plan is the same for ten words and for a million.
     """
-    entries = words.select("word", "kind").filter(F.length("word") > 0).distinct()
+    entries = settled(words.select("word", "kind").filter(F.length("word") > 0).distinct(), "words")
     starts = entries.groupBy(F.substring("word", 1, GRAM).alias("_g")).agg(F.collect_set(F.length("word")).alias("_sizes"))
-    starts = settled(starts, "word-starts")  # mostly few: the optimizer knows it
+    starts = settled(starts, "word-starts")
     asked = hosts.select(F.col(host).alias("_h")).filter(F.length("_h") > 0).distinct()
     # only pieces of a length that some start has go into the join
     sizes = F.coalesce(starts.agg(F.collect_set(F.length("_g"))).scalar(), F.array().cast("array<int>"))
     places = asked.select("_h", F.explode(F.sequence(F.lit(1), F.length("_h"))).alias("_i"), sizes.alias("_n"))
     pieces = places.select("_h", "_i", F.explode("_n").alias("_n")).filter("_i + _n <= length(_h) + 1").select("_h", "_i", F.expr("substring(_h, _i, _n)").alias("_g"))
-    begun = pieces.join(starts, "_g").select("_h", "_i", F.explode("_sizes").alias("_n")).filter("_i + _n <= length(_h) + 1")
-    held = begun.select("_h", F.expr("substring(_h, _i, _n)").alias("word")).join(entries, "word")
+    begun = pieces.join(_sized(starts, starts.count()), "_g").select("_h", "_i", F.explode("_sizes").alias("_n")).filter("_i + _n <= length(_h) + 1")
+    held = begun.select("_h", F.expr("substring(_h, _i, _n)").alias("word")).join(_sized(entries, entries.count()), "word")
     held = held.groupBy("_h", "kind").agg(F.sort_array(F.collect_set("word")).alias("_w"))
     return held.groupBy(F.col("_h").alias(host)).agg(F.map_from_entries(F.collect_list(F.struct("kind", "_w"))).alias("_held"))
