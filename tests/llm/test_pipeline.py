@@ -8,8 +8,9 @@ import corpus_pipeline
 from registry.compare import compare, connect
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_simhash import brute_components, brute_fingerprint
-from threatspark.llm import queries
+from threatspark.llm import queries, simhash
 from threatspark.llm.common import settled, table
+from threatspark.llm.graph import components
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -76,6 +77,15 @@ def test_clashing_columns_pass_all_stages(spark, sf_dir):
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, docs, sf_dir).collect())
 
 
+def test_links_of_near_documents_pass_no_driver(spark, sf_dir, monkeypatch):
+    """The stage joins the exploded fingerprints without a broadcast; Spark would size them as before the explode."""
+    plans = []
+    monkeypatch.setattr(simhash, "components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or components(links))
+    docs = table(spark, sf_dir, "documents")
+    assert 0 < dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf_dir).count() < docs.count()
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_nothing_else_imports_the_subpackage():
     import subprocess
 
